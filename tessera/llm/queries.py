@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, secrets
+from . import htmltext, langid, neardup, quality, secrets
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held.alias("held_out"), langid.identify(model, F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", htmltext.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_quality": op2_quality, "op8_secrets": op8_secrets, "op9_language": op9_language}
+    return {"op2_quality": op2_quality, "op3_neardup": op3_neardup, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
