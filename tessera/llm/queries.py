@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, neardup, quality, secrets
+from . import htmltext, langid, neardup, quality, secrets, substrings
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,13 +37,18 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", htmltext.extract(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_quality": op2_quality, "op3_neardup": op3_neardup, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op2_quality": op2_quality, "op3_neardup": op3_neardup, "op5_substrings": op5_substrings, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
