@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, neardup, quality, secrets, substrings
+from . import htmltext, langid, neardup, packing, quality, secrets, substrings
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", secrets.scan(F.col("text")).alias("r")).select("doc_id", "r.n_assign", "r.n_access", "r.n_hex", "r.base_sha256", "r.spans")
@@ -48,7 +55,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_quality": op2_quality, "op3_neardup": op3_neardup, "op5_substrings": op5_substrings, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op2_quality": op2_quality, "op3_neardup": op3_neardup, "op5_substrings": op5_substrings, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
