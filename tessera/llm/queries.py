@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, neardup, packing, quality, secrets, substrings, topk
+from . import decontam, htmltext, langid, neardup, packing, paragraphs, quality, secrets, substrings, topk
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -63,7 +67,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_paragraphs": op4_paragraphs, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
