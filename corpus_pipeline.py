@@ -1,12 +1,68 @@
-"""Corpus pipeline (draft): stages follow."""
+"""Corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+
+Each stage works on all rows that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, langid, neardup, packing, secrets
+from tessera.llm._spark import fresh_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents far from every known language, or without a letter, go; a missing lang is filled in."""
+    model = langid.fit(docs)
+    read = docs.select(*docs.columns, langid.identify(model, F.col("text")).alias("__language")).where(~F.col("__language.rejected"))
+    return read.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays; of rows that repeat an id, one."""
+    gone = neardup.classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("class_id != doc_id or n > 1")
+    joined = docs.join(gone.withColumnsRenamed({"doc_id": "__id", "class_id": "__class", "n": "__n"}), F.col("doc_id") == F.col("__id"), "left")
+    once = joined.where(F.col("__id").isNull()).select(*docs.columns)
+    repeated = joined.where(F.col("__class") == F.col("doc_id")).select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return docs.where(~decontam.contains_item(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and n_chars follows the text."""
+    clean = docs.withColumn("__clean", secrets.redact(F.col("text")))
+    moved = F.col("__clean").isNotNull() & (F.col("__clean") != F.col("text"))
+    return clean.withColumn("n_chars", F.when(moved, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", F.col("__clean")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: one row for each piece of a document, with its sequence and place."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: No stage's rows can be expressed in SQL; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    home = fresh_dir(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        out = f"{home}/{number}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

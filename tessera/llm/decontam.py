@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import groups, mix, shingles, word_hashes
@@ -109,32 +109,57 @@ class Benchmark:
         return [best[i] for i in sorted(best)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 1000) -> DataFrame:
-    """One row for each document and item that it contains: doc_id, item_id, start_word, n_words, similarity, distance."""
+def _chunks(benchmark: DataFrame, item: str, item_text: str, n: int, chunk: int):
+    """The items of each chunk, shipped: (ids, word hashes)."""
     items = benchmark.where(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
     chunks = max(1, -(-items.count() // chunk))
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    found = []
     for c in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == c).orderBy("i", "t").collect()
         h, at = word_hashes([r["t"] for r in rows])
         own = [(r["i"], h[at[k] : at[k + 1]]) for k, r in enumerate(rows) if at[k + 1] - at[k] >= n]
-        shipped = docs.sparkSession.sparkContext.broadcast(([i for i, _ in own], [x for _, x in own]))
+        yield benchmark.sparkSession.sparkContext.broadcast(([i for i, _ in own], [x for _, x in own]))
+
+
+def _matches(bench: Benchmark, texts: list, n: int):
+    """(place in the list, match) for each text and item."""
+    for i, j in groups(texts):
+        h, at = word_hashes(texts[i:j])
+        s, to = shingles(h, at, n)
+        hit = bench.known(s)
+        total = np.concatenate([[0], np.cumsum(hit)])
+        for k in np.flatnonzero(total[to[1:]] > total[to[:-1]]).tolist():
+            for m in bench.matches(h[at[k] : at[k + 1]], s[to[k] : to[k + 1]], hit[to[k] : to[k + 1]]):
+                yield i + k, m
+
+
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 1000) -> DataFrame:
+    """One row for each document and item that it contains: doc_id, item_id, start_word, n_words, similarity, distance."""
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    found = []
+    for shipped in _chunks(benchmark, item, item_text, n, chunk):
 
         def search(batches, shipped=shipped):
             bench = Benchmark(*shipped.value, n, threshold, radius)
             for b in batches:
-                texts = b["t"].tolist()
-                for i, j in groups(texts):
-                    h, at = word_hashes(texts[i:j])
-                    s, to = shingles(h, at, n)
-                    hit = bench.known(s)
-                    total = np.concatenate([[0], np.cumsum(hit)])
-                    out = []
-                    for k in np.flatnonzero(total[to[1:]] > total[to[:-1]]).tolist():
-                        out += [(b["id"].iloc[i + k], *m) for m in bench.matches(h[at[k] : at[k + 1]], s[to[k] : to[k + 1]], hit[to[k] : to[k + 1]])]
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
+                ids = b["id"].tolist()
+                yield pd.DataFrame([(ids[k], *m) for k, m in _matches(bench, b["t"].tolist(), n)], columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
 
         found.append(source.mapInPandas(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word long, n_words long, similarity double, distance int"))
     return reduce(DataFrame.unionByName, found)
+
+
+def contains_item(text: Column, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 1000) -> Column:
+    """Whether a text contains an item, by the same search; as a column, so that documents need no join."""
+
+    def flag_of(shipped) -> Column:
+        @F.pandas_udf("boolean")
+        def flag(texts: pd.Series) -> pd.Series:
+            out = np.zeros(len(texts), bool)
+            for k, _ in _matches(Benchmark(*shipped.value, n, threshold, radius), texts.tolist(), n):
+                out[k] = True
+            return pd.Series(out)
+
+        return flag(text)
+
+    return reduce(lambda a, b: a | b, [flag_of(x) for x in _chunks(benchmark, item, item_text, n, chunk)])
