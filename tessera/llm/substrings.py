@@ -8,10 +8,10 @@ are sorted to that depth, in passes over ever deeper digits, and a group that ca
    anchors at equal places, and neighbouring windows share an anchor, so one row stands for a run of windows.
    Occurrences are dealt out by the leading digits of the anchor's hash and sorted by it; single ones drop out.
 2. Digit two is the hash of all bytes that the run of windows covers. Runs equal in it repeat as a whole.
-3. Runs of a shared anchor with different bytes around it are resolved window by window: the windows' own hashes are
-   dealt out by their leading digits and sorted; equal groups are exactly the repeated windows.
+3. Runs of a shared anchor with different bytes around it go on if they share the bytes on one side of it, to the
+   depth that a window needs. They are resolved window by window: the windows' own hashes are dealt out by their leading digits and sorted; equal groups are exactly the repeated windows.
 
-Hashes of digits two and three have 96 bits or more. Before each deal, equal keys within a batch are reduced to their
+Digits one and two together have 128 bits, and a window's hash has 96. Before each deal, equal keys within a batch are reduced to their
 first occurrence, so a key costs a row for each batch and not for each copy. An anchor with many different surroundings
 in one batch goes straight to pass 3, whose keys are spread. Rows are packed in binary blocks for each digit. Texts
 move once, to meet their removals; nothing is gathered on the driver but counts.
@@ -23,6 +23,8 @@ document, and the same start in it is not earlier. Texts under `width` bytes los
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -37,10 +39,10 @@ _Q = 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of a text hashed at a time; its windows join over the borders.
 PIECE = 1 << 20
 
-RUN = np.dtype([("a", "<u8"), ("s", "<u8"), ("s2", "<u4"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u2")])
-WINDOW = np.dtype([("w", "<u8"), ("w2", "<u4"), ("doc", "<i8"), ("at", "<i8")])
+RUN = np.dtype([("a", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("place", "u1"), ("left", "<u2"), ("right", "<u2")])
+WINDOW = np.dtype([("w", "<u8"), ("w2", "<u4"), ("doc", "<i8"), ("at", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("at", "<i8"), ("n", "<i8")])
-HOT = np.uint16(0xFFFF)  # as a run's length: the anchor is to be resolved by windows
+HOT = np.uint8(0xFF)  # as a run's length: the anchor is to be resolved by windows
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +99,14 @@ def runs_of(data: np.ndarray, doc: int, width: int, gram: int, hasher: Hasher, b
     out["a"], out["doc"], out["at"], out["n"] = h[best[first]], doc, first + base, n
     end = first + n - 1 + width
     # where the anchor stands in the run belongs to its identity, too
-    place = (best[first] - first).astype(np.uint64)
-    out["s"] = mix(hasher.of(p, 0, first, end) + place)
-    out["s2"] = (hasher.of(q, 1, first, end) >> np.uint64(32)).astype(np.uint32)
+    at = best[first]
+    out["place"] = at - first
+    out["s"] = mix(hasher.of(q, 1, first, end) + out["place"].astype(np.uint64))
+    # a window holds `side` bytes or more before its anchor, or after it; 0: no window of the run does
+    side = -(-(width - gram) // 2)
+    for name, ok, start in (("left", at - side >= first, at - side), ("right", first + n - 1 + width >= at + gram + side, at)):
+        hashed = hasher.of(p, 0, start[ok], start[ok] + gram + side)
+        out[name][ok] = (hashed >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
     return out
 
 
@@ -156,12 +163,48 @@ def _join_spans(spans: np.ndarray) -> np.ndarray:
     return out
 
 
+def dump(rows: np.ndarray) -> bytes:
+    """Rows as bytes, by column in the order of documents; what is not a hash is small then, and deflated."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    plain, small = [], []
+    for name in rows.dtype.names:
+        column = np.ascontiguousarray(rows[name])
+        if name in ("a", "s", "w", "w2"):
+            plain.append(column.tobytes())
+            continue
+        if name in ("doc", "at"):
+            column[1:] -= column[:-1].copy()
+        small.append(column.view(np.uint8).reshape(len(rows), -1).T.tobytes())
+    return struct.pack("<q", len(rows)) + b"".join(plain) + zlib.compress(b"".join(small), 1)
+
+
+def load(block: bytes, kind: np.dtype) -> np.ndarray:
+    (n,) = struct.unpack_from("<q", block)
+    out, at = np.zeros(n, kind), 8
+    plain = [x for x in kind.names if x in ("a", "s", "w", "w2")]
+    for name in plain:
+        out[name] = np.frombuffer(block, kind[name], n, at)
+        at += n * kind[name].itemsize
+    rest, at = zlib.decompress(memoryview(block)[at:]), 0
+    for name in kind.names:
+        if name not in plain:
+            size = kind[name].itemsize
+            column = np.frombuffer(rest, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind[name])[:, 0]
+            out[name] = np.cumsum(column, dtype=kind[name]) if name in ("doc", "at") else column
+            at += n * size
+    return out
+
+
+def _loaded(blocks, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(load(b, kind) for b in blocks)])
+
+
 def _packed(kind: str, rows: np.ndarray, part: np.ndarray, parts: int):
     """(kind, part, block) of each part's rows."""
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(bounds)):
-        yield kind, int(k), rows[order[bounds[k] : bounds[k + 1]]].tobytes()
+        yield kind, int(k), dump(rows[order[bounds[k] : bounds[k + 1]]])
 
 
 def _digit(key: np.ndarray, parts: int) -> np.ndarray:
@@ -184,16 +227,16 @@ def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartition(parts, "part")
 
 
-def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 20, hot: int = 512):
+def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 19, hot: int = 512):
     """Pass 1, map side: runs (kind A) reduced within the batch, its repeats (R), and hot anchors' windows (W)."""
     hasher = Hasher()
     held: list[np.ndarray] = []
     texts: dict[int, bytes] = {}
 
     def flushed():
-        rows, first = _firsts(np.concatenate(held), ("a", "s", "s2"))
+        rows, first = _firsts(np.concatenate(held), ("a", "s"))
         later = _later(rows, first)
-        repeats = _spans(rows[later], rows["n"][later].astype(np.int64) + width - 1)
+        repeats = _spans(rows[later], rows["n"][later].astype(np.int64) + (width - 1))
         lone = rows[first == np.arange(len(rows))]
         _, back, count = np.unique(lone["a"], return_inverse=True, return_counts=True)
         wide = count[back] >= hot
@@ -224,7 +267,7 @@ def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 20,
                 continue
             held.append(runs_of_text(raw, int(doc), width, gram, hasher))
             texts[int(doc)] = raw
-            size += len(held[-1]) * 30 + len(raw)
+            size += held[-1].nbytes + len(raw)
             if size >= flush * 40:
                 yield _frame(list(flushed()))
                 held.clear()
@@ -235,37 +278,59 @@ def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 20,
 
 
 def _by_part(batches):
-    """(kind, part, rows) of a partition's blocks; each part once."""
+    """(kind, part, blocks) of a partition; each part once."""
     held: dict[tuple[str, int], list[bytes]] = {}
     for b in batches:
         for kind, part, block in zip(b["kind"], b["part"], b["block"], strict=True):
             held.setdefault((kind, part), []).append(block)
     for kind, part in sorted(held):
-        yield kind, part, b"".join(held.pop((kind, part)))
+        yield kind, part, held.pop((kind, part))
+
+
+def _shared(rows: np.ndarray, name: str) -> np.ndarray:
+    """Where another run of the same anchor has the same bytes on that side of it."""
+    key = rows["a"] ^ mix(rows[name].astype(np.uint64))
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (rows[name] != 0) & (count[back] > 1)
+
+
+def _asked(rows: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The windows to resolve, as spans of their starts: those whose longer side the anchor's other runs share, too."""
+    _, back = np.unique(rows["a"], return_inverse=True)
+    marked = np.bincount(back, rows["n"] == HOT, minlength=1)[back] > 0 if len(rows) else np.zeros(0, bool)
+    own = rows["n"] != HOT
+    side = -(-(width - gram) // 2)
+    first, place, n = rows["at"].astype(np.int64), rows["place"].astype(np.int64), rows["n"].astype(np.int64)
+    turn = np.clip(place - side + 1, 0, n)  # so many windows have their longer side before the anchor
+    before, after = own & (_shared(rows, "left") | marked) & (turn > 0), own & (_shared(rows, "right") | marked) & (turn < n)
+    out = np.zeros(int(before.sum() + after.sum()), SPAN)
+    out["doc"] = np.concatenate([rows["doc"][before], rows["doc"][after]])
+    out["at"] = np.concatenate([first[before], (first + turn)[after]])
+    out["n"] = np.concatenate([turn[before], (n - turn)[after]])
+    return out
 
 
-def sort_runs(batches, width: int, parts: int):
+def sort_runs(batches, width: int, gram: int, parts: int):
     """Passes 1 and 2: repeats (R), runs to resolve by windows (Q), and what has to be passed on (R, W)."""
-    for kind, part, block in _by_part(batches):
+    for kind, part, blocks in _by_part(batches):
         if kind != "A":
-            yield _frame([(kind, part, block)])
+            yield _frame([(kind, part, b) for b in blocks])
             continue
-        rows = np.frombuffer(block, RUN)
-        rows, first = _firsts(rows, ("a", "s", "s2"))
+        rows = _loaded(blocks, RUN)
+        rows, first = _firsts(rows, ("a", "s"))
         hot = rows["n"] == HOT
         later = _later(rows, first) & ~hot
-        repeats = _join_spans(_spans(rows[later], rows["n"][later].astype(np.int64) + width - 1))
+        repeats = _join_spans(_spans(rows[later], rows["n"][later].astype(np.int64) + (width - 1)))
         distinct = rows[(first == np.arange(len(rows))) | hot]
         _, back, count = np.unique(distinct["a"], return_inverse=True, return_counts=True)
-        open_runs = distinct[(count[back] > 1) & (distinct["n"] != HOT)]
-        asked = _spans(open_runs, open_runs["n"].astype(np.int64))
+        asked = _asked(distinct[count[back] > 1], width, gram)
         yield _frame([*_packed("R", repeats, _doc_part(repeats["doc"], parts), parts), *_packed("Q", asked, _doc_part(asked["doc"], parts), parts)])
 
 
 def ask_windows(part: int, texts: pd.DataFrame, blocks: list[bytes], width: int, parts: int):
     """Pass 3, map side: the windows of the runs asked for (W), reduced within the part, and its repeats (R)."""
     hasher = Hasher()
-    asked = np.sort(np.frombuffer(b"".join(blocks), SPAN), order=["doc", "at"])
+    asked = np.sort(_loaded(blocks, SPAN), order=["doc", "at"])
     bounds = {int(d): (i, j) for d, i, j in _doc_bounds(asked)}
     made = []
     for doc, text in zip(texts["id"], texts["t"], strict=True):
@@ -290,11 +355,11 @@ def _doc_bounds(rows: np.ndarray):
 
 def sort_windows(batches, width: int, parts: int):
     """Pass 3: the repeats (R) among the windows; repeats found before are passed on."""
-    for kind, part, block in _by_part(batches):
+    for kind, part, blocks in _by_part(batches):
         if kind != "W":
-            yield _frame([(kind, part, block)])
+            yield _frame([(kind, part, b) for b in blocks])
             continue
-        rows, first = _firsts(np.frombuffer(block, WINDOW), ("w", "w2"))
+        rows, first = _firsts(_loaded(blocks, WINDOW), ("w", "w2"))
         later = _later(rows, first)
         repeats = _join_spans(_spans(rows[later], width))
         yield _frame(list(_packed("R", repeats, _doc_part(repeats["doc"], parts), parts)))
@@ -305,7 +370,7 @@ _RESULT = "id long, known boolean, n_bytes long, n_removed long, n_spans long, k
 
 def remove(texts: pd.DataFrame, blocks: list[bytes]) -> pd.DataFrame:
     """Each text's result, from the repeats of a part's documents."""
-    spans = _join_spans(np.frombuffer(b"".join(blocks), SPAN))
+    spans = _join_spans(_loaded(blocks, SPAN))
     bounds = {int(d): (i, j) for d, i, j in _doc_bounds(spans)}
     rows = []
     for doc, known, text in zip(texts["id"], texts["known"], texts["t"], strict=True):
@@ -320,7 +385,7 @@ def remove(texts: pd.DataFrame, blocks: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "known", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "lengths"])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, gram: int = 44, part_bytes: int = 16 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, gram: int = 32, part_bytes: int = 8 << 20) -> DataFrame:
     """One row for each input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs' starts and lengths."""
     id_ = F.col(key).cast("long")
     source = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNotNull().alias("known"), F.col(text).alias("t"))
@@ -328,7 +393,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     shape = lambda f, *a: lambda batches: f(batches, *a)
     runs = source.where("known").mapInPandas(shape(scan_runs, width, gram, parts), _BLOCKS)
-    sorted_runs = cut(_dealt(runs, parts).mapInPandas(shape(sort_runs, width, parts), _BLOCKS))
+    sorted_runs = cut(_dealt(runs, parts).mapInPandas(shape(sort_runs, width, gram, parts), _BLOCKS))
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
