@@ -238,19 +238,21 @@ def _pack_round(rows: DataFrame, block_size: int, capacity: int, islands: int, e
         return fine
     every = F.array([F.lit(k) for k in range(islands)])
     state = hard.select("*", F.explode(every).alias("island"), F.lit(0).alias("origin"))
-    for epoch in range(epochs):
 
-        def island(rows: pd.DataFrame, epoch=epoch) -> pd.DataFrame:
+    def island_of(epoch: int):
+        def island(rows: pd.DataFrame) -> pd.DataFrame:
             # one packing of the island's own and, after the first epoch, its neighbour's elite
             order = ["length", "doc_id", "piece", "start", "ids_crc32"]
             split = [r.sort_values(order, ascending=[False, True, True, True, True], kind="stable", ignore_index=True) for _, r in rows.groupby("origin")]
             length = split[0]["length"].tolist()
             seeds = [[g.tolist() for g in r.groupby("bin").indices.values()] for r in split]
             number = int(rows["island"].iloc[0])
-            bins = evolve(length, capacity, seeds, seed=epoch * 1000 + number)
-            return _with_bins(split[0], bins, capacity)
+            return _with_bins(split[0], evolve(length, capacity, seeds, seed=epoch * 1000 + number), capacity)
+
+        return island
 
-        best = state.groupBy("block", "island").applyInPandas(island, f"{base}, bin int, offset long, room int, island int, origin int")
+    for epoch in range(epochs):
+        best = state.groupBy("block", "island").applyInPandas(island_of(epoch), f"{base}, bin int, offset long, room int, island int, origin int")
         moves = F.explode(F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("from")), F.struct(((F.col("island") + 1) % islands).alias("to"), F.lit(1).alias("from"))))
         state = cut(best)
         if epoch < epochs - 1:
