@@ -6,7 +6,7 @@ are sorted to that depth, in passes over ever deeper digits, and a group that ca
 
 1. Digit one of a window is its anchor, the smallest hashed `gram`-byte string inside it. Equal windows have equal
    anchors at equal places, and neighbouring windows share an anchor, so one row stands for a run of windows.
-   Occurrences are dealt out by the leading digits of the anchor's hash and sorted by it; single ones drop out.
+   Occurrences are dealt out by the leading digits of a hash of the anchor and sorted by it; single ones drop out.
 2. Digit two is the hash of all bytes that the run of windows covers. Runs equal in it repeat as a whole.
 3. Runs of a shared anchor with different bytes around it go on if they share the bytes on one side of it, to the
    depth that a window needs. They are resolved window by window: the windows' own hashes are dealt out by their leading digits and sorted; equal groups are exactly the repeated windows.
@@ -174,13 +174,15 @@ def dump(rows: np.ndarray) -> bytes:
             continue
         if name in ("doc", "at"):
             column[1:] -= column[:-1].copy()
-        small.append(column.view(np.uint8).reshape(len(rows), -1).T.tobytes())
+        small.append(column.view(np.uint8).reshape(len(rows), column.itemsize).T.tobytes())
     return struct.pack("<q", len(rows)) + b"".join(plain) + zlib.compress(b"".join(small), 1)
 
 
 def load(block: bytes, kind: np.dtype) -> np.ndarray:
     (n,) = struct.unpack_from("<q", block)
     out, at = np.zeros(n, kind), 8
+    if not n:
+        return out
     plain = [x for x in kind.names if x in ("a", "s", "w", "w2")]
     for name in plain:
         out[name] = np.frombuffer(block, kind[name], n, at)
@@ -255,7 +257,8 @@ def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 19,
             mark = lone[wide][np.unique(lone["a"][wide], return_index=True)[1]]
             mark["n"] = HOT
             lone = np.concatenate([lone[~wide], mark])
-        yield from _packed("A", lone, _digit(lone["a"], parts), parts)
+        # anchors are the smallest hashes around them, so the leading digits of these are not spread; a second hash's are
+        yield from _packed("A", lone, _digit(mix(lone["a"]), parts), parts)
         repeats = _join_spans(repeats)
         yield from _packed("R", repeats, _doc_part(repeats["doc"], parts), parts)
 
