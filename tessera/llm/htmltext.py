@@ -291,11 +291,12 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Block], l
             return "".join(out)
 
         kind = rng.random()
-        inner = main()
+        bare = chance(0.2)  # no more on the page than its main part, or even one block
+        inner = f"<p>{phrase(1, 6, True, stop=0.5)}</p>" if bare and chance(0.4) else main()
         article = f"<article>{inner}</article>" if kind < 0.5 else f"<main>{inner}</main>" if kind < 0.65 else f'<div class="{pick(MAIN_NAMES)}">{inner}</div>' if kind < 0.9 else f"<div>{inner}</div>"
-        head = [f for f, p in ((menu, 0.8), (note, 0.3), (advert, 0.5), (form, 0.2)) if chance(p)]
-        top = named(("header", "header", "div"), HEAD_NAMES, f"<a href='/'>{phrase(1, 3, False, stop=0)}</a>" + (menu() if chance(0.5) else f"<p>{phrase(1, 10, False)}</p>")) if chance(0.5) else ""
-        tail = [f for f, p in ((side, 0.5), (talk, 0.4), (advert, 0.3), (form, 0.2), (note, 0.15), (menu, 0.2)) if chance(p)]
+        head = [f for f, p in ((menu, 0.8), (note, 0.3), (advert, 0.5), (form, 0.2)) if not bare and chance(p)]
+        top = named(("header", "header", "div"), HEAD_NAMES, f"<a href='/'>{phrase(1, 3, False, stop=0)}</a>" + (menu() if chance(0.5) else f"<p>{phrase(1, 10, False)}</p>")) if not bare and chance(0.5) else ""
+        tail = [f for f, p in ((side, 0.5), (talk, 0.4), (advert, 0.3), (form, 0.2), (note, 0.15), (menu, 0.2)) if not (bare and chance(0.7)) and chance(p)]
         foot = named(("footer", "footer", "div"), FOOT_NAMES, f"&copy; {phrase(1, 12, False)}" if chance(0.6) else f"<p>{phrase(2, 20, False)}</p>") if chance(0.9) else ""
         page = f"<html><head><title>x</title><style>p{{}}</style></head><body>{top}{''.join(f() for f in head)}{article}{''.join(f() for f in tail)}{foot}</body></html>"
         blocks = leaf_blocks(page[: int(len(page) * rng.uniform(0.6, 1))] if chance(0.1) else page)

@@ -10,7 +10,7 @@ each block are then ranked. Nothing reaches the driver but counts.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no part; a query has
 candidates of its own length only; ties go to the smaller id; rows with the query's own id are no candidates; rows
-that repeat another id are candidates each. Scores are exact integers and must fit 64 bits.
+that repeat another id are candidates each, and a query id that repeats is asked once, with its smallest vector. Scores are exact integers and must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
 
     spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     index = rows.withColumn("block", spread(blocks)).groupBy("dim", "block").applyInPandas(indexed, "dim int, block int, ids binary, low binary, digits array<int>, slices binary")
-    asks = rows.where("asks").withColumn("q", spread(asked)).groupBy("dim", "q").applyInPandas(packed("q"), "dim int, q int, q_ids binary, q_v binary")
+    single = rows.where("asks").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
+    asks = single.withColumn("q", spread(asked)).groupBy("dim", "q").applyInPandas(packed("q"), "dim int, q int, q_ids binary, q_v binary")
     pairs = index.join(asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["dim", "block"]).repartition("dim", "block", "q")
 
     def best(batches):

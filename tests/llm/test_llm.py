@@ -1,0 +1,452 @@
+"""Each operator against brute force or held-out truth, and its defined edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import DATA
+from tessera.llm import decontam, htmltext, langid, neardup, packing, paragraphs, quality, queries, secrets, substrings, topk
+from tessera.llm._graph import components
+from tessera.llm._text import shingles, word_hashes
+
+SF = f"{DATA}/sf0.001"
+SCHEMA = "doc_id long, text string, score double, id long, label string, spans string"
+
+
+def docs_of(spark, texts):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, 1.0, 9, "x", "y") for i, t in texts], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["ta", "ko", "mi", "re", "su", "lo", "pe"]) for _ in range(rng.randrange(2, 5))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def edge_docs(spark):
+    long = prose(random.Random(1), 30000)
+    return docs_of(spark, [(1, None), (2, ""), (3, " \n "), (4, "!!!"), (5, "one two"), (6, long), (7, long), (8, "Ünïcode ß 漢字 \U0001f600 text"), (9, "one two"), (9, "one two"), (None, "no id here")])
+
+
+def words5(t):
+    w = re.findall(r"\w+", (t or "").lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 9), (7, 7)], "a long, b long")
+    assert {r["id"]: r["label"] for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
+    assert components(edges.limit(0)).count() == 0
+
+
+# 1
+
+
+def test_decontamination(spark, texts):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    own = {r["item_id"]: words5(r["text"]) for r in bench.collect()}
+    rng = random.Random(2)
+    edited = {}
+    for i, item in enumerate(sorted(own)[:8]):
+        w = re.findall(r"\w+", next(r["text"] for r in bench.collect() if r["item_id"] == item))
+        if len(w) > 30:
+            w[15] = "changed"
+            edited[10_000 + i] = f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 40)}"
+    every = texts | edited
+    want = {(d, i) for d, t in every.items() for i, s in own.items() if len(s & words5(t)) / len(s) >= 0.8}
+    got = decontam.find(docs_of(spark, every.items()), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    parted = decontam.find(docs_of(spark, every.items()), bench, chunk=15)
+    assert {(r["doc_id"], r["item_id"]) for r in parted.collect()} == want
+    flags = docs_of(spark, every.items()).where(decontam.contains_item(F.col("text"), bench)).select("doc_id").collect()
+    assert {r["doc_id"] for r in flags} == {d for d, _ in want}
+
+
+def test_multi_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    b = decontam.Benchmark(list(range(50)), [rng.integers(1, 1 << 60, 20).astype(np.uint64) for _ in range(50)], 5, 0.8, 11)
+    for _ in range(200):
+        f = b.prints[rng.integers(50)] ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 16), replace=False)))
+        assert set(b.candidates(f).tolist()) == set(np.flatnonzero(np.bitwise_count(b.prints ^ f) <= 11).tolist())
+
+
+def test_decontamination_edges(spark):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "only four words here"), (4, "one two three four five six"), (4, "one two three four five six")], "item_id long, text string")
+    got = decontam.find(edge_docs(spark), bench)
+    assert got.count() == 0 and decontam.find(edge_docs(spark).limit(0), bench.limit(0)).count() == 0
+    assert decontam.find(docs_of(spark, [(1, "x one TWO three, four five six y")]), bench).count() == 2
+
+
+# 2
+
+
+def test_quality(spark):
+    out = queries.op2_quality(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id").where("held_out")
+    right = out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_quality_edges(spark):
+    edge = edge_docs(spark)
+    labels = spark.createDataFrame([(5, 1), (4, 0), (6, None), (99, 1), (8, 1)], "doc_id long, quality int")
+    model = quality.fit(edge, labels)
+    got = edge.select("*", quality.score(model, F.col("text")).alias("rating")).collect()
+    assert len(got) == 11 and all(0 <= r["rating"] <= 1 for r in got)
+    assert got[0]["rating"] == got[1]["rating"]
+    alone = quality.fit(edge, labels.where("quality = 1"))
+    assert {r[0] for r in edge.select(F.round(quality.score(alone, F.col("text")), 9)).collect()} == {0.3}
+    assert np.isfinite(quality.features("a" * 10)).all() and len(quality.features("")) == len(quality.FEATURES) == len(quality.features("a b"))
+
+
+# 3
+
+
+def brute_classes(texts):
+    sets = {i: words5(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(texts)
+    for k, a in enumerate(keys):
+        for b in keys[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if (x and y and len(x & y) >= 0.8 * len(x | y)) or (not x and not y and (texts[a] or "") == (texts[b] or "")):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in texts}
+
+
+def test_near_duplicates(spark, texts):
+    rng = random.Random(5)
+    more = {}
+    base = prose(rng, 120).split()
+    for i in range(40):  # near copies, some of them linked through others only
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(0, 4)):
+            w[k] = "edit" + str(rng.random())
+        more[5000 + i] = " ".join(w)
+    every = texts | more
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, every.items())).collect()}
+    assert got == brute_classes(every)
+
+
+def test_near_duplicate_edges(spark):
+    got = [(r["doc_id"], r["class_id"]) for r in neardup.classes(edge_docs(spark)).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 8), (9, 5), (9, 5)]
+    assert neardup.classes(edge_docs(spark).limit(0)).count() == 0
+
+
+def test_dart_minhash_estimates_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    x, y = rng.integers(0, 9, 300).astype(float), rng.integers(0, 9, 300).astype(float)
+    a, b = x > 0, y > 0
+    sig = neardup.dart_minhash(np.concatenate([keys[a], keys[b]]), np.concatenate([x[a], y[b]]), np.array([0, a.sum(), a.sum() + b.sum()]), 2000)
+    want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.05
+    assert not neardup.dart_minhash(keys[:0], x[:0], np.array([0, 0]), 8).any()
+
+
+# 4
+
+
+def test_passages(spark):
+    rng = random.Random(3)
+    made, planted = [], set()
+    for _ in range(20):
+        passage = prose(rng, 55)
+        for c in range(3):
+            inside = f"{prose(rng, rng.randrange(5, 60))} {passage} {prose(rng, rng.randrange(5, 60))}"
+            made.append((len(made), inside if c != 1 else f"{prose(rng, 10)}\n{passage}\n{prose(rng, 10)}"))
+            if c:
+                planted.add(len(made) - 1)
+    made += [(len(made) + i, prose(rng, 150)) for i in range(30)]
+    near = prose(rng, 40).split()
+    edit = list(near)
+    edit[3] = "edited"
+    made += [(1000, " ".join(near)), (1001, " ".join(edit)), (1002, " ".join(near))]
+    got = {r["doc_id"] for r in paragraphs.repeats(docs_of(spark, made)).collect()}
+    assert len(got & planted) >= 0.95 * len(planted)
+    assert got - planted == {1001, 1002} if len(words5(" ".join(near)) & words5(" ".join(edit))) >= 0.8 * len(words5(" ".join(near)) | words5(" ".join(edit))) else {1002}
+
+
+def test_passage_edges(spark):
+    got = [(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(edge_docs(spark)).collect()]
+    assert got == [(7, 6)]
+    assert paragraphs.repeats(edge_docs(spark).limit(0)).count() == 0
+    assert paragraphs.tune_bands(0.8, 0.995, 3) == 8
+
+
+# 5
+
+
+def brute_substrings(texts, width):
+    seen, out = set(), {}
+    for d, t in sorted(texts):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - width + 1):
+            if raw[i : i + width] in seen:
+                gone[i : i + width] = True
+            seen.add(raw[i : i + width])
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out[d] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_substrings(spark, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op5_substrings(spark, SF).collect()}
+    assert got == brute_substrings(texts.items(), 100)
+
+
+@pytest.mark.parametrize("gram,hot,flush", [(8, 512, 1 << 19), (13, 3, 200)])
+def test_substrings_small(spark, monkeypatch, gram, hot, flush):
+    rng = random.Random(1)
+    base = "".join(rng.choice("abcde") for _ in range(400))
+    made = [(i, "".join(rng.choice(["ab", "abc", "x", base[a : a + 30]]) for a in [rng.randrange(370) for _ in range(20)]) + "z" * rng.randrange(60)) for i in range(150)]
+    scan = substrings.scan_runs
+    monkeypatch.setattr(substrings, "scan_runs", lambda *a: scan(*a, flush=flush, hot=hot))
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.repeated_spans(docs_of(spark, made), width=24, gram=gram).collect()}
+    assert got == brute_substrings(made, 24)
+
+
+def test_substring_edges(spark):
+    got = {r["id"]: r["n_removed"] for r in substrings.repeated_spans(edge_docs(spark)).collect()}
+    n = len(prose(random.Random(1), 30000))
+    assert got == {None: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: n, 8: 0, 9: 0}
+    assert substrings.repeated_spans(edge_docs(spark).limit(0)).count() == 0
+    piece = substrings.PIECE
+    try:
+        substrings.PIECE = 777
+        runs = substrings.runs_of_text(b"ab" * 3000, 1, 100, 32, substrings.Hasher())
+        assert int(runs["n"].astype(int).sum()) == 6000 - 99
+    finally:
+        substrings.PIECE = piece
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(1)
+    rows = np.zeros(50, substrings.RUN)
+    for n in rows.dtype.names:
+        rows[n] = rng.integers(0, 200, 50)
+    rows["doc"] -= 100
+    back = substrings.load(substrings.dump(rows), substrings.RUN)
+    assert sorted(back.tolist()) == sorted(rows.tolist()) and len(substrings.load(substrings.dump(rows[:0]), substrings.RUN)) == 0
+
+
+# 6
+
+
+def test_topk(spark):
+    got = sorted(map(tuple, queries.op6_topk(spark, SF).collect()))
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x, ids, want = np.floor(256 * np.stack(e.embedding).astype(float)).astype(int), e.vec_id.to_numpy(), []
+    for q in ids[ids % 50 == 0]:
+        s = x @ x[np.searchsorted(ids, q)]
+        best = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        want += [(q, r + 1, ids[i], s[i]) for r, i in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_edges(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-1.0, 2.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (50, [0.0, -0.001])]
+    df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double, id int")
+    got = topk.search(df, F.col("vec_id") % 50 == 0, k=2, block_rows=2, query_rows=1)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 32768), (0, 2, 2, 32768), (50, 1, 0, 0), (50, 2, 0, 0)]
+    assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# 7
+
+
+def test_encoder_equals_the_tokenizer(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.Encoder(open(path).read(), keep=500), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    odd = ["", " ", "a  b\n\n c\t", "it's WE'LL don't", "x²½ Ⅷ 漢字  é́ \U0001f600", "<|endoftext|> <|x", "a\x0bb\x0c\x1c\x85c", "ª º µ × ÷ ſ ſ's"]
+    for part in (odd, list(texts.values())[:60], odd):
+        for t, ids in zip(part, own.encode(part), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def check_packing(rows, capacity):
+    by_sequence, by_doc = {}, {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for own in by_sequence.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return by_sequence, by_doc
+
+
+def test_packing(spark, texts):
+    rows = queries.op7_packing(spark, SF).collect()
+    sequences, by_doc = check_packing(rows, 2048)
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= -(-total // 2048) + 1 and set(by_doc) == set(texts)
+    for own in by_doc.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(len(own))) and all(n == 2048 for _, _, n in own[1:])
+        assert [s for _, s, _ in own] == [sum(n for _, _, n in own[:k]) for k in range(len(own))]
+
+
+def test_packing_islands(spark):
+    """Lengths that best-fit decreasing packs badly: islands have to run, and the parts stay whole."""
+    rng = np.random.default_rng(1)
+    length = [int(x) for x in rng.integers(20, 60, 300)]
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(length)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(rows, capacity=100, block_size=100, slack=0).collect()
+    sequences, by_doc = check_packing(out, 100)
+    assert len(out) == 300 == len(by_doc)
+    plain = packing.Packing(length, 100).put(packing.decreasing(length, range(300)))
+    assert len(sequences) <= len(plain.bins) + 2
+    better = packing.evolve(length, 100, [plain.bins], 1)
+    assert sorted(i for b in better for i in b) == list(range(300)) and len(better) <= len(plain.bins)
+
+
+def test_packing_edges(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack(packing.pieces(edge_docs(spark), path)).collect()
+    _, by_doc = check_packing(rows, 2048)
+    assert by_doc[1] == by_doc[2] == [(0, 0, 1)] and len(by_doc[9]) == 2 and None in by_doc
+    assert next(r["ids_crc32"] for r in rows if r["doc_id"] == 1) == zlib.crc32(bytes(4))
+    assert packing.pack(packing.pieces(edge_docs(spark).limit(0), path)).count() == 0
+    assert packing.cut_pieces(4096, 2048) == [(0, 2048), (2048, 2048)] and packing.cut_pieces(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+
+
+# 8
+
+
+def brute_base(t):
+    out = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_patterns(texts):
+    odd = ["PassWord = 'abc.def' api-key=zzzzzz API_KEY:\"123456\"", "token=abc token:abcdefg", "AKIA" * 4 + "ABCD xAKIA12345", "toKen=1234567 toKen=1234567", "é secret=abcdef ff" * 3, "0123456789abcdef01234567g"]
+    for t in [*texts.values(), *odd]:
+        assert secrets.scan_text(t)[0] == brute_base(t)
+
+
+def test_secret_entropy():
+    from math import log2
+
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(80))
+    want = []
+    for i in range(61):
+        c = [run[i : i + 20].count(x) / 20 for x in set(run[i : i + 20])]
+        want.append(-sum(p * log2(p) for p in c))
+    assert np.allclose(secrets.window_entropies(run, 20), want)
+    key = "Zk3vQ9xW7LmPb2RtYc8HsD4fGjN6aTeU"
+    base, every = secrets.scan_text(f"see {key} here")
+    assert base == [] and every and every[0][0] >= 4 and every[-1][2] <= 4 + len(key)
+    for fine in ("1234567890123456789012", "averyveryverylonglowercaseword", "some-long-identifier-of-many-words", "123e4567-e89b-12d3-a456-426614174000", "=" * 40):
+        assert secrets.scan_text(f"x {fine} y")[1] == []
+
+
+def test_secret_edges(spark):
+    df = docs_of(spark, [(1, None), (2, ""), (3, "\U0001f600 token=abcdefg tail"), (4, "clean")])
+    got = {r["doc_id"]: r["r"] for r in df.select("doc_id", secrets.scan(F.col("text")).alias("r")).collect()}
+    assert got[3]["spans"] == "assign:2:15" and got[1]["spans"] == got[2]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    clean = {r["doc_id"]: r["t"] for r in df.select("doc_id", secrets.redact(F.col("text")).alias("t")).collect()}
+    assert clean == {1: None, 2: "", 3: "\U0001f600 [SECRET] tail", 4: "clean"}
+    assert df.limit(0).select(secrets.scan(F.col("text"))).count() == 0
+
+
+# 9
+
+
+def test_language(spark):
+    out = queries.op9_language(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_language_edges(spark, docs):
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r["r"] for r in edge_docs(spark).select("doc_id", langid.identify(model, F.col("text")).alias("r")).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und"] * 4 and all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3, 4))
+    far = spark.createDataFrame([(1, "漢字漢字漢字漢字")], "doc_id long, text string").select(langid.identify(model, F.col("text")).alias("r")).first()["r"]
+    assert far["rejected"] and far["lang_pred"] in model.langs
+    empty = langid.fit(docs.limit(0))
+    assert edge_docs(spark).select(langid.identify(empty, F.col("text")).alias("r")).where("r.lang_pred = 'und' and r.rejected").count() == 11
+
+
+# 10
+
+
+def test_main_text_of_the_pages(spark):
+    import html as h
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op10_html(spark, SF).collect():
+        inner = re.sub(r"<[^>]*$", "", pages[r["page_id"]].split("<article>")[1].split("</article>")[0])
+        blocks = [re.sub(r"\s+", " ", h.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?p>|</?h1>", inner)]
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_crf_on_held_out_layouts():
+    model, hits, n = htmltext.default_model(), 0, 0
+    for blocks, labels in htmltext.labelled_pages(120, seed=99):
+        got = model.decode([model.emission(b, {}) for b in blocks])
+        hits, n = hits + sum(a == b for a, b in zip(got, labels, strict=True)), n + len(labels)
+    assert hits / n > 0.985
+
+
+def test_viterbi_is_the_best_labelling():
+    from itertools import product
+
+    crf, rng = htmltext.Crf({}, [[0.3, -1.0], [0.2, 0.9]], [0.5, -0.5]), random.Random(1)
+    for n in (1, 2, 6):
+        e = [rng.uniform(-2, 2) for _ in range(n)]
+        worth = lambda y, e=e: crf.start[y[0]] + sum(a * b for a, b in zip(y, e, strict=True)) + sum(crf.step[a][b] for a, b in zip(y, y[1:], strict=False))
+        assert crf.decode(e) == list(max(product((0, 1), repeat=n), key=worth))
+    assert crf.decode([]) == []
+
+
+def test_html_edges(spark):
+    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>A &lt; B</h1><p class=x>one\n two<br>three<p>four &amp five<script>if (a < b) '</p>'</script><!-- <p>no</p> --></article><div id='comments'><p>said</p></div></body>"
+    df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<article><p>cut <b"), (5, "u", "<" * 2000), (6, "u", "<p a='" + "x" * 100000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["t"] for r in df.select("page_id", htmltext.extract(F.col("html")).alias("t")).collect()}
+    assert got[1] == "A < B\none two three\nfour & five" and got[2] == got[3] == "" and got[4] == "cut" and len(got) == 6
+
+
+# shared
+
+
+def test_shingles():
+    h, at = word_hashes(["a b c d e f", "a b", "", None, "B A"])
+    s, to = shingles(h, at)
+    assert to.tolist() == [0, 2, 3, 3, 3, 4] and len(set(s.tolist())) == 4
