@@ -60,9 +60,9 @@ def vocabulary(df: DataFrame, words: Column, size: int = 10_000) -> DataFrame:
 def sequences(df: DataFrame, key: str, words: Column, vocab: DataFrame, length: int = 200) -> DataFrame:
     """(key, ids): word ids in order, cut or padded with 0 at the end."""
     long = df.select(key, F.posexplode_outer(words).alias("p", "term"))
-    ids = long.join(small(vocab), "term", "left").select(key, "p", F.when(F.col("term").isNotNull(), F.coalesce("index", F.lit(1))).alias("id"))
-    lists = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("p", "id")))).alias("x"))
-    return lists.select(key, F.slice(F.concat(F.transform("x", lambda e: e["id"].cast("int")), F.array_repeat(F.lit(0), length)), 1, length).alias("ids"))
+    ids = long.join(small(vocab), "term", "left").select(F.col(key).alias("__key"), "p", F.when(F.col("term").isNotNull(), F.coalesce("index", F.lit(1))).alias("__id"))
+    lists = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.when(F.col("__id").isNotNull(), F.struct("p", "__id")))).alias("x"))
+    return lists.select(F.col("__key").alias(key), F.slice(F.concat(F.transform("x", lambda e: e["__id"].cast("int")), F.array_repeat(F.lit(0), length)), 1, length).alias("ids"))
 
 
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, size: int, seed: int = 42) -> DataFrame:
