@@ -6,10 +6,9 @@ of lowest rank. Two documents agree on a coordinate with their weighted Jaccard
 coordinates form bands; documents that share a band meet.
 
 Within a band's bucket every member is compared with one pivot only, never with every other member. Members left over
-(buckets whose members are not yet one class) go through a second round of steeper bands, and what still is open there
-is compared pairwise where the triangle inequality of Jaccard distance, through the exact distances to the pivot,
-allows a link. Links need an exact similarity of at least `threshold`; classes are their connected components. The bands
-miss a pair at the threshold with a chance below 1e-5 (first round) and 2e-5 (second round).
+(buckets whose members are not yet one class) go through a second round of steeper bands. What still is open there is
+compared exactly in blocks, of which links alone come out. Links need an exact similarity of at least `threshold`;
+classes are their connected components. The bands miss a pair at the threshold with a chance below 1e-5 in either round.
 
 Scale: documents with equal shingle sets are collapsed first by a pre-aggregated group-by, so large groups of copies
 weigh as one. Signatures are made where the text lies. Band rows are 16 bytes of payload, grouped with partial
@@ -37,6 +36,8 @@ from ._text import groups, mix, seeded, shingles, word_hashes
 #: Chances of at most 0, 1, 2, ... darts in a block of area one.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
 _UNIT32 = 2.0**-32
+#: Documents of a block, and of a block of asked documents, in the last comparison.
+BLOCK_ROWS, BLOCK_ASKED = 256, 64
 
 
 def weighted_sets(h: np.ndarray, at: np.ndarray, count_weights: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ def dart_minhash(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int,
     doc = np.repeat(np.arange(docs), np.diff(at))
     norm = np.bincount(doc, weights, minlength=docs)
     sig = np.zeros((docs, k), np.uint64)
-    reach = np.divide(k * log(k + 1) + 3 * k, norm, out=np.zeros(docs), where=norm > 0)
+    reach = np.divide(k * log(k + 1) + 2 * k, norm, out=np.zeros(docs), where=norm > 0)
     open_docs = norm > 0
     base = seeded(seed, keys)
     while open_docs.any():
@@ -88,7 +89,7 @@ def dart_minhash(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int,
             ids.append(dart[hit])
             low, width, strip = (1.0, 1.0, 1) if strip == 0 else (low * 2, width * 2, strip + 1)
         slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(ids)
-        order = np.lexsort((dart, rank))[::-1]  # the earliest dart of a coordinate is written last
+        order = np.argsort(-rank, kind="stable")  # the earliest dart of a coordinate is written last
         flat = np.zeros(docs * k, np.uint64)
         got = np.zeros(docs * k, bool)
         flat[slot[order]] = dart[order]
@@ -127,7 +128,8 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
                 f1, f2 = _set_prints(seeded(11, h) + (w - 1).astype(np.uint64), at)
                 for x in np.flatnonzero(size == 0):
                     f1[x], f2[x] = pd.util.hash_array(np.array([part[x] or "", (part[x] or "") + " "], object))
-                keys = band_keys(dart_minhash(h, w, at, bands * rows, seed), bands, rows, seed)
+                sig = dart_minhash(h, w, at, bands * rows, seed)
+                keys = band_keys(sig, bands, rows, seed)
                 yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "size": size.astype(np.int32), "bands": list(keys.view(np.int64))})
 
     kind = docs.schema[key].dataType.simpleString()
@@ -171,7 +173,66 @@ def _round(members: DataFrame, texts: DataFrame, measure, seed: int) -> tuple[Da
     return met, _links(pairs, texts, measure)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (96, 10)), count_weights: bool = False) -> DataFrame:
+def _open_links(left: DataFrame, label: DataFrame, source: DataFrame, n: int, threshold: float, count_weights: bool) -> DataFrame:
+    """(a, b, s): links that buckets of several classes still allow.
+
+    In such a bucket the members outside its largest class are asked against all of that class and against each other:
+    the asked ones of a class form blocks, its members and the asked ones form blocks, and each block of the first kind
+    meets each of the second in a row of its own. Shingle sets are compared inside a task, and links alone come out, for
+    each asked document at most one to each class.
+    """
+    kind = source.schema["id"].dataType.simpleString()
+    most = left.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "label")).alias("m")).select("k", F.col("m.label").alias("home"))
+    asked = left.select("k", "id", "label").join(most, "k").where("label != home").select("home", "id", "label").distinct()
+    homes = asked.select("home").distinct()
+    inside = label.join(homes, label["label"] == homes["home"]).select("home", "id", "label").unionByName(homes.select("home", F.col("home").alias("id"), F.col("home").alias("label")))
+    both = asked.withColumn("asks", F.lit(1)).unionByName(inside.withColumn("asks", F.lit(0)))
+    every = both.groupBy("home", "id", "label").agg(F.max("asks").alias("asks"))
+    rows = cut(every.withColumn("kind", F.explode(F.when(F.col("asks") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("home", "id", "label", "kind"))
+    size = F.ceil(F.count("*") / F.when(F.col("kind") == 1, BLOCK_ASKED).otherwise(BLOCK_ROWS)).cast("int")
+    sizes = rows.groupBy("home", "kind").agg(size.alias("parts"))
+    placed = rows.join(sizes, ["home", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        h, w, at = weighted_sets(*shingles(*word_hashes(block["t"].tolist()), n), count_weights)
+        return pd.DataFrame({"home": block["home"].iloc[:1].to_numpy(), "kind": block["kind"].iloc[:1].to_numpy(), "part": block["part"].iloc[:1].to_numpy(), "ids": [block["id"].tolist()], "labels": [block["label"].tolist()], "h": [h.tobytes()], "w": [w.astype("<f4").tobytes()], "at": [at.astype("<i8").tobytes()]})
+
+    packed = cut(placed.drop("parts").join(source, "id").groupBy("home", "kind", "part").applyInPandas(pack, f"home {kind}, kind int, part int, ids array<{kind}>, labels array<{kind}>, h binary, w binary, at binary"))
+    blocks = packed.where("kind = 0").drop("kind")
+    counts = sizes.where("kind = 0").select("home", "parts")
+    asks = packed.where("kind = 1").join(counts, "home").withColumn("x_part", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = asks.select("home", "part", "x_part", *[F.col(c).alias(f"x_{c}") for c in ("ids", "labels", "h", "w", "at")])
+
+    def compare(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                h, w, at = np.frombuffer(r.h, np.uint64), np.frombuffer(r.w, "<f4"), np.frombuffer(r.at, "<i8")
+                xh, xw, xat = np.frombuffer(r.x_h, np.uint64), np.frombuffer(r.x_w, "<f4"), np.frombuffer(r.x_at, "<i8")
+                ids, labels = list(r.ids), list(r.labels)
+                order = np.argsort(h, kind="stable")
+                doc = np.repeat(np.arange(len(ids)), np.diff(at))[order]
+                sorted_h, sorted_w = h[order], w[order]
+                total = np.bincount(doc, sorted_w, minlength=len(ids))
+                out = []
+                for i, (x, own) in enumerate(zip(r.x_ids, r.x_labels, strict=True)):
+                    keys, weights = xh[xat[i] : xat[i + 1]], xw[xat[i] : xat[i + 1]]
+                    low, high = np.searchsorted(sorted_h, keys, "left"), np.searchsorted(sorted_h, keys, "right")
+                    n_hits = high - low
+                    at_hits = np.repeat(low - np.cumsum(n_hits) + n_hits, n_hits) + np.arange(n_hits.sum())
+                    common = np.bincount(doc[at_hits], np.minimum(sorted_w[at_hits], np.repeat(weights, n_hits)), minlength=len(ids))
+                    s = common / np.maximum(total + weights.sum() - common, 1e-12)
+                    linked = {own}
+                    for j in np.flatnonzero(s >= threshold):
+                        if labels[j] not in linked:
+                            linked.add(labels[j])
+                            out.append((x, ids[j], float(s[j])))
+                yield pd.DataFrame(out, columns=["a", "b", "s"])
+
+    pairs = blocks.join(asks, ["home", "part"]).repartition("home", "part", "x_part")
+    return cut(pairs.mapInPandas(compare, f"a {kind}, b {kind}, s double"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> DataFrame:
     """One row for each document: its key, class_id (the class's smallest key), and links (verified links between its
     shingle set and different ones)."""
     (bands, rows), *steeper = rounds
@@ -195,11 +256,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
             ids = left.select("id").distinct()
             members = cut(signatures(source.join(ids, "id"), "id", "t", n, bands, rows, count_weights, turn + 2)).select("id", "bands").dropDuplicates(["id"])
             continue
-        # members of one bucket and different classes, as far as their distances to the pivot allow a link
-        far = left.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("s")).alias("d")), ["pivot", "id"]).select("k", "id", "label", "d")
-        x, y = far.select("k", F.col("id").alias("a"), F.col("label").alias("la"), F.col("d").alias("da")), far.select("k", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-        open_pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9)).select("a", "b").distinct()
-        found.append(_links(open_pairs, source, measure))
+        found.append(_open_links(left, label, source, n, threshold, count_weights))
         label = components(reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select("a", "b") for x in found]))
     links = reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
