@@ -93,7 +93,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
             rows = [(y, h, v.tobytes()) for t, y, h in zip(b["t"], b["y"], b["h"], strict=True) if (v := ngram_counts(t, dims)) is not None]
             yield pd.DataFrame(rows, columns=["y", "h", "v"])
 
-    rows = sorted(((r["y"], r["h"], bytes(r["v"])) for r in picked.mapInPandas(vectors, "y string, h long, v binary").toLocalIterator()))
+    rows = sorted(((r["y"], r["h"], bytes(r["v"])) for r in picked.mapInPandas(vectors, "y string, h long, v binary").collect()))
     by_lang: dict[str, list[np.ndarray]] = {}
     for y, _, v in rows:
         own = by_lang.setdefault(y, [])

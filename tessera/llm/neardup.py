@@ -21,6 +21,7 @@ a null key are left out. Only key and text are read, so names of other columns c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import log
 
@@ -173,15 +174,15 @@ def _round(members: DataFrame, texts: DataFrame, measure, seed: int) -> tuple[Da
     return met, _links(pairs, texts, measure)
 
 
-def _open_links(left: DataFrame, label: DataFrame, source: DataFrame, n: int, threshold: float, count_weights: bool) -> DataFrame:
-    """(a, b, s): links that buckets of several classes still allow.
+def open_links(left: DataFrame, label: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: float, count_weights: bool) -> DataFrame:
+    """(a, b, s): links that buckets of several classes, `left` (k, id, label), still allow; texts_of gives (id, t) of ids.
 
     In such a bucket the members outside its largest class are asked against all of that class and against each other:
     the asked ones of a class form blocks, its members and the asked ones form blocks, and each block of the first kind
     meets each of the second in a row of its own. Shingle sets are compared inside a task, and links alone come out, for
     each asked document at most one to each class.
     """
-    kind = source.schema["id"].dataType.simpleString()
+    kind = left.schema["id"].dataType.simpleString()
     most = left.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "label")).alias("m")).select("k", F.col("m.label").alias("home"))
     asked = left.select("k", "id", "label").join(most, "k").where("label != home").select("home", "id", "label").distinct()
     homes = asked.select("home").distinct()
@@ -197,7 +198,7 @@ def _open_links(left: DataFrame, label: DataFrame, source: DataFrame, n: int, th
         h, w, at = weighted_sets(*shingles(*word_hashes(block["t"].tolist()), n), count_weights)
         return pd.DataFrame({"home": block["home"].iloc[:1].to_numpy(), "kind": block["kind"].iloc[:1].to_numpy(), "part": block["part"].iloc[:1].to_numpy(), "ids": [block["id"].tolist()], "labels": [block["label"].tolist()], "h": [h.tobytes()], "w": [w.astype("<f4").tobytes()], "at": [at.astype("<i8").tobytes()]})
 
-    packed = cut(placed.drop("parts").join(source, "id").groupBy("home", "kind", "part").applyInPandas(pack, f"home {kind}, kind int, part int, ids array<{kind}>, labels array<{kind}>, h binary, w binary, at binary"))
+    packed = cut(placed.drop("parts").join(texts_of(rows.select("id").distinct()), "id").groupBy("home", "kind", "part").applyInPandas(pack, f"home {kind}, kind int, part int, ids array<{kind}>, labels array<{kind}>, h binary, w binary, at binary"))
     blocks = packed.where("kind = 0").drop("kind")
     counts = sizes.where("kind = 0").select("home", "parts")
     asks = packed.where("kind = 1").join(counts, "home").withColumn("x_part", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -256,7 +257,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
             ids = left.select("id").distinct()
             members = cut(signatures(source.join(ids, "id"), "id", "t", n, bands, rows, count_weights, turn + 2)).select("id", "bands").dropDuplicates(["id"])
             continue
-        found.append(_open_links(left, label, source, n, threshold, count_weights))
+        found.append(open_links(left, label, lambda _: source, n, threshold, count_weights))
         label = components(reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select("a", "b") for x in found]))
     links = reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
