@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, neardup, packing, secrets
-from tessera.llm._spark import fresh_dir
+from tessera.llm._spark import fresh_dir, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents far from every known language, or without a letter, go; a missing lang is filled in."""
+    small_batches(spark)
     model = langid.fit(docs)
     read = docs.select(*docs.columns, langid.identify(model, F.col("text")).alias("__language")).where(~F.col("__language.rejected"))
     return read.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
@@ -22,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays; of rows that repeat an id, one."""
+    small_batches(spark)
     gone = neardup.classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("class_id != doc_id or n > 1")
     joined = docs.join(gone.withColumnsRenamed({"doc_id": "__id", "class_id": "__class", "n": "__n"}), F.col("doc_id") == F.col("__id"), "left")
     once = joined.where(F.col("__id").isNull()).select(*docs.columns)
@@ -31,11 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    small_batches(spark)
     return docs.where(~decontam.contains_item(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows the text."""
+    small_batches(spark)
     clean = docs.withColumn("__clean", secrets.redact(F.col("text")))
     moved = F.col("__clean").isNotNull() & (F.col("__clean") != F.col("text"))
     return clean.withColumn("n_chars", F.when(moved, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", F.col("__clean")).select(*docs.columns)
@@ -43,6 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: one row for each piece of a document, with its sequence and place."""
+    small_batches(spark)
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

@@ -35,5 +35,18 @@ def crc_mod(column, n: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
 
 
+#: Rows and bytes of an Arrow batch; whole texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get, unless the session asks for smaller ones."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name, "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

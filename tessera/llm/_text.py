@@ -39,7 +39,7 @@ def hash_words(tokens: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(tokens, dtype=object), categorize=True)
 
 
-def groups(texts, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def groups(texts, limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch holding about `limit` characters each, so that the arrays made from them stay small."""
     start, size = 0, 0
     for i, t in enumerate(texts):
