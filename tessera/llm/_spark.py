@@ -42,8 +42,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that Python workers get, unless the session asks for smaller ones."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(name, "0"))
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or int(now) > most:
             spark.conf.set(name, str(most))
 
 
