@@ -4,7 +4,8 @@ Patterns (kinds `assign`, `access`, `hex`) are found leftmost and non-overlappin
 method looks at candidate strings (long runs of token characters) and at the runs of each character class inside
 them; a window of fixed length slides along a run, its entropy kept up to date by adding the entering and removing the
 leaving character. Windows over the class's threshold are joined into spans of kind `entropy_<class>`, unless the
-allow-list knows the candidate or a pattern's span already covers part of it.
+allow-list knows the candidate or a pattern's span already covers part of it. Each class is asked over the whole
+candidate, so spans of different classes may overlap; `redact` takes their union.
 
 Each text is scanned once where it lies: no shuffle, and memory for one batch. Spans are code points, end exclusive.
 Defined cases: a null text is empty and has no spans; equal texts have equal spans; other columns are untouched,
@@ -93,19 +94,19 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], config: ScanConfi
     for m in CANDIDATE.finditer(text):
         if allow.fullmatch(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        own: list[tuple[int, int, int]] = []
         for c in config.classes:
+            own: list[tuple[int, int, int]] = []
             for r in re.finditer(c.run, m[0]):
                 if r.end() - r.start() < c.window or allow.fullmatch(r[0]):
                     continue
                 hot = [i for i, e in enumerate(window_entropies(r[0], c.window)) if e >= c.bits and not allow.fullmatch(r[0][i : i + c.window])]
                 for i in hot:
                     s, e = m.start() + r.start() + i, m.start() + r.start() + i + c.window
-                    if own and own[-1][1] == KINDS.index(c.kind) and s <= own[-1][2]:
+                    if own and s <= own[-1][2]:
                         own[-1] = (own[-1][0], own[-1][1], e)
-                    elif not any(x[1] != KINDS.index(c.kind) and x[0] < e and s < x[2] for x in own):
+                    else:
                         own.append((s, KINDS.index(c.kind), e))
-        found += own
+            found += own
     return found
 
 

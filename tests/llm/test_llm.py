@@ -377,6 +377,19 @@ def test_secret_entropy():
         assert secrets.scan_text(f"x {fine} y")[1] == []
 
 
+def covered(text):
+    return {i for s, _, e in secrets.scan_text(text)[1] for i in range(s, e)}
+
+
+def test_secret_classes_do_not_hide_each_other():
+    key = "Zk3pQ9vL2xTn8RwB5yHs7/Dm4Kc6+Jf1Gt0UaEq"
+    assert ("entropy_base64", 4, 4 + len(key)) in [(secrets.KINDS[k], s, e) for s, k, e in secrets.scan_text(f"see {key} here")[1]]
+    assert covered(f"see {key} here") == set(range(4, 4 + len(key)))
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(300)]
+    assert sum(len(covered(f"see {k} here")) > 30 for k in keys) >= 0.97 * len(keys)
+
+
 def test_secret_edges(spark):
     df = docs_of(spark, [(1, None), (2, ""), (3, "\U0001f600 token=abcdefg tail"), (4, "clean")])
     got = {r["doc_id"]: r["r"] for r in df.select("doc_id", secrets.scan(F.col("text")).alias("r")).collect()}
