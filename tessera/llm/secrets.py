@@ -4,8 +4,8 @@ Patterns (kinds `assign`, `access`, `hex`) are found leftmost and non-overlappin
 method looks at candidate strings (long runs of token characters) and at the runs of each character class inside
 them; a window of fixed length slides along a run, its entropy kept up to date by adding the entering and removing the
 leaving character. Windows over the class's threshold are joined into spans of kind `entropy_<class>`, unless the
-allow-list knows the candidate or a pattern's span already covers part of it. Each class is asked over the whole
-candidate, so spans of different classes may overlap; `redact` takes their union.
+allow-list knows the candidate. What a pattern's span covers of a candidate is left out, and each class is asked over
+all the rest, so spans of different classes may overlap; `redact` takes their union.
 
 Each text is scanned once where it lies: no shuffle, and memory for one batch. Spans are code points, end exclusive.
 Defined cases: a null text is empty and has no spans; equal texts have equal spans; other columns are untouched,
@@ -48,18 +48,31 @@ class ScanConfig:
         EntropyClass("entropy_alnum", r"[0-9A-Za-z]+", 20, 3.7),
         EntropyClass("entropy_base64", r"[0-9A-Za-z+/_=-]+", 24, 4.0),
     )
-    # What never counts as a secret by its entropy alone.
+    # What never counts as a secret by its entropy alone, besides what `like_words` takes for words.
     allow: tuple[str, ...] = field(
         default=(
             r"[0-9]+",  # numbers
-            r"[A-Za-z]?[a-z]+|[A-Z]+",  # one word in one case
-            r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",  # words joined by a sign: identifiers, paths
             r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",  # UUIDs
             r"[-=_+/]+",  # rules and fillers
         )
     )
 
 
+#: Letters alone, in words joined by a sign: identifiers, paths; the pieces that their cases make; a long run of consonants.
+LETTERS = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*")
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{7}", re.IGNORECASE)
+
+
+def like_words(s: str) -> bool:
+    """Letters that read as words: cases change inside a word at most once in five letters, and vowels are spread among them."""
+    if not LETTERS.fullmatch(s):
+        return False
+    joints = len(re.findall("[-_/]", s))
+    letters = len(s) - joints
+    return (len(PIECE.findall(s)) - 1 - joints) * 5 <= letters and sum(c in "aeiouyAEIOUY" for c in s) * 4 >= letters and not CONSONANTS.search(s)
+
+
 def window_entropies(run: str, window: int) -> list[float]:
     """Shannon entropy, in bits, of each window of a run; the sum of c log2 c changes by the two characters that move."""
     part = [0.0] + [c * log2(c) for c in range(1, window + 1)]
@@ -88,25 +101,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no span of `base`, sorted by start, covers."""
+    parts = []
+    for s, _, e in base:
+        if e <= start or s >= end:
+            continue
+        if s > start:
+            parts.append((start, s))
+        start = e
+    return [*parts, (start, end)] if start < end else parts
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], config: ScanConfig) -> list[tuple[int, int, int]]:
     allow = re.compile("|".join(f"(?:{a})" for a in config.allow))
+    allowed = lambda s: allow.fullmatch(s) or like_words(s.strip("-_/=+"))
     found = []
     for m in CANDIDATE.finditer(text):
-        if allow.fullmatch(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if allowed(m[0]):
             continue
-        for c in config.classes:
-            own: list[tuple[int, int, int]] = []
-            for r in re.finditer(c.run, m[0]):
-                if r.end() - r.start() < c.window or allow.fullmatch(r[0]):
-                    continue
-                hot = [i for i, e in enumerate(window_entropies(r[0], c.window)) if e >= c.bits and not allow.fullmatch(r[0][i : i + c.window])]
-                for i in hot:
-                    s, e = m.start() + r.start() + i, m.start() + r.start() + i + c.window
-                    if own and s <= own[-1][2]:
-                        own[-1] = (own[-1][0], own[-1][1], e)
-                    else:
-                        own.append((s, KINDS.index(c.kind), e))
-            found += own
+        for start, end in outside(m.start(), m.end(), base):
+            part = text[start:end]
+            if allowed(part):
+                continue
+            for c in config.classes:
+                own: list[tuple[int, int, int]] = []
+                for r in re.finditer(c.run, part):
+                    if r.end() - r.start() < c.window or allowed(r[0]):
+                        continue
+                    hot = [i for i, e in enumerate(window_entropies(r[0], c.window)) if e >= c.bits and not allowed(r[0][i : i + c.window])]
+                    for i in hot:
+                        s, e = start + r.start() + i, start + r.start() + i + c.window
+                        if own and s <= own[-1][2]:
+                            own[-1] = (own[-1][0], own[-1][1], e)
+                        else:
+                            own.append((s, KINDS.index(c.kind), e))
+                found += own
     return found
 
 
