@@ -1,12 +1,16 @@
-"""Repeated paragraphs and passages: MinHash banding over paragraphs, exact verification, removal by components.
+"""Repeated paragraphs and passages: MinHash banding over lines, exact windows inside them, removal by components.
 
-A line of `min_words` to `long_words` words is a paragraph. Longer lines are cut after words whose hash is
-the least for some words around, so that a passage inside a line is cut alike wherever it stands; such segments meet by their exact words only.
+A line of at least `min_words` words is a paragraph, whatever its length.
 Paragraphs meet when they share a band of MinHash rows; `tune_bands` takes the fewest bands that reach the wanted recall
 at the threshold. As in any bucket a member is compared with one pivot, a group of copies makes links in its own number
 only; buckets that then still hold several classes are compared exactly in blocks, of which links alone come out. A pair is verified by exact Jaccard similarity of its word shingles. In each component of
-verified links the first paragraph stays (smallest document id, then first place) and the others go. A document's
-neighbouring repeated units are joined into passages, and passages under `min_passage` words are left alone.
+verified links the first paragraph stays (smallest document id, then first place) and the others go.
+
+Passages that stand inside lines, or go over line breaks, are found by exact windows over all words of a document. Of each
+SPAN neighbouring windows the one with the least hash is dealt out (winnowing), so every passage of `min_passage` words has
+one, and the same one wherever it stands. The first place of a window stays. A window carries prints of the words
+around it, so it grows to the whole of what it shares with the first place. A document's
+neighbouring repeated units and windows are joined into passages, and passages under `min_passage` words are left alone.
 
 Scale: a unit that the task has met before costs one row, not one for each band. Band rows are dealt once by their key, and
 both the grouping and the join use that one exchange. Texts of documents with near, not equal, pairs are joined alone.
@@ -16,7 +20,6 @@ Defined cases: null and empty texts have no units; rows that repeat an id are on
 
 from __future__ import annotations
 
-from itertools import pairwise
 from math import ceil, log
 
 import numpy as np
@@ -31,6 +34,10 @@ from .neardup import jaccard, open_links
 
 #: Unit ids are id * UNITS + number.
 UNITS = 1 << 26
+#: Numbers of windows are WINDOWS + first word.
+WINDOWS = 1 << 25
+#: Neighbouring windows of which one at least is dealt out; a window has SPAN - 1 words less than a passage.
+SPAN = 4
 #: Prints of units that a task remembers.
 SEEN = 500_000
 
@@ -40,42 +47,53 @@ def tune_bands(threshold: float, recall: float, rows: int) -> int:
     return ceil(log(1 - recall) / log(1 - threshold**rows))
 
 
-def _minima(x: np.ndarray, reach: int) -> np.ndarray:
-    """Places whose value is the least among the `reach` places on either side; what lies further off has no influence."""
-    around = np.lib.stride_tricks.sliding_window_view(x, 2 * reach + 1)
-    mid = around[:, reach]
-    return np.flatnonzero((around[:, :reach].min(1) > mid) & (around[:, reach + 1 :].min(1) >= mid)) + reach
-
-
-def units(text: str | None, min_words: int, long_words: int, reach: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int, bool]]]:
-    """The word hashes, and (first word, end word, start, end, is a segment) of each paragraph and segment."""
+def units(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The word hashes, the words' starts and ends, and (first word, end word) of each paragraph."""
     found = list(WORD.finditer(text or ""))
     h = hash_words([m[0].lower() for m in found])
-    out = []
+    starts, ends = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
     if not found:
-        return h, h, out
-    starts = np.array([m.start() for m in found])
+        return h, starts, ends, []
     breaks = np.array([i for i, c in enumerate(text) if c == "\n"], np.int64) if "\n" in text else np.zeros(0, np.int64)
     line = np.searchsorted(breaks, starts)
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    mixed = mix(h)
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(found)], strict=True):
-        if b - a <= long_words:
-            if b - a >= min_words:
-                out.append((a, b, found[a].start(), found[b - 1].end(), False))
-            continue
-        for x, y in pairwise([a, *(_minima(mixed[a:b], reach) + a + 1).tolist(), b]):
-            if y - x >= min_words:
-                out.append((x, y, found[x].start(), found[y - 1].end(), True))
-    return h, starts, out
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])).tolist()
+    out = [(a, b) for a, b in zip(first, [*first[1:], len(found)], strict=True) if b - a >= min_words]
+    return h, starts, ends, out
+
+
+def windows(h: np.ndarray, at: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in h, hash, prints of the words before, after) of the windows of `gram` words that are the least of `span` neighbours."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    n = len(h) - gram - span + 2  # runs of `span` windows
+    if n <= 0:
+        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3)))
+    # the window's words as digits of a number modulo 2**64; the base's inverse takes the place out
+    base = 0x9E3779B97F4A7C15
+    power = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, x, np.uint64)]), dtype=np.uint64)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(seeded(3, h) * power(base), dtype=np.uint64)])
+    g = mix((total[gram:] - total[:-gram]) * power(pow(base, -1, 1 << 64))[: len(h) - gram + 1])
+    whole = np.flatnonzero(doc[:n] == doc[gram + span - 2 :])
+    place = np.unique(whole + np.lib.stride_tricks.sliding_window_view(g, span)[whole].argmin(1))
+    # 63 // (span - 1) bits of each word around, the nearest lowest; 0 where the document ends
+    bits = np.uint64(63 // max(1, span - 1))
+    word = np.maximum(seeded(4, h) & np.uint64((1 << int(bits)) - 1), np.uint64(1))
+    around = []
+    for step, edge in ((-1, place), (1, place + gram - 1)):
+        sides = np.zeros(len(place), np.uint64)
+        for k in range(1, span):
+            to = np.clip(edge + step * k, 0, len(h) - 1)
+            sides |= np.where((edge + step * k == to) & (doc[to] == doc[place]), word[to], np.uint64(0)) << (bits * np.uint64(k - 1))
+        around.append(sides)
+    return place, seeded(992, g[place]), *around
 
 
 def _unit_id(doc, number):
     return (F.col(doc).cast("decimal(20,0)") * F.lit(UNITS) + F.col(number)).cast("decimal(30,0)")
 
 
-def band_rows(docs: DataFrame, bands: int, rows: int, n: int, min_words: int, long_words: int, reach: int) -> DataFrame:
-    """(k, doc, number, p1, p2) of each unit and key; p1 and p2 print its words."""
+def band_rows(docs: DataFrame, bands: int, rows: int, n: int, min_words: int, gram: int, span: int) -> DataFrame:
+    """(k, doc, number, p1, p2) of each unit and key, p1 and p2 printing its words; and of each window, with its place from
+    WINDOWS on as number, p1 and p2 printing the words before and after."""
 
     def made(batches):
         seen: set[tuple[int, int]] = set()
@@ -84,55 +102,69 @@ def band_rows(docs: DataFrame, bands: int, rows: int, n: int, min_words: int, lo
             for i, j in groups(texts):
                 if len(seen) > SEEN:
                     seen.clear()
-                hashes, at, who = [], [0], []
-                for doc, t in zip(b["id"].iloc[i:j].tolist(), texts[i:j], strict=True):
-                    h, _, own = units(t, min_words, long_words, reach)
-                    for number, (x, y, _, _, part) in enumerate(own):
+                hashes, at, who, whole = [], [0], [], []
+                ids = b["id"].iloc[i:j].to_numpy()
+                for doc, t in zip(ids.tolist(), texts[i:j], strict=True):
+                    h, _, _, own = units(t, min_words)
+                    whole.append(h)
+                    for number, (x, y) in enumerate(own):
                         hashes.append(h[x:y])
                         at.append(at[-1] + y - x)
-                        who.append((doc, number, part))
-                if not who:
-                    continue
-                h, at = np.concatenate(hashes), np.array(at)
-                length = np.diff(at)
-                place = (np.arange(len(h)) - np.repeat(at[:-1], length)).astype(np.uint64)
-                add = lambda x, at=at: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[at])
-                p1, p2 = mix(add(seeded(1, h + mix(place)))), mix(add(seeded(2, h + mix(place))))
-                doc, number, part = (np.array(x) for x in zip(*who, strict=True))
-                # every unit meets its equals; of equal lines in a task the first alone stands in the bands
-                fresh = np.array([(key not in seen and not seen.add(key)) for key in zip(p1.tolist(), p2.tolist(), strict=True)])
-                lines = np.flatnonzero(~part & fresh)
-                out = [(seeded(991, p1), doc, number, p1, p2)]
-                if len(lines):
-                    s, to = shingles(np.concatenate([hashes[x] for x in lines]), np.concatenate([[0], np.cumsum(length[lines])]), n)
-                    # MinHash: the least of each seeded hash over the line's shingles
-                    sig = np.stack([np.minimum.reduceat(seeded(100 + r, s), to[:-1]) for r in range(bands * rows)], 1)
-                    for k in range(bands):
-                        key = seeded(7 + k, sig[:, k * rows])
-                        for r in range(1, rows):
-                            key = mix(key * np.uint64(31) + sig[:, k * rows + r])
-                        out.append((key, doc[lines], number[lines], p1[lines], p2[lines]))
+                        who.append((doc, number))
+                ends = np.cumsum([0, *(len(h) for h in whole)])
+                place, k, before, after = windows(np.concatenate(whole), ends, gram, span)
+                of = np.searchsorted(ends, place, side="right") - 1
+                out = [(k, ids[of], WINDOWS + place - ends[of], before, after)]
+                if who:
+                    h, at = np.concatenate(hashes), np.array(at)
+                    length = np.diff(at)
+                    place = (np.arange(len(h)) - np.repeat(at[:-1], length)).astype(np.uint64)
+                    add = lambda x, at=at: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[at])
+                    p1, p2 = mix(add(seeded(1, h + mix(place)))), mix(add(seeded(2, h + mix(place))))
+                    doc, number = (np.array(x) for x in zip(*who, strict=True))
+                    # every unit meets its equals; of equal lines in a task the first alone stands in the bands
+                    fresh = np.array([(key not in seen and not seen.add(key)) for key in zip(p1.tolist(), p2.tolist(), strict=True)])
+                    lines = np.flatnonzero(fresh)
+                    out.append((seeded(991, p1), doc, number, p1, p2))
+                    if len(lines):
+                        s, to = shingles(np.concatenate([hashes[x] for x in lines]), np.concatenate([[0], np.cumsum(length[lines])]), n)
+                        # MinHash: the least of each seeded hash over the line's shingles
+                        sig = np.stack([np.minimum.reduceat(seeded(100 + r, s), to[:-1]) for r in range(bands * rows)], 1)
+                        for k in range(bands):
+                            key = seeded(7 + k, sig[:, k * rows])
+                            for r in range(1, rows):
+                                key = mix(key * np.uint64(31) + sig[:, k * rows + r])
+                            out.append((key, doc[lines], number[lines], p1[lines], p2[lines]))
                 k, doc, number, p1, p2 = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"k": k.view(np.int64), "doc": doc, "number": number.astype(np.int32), "p1": p1.view(np.int64), "p2": p2.view(np.int64)})
 
     return docs.mapInPandas(made, "k long, doc long, number int, p1 long, p2 long")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.995, min_words: int = 6, long_words: int = 48, reach: int = 5, min_passage: int = 16) -> DataFrame:
+def _shared(left: str, right: str, span: int):
+    """How many of the words around two windows are the same, from the nearest on."""
+    bits = 63 // max(1, span - 1)
+    unlike = F.col(left).bitwiseXOR(F.col(right))
+    return sum((unlike.bitwiseAND(F.lit((1 << bits * k) - 1)) == 0).cast("int") for k in range(1, span)) + F.lit(0)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.995, min_words: int = 6, min_passage: int = 16) -> DataFrame:
     """One row for each removed passage: doc_id, start, end (code points), n_words, kept_doc_id, class_id.
 
-    class_id is the id of the kept unit that the passage's first unit repeats; kept_doc_id is that unit's document.
+    class_id is the id of the kept unit or window that the passage's first one repeats; kept_doc_id is its document.
     """
+    span = max(1, min(SPAN, min_passage))
+    gram = max(1, min_passage - span + 1)
     spark = docs.sparkSession
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     bands = tune_bands(threshold, recall, rows)
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
-    dealt = band_rows(source, bands, rows, n, min_words, long_words, reach).repartition(parts, "k")
+    dealt = band_rows(source, bands, rows, n, min_words, gram, span).repartition(parts, "k")
     unit = F.struct("doc", "number", "p1", "p2")
     shared = dealt.groupBy("k").agg(F.min(unit).alias("v"), F.max(unit).alias("top")).where("v != top").select("k", "v")
     met = cut(dealt.join(shared, "k").where((F.col("doc") != F.col("v.doc")) | (F.col("number") != F.col("v.number"))).select("k", "doc", "number", "p1", "p2", "v"))
-    named = met.select("k", _unit_id("doc", "number").alias("b"), _unit_id("v.doc", "v.number").alias("a"), "doc", "number", F.col("v.doc").alias("adoc"), F.col("v.number").alias("anumber"), ((F.col("p1") == F.col("v.p1")) & (F.col("p2") == F.col("v.p2"))).alias("same"))
+    named = met.where(F.col("number") < WINDOWS).select("k", _unit_id("doc", "number").alias("b"), _unit_id("v.doc", "v.number").alias("a"), "doc", "number", F.col("v.doc").alias("adoc"), F.col("v.number").alias("anumber"), ((F.col("p1") == F.col("v.p1")) & (F.col("p2") == F.col("v.p2"))).alias("same"))
     equal = named.where("same").select("a", "b").distinct()
     near = cut(named.where("not same").select("a", "b", "doc", "number", "adoc", "anumber").distinct())
 
@@ -146,8 +178,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         def parts_of(texts: pd.Series, numbers: pd.Series) -> pd.Series:
             out = []
             for t, own in zip(texts, numbers, strict=True):
-                found = units(t, min_words, long_words, reach)[2]
-                out.append([t[found[k][2] : found[k][3]] if k < len(found) else "" for k in own])
+                _, starts, ends, found = units(t, min_words)
+                out.append([t[starts[found[k][0]] : ends[found[k][1] - 1]] if k < len(found) else "" for k in own])
             return pd.Series(out)
 
         got = source.join(by_doc, source["id"] == by_doc["doc"]).select("doc", "numbers", parts_of("t", "numbers").alias("ts"))
@@ -172,25 +204,40 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
             split = [F.floor(F.col("id") / UNITS).cast("long").alias("doc"), F.pmod(F.col("id"), F.lit(UNITS)).cast("int").alias("number")]
             compared = compared.unionByName(open_links(left, label, lambda ids: texts_of(ids.select(*split)).withColumnRenamed("u", "id"), n, threshold, False))
     label = components(compared.where(F.col("s") >= threshold).select("a", "b"))
-    gone = label.where("id != label").select(F.floor(F.col("id") / UNITS).cast("long").alias("doc"), F.struct(F.pmod(F.col("id"), F.lit(UNITS)).cast("int").alias("number"), F.col("label")).alias("x"))
-    by_doc = gone.groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-
-    @F.pandas_udf("array<struct<start:long,end:long,n_words:long,label:decimal(30,0)>>")
+    split = lambda c: [F.floor(F.col(c) / UNITS).cast("long"), F.pmod(F.col(c), F.lit(UNITS)).cast("int")]
+    (doc, number), (kept, kept_number) = split("id"), split("label")
+    lines = label.where("id != label").select(doc.alias("doc"), number.alias("a"), F.lit(-1).alias("b"), kept.alias("kept"), kept_number.alias("number"))
+    # a window goes with the words around that it shares with its first place, but for what is part of that place itself
+    inside = met.where(F.col("number") >= WINDOWS).select("doc", (F.col("number") - WINDOWS).alias("at"), F.col("v.doc").alias("kept"), F.col("v.number").alias("number"), "p1", "p2", F.col("v.p1").alias("v1"), F.col("v.p2").alias("v2"))
+    inside = inside.withColumn("before", _shared("p1", "v1", span)).withColumn("after", _shared("p2", "v2", span))
+    own_end = F.when(F.col("doc") == F.col("kept"), F.col("number") - WINDOWS + gram + F.col("after")).otherwise(0)
+    inside = inside.select("doc", F.greatest(F.col("at") - F.col("before"), own_end, F.lit(0)).cast("int").alias("a"), (F.col("at") + gram + F.col("after")).cast("int").alias("b"), "kept", "number").where("a < b")
+    by_doc = lines.unionByName(inside).groupBy("doc").agg(F.collect_set(F.struct("a", "b", "kept", "number")).alias("xs"))
+
+    @F.pandas_udf("array<struct<start:long,end:long,n_words:long,kept:long,number:int>>")
     def passages(texts: pd.Series, xs: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, xs, strict=True):
-            found, runs = units(t, min_words, long_words, reach)[2], []
-            for x in own:
-                if x["number"] >= len(found):
-                    continue
-                a, b, start, end, _ = found[x["number"]]
-                if runs and runs[-1][4] == x["number"]:
-                    runs[-1][1:3] = [end, runs[-1][2] + b - a]
-                    runs[-1][4] += 1
-                else:
-                    runs.append([start, end, b - a, x["label"], x["number"] + 1])
-            out.append([dict(zip(("start", "end", "n_words", "label"), r, strict=False)) for r in runs if r[2] >= min_passage])
+            _, starts, ends, found = units(t, min_words)
+            # each word's item, -1 for none, -2 for what lies between two neighbouring units that go
+            item = np.full(len(starts), -1, np.int64)
+            own = sorted(own, key=lambda x: (x["b"] < 0, x["a"], x["b"], x["kept"], x["number"]))
+            last = None
+            for i, x in enumerate(own):
+                if x["b"] >= 0:
+                    part = item[x["a"] : x["b"]]
+                    part[part < 0] = i
+                elif x["a"] < len(found):
+                    a, b = found[x["a"]]
+                    item[a:b] = i
+                    if last is not None and last + 1 == x["a"]:
+                        gap = item[found[last][1] : a]
+                        gap[gap == -1] = -2
+                    last = x["a"]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], item != -1, [False]])))
+            runs = [(a, b, int((item[a:b] >= 0).sum())) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            out.append([{"start": int(starts[a]), "end": int(ends[b - 1]), "n_words": n, "kept": own[item[a]]["kept"], "number": own[item[a]]["number"]} for a, b, n in runs if n >= min_passage])
         return pd.Series(out)
 
     found = source.join(by_doc, source["id"] == by_doc["doc"]).select("id", F.explode(passages("t", "xs")).alias("p"))
-    return found.select(F.col("id").alias("doc_id"), "p.start", "p.end", "p.n_words", F.floor(F.col("p.label") / UNITS).cast("long").alias("kept_doc_id"), F.col("p.label").cast("string").alias("class_id")).distinct()
+    return found.select(F.col("id").alias("doc_id"), "p.start", "p.end", "p.n_words", F.col("p.kept").alias("kept_doc_id"), _unit_id("p.kept", "p.number").cast("string").alias("class_id")).distinct()

@@ -188,6 +188,51 @@ def test_passages(spark):
     assert got - planted == {1001, 1002} if len(words5(" ".join(near)) & words5(" ".join(edit))) >= 0.8 * len(words5(" ".join(near)) | words5(" ".join(edit))) else {1002}
 
 
+def removed_share(spark, made, wanted):
+    """The share of the wanted stretches, (doc, start, end), that goes, and the characters that go beside them."""
+    gone = {}
+    for r in paragraphs.repeats(docs_of(spark, made)).collect():
+        gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    want = {}
+    for d, s, e in wanted:
+        want.setdefault(d, set()).update(range(s, e))
+    hit = sum(len(want[d] & gone.get(d, set())) for d in want)
+    return hit / sum(map(len, want.values())), sum(len(gone[d] - want.get(d, set())) for d in gone)
+
+
+def test_long_lines_and_their_near_copies(spark):
+    rng = random.Random(12)
+    made, wanted = [], []
+    for n, edits in [(60, 1), (100, 2), (200, 4)] * 10 + [(48, 0)] * 10:
+        line = prose(rng, n).split()
+        copy = list(line)
+        for k in range(edits):
+            copy[10 + k * 45] = f"edit{rng.random()}"[:12].replace(".", "x")
+        text = " ".join(copy) if edits else " ".join([*copy, "added"])
+        made += [(len(made), " ".join(line)), (len(made) + 1, f"{prose(rng, 4)}\n{text}\n{prose(rng, 4)}")]
+        at = made[-1][1].index(text)
+        wanted.append((made[-1][0], at, at + len(text)))
+    assert removed_share(spark, made, wanted) == (1.0, 0)
+
+
+def test_passages_inside_lines_go_whole(spark):
+    rng = random.Random(13)
+    made, wanted = [], []
+    for n in [16, 17, 20, 30, 48, 70] * 5:
+        passage = prose(rng, n)
+        made.append((len(made), f"{prose(rng, 7)}\n{passage}\n{prose(rng, 7)}"))
+        for joint in (" ", "\n"):
+            before = prose(rng, rng.randrange(30, 60)) + joint
+            made.append((len(made), before + passage + joint + prose(rng, rng.randrange(30, 60))))
+            wanted.append((made[-1][0], len(before), len(before) + len(passage)))
+    made.append((len(made), prose(rng, 15) + " left " + prose(rng, 60)))
+    made.append((len(made), prose(rng, 60) + " kept " + " ".join(made[-1][1].split()[:15])))
+    assert removed_share(spark, made, wanted) == (1.0, 0)
+    again = " ".join(f"w{i % 40}" for i in range(120))  # three times the same in one document: the first stays
+    got = [(r["start"], r["end"], r["n_words"], r["kept_doc_id"]) for r in paragraphs.repeats(docs_of(spark, [(1, again), (1, again)])).collect()]
+    assert got == [(len(" ".join(again.split()[:40])) + 1, len(again), 80, 1)]
+
+
 def test_passage_edges(spark):
     got = [(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(edge_docs(spark)).collect()]
     assert got == [(7, 6)]
