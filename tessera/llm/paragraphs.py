@@ -1,6 +1,6 @@
 """Repeated paragraphs and passages: MinHash banding over lines, exact windows inside them, removal by components.
 
-A line of at least `min_words` words is a paragraph, whatever its length.
+A line of at least `min_words` words is a paragraph, whatever its length; shorter lines that follow each other are one.
 Paragraphs meet when they share a band of MinHash rows; `tune_bands` takes the fewest bands that reach the wanted recall
 at the threshold. As in any bucket a member is compared with one pivot, a group of copies makes links in its own number
 only; buckets that then still hold several classes are compared exactly in blocks, of which links alone come out. A pair is verified by exact Jaccard similarity of its word shingles. In each component of
@@ -56,7 +56,10 @@ def units(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.
         return h, starts, ends, []
     breaks = np.array([i for i, c in enumerate(text) if c == "\n"], np.int64) if "\n" in text else np.zeros(0, np.int64)
     line = np.searchsorted(breaks, starts)
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])).tolist()
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    short = np.diff(np.append(first, len(found))) < min_words
+    # a short line goes on with the short one before it
+    first = first[~np.concatenate([[False], short[1:] & short[:-1]])].tolist()
     out = [(a, b) for a, b in zip(first, [*first[1:], len(found)], strict=True) if b - a >= min_words]
     return h, starts, ends, out
 

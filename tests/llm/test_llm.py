@@ -233,6 +233,21 @@ def test_passages_inside_lines_go_whole(spark):
     assert got == [(len(" ".join(again.split()[:40])) + 1, len(again), 80, 1)]
 
 
+def test_short_lines_are_one_paragraph(spark):
+    rng = random.Random(14)
+    verse = lambda w: "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+    made, wanted = [], []
+    for near in [False, True] * 10:
+        words = prose(rng, 60).split()
+        for w in (words, [*words[:7], "edited", *words[8:]] if near else words):
+            made.append((len(made), f"{prose(rng, 30)}\n{verse(w)}\n{prose(rng, 30)}"))
+        start, end = made[-1][1].index("\n") + 1, made[-1][1].rindex("\n")
+        wanted.append((made[-1][0], start, end))
+    share, beside = removed_share(spark, made, wanted)
+    assert share == 1.0 and beside < 30  # a word that both have next by chance goes too
+    assert paragraphs.units("a b\n\nc d\ne f g\n1 2 3 4 5 6 7\nx y", 6)[3] == [(0, 7), (7, 14)]
+
+
 def test_passage_edges(spark):
     got = [(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(edge_docs(spark)).collect()]
     assert got == [(7, 6)]
