@@ -483,6 +483,19 @@ def test_language(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_unknown_scripts_and_noise_are_far_at_any_length(spark):
+    rng = random.Random(9)
+    train = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = langid.fit(train)
+    letters = lambda lo, hi: [chr(c) for c in range(lo, hi) if chr(c).isalpha()]
+    made = []
+    for of in (letters(0x3B1, 0x3CA), letters(0x430, 0x450), letters(0x4E00, 0x5A00), "bcdfghjklmnpqrstvwxz"):
+        for n in (3, 20, 100, 500, 3000):
+            made += [(len(made) + i, " ".join("".join(rng.choice(of) for _ in range(rng.randrange(2, 9))) for _ in range(n))) for i in range(5)]
+    assert docs_of(spark, made).select(langid.identify(model, F.col("text")).alias("r")).where("not r.rejected").count() == 0
+    assert train.select(langid.identify(model, F.col("text")).alias("r")).where("r.rejected").count() == 0
+
+
 def test_language_edges(spark, docs):
     model = langid.fit(docs)
     got = {r["doc_id"]: r["r"] for r in edge_docs(spark).select("doc_id", langid.identify(model, F.col("text")).alias("r")).collect()}
