@@ -22,13 +22,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays; of rows that repeat an id, one."""
+    """Of each class of near-duplicate texts the one with the smallest id stays; of rows alike in id and text, one.
+
+    Rows that repeat an id with different texts are documents of their own.
+    """
     small_batches(spark)
-    gone = neardup.classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("class_id != doc_id or n > 1")
-    joined = docs.join(gone.withColumnsRenamed({"doc_id": "__id", "class_id": "__class", "n": "__n"}), F.col("doc_id") == F.col("__id"), "left")
+    found, repeated = neardup.text_classes(docs)
+    gone = found.where("not first or n > 1").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("first").alias("__first"))
+    same = F.col("doc_id") == F.col("__id")
+    if not repeated:
+        return docs.join(gone, same, "left_anti")
+    printed = docs.withColumn("__own", neardup.text_print("text"))
+    joined = printed.join(gone, same & (F.col("__own") == F.col("__print")), "left")
     once = joined.where(F.col("__id").isNull()).select(*docs.columns)
-    repeated = joined.where(F.col("__class") == F.col("doc_id")).select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    alike = joined.where("__first").groupBy("__id", "__print").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(alike)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ weigh as one. Signatures are made where the text lies. Band rows are 16 bytes of
 aggregation; the joins are plain equi-joins that can be split where skewed. No pair within a group of copies is made.
 
 Defined cases: a null text is an empty one; texts without a word are in one class when equal; 1 to 4 words form one
-shingle. The class id is the smallest key in the class. A repeated key gives one row for each of its rows. Rows with
-a null key are left out. Only key and text are read, so names of other columns cannot clash.
+shingle. The class id is the smallest key in the class. A repeated key gives one row for each of its rows, and each of
+its texts is in the class of its own. Rows with a null key are left out. Only key and text are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -233,13 +233,11 @@ def open_links(left: DataFrame, label: DataFrame, texts_of: Callable[[DataFrame]
     return cut(pairs.mapInPandas(compare, f"a {kind}, b {kind}, s double"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> DataFrame:
-    """One row for each document: its key, class_id (the class's smallest key), and links (verified links between its
-    shingle set and different ones)."""
+def _classes(source: DataFrame, n: int, threshold: float, rounds: tuple[tuple[int, int], ...], count_weights: bool) -> DataFrame:
+    """(id, class_id, links) of texts (id, t) whose ids do not repeat."""
     (bands, rows), *steeper = rounds
-    signed = cut(signatures(docs, key, text, n, bands, rows, count_weights, 1))
+    signed = cut(signatures(source, "id", "t", n, bands, rows, count_weights, 1))
     sets = cut(signed.groupBy("f1", "f2", "size").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     measure = jaccard(n, count_weights)
     members = sets.where("size > 0").select("id", "bands")
     found, label = [], None
@@ -262,4 +260,39 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     links = reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     of_set = sets.join(label, "id", "left").join(degree, "id", "left").select("f1", "f2", "size", F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select("id", "f1", "f2", "size").join(of_set, ["f1", "f2", "size"]).select(F.col("id").alias(key), "class_id", F.col("links").cast("long"))
+    return signed.select("id", "f1", "f2", "size").join(of_set, ["f1", "f2", "size"]).select("id", "class_id", F.col("links").cast("long"))
+
+
+#: Prints of texts are below this.
+PRINTS = 1 << 62
+
+
+def text_print(text):
+    return F.pmod(F.xxhash64(text), F.lit(PRINTS))
+
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> tuple[DataFrame, bool]:
+    """(id, print, class_id, links, first, n) of each text of each key, and whether keys repeat; without repeats print is null.
+
+    `first` tells the class's text of the smallest key (and, within it, the smallest print), and n how many rows are alike.
+    """
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    if source.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = _classes(source, n, threshold, rounds, count_weights)
+        return out.select("id", F.lit(None).cast("long").alias("print"), "class_id", "links", (F.col("id") == F.col("class_id")).alias("first"), F.lit(1).cast("long").alias("n")), False
+    each = source.groupBy("id", text_print("t").alias("print")).agg(F.first("t").alias("t"), F.count("*").alias("n"))
+    # one key for id and print, in the order of ids
+    whole = source.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    one = (F.col("id").cast("decimal(19,0)") * F.lit(PRINTS).cast("decimal(19,0)") + F.col("print")).cast("decimal(38,0)") if whole else F.concat_ws("\0", F.col("id").cast("string"), F.lpad(F.col("print").cast("string"), 19, "0"))
+    each = cut(each.withColumn("one", one))
+    found = _classes(each.select(F.col("one").alias("id"), "t"), n, threshold, rounds, count_weights).select(F.col("id").alias("one"), F.col("class_id").alias("top"), "links")
+    tops = each.select(F.col("one").alias("top"), F.col("id").alias("class_id"))
+    return found.join(each.select("one", "id", "print", "n"), "one").join(tops, "top").select("id", "print", "class_id", "links", (F.col("one") == F.col("top")).alias("first"), "n"), True
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> DataFrame:
+    """One row for each document: its key, class_id (the class's smallest key), and links (verified links between its
+    shingle set and different ones)."""
+    found, repeated = text_classes(docs, key, text, n, threshold, rounds, count_weights)
+    rows = found.withColumn("__row", F.explode(F.expr("array_repeat(0, int(n))"))) if repeated else found
+    return rows.select(F.col("id").alias(key), "class_id", "links")

@@ -1,11 +1,12 @@
 """The pipeline's stages, each against what its input asks for."""
 
+import random
 import re
 
 import corpus_pipeline
 from conftest import DATA
-from tessera.llm import secrets
-from test_llm import brute_classes, words5
+from tessera.llm import neardup, secrets
+from test_llm import brute_classes, prose, words5
 
 SF = f"{DATA}/sf0.001"
 
@@ -53,3 +54,17 @@ def test_edges(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     got = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
     assert set(got) == {2, None} and got[2][0].startswith("[SECRET] and") and got[2][1] == "en"
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 60) for _ in range(12)]
+    near = " ".join(["edited", *texts[3].split()[1:]])
+    rows = [(7, t, "en", "s", len(t)) for t in texts] + [(7, texts[0], "de", "s", 1), (7, near, "en", "s", 2), (3, texts[1], "en", "s", 3), (9, texts[2], "en", "s", 4), (11, "quite another text", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(r[0] for r in out) == [3] + [7] * 11 + [11]
+    assert {r[1] for r in out} - {near} - {texts[3]} == {*texts[:3], *texts[4:], "quite another text"} and sum(r[1] in (near, texts[3]) for r in out) == 1
+    assert [r[2] for r in out if r[1] == texts[0]] == ["de"]  # of rows alike in id and text the least
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect())
+    assert got == sorted([(3, 3), (7, 3), *[(7, 7)] * 13, (9, 7), (11, 11)])
