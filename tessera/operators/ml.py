@@ -155,16 +155,20 @@ def choose_k(rows: DataFrame, key: str, vector: str, label: str, ks: list[int],
 
 
 def smote(df: DataFrame, key: str, vector: str, label: str, share: float = 0.75, k: int = 5, seed: int = 42) -> DataFrame:
-    """Synthetic rows (label, vector) that lift each class to its target: points between a row and a neighbour of its class."""
+    """Synthetic rows (label, vector) that lift each class to its target: points between a row and a neighbour of its class.
+
+    The neighbour is one of the k nearest, or of all where a class has fewer; a class of one row has none and is not lifted.
+    """
     wanted = resample_targets(df, label, share).select(label, (F.col("smote_target") - F.col("n")).alias("more"), "n").where("more > 0")
     rows = df.join(F.broadcast(wanted), label)
     copies = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("more") / F.col("n")).cast("int"))))
     order = Window.partitionBy(label).orderBy("i", F.xxhash64(key, F.lit(seed)), key)
-    base = copies.withColumn("__r", F.row_number().over(order)).where("__r <= more").select(F.col(key).alias("query"), F.col(vector).alias("qv"), label, "i")
+    base = copies.withColumn("__r", F.row_number().over(order)).where("__r <= more").select(F.col(key).alias("query"), F.col(vector).alias("qv"), label, "i", "n")
     pairs = rows.select(F.col(key).alias("query"), F.col(vector).alias("qv"), label).join(rows.select(key, F.col(vector).alias("nv"), label), label).where(F.col("query") != F.col(key))
     near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(_distance(F.col("nv"), F.col("qv")), key))).where(F.col("rank") <= k).select("query", "rank", "nv")
     u = lambda s: (F.pmod(F.xxhash64("query", "i", F.lit(seed + s)), F.lit(1_000_003)) / 1_000_003.0)
-    picked = base.withColumn("rank", (F.floor(u(1) * k) + 1).cast("int")).join(near, ["query", "rank"])
+    there = F.least(F.lit(k), F.col("n") - 1)  # a small class has fewer neighbours than k
+    picked = base.withColumn("rank", (F.floor(u(1) * there) + 1).cast("int")).join(near, ["query", "rank"])
     return picked.select(label, F.zip_with("qv", "nv", lambda a, b: a + (b - a) * u(2)).alias(vector))
 
 

@@ -164,3 +164,10 @@ def test_stream(spark, tmp_path):
     counts = windows.stream_counts(windows.read_events(spark, str(tmp_path / "in"), schema))
     windows.start(counts, lambda df, _: seen.extend(r["n"] for r in df.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(seen) == [3, 3]
+
+
+def test_smote_lifts_small_classes_to_their_target(spark):
+    rows = [(i, [float(i), 1.0], "many") for i in range(40)] + [(100 + i, [float(i), 2.0], "three") for i in range(3)] + [(200 + i, [float(i), 3.0], "five") for i in range(5)] + [(300 + i, [float(i), 4.0], "six") for i in range(6)]
+    made = ml.smote(spark.createDataFrame(rows, "id long, v array<double>, label string"), "id", "v", "label")
+    assert {r["label"]: r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()} == {"three": 27, "five": 25, "six": 24}
+    assert all(0 <= r["v"][0] <= 5 and r["v"][1] == {"three": 2, "five": 3, "six": 4}[r["label"]] for r in made.collect())
