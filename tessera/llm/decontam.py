@@ -7,7 +7,7 @@ candidate is then verified exactly: the weight of the five-word shingles that th
 often as both have it, over the item's weight must be `threshold` or more. Windows that hold too few shingles of
 items of their size to pass are not hashed; that test loses nothing, because it counts what the verification needs.
 
-Items are shipped to the tasks in chunks of about `chunk` bytes of text (a bound on what is broadcast); documents are
+Items are shipped to the tasks in chunks of about `chunk` items and `chunk_bytes` bytes of text (a bound on what is broadcast); documents are
 read once for each chunk, whole, and are never shuffled. The best window of each document and item is kept, within its
 own row.
 
@@ -179,10 +179,11 @@ class Benchmark:
         return best
 
 
-def _chunks(benchmark: DataFrame, item: str, item_text: str, chunk: int):
+def _chunks(benchmark: DataFrame, item: str, item_text: str, chunk: int, chunk_bytes: int):
     """The items of each chunk, shipped: (ids, word hashes)."""
     items = benchmark.where(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    chunks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // chunk))
+    rows, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    chunks = max(1, -(-rows // chunk), -(-(size or 0) // chunk_bytes))
     for c in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == c).orderBy("i", "t").collect()
         h, at = word_hashes([r["t"] for r in rows])
@@ -220,12 +221,12 @@ def _short_matches(h: np.ndarray, at: np.ndarray, size: int, items: dict[int, li
                 yield of, (i, int(start[k] - at[of]), size, 1.0, 0)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 8 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 50_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, start_word, n_words, similarity, distance."""
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     found = []
-    for shipped in _chunks(benchmark, item, item_text, chunk):
+    for shipped in _chunks(benchmark, item, item_text, chunk, chunk_bytes):
 
         def search(batches, shipped=shipped):
             bench = Benchmark(*shipped.value, n, threshold, radius)
@@ -237,7 +238,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return reduce(DataFrame.unionByName, found)
 
 
-def contains_item(text: Column, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 8 << 20) -> Column:
+def contains_item(text: Column, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 19, chunk: int = 50_000, chunk_bytes: int = 8 << 20) -> Column:
     """Whether a text contains an item, by the same search; as a column, so that documents need no join."""
 
     def flag_of(shipped) -> Column:
@@ -252,4 +253,4 @@ def contains_item(text: Column, benchmark: DataFrame, item: str = "item_id", ite
 
         return flag(text)
 
-    return reduce(lambda a, b: a | b, [flag_of(x) for x in _chunks(benchmark, item, item_text, chunk)])
+    return reduce(lambda a, b: a | b, [flag_of(x) for x in _chunks(benchmark, item, item_text, chunk, chunk_bytes)])

@@ -81,7 +81,7 @@ def test_multi_index_finds_all_within_the_radius():
     b = decontam.Benchmark(list(range(50)), [rng.integers(1, 1 << 60, 20).astype(np.uint64) for _ in range(50)], 5, 0.8, 11)
     for _ in range(200):
         f = b.prints[rng.integers(50)] ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 16), replace=False)))
-        assert set(b.candidates(f).tolist()) == set(np.flatnonzero(np.bitwise_count(b.prints ^ f) <= 11).tolist())
+        assert set(b.candidates(np.array([f], np.uint64))[1].tolist()) == set(np.flatnonzero(np.bitwise_count(b.prints ^ f) <= 11).tolist())
 
 
 def test_decontamination_edges(spark):
@@ -89,6 +89,8 @@ def test_decontamination_edges(spark):
     got = decontam.find(edge_docs(spark), bench)
     assert got.count() == 0 and decontam.find(edge_docs(spark).limit(0), bench.limit(0)).count() == 0
     assert decontam.find(docs_of(spark, [(1, "x one TWO three, four five six y")]), bench).count() == 2
+    short = decontam.find(docs_of(spark, [(1, "these are only FOUR words here, only four words here"), (2, "only four other words here")]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in short] == [(1, 3, 2, 4)]
 
 
 # 2
