@@ -23,6 +23,7 @@ import re
 import sys
 import types
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -78,15 +79,26 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def forget_rare(self) -> None:
+        """Words met in one group of texts only since the last time go; if too many stay, all go."""
+        stay = [(w, k) for w, k in self.known.items() if self.uses[k] > 1]
+        at = np.array([k for _, k in stay], np.int64)
+        flat, count = self._ids_of(at)
+        self.forget()
+        if len(stay) <= self.keep // 2:
+            self._add([w for w, _ in stay], flat, count)
 
     def learn(self, new: list[str]) -> None:
-        ids = [self.words.encode_ordinary(w) for w in new]
-        count = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
+        ids = list(map(self.words.encode_ordinary, new))
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(new, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count)
+
+    def _add(self, new: list[str], flat: np.ndarray, count: np.ndarray) -> None:
         n, used = len(self.known), self.used
         while n + len(new) > len(self.start):
-            self.start, self.count = np.append(self.start, np.zeros_like(self.start)), np.append(self.count, np.zeros_like(self.count))
+            self.start, self.count, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.start, self.count, self.uses))
         while used + len(flat) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.pool[used : used + len(flat)] = flat
@@ -95,23 +107,29 @@ class Encoder:
         self.used += len(flat)
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and how many each has."""
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.pool[np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)], count
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [SPLIT.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > self.keep:
-            self.forget()
-        fresh = set().union(*(s for s in split if s)).difference(self.known)
+            self.forget_rare()
+        n_words = np.array([len(s) if s else 0 for s in split], np.int64)
+        # each distinct word is looked up once for all the texts
+        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(s for s in split if s)), object))
+        words = distinct.tolist()
+        fresh = [w for w in words if w not in self.known]
         if fresh:
-            self.learn(sorted(fresh))
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.array(list(map(self.known.__getitem__, s)), np.int64)
-            count = self.count[at]
-            ends = np.cumsum(count)
-            out.append(self.pool[np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+            self.learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[at] += 1
+        flat, count = self._ids_of(at[codes])
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n_words)])]
+        plain = lambda k: flat[bounds[k] : bounds[k + 1]]
+        return [plain(k) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for k, (t, s) in enumerate(zip(texts, split, strict=True))]
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -132,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         encoder = encoder_here(shipped.value)
         for b in batches:
             texts = [t or "" for t in b["t"]]
-            for i, j in groups(texts, 1_000_000):
+            for i, j in groups(texts, 2_000_000):
                 rows = []
                 for doc, ids in zip(b["id"].iloc[i:j], encoder.encode(texts[i:j]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
