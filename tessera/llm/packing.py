@@ -20,10 +20,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import groups
 
 # Texts of these characters alone can be split by the plain pattern below as byte-level BPE splits them.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ſ]*")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\s+(?!\S)|\s+")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+"
+#: How a run of white space goes on: its last character starts the next word. Where no run is longer than one, SINGLE does.
+RUNS, SINGLE = r"|\s+(?!\S)|\s+", r"|\s"
+LONGER = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 
 
 def _byte_signs() -> dict[str, int]:
@@ -48,22 +47,14 @@ def _byte_signs() -> dict[str, int]:
 _BYTE = _byte_signs()
 
 
-def encoder_here(definition: str) -> Encoder:
-    """The worker process's encoder. Code arrives with each task anew; the module table outlives it, and so do known words."""
-    home = sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
-    if getattr(home, "definition", None) != definition:
-        home.encoder, home.definition = Encoder(definition), definition
-    return home.encoder
-
-
 class Encoder:
-    """Token ids of texts; equal to the tokenizer's own, but each distinct word is encoded once (up to `keep` words).
+    """Token ids of texts, equal to the tokenizer's own.
 
-    Words go through a faster byte-pair encoder that is given the tokenizer's own vocabulary, in which a token's number
-    is its merge's rank; texts with other characters go through the tokenizer itself.
+    Plain texts go through a faster byte-pair encoder that is given the tokenizer's own vocabulary, in which a token's
+    number is its merge's rank; texts with other characters go through the tokenizer itself.
     """
 
-    def __init__(self, definition: str, keep: int = 400_000) -> None:
+    def __init__(self, definition: str) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -72,64 +63,12 @@ class Encoder:
         spelled = json.loads(definition)
         special = {t["content"] for t in spelled.get("added_tokens", ())}
         ranks = {bytes(map(_BYTE.__getitem__, t)): i for t, i in spelled["model"]["vocab"].items() if t not in special}
-        self.words = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        self.keep = keep
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
-
-    def forget_rare(self) -> None:
-        """Words met in one group of texts only since the last time go; if too many stay, all go."""
-        stay = [(w, k) for w, k in self.known.items() if self.uses[k] > 1]
-        at = np.array([k for _, k in stay], np.int64)
-        flat, count = self._ids_of(at)
-        self.forget()
-        if len(stay) <= self.keep // 2:
-            self._add([w for w, _ in stay], flat, count)
-
-    def learn(self, new: list[str]) -> None:
-        ids = list(map(self.words.encode_ordinary, new))
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._add(new, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count)
-
-    def _add(self, new: list[str], flat: np.ndarray, count: np.ndarray) -> None:
-        n, used = len(self.known), self.used
-        while n + len(new) > len(self.start):
-            self.start, self.count, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.start, self.count, self.uses))
-        while used + len(flat) > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        self.pool[used : used + len(flat)] = flat
-        self.count[n : n + len(new)] = count
-        self.start[n : n + len(new)] = used + np.cumsum(count) - count
-        self.used += len(flat)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known words one after another, and how many each has."""
-        count = self.count[at]
-        ends = np.cumsum(count)
-        return self.pool[np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)], count
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [SPLIT.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > self.keep:
-            self.forget_rare()
-        n_words = np.array([len(s) if s else 0 for s in split], np.int64)
-        # each distinct word is looked up once for all the texts
-        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(s for s in split if s)), object))
-        words = distinct.tolist()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            self.learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.uses[at] += 1
-        flat, count = self._ids_of(at[codes])
-        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n_words)])]
-        plain = lambda k: flat[bounds[k] : bounds[k + 1]]
-        return [plain(k) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for k, (t, s) in enumerate(zip(texts, split, strict=True))]
+        self.runs, self.single = (tiktoken.Encoding("plain", pat_str=SPLIT + spaces, mergeable_ranks=ranks, special_tokens={}) for spaces in (RUNS, SINGLE))
+
+    def encode(self, text: str) -> np.ndarray:
+        if not PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return (self.runs if any(s in text for s in LONGER) else self.single).encode_to_numpy(text)
 
 
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -147,15 +86,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
 
     def tokenised(batches):
-        encoder = encoder_here(shipped.value)
+        encoder = Encoder(shipped.value)
         for b in batches:
-            texts = [t or "" for t in b["t"]]
-            for i, j in groups(texts, 2_000_000):
-                rows = []
-                for doc, ids in zip(b["id"].iloc[i:j], encoder.encode(texts[i:j]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_pieces(len(ids), capacity))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc, t in zip(b["id"], b["t"], strict=True):
+                ids = np.append(encoder.encode(t or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut_pieces(len(ids), capacity))]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(tokenised, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

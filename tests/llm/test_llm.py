@@ -344,12 +344,15 @@ def test_encoder_equals_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    own, plain = packing.Encoder(open(path).read(), keep=500), Tokenizer.from_file(path)
+    own, plain = packing.Encoder(open(path).read()), Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    odd = ["", " ", "a  b\n\n c\t", "it's WE'LL don't", "x²½ Ⅷ 漢字  é́ \U0001f600", "<|endoftext|> <|x", "a\x0bb\x0c\x1c\x85c", "ª º µ × ÷ ſ ſ's"]
-    for part in (odd, list(texts.values())[:60], odd):
-        for t, ids in zip(part, own.encode(part), strict=True):
-            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    odd = ["", " ", "a  b\n\n c\t", "it's WE'LL don't", "x²½ Ⅷ 漢字  é́ \U0001f600", "<|endoftext|> <|x", "a\x0bb\x0c\x1c\x85c", "ª º µ × ÷ ſ ſ's"]
+    rng = random.Random(7)
+    signs = list(" \t\n\r'sStTdmlvre019_-.,;éßÉſ×÷À~!")
+    odd += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    odd += [a + b for a in map(chr, range(9, 0x180)) for b in " \nas'1.éſ×"] + ["a" * 3000, " " * 500, "\n" * 70, "'s" * 99, "ab" * 50_000]
+    for t in odd + list(texts.values()):
+        assert own.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def check_packing(rows, capacity):
