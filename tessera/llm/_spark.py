@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table of a few numbers that may be sent to every task.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marks a small table for a broadcast join if a count of its rows allows it; larger ones are joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 

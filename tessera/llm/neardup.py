@@ -5,14 +5,15 @@ hash, on the plane of weight and rank; darts inside the element's weight count,
 of lowest rank. Two documents agree on a coordinate with their weighted Jaccard similarity as probability. Rows of
 coordinates form bands; documents that share a band meet.
 
-Within a band's bucket every member is compared with one pivot only, never with every other member. Members left over
-(buckets whose members are not yet one class) go through a second round of steeper bands. What still is open there is
-compared exactly in blocks, of which links alone come out. Links need an exact similarity of at least `threshold`;
-classes are their connected components. The bands miss a pair at the threshold with a chance below 1e-5 in either round.
+Within a band's bucket every member is compared with one pivot only, never with every other member. What is left open
+(buckets whose members are not yet one class) is compared exactly in blocks, of which links alone come out. Links need
+an exact similarity of at least `threshold`; classes are their connected components. The bands miss a pair at the
+threshold with a chance below 1e-5.
 
-Scale: documents with equal shingle sets are collapsed first by a pre-aggregated group-by, so large groups of copies
-weigh as one. Signatures are made where the text lies. Band rows are 16 bytes of payload, grouped with partial
-aggregation; the joins are plain equi-joins that can be split where skewed. No pair within a group of copies is made.
+Scale: a node of the graph is the 128-bit print of a shingle set, so equal sets are one node from the start, whatever
+keys they have. Band rows are 16 bytes, packed, and reduced to one for each key and batch before they are dealt out, so a
+very common band costs a row a batch. Only the texts of documents that share a band are read again, and their packed
+shingle sets move, not their texts. No pair within a group of copies is made.
 
 Defined cases: a null text is an empty one; texts without a word are in one class when equal; 1 to 4 words form one
 shingle. The class id is the smallest key in the class. A repeated key gives one row for each of its rows, and each of
@@ -21,30 +22,34 @@ its texts is in the class of its own. Rows with a null key are left out. Only ke
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
 from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ._deal import BLOCKS, FLUSH, PAIRS, band_parts, combined, dealt_pairs, filled
 from ._graph import components
-from ._spark import cut
-from ._text import groups, mix, seeded, shingles, word_hashes
+from ._spark import cut, few
+from ._text import groups, hash_words, mix, seeded, shingles, word_hashes
 
-#: Chances of at most 0, 1, 2, ... darts in a block of area one.
-_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
-_UNIT32 = 2.0**-32
-#: Documents of a block, and of a block of asked documents, in the last comparison.
-BLOCK_ROWS, BLOCK_ASKED = 256, 64
+#: Darts in a block of area one, a Poisson number, by 16 random bits.
+_DARTS = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)])), (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.int8)
+_UNIT53 = 2.0**-53
+#: Documents of a block, and of a block of asked documents, in the last comparison; places that a home's counts go to.
+BLOCK_ROWS, BLOCK_ASKED, SALTS = 1024, 256, 16
 
 
 def weighted_sets(h: np.ndarray, at: np.ndarray, count_weights: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each document's distinct hashes, their weights (1, or how often they occur) and the documents' first places."""
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((h, doc))
+    # by hash, then by document with its order kept; numbers of 16 bits are sorted by radix
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(at) <= 1 << 16 else np.int64), kind="stable")]
     h, doc = h[order], doc[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -57,7 +62,8 @@ def dart_minhash(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int,
     """Signatures (documents x k); a document without weight gets zeros.
 
     The plane is cut into blocks of area one: weight strips [0,1), [1,2), [2,4), ... and rank strips of inverse height.
-    A block's darts depend on the element's hash and the block alone, so they agree in all documents.
+    A block's darts depend on the element's hash and the block alone, so they agree in all documents. A coordinate's
+    value is the rank of its earliest dart, whose 53 random bits tell it from others.
     """
     docs = len(at) - 1
     doc = np.repeat(np.arange(docs), np.diff(at))
@@ -66,37 +72,32 @@ def dart_minhash(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int,
     reach = np.divide(k * log(k + 1) + 2 * k, norm, out=np.zeros(docs), where=norm > 0)
     open_docs = norm > 0
     base = seeded(seed, keys)
+    heaviest = float(weights.max(initial=0.0))
+    plain = heaviest == 1.0 and bool((weights == 1.0).all())  # each dart in the first strip counts
     while open_docs.any():
-        slots, ranks, ids = [], [], []
+        first = np.full(docs * k, np.inf)
         low, width, strip = 0.0, 1.0, 0
-        while True:
+        while low < heaviest:
             own = np.flatnonzero(open_docs[doc] & (weights > low))
-            if not len(own):
-                break
             rows = np.ceil(reach[doc[own]] * width).astype(np.int64)
             el = np.repeat(own, rows)
             rho = np.arange(len(el)) - np.repeat(np.cumsum(rows) - rows, rows)
-            block = seeded(strip + 101, base[el] + mix(rho.astype(np.uint64)))
-            darts = np.searchsorted(_POISSON, (block >> np.uint64(11)) * 2.0**-53, side="right")
-            el, block, rho = np.repeat(el, darts), np.repeat(block, darts), np.repeat(rho, darts)
-            nth = np.arange(len(el)) - np.repeat(np.cumsum(darts) - darts, darts)
-            dart = seeded(211, block + mix((nth + 1).astype(np.uint64)))
-            spot = seeded(307, dart)
-            weight = low + width * ((spot >> np.uint64(32)) * _UNIT32)
-            rank = (rho + (spot & np.uint64(0xFFFFFFFF)) * _UNIT32) / width
-            hit = (weight < weights[el]) & (rank < reach[doc[el]])
-            slots.append(doc[el[hit]] * k + (dart[hit] % np.uint64(k)).astype(np.int64))
-            ranks.append(rank[hit])
-            ids.append(dart[hit])
+            block = seeded(strip + 101, base[el] + mix(np.arange(int(rows.max(initial=0)), dtype=np.uint64))[rho])
+            darts = _DARTS[(block >> np.uint64(48)).astype(np.int64)]
+            some = np.repeat(np.arange(len(el)), darts)
+            nth = np.arange(len(some)) - np.repeat(np.cumsum(darts, dtype=np.int64) - darts, darts)
+            dart = seeded(211, block[some] + mix(np.arange(1, 22, dtype=np.uint64))[nth])
+            el, rho = el[some], rho[some]
+            rank = (rho + (mix(dart) >> np.uint64(11)) * _UNIT53) / width
+            hit = rank < reach[doc[el]]
+            if not plain:
+                hit &= low + width * ((seeded(307, dart) >> np.uint64(11)) * _UNIT53) < weights[el]
+            slot = doc[el[hit]] * k + (((dart[hit] >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(first, slot, rank[hit])
             low, width, strip = (1.0, 1.0, 1) if strip == 0 else (low * 2, width * 2, strip + 1)
-        slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(ids)
-        order = np.argsort(-rank, kind="stable")  # the earliest dart of a coordinate is written last
-        flat = np.zeros(docs * k, np.uint64)
-        got = np.zeros(docs * k, bool)
-        flat[slot[order]] = dart[order]
-        got[slot] = True
-        full = open_docs & got.reshape(docs, k).all(1)
-        sig[full] = flat.reshape(docs, k)[full]
+        first = first.reshape(docs, k)
+        full = open_docs & np.isfinite(first).all(1)
+        sig[full] = first[full].view(np.uint64)
         open_docs &= ~full
         reach *= 2
     return sig
@@ -116,183 +117,190 @@ def _set_prints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total(seeded(3, h)), total(seeded(5, h))
 
 
-def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int, count_weights: bool, seed: int) -> DataFrame:
-    """(id, f1, f2, size, bands) of each document; f1, f2 identify its shingle set, or the text if that is empty."""
+def printed_sets(texts: list, n: int, count_weights: bool):
+    """(hashes, weights, first places, f1, f2) of the texts' shingle sets; f1, f2 print a set, or the text if the set is empty."""
+    h, w, at = weighted_sets(*shingles(*word_hashes(texts), n), count_weights)
+    f1, f2 = _set_prints(seeded(11, h) + (w - 1).astype(np.uint64), at)
+    empty = np.flatnonzero(np.diff(at) == 0)
+    if len(empty):
+        own = [texts[x] or "" for x in empty]
+        f1[empty], f2[empty] = hash_words(own), hash_words([t + " " for t in own])
+    return h, w, at, f1, f2
+
+
+def signed_rows(docs: DataFrame, n: int, bands: int, rows: int, count_weights: bool, seed: int, parts: int) -> DataFrame:
+    """Of texts (id, t): a row (id, print, f1, f2) for each, pairs (k, p, m) that share a band within a batch, and blocks
+    (part, block) of the band rows that remain, one for each key and batch."""
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = to_arrow_schema(StructType([docs.schema["id"], *StructType.fromDDL(f"print long, f1 long, f2 long, {PAIRS}, {BLOCKS}")]))
 
     def make(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in groups(texts):
+                h, w, at, f1, f2 = printed_sets(texts[i:j], n, count_weights)
+                yield filled(schema, id=b.column(0).slice(i, j - i), print=b.column(2).slice(i, j - i), f1=f1.view(np.int64), f2=f2.view(np.int64))
+                some = np.flatnonzero(np.diff(at))
+                keys = band_keys(dart_minhash(h, w, at, bands * rows, seed)[some], bands, rows, seed)
+                held.append((keys.ravel(), np.repeat(f1[some], bands)))
+                size += keys.size
+                if size >= FLUSH:
+                    yield from combined(schema, held, parts)
+                    held, size = [], 0
+        if held:
+            yield from combined(schema, held, parts)
+
+    shown = F.xxhash64("t").alias("print")
+    return docs.select("id", "t", shown).mapInArrow(make, f"id {kind}, print long, f1 long, f2 long, {PAIRS}, {BLOCKS}")
+
+
+def _shared_sets(source: DataFrame, wanted: DataFrame, n: int, count_weights: bool) -> DataFrame:
+    """(node, f1, h, w): the shingle sets of the wanted documents (id), whose texts alone move."""
+
+    def sets(batches):
         for b in batches:
-            texts = b["t"].tolist()
+            texts = b.column(0).to_pylist()
             for i, j in groups(texts):
-                part = texts[i:j]
-                h, w, at = weighted_sets(*shingles(*word_hashes(part), n), count_weights)
-                size = np.diff(at)
-                f1, f2 = _set_prints(seeded(11, h) + (w - 1).astype(np.uint64), at)
-                for x in np.flatnonzero(size == 0):
-                    f1[x], f2[x] = pd.util.hash_array(np.array([part[x] or "", (part[x] or "") + " "], object))
-                sig = dart_minhash(h, w, at, bands * rows, seed)
-                keys = band_keys(sig, bands, rows, seed)
-                yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "size": size.astype(np.int32), "bands": list(keys.view(np.int64))})
+                h, w, at, f1, f2 = printed_sets(texts[i:j], n, count_weights)
+                node = [f"{x}:{y}" for x, y in zip(f1.view(np.int64).tolist(), f2.view(np.int64).tolist(), strict=True)]
+                cut_at = lambda x: [x[a:e].tobytes() for a, e in zip(at[:-1], at[1:], strict=True)]
+                yield pa.record_batch({"node": node, "f1": f1.view(np.int64), "h": pa.array(cut_at(h), pa.binary()), "w": pa.array(cut_at(w.astype("<f4")) if count_weights else [None] * (j - i), pa.binary())})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(make, f"id {kind}, f1 long, f2 long, size int, bands array<long>")
+    return source.join(few(wanted), "id", "left_semi").select("t").mapInArrow(sets, "node string, f1 long, h binary, w binary")
 
 
-def jaccard(n: int, count_weights: bool):
-    """Exact (weighted) Jaccard similarity of two texts' shingle sets, as a column function."""
+def similarity(count_weights: bool):
+    """Exact (weighted) Jaccard similarity of two packed shingle sets, as a column function."""
 
     @F.pandas_udf("double")
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    def measure(left: pd.Series, right: pd.Series, lw: pd.Series, rw: pd.Series) -> pd.Series:
         out = np.zeros(len(left))
-        both = [x for pair in zip(left, right, strict=True) for x in pair]
-        for i, j in groups([f"{a}{b}" if a and b else "" for a, b in zip(left, right, strict=True)]):
-            h, w, at = weighted_sets(*shingles(*word_hashes(both[2 * i : 2 * j]), n), count_weights)
-            for x in range(j - i):
-                a, b, c = at[2 * x : 2 * x + 3]
-                _, p, q = np.intersect1d(h[a:b], h[b:c], assume_unique=True, return_indices=True)
-                common = np.minimum(w[a:b][p], w[b:c][q]).sum()
-                total = w[a:c].sum() - common
-                out[i + x] = common / total if total else 0.0
+        for x, (a, b, v, w) in enumerate(zip(left, right, lw, rw, strict=True)):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            if count_weights:
+                v, w = np.frombuffer(v, "<f4"), np.frombuffer(w, "<f4")
+                _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                common, total = float(np.minimum(v[p], w[q]).sum()), float(v.sum() + w.sum())
+            else:
+                both = np.sort(np.concatenate([a, b]))
+                common, total = int((both[1:] == both[:-1]).sum()), len(both)
+            out[x] = common / (total - common) if total else 0.0
         return pd.Series(out)
 
-    return similarity
+    return measure
 
 
-def _links(pairs: DataFrame, texts: DataFrame, measure) -> DataFrame:
-    """(a, b, s) of the pairs with their exact similarity, computed once."""
-    a = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    b = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return cut(pairs.join(b, "b").join(a, "a").select("a", "b", measure(F.col("ta"), F.col("tb")).alias("s")))
+def compared(pairs: DataFrame, sets: DataFrame, count_weights: bool) -> DataFrame:
+    """(a, b, s): the nodes of the pairs (p, m) of set prints, with their exact similarity."""
+    of = lambda f, node, x: sets.select(F.col("f1").alias(f), F.col("node").alias(node), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}"))
+    both = pairs.join(of("p", "a", 1), "p").join(of("m", "b", 2), "m")
+    return both.select("a", "b", similarity(count_weights)("h1", "h2", "w1", "w2").alias("s"))
 
 
-def _round(members: DataFrame, texts: DataFrame, measure, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Compares each bucket's members with its pivot: (rows of shared buckets with their pivot, compared pairs)."""
-    rows = members.select("id", F.explode("bands").alias("k"))
-    order = F.struct(F.xxhash64(F.col("id"), F.lit(seed)), F.col("id"))
-    shared = rows.groupBy("k").agg(F.min(order).alias("p"), F.count("*").alias("n")).where("n > 1").select("k", F.col("p.id").alias("pivot"))
-    met = cut(rows.join(shared, "k"))
-    pairs = met.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    return met, _links(pairs, texts, measure)
+def mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(k, f1, label) of the buckets whose members (k, p, m) are not of one class yet."""
+    own = label.select(print_of("id").alias("f1"), "label")
+    members = met.select("k", F.explode(F.array("p", "m")).alias("f1")).distinct().join(own, "f1", "left")
+    members = members.withColumn("label", F.coalesce("label", F.col("f1").cast("string"))).withColumn("x", F.xxhash64("label"))
+    mixed = members.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("k")
+    return cut(members.join(mixed, "k").select("k", "f1", "label"))
 
 
-def open_links(left: DataFrame, label: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: float, count_weights: bool) -> DataFrame:
-    """(a, b, s): links that buckets of several classes, `left` (k, id, label), still allow; texts_of gives (id, t) of ids.
+def print_of(node: str):
+    """The first print of a node's name."""
+    return F.split(node, ":")[0].cast("long")
 
-    In such a bucket the members outside its largest class are asked against all of that class and against each other:
-    the asked ones of a class form blocks, its members and the asked ones form blocks, and each block of the first kind
-    meets each of the second in a row of its own. Shingle sets are compared inside a task, and links alone come out, for
-    each asked document at most one to each class.
+
+def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, count_weights: bool) -> DataFrame:
+    """(a, b, s): links that buckets of several classes, `left` (k, f1, label), still allow.
+
+    In such a bucket the members outside its most common class, its home, are asked against all of that class and against
+    each other. Members and asked ones of a home are dealt into blocks by hash; each block of asked ones meets each block
+    of the home in a group of its own. Links alone come out, for each asked document at most one to each class.
     """
-    kind = left.schema["id"].dataType.simpleString()
     most = left.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "label")).alias("m")).select("k", F.col("m.label").alias("home"))
-    asked = left.select("k", "id", "label").join(most, "k").where("label != home").select("home", "id", "label").distinct()
+    asked = left.join(most, "k").where("label != home").groupBy("home", "f1").agg(F.first("label").alias("label")).withColumn("asks", F.lit(True))
     homes = asked.select("home").distinct()
-    inside = label.join(homes, label["label"] == homes["home"]).select("home", "id", "label").unionByName(homes.select("home", F.col("home").alias("id"), F.col("home").alias("label")))
-    both = asked.withColumn("asks", F.lit(1)).unionByName(inside.withColumn("asks", F.lit(0)))
-    every = both.groupBy("home", "id", "label").agg(F.max("asks").alias("asks"))
-    rows = cut(every.withColumn("kind", F.explode(F.when(F.col("asks") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("home", "id", "label", "kind"))
-    size = F.ceil(F.count("*") / F.when(F.col("kind") == 1, BLOCK_ASKED).otherwise(BLOCK_ROWS)).cast("int")
-    sizes = rows.groupBy("home", "kind").agg(size.alias("parts"))
-    placed = rows.join(sizes, ["home", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-
-    def pack(block: pd.DataFrame) -> pd.DataFrame:
-        h, w, at = weighted_sets(*shingles(*word_hashes(block["t"].tolist()), n), count_weights)
-        return pd.DataFrame({"home": block["home"].iloc[:1].to_numpy(), "kind": block["kind"].iloc[:1].to_numpy(), "part": block["part"].iloc[:1].to_numpy(), "ids": [block["id"].tolist()], "labels": [block["label"].tolist()], "h": [h.tobytes()], "w": [w.astype("<f4").tobytes()], "at": [at.astype("<i8").tobytes()]})
-
-    packed = cut(placed.drop("parts").join(texts_of(rows.select("id").distinct()), "id").groupBy("home", "kind", "part").applyInPandas(pack, f"home {kind}, kind int, part int, ids array<{kind}>, labels array<{kind}>, h binary, w binary, at binary"))
-    blocks = packed.where("kind = 0").drop("kind")
-    counts = sizes.where("kind = 0").select("home", "parts")
-    asks = packed.where("kind = 1").join(counts, "home").withColumn("x_part", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = asks.select("home", "part", "x_part", *[F.col(c).alias(f"x_{c}") for c in ("ids", "labels", "h", "w", "at")])
-
-    def compare(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                h, w, at = np.frombuffer(r.h, np.uint64), np.frombuffer(r.w, "<f4"), np.frombuffer(r.at, "<i8")
-                xh, xw, xat = np.frombuffer(r.x_h, np.uint64), np.frombuffer(r.x_w, "<f4"), np.frombuffer(r.x_at, "<i8")
-                ids, labels = list(r.ids), list(r.labels)
-                order = np.argsort(h, kind="stable")
-                doc = np.repeat(np.arange(len(ids)), np.diff(at))[order]
-                sorted_h, sorted_w = h[order], w[order]
-                total = np.bincount(doc, sorted_w, minlength=len(ids))
-                out = []
-                for i, (x, own) in enumerate(zip(r.x_ids, r.x_labels, strict=True)):
-                    keys, weights = xh[xat[i] : xat[i + 1]], xw[xat[i] : xat[i + 1]]
-                    low, high = np.searchsorted(sorted_h, keys, "left"), np.searchsorted(sorted_h, keys, "right")
-                    n_hits = high - low
-                    at_hits = np.repeat(low - np.cumsum(n_hits) + n_hits, n_hits) + np.arange(n_hits.sum())
-                    common = np.bincount(doc[at_hits], np.minimum(sorted_w[at_hits], np.repeat(weights, n_hits)), minlength=len(ids))
-                    s = common / np.maximum(total + weights.sum() - common, 1e-12)
-                    linked = {own}
-                    for j in np.flatnonzero(s >= threshold):
-                        if labels[j] not in linked:
-                            linked.add(labels[j])
-                            out.append((x, ids[j], float(s[j])))
-                yield pd.DataFrame(out, columns=["a", "b", "s"])
-
-    pairs = blocks.join(asks, ["home", "part"]).repartition("home", "part", "x_part")
-    return cut(pairs.mapInPandas(compare, f"a {kind}, b {kind}, s double"))
-
-
-def _classes(source: DataFrame, n: int, threshold: float, rounds: tuple[tuple[int, int], ...], count_weights: bool) -> DataFrame:
-    """(id, class_id, links) of texts (id, t) whose ids do not repeat."""
-    (bands, rows), *steeper = rounds
-    signed = cut(signatures(source, "id", "t", n, bands, rows, count_weights, 1))
-    sets = cut(signed.groupBy("f1", "f2", "size").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    measure = jaccard(n, count_weights)
-    members = sets.where("size > 0").select("id", "bands")
-    found, label = [], None
-    for turn in range(len(rounds)):
-        met, compared = _round(members, source, measure, turn)
-        found.append(compared)
-        label = components(reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select("a", "b") for x in found]))
-        known = met.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = known.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
-        left = cut(known.join(mixed, "k"))
-        if left.isEmpty():
-            break
-        if turn < len(steeper):
-            bands, rows = steeper[turn]
-            ids = left.select("id").distinct()
-            members = cut(signatures(source.join(ids, "id"), "id", "t", n, bands, rows, count_weights, turn + 2)).select("id", "bands").dropDuplicates(["id"])
-            continue
-        found.append(open_links(left, label, lambda _: source, n, threshold, count_weights))
-        label = components(reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select("a", "b") for x in found]))
-    links = reduce(DataFrame.unionByName, [x.where(F.col("s") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    of_set = sets.join(label, "id", "left").join(degree, "id", "left").select("f1", "f2", "size", F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select("id", "f1", "f2", "size").join(of_set, ["f1", "f2", "size"]).select("id", "class_id", F.col("links").cast("long"))
-
-
-#: Prints of texts are below this.
-PRINTS = 1 << 62
-
-
-def text_print(text):
-    return F.pmod(F.xxhash64(text), F.lit(PRINTS))
-
-
-def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> tuple[DataFrame, bool]:
-    """(id, print, class_id, links, first, n) of each text of each key, and whether keys repeat; without repeats print is null.
-
-    `first` tells the class's text of the smallest key (and, within it, the smallest print), and n how many rows are alike.
-    """
+    own = label.select(F.col("label").alias("home"), print_of("id").alias("f1")).join(homes, "home")
+    alone = homes.where(~F.col("home").contains(":")).select("home", F.col("home").cast("long").alias("f1"))  # a class of one is named by its print
+    inside = own.unionByName(alone).select("home", "f1", F.col("home").alias("label"), F.lit(False).alias("asks"))
+    rows = cut(asked.unionByName(inside, allowMissingColumns=True))
+    # a home's blocks are counted once and sent to SALTS places, so that a large home's rows are spread
+    counts = rows.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.sum(F.col("asks").cast("long")) / BLOCK_ASKED).cast("int").alias("turns"))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("f1"), F.lit(SALTS)).cast("int")).join(salted, ["home", "salt"])
+    block = lambda of, seed: F.pmod(F.xxhash64("f1", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    targets = placed.select("home", "f1", "label", F.lit(0).alias("role"), block("parts", 1).alias("i"), F.explode(every("turns")).alias("j"))
+    asks = placed.where("asks").select("home", "f1", "label", F.lit(1).alias("role"), F.explode(every("parts")).alias("i"), block("turns", 2).alias("j"))
+    met = targets.unionByName(asks).join(sets, "f1")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own, asks = group[group["role"] == 0], group[group["role"] == 1]
+        size = own["h"].map(len).to_numpy() // 8
+        h = np.frombuffer(b"".join(own["h"]), np.uint64)
+        w = np.frombuffer(b"".join(own["w"]), "<f4").astype(float) if count_weights else np.ones(len(h))
+        order = np.argsort(h, kind="stable")
+        doc, h, w = np.repeat(np.arange(len(own)), size)[order], h[order], w[order]
+        total = np.bincount(doc, w, minlength=len(own))
+        nodes, labels, out = own["node"].tolist(), own["label"].tolist(), []
+        for node, of, keys, weights in zip(asks["node"], asks["label"], asks["h"], asks["w"], strict=True):
+            keys = np.frombuffer(keys, np.uint64)
+            weights = np.frombuffer(weights, "<f4").astype(float) if count_weights else np.ones(len(keys))
+            low, n = np.searchsorted(h, keys, "left"), 0
+            n = np.searchsorted(h, keys, "right") - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(doc[at], np.minimum(w[at], np.repeat(weights, n)), minlength=len(own))
+            s = common / np.maximum(total + weights.sum() - common, 1e-12)
+            linked = {of}
+            for j in np.flatnonzero(s >= threshold):
+                if labels[j] not in linked and nodes[j] != node:
+                    linked.add(labels[j])
+                    out.append((node, nodes[j], float(s[j])))
+        return pd.DataFrame(out, columns=["a", "b", "s"])
+
+    return cut(met.groupBy("home", "i", "j").applyInPandas(compare, "a string, b string, s double"))
+
+
+def set_classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int, count_weights: bool) -> tuple[DataFrame, DataFrame]:
+    """Of texts (id, t): (id, print, f1, f2) of each, and (id, label) of each node "f1:f2" that is linked with others."""
+    parts = band_parts(source, bands)
+    signed = cut(signed_rows(source, n, bands, rows, count_weights, 1, parts))
+    docs = signed.where("f1 is not null").select("id", "print", "f1", "f2")
+    met = cut(signed.where("k is not null").select("k", "p", "m").unionByName(dealt_pairs(signed, parts)))
+    pairs = met.select("p", "m").distinct()
+    wanted = met.select(F.explode(F.array("p", "m")).alias("f1")).distinct()
+    first = docs.join(few(wanted), "f1", "left_semi").groupBy("f1", "f2").agg(F.min("id").alias("id")).select("id").distinct()
+    sets = cut(_shared_sets(source, first, n, count_weights)).dropDuplicates(["node"])
+    links = cut(compared(pairs, sets, count_weights).where(F.col("s") >= threshold))
+    label = components(links.select("a", "b"))
+    left = mixed_buckets(met, label)
+    if not left.isEmpty():
+        more = open_links(left, label, sets, threshold, count_weights)
+        if not more.isEmpty():
+            label = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    return docs, label
+
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, count_weights: bool = False) -> DataFrame:
+    """(id, print, class_id, first, n) of each text of each key: `print` is the text's xxhash64, `first` tells the class's
+    text of the smallest key (within it, of the smallest print), and n how many rows are alike in key and text."""
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    if source.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = _classes(source, n, threshold, rounds, count_weights)
-        return out.select("id", F.lit(None).cast("long").alias("print"), "class_id", "links", (F.col("id") == F.col("class_id")).alias("first"), F.lit(1).cast("long").alias("n")), False
-    each = source.groupBy("id", text_print("t").alias("print")).agg(F.first("t").alias("t"), F.count("*").alias("n"))
-    # one key for id and print, in the order of ids
-    whole = source.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    one = (F.col("id").cast("decimal(19,0)") * F.lit(PRINTS).cast("decimal(19,0)") + F.col("print")).cast("decimal(38,0)") if whole else F.concat_ws("\0", F.col("id").cast("string"), F.lpad(F.col("print").cast("string"), 19, "0"))
-    each = cut(each.withColumn("one", one))
-    found = _classes(each.select(F.col("one").alias("id"), "t"), n, threshold, rounds, count_weights).select(F.col("id").alias("one"), F.col("class_id").alias("top"), "links")
-    tops = each.select(F.col("one").alias("top"), F.col("id").alias("class_id"))
-    return found.join(each.select("one", "id", "print", "n"), "one").join(tops, "top").select("id", "print", "class_id", "links", (F.col("one") == F.col("top")).alias("first"), "n"), True
-
-
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rounds: tuple[tuple[int, int], ...] = ((30, 5), (64, 8)), count_weights: bool = False) -> DataFrame:
-    """One row for each document: its key, class_id (the class's smallest key), and links (verified links between its
-    shingle set and different ones)."""
-    found, repeated = text_classes(docs, key, text, n, threshold, rounds, count_weights)
-    rows = found.withColumn("__row", F.explode(F.expr("array_repeat(0, int(n))"))) if repeated else found
-    return rows.select(F.col("id").alias(key), "class_id", "links")
+    signed, label = set_classes(source, n, threshold, bands, rows, count_weights)
+    alike = cut(signed.groupBy("f1", "f2", "id", "print").agg(F.count("*").alias("n")))
+    # sets that stand alone are settled at once; the others get their class's name and its smallest key
+    several = alike.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("id", "print")).alias("top"))
+    named = label.select(print_of("id").alias("f1"), F.split("id", ":")[1].cast("long").alias("f2"), "label")
+    groups_ = several.join(named, ["f1", "f2"], "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", F.concat_ws(":", "f1", "f2")))
+    tops = groups_.groupBy("label").agg(F.min("top").alias("top"))
+    of_set = groups_.select("f1", "f2", "label").join(tops, "label").select("f1", "f2", "top")
+    out = alike.join(of_set, ["f1", "f2"], "left").withColumn("top", F.coalesce("top", F.struct("id", "print")))
+    return out.select("id", "print", F.col("top.id").alias("class_id"), ((F.col("id") == F.col("top.id")) & (F.col("print") == F.col("top.print"))).alias("first"), "n")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, count_weights: bool = False) -> DataFrame:
+    """One row for each document: its key and class_id, the class's smallest key."""
+    found = text_classes(docs, key, text, n, threshold, bands, rows, count_weights)
+    return found.select(F.col("id").alias(key), "class_id", F.explode(F.expr("array_repeat(0, int(n))")).alias("x")).drop("x")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._spark import cut
 from ._text import WORD, groups, hash_words, mix, seeded, shingles
-from .neardup import jaccard, open_links
+from ._neardup_old import jaccard, open_links
 
 #: Unit ids are id * UNITS + number.
 UNITS = 1 << 26
