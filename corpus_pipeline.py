@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, neardup, packing, secrets
-from tessera.llm._spark import fresh_dir, small_batches
+from tessera.llm._spark import few, fresh_dir, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id with different texts are documents of their own.
     """
     small_batches(spark)
-    found, repeated = neardup.text_classes(docs)
-    gone = found.where("not first or n > 1").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("first").alias("__first"))
-    same = F.col("doc_id") == F.col("__id")
-    if not repeated:
-        return docs.join(gone, same, "left_anti")
-    printed = docs.withColumn("__own", neardup.text_print("text"))
-    joined = printed.join(gone, same & (F.col("__own") == F.col("__print")), "left")
-    once = joined.where(F.col("__id").isNull()).select(*docs.columns)
-    alike = joined.where("__first").groupBy("__id", "__print").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    found = neardup.text_classes(docs).where("not first or n > 1")
+    marks = few(found.select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("first").alias("__first")))
+    own = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__print"))
+    once = docs.join(marks, own, "left_anti")
+    alike = docs.join(marks.where("__first"), own).groupBy("__id", "__print").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return once.unionByName(alike)
 
 
