@@ -36,6 +36,30 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def numbered(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Texts (id, t) with a number of their own in place of an id that several texts have, and the numbers' ids.
+
+    Where ids do not repeat, they stay and there is no table. Else the distinct texts of all ids are numbered in the
+    order of id and text hash, by range, so that no id's rows need fit one task; rows alike get the same number.
+    """
+    known = source.where("id is not null")
+    if known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return source, None
+    printed = source.withColumn("print", F.xxhash64("t"))
+    names = cut(printed.where("id is not null").select("id", "print").distinct().orderBy("id", "print").withColumn("number", F.monotonically_increasing_id()))
+    return printed.join(names, ["id", "print"], "left").select(F.col("number").alias("id"), "t"), names.select("number", "id")
+
+
+def named(result: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """A result with its numbers (id, or the columns named) turned into ids again."""
+    if names is None:
+        return result
+    for c in columns or ("id",):
+        own = names.select(F.col("number").alias(f"{c}_number"), F.col("id").alias(f"{c}_name"))
+        result = result.join(own, result[c] == own[f"{c}_number"], "left").withColumn(c, F.col(f"{c}_name")).drop(f"{c}_number", f"{c}_name")
+    return result
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 

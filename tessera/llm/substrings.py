@@ -16,8 +16,9 @@ first occurrence, so a key costs a row for each batch and not for each copy. An
 in one batch goes straight to pass 3, whose keys are spread. Rows are packed in binary blocks for each digit. Texts
 move once, to meet their removals; nothing is gathered on the driver but counts.
 
-Defined cases: null text is empty; a null id's row takes no part and keeps its text; rows with the same id are the same
-document, and the same start in it is not earlier. Texts under `width` bytes lose nothing.
+Defined cases: null text is empty; a null id's row takes no part and keeps its text; rows alike in id and text are the
+same document, and the same start in it is not earlier; different texts under one id are documents of their own, in the
+order of their hashes. Texts under `width` bytes lose nothing. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, named, numbered
 from ._text import mix
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -41,7 +42,7 @@ PIECE = 1 << 20
 
 RUN = np.dtype([("a", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1"), ("place", "u1"), ("left", "<u2"), ("right", "<u2")])
 WINDOW = np.dtype([("w", "<u8"), ("w2", "<u4"), ("doc", "<i8"), ("at", "<u4")])
-SPAN = np.dtype([("doc", "<i8"), ("at", "<i8"), ("n", "<i8")])
+SPAN = np.dtype([("doc", "<i8"), ("at", "<i8"), ("n", "<i8"), ("kept", "<i8")])  # kept: a document that holds it earlier
 HOT = np.uint8(0xFF)  # as a run's length: the anchor is to be resolved by windows
 
 
@@ -139,10 +140,11 @@ def _later(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (rows["doc"] != rows["doc"][first]) | (rows["at"] != rows["at"][first])
 
 
-def _spans(rows: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    out = np.zeros(len(rows), SPAN)
-    out["doc"], out["at"], out["n"] = rows["doc"], rows["at"], length
-    return out
+def _repeats(rows: np.ndarray, first: np.ndarray, later: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """The spans of the later rows, with the documents of the rows that they repeat, joined."""
+    out = np.zeros(int(later.sum()), SPAN)
+    out["doc"], out["at"], out["n"], out["kept"] = rows["doc"][later], rows["at"][later], length, rows["doc"][first[later]]
+    return _join_spans(out)
 
 
 def _join_spans(spans: np.ndarray) -> np.ndarray:
@@ -229,39 +231,38 @@ def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartition(parts, "part")
 
 
+def reduced_runs(rows: np.ndarray, symbols: dict[int, np.ndarray], width: int, parts: int, hasher: Hasher, hot: int = 512):
+    """The runs of a batch (kind A) reduced to the first of each, the batch's repeats (R), and hot anchors' windows (W)."""
+    rows, first = _firsts(rows, ("a", "s"))
+    later = _later(rows, first)
+    repeats = [_repeats(rows, first, later, rows["n"][later].astype(np.int64) + (width - 1))]
+    lone = rows[first == np.arange(len(rows))]
+    _, back, count = np.unique(lone["a"], return_inverse=True, return_counts=True)
+    wide = count[back] >= hot
+    if wide.any():
+        made = []
+        big = np.sort(lone[wide], order="doc")
+        for doc, i, j in _doc_bounds(big):
+            starts = np.concatenate([np.arange(a, a + n) for a, n in zip(big["at"][i:j], big["n"][i:j].astype(int), strict=True)])
+            made.append(windows_of(symbols[int(doc)], int(doc), starts, width, hasher))
+        w, at = _firsts(np.concatenate(made), ("w", "w2"))
+        repeats.append(_repeats(w, at, _later(w, at), width))
+        w = w[at == np.arange(len(w))]
+        yield from _packed("W", w, _digit(w["w"], parts), parts)
+        mark = lone[wide][np.unique(lone["a"][wide], return_index=True)[1]]
+        mark["n"] = HOT
+        lone = np.concatenate([lone[~wide], mark])
+    # anchors are the smallest hashes around them, so the leading digits of these are not spread; a second hash's are
+    yield from _packed("A", lone, _digit(mix(lone["a"]), parts), parts)
+    joined = _join_spans(np.concatenate(repeats))
+    yield from _packed("R", joined, _doc_part(joined["doc"], parts), parts)
+
+
 def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 19, hot: int = 512):
-    """Pass 1, map side: runs (kind A) reduced within the batch, its repeats (R), and hot anchors' windows (W)."""
+    """Pass 1, map side: what `reduced_runs` gives for about `flush` times 40 bytes of runs and texts at a time."""
     hasher = Hasher()
     held: list[np.ndarray] = []
-    texts: dict[int, bytes] = {}
-
-    def flushed():
-        rows, first = _firsts(np.concatenate(held), ("a", "s"))
-        later = _later(rows, first)
-        repeats = _spans(rows[later], rows["n"][later].astype(np.int64) + (width - 1))
-        lone = rows[first == np.arange(len(rows))]
-        _, back, count = np.unique(lone["a"], return_inverse=True, return_counts=True)
-        wide = count[back] >= hot
-        if wide.any():
-            made = []
-            big = np.sort(lone[wide], order="doc")
-            for doc in np.unique(big["doc"]):
-                own = big[big["doc"] == doc]
-                starts = np.concatenate([np.arange(a, a + n) for a, n in zip(own["at"], own["n"].astype(int), strict=True)])
-                made.append(windows_of(np.frombuffer(texts[int(doc)], np.uint8), int(doc), starts, width, hasher))
-            w, at = _firsts(np.concatenate(made), ("w", "w2"))
-            again = _later(w, at)
-            repeats = np.concatenate([repeats, _spans(w[again], width)])
-            w = w[at == np.arange(len(w))]
-            yield from _packed("W", w, _digit(w["w"], parts), parts)
-            mark = lone[wide][np.unique(lone["a"][wide], return_index=True)[1]]
-            mark["n"] = HOT
-            lone = np.concatenate([lone[~wide], mark])
-        # anchors are the smallest hashes around them, so the leading digits of these are not spread; a second hash's are
-        yield from _packed("A", lone, _digit(mix(lone["a"]), parts), parts)
-        repeats = _join_spans(repeats)
-        yield from _packed("R", repeats, _doc_part(repeats["doc"], parts), parts)
-
+    texts: dict[int, np.ndarray] = {}
     size = 0
     for b in batches:
         for doc, text in zip(b["id"], b["t"], strict=True):
@@ -269,15 +270,15 @@ def scan_runs(batches, width: int, gram: int, parts: int, flush: int = 1 << 19,
             if len(raw) < width:
                 continue
             held.append(runs_of_text(raw, int(doc), width, gram, hasher))
-            texts[int(doc)] = raw
+            texts[int(doc)] = np.frombuffer(raw, np.uint8)
             size += held[-1].nbytes + len(raw)
             if size >= flush * 40:
-                yield _frame(list(flushed()))
+                yield _frame(list(reduced_runs(np.concatenate(held), texts, width, parts, hasher, hot)))
                 held.clear()
                 texts.clear()
                 size = 0
     if held:
-        yield _frame(list(flushed()))
+        yield _frame(list(reduced_runs(np.concatenate(held), texts, width, parts, hasher, hot)))
 
 
 def _by_part(batches):
@@ -313,24 +314,26 @@ def _asked(rows: np.ndarray, width: int, gram: int) -> np.ndarray:
     return out
 
 
+def resolved_runs(blocks: list[bytes], width: int, gram: int, parts: int):
+    """Passes 1 and 2 of a part's runs: repeats (R) and runs to resolve by windows (Q)."""
+    rows, first = _firsts(_loaded(blocks, RUN), ("a", "s"))
+    hot = rows["n"] == HOT
+    later = _later(rows, first) & ~hot
+    repeats = _repeats(rows, first, later, rows["n"][later].astype(np.int64) + (width - 1))
+    distinct = rows[(first == np.arange(len(rows))) | hot]
+    _, back, count = np.unique(distinct["a"], return_inverse=True, return_counts=True)
+    asked = _asked(distinct[count[back] > 1], width, gram)
+    yield from _packed("R", repeats, _doc_part(repeats["doc"], parts), parts)
+    yield from _packed("Q", asked, _doc_part(asked["doc"], parts), parts)
+
+
 def sort_runs(batches, width: int, gram: int, parts: int):
-    """Passes 1 and 2: repeats (R), runs to resolve by windows (Q), and what has to be passed on (R, W)."""
+    """Passes 1 and 2, with what has to be passed on (R, W)."""
     for kind, part, blocks in _by_part(batches):
-        if kind != "A":
-            yield _frame([(kind, part, b) for b in blocks])
-            continue
-        rows = _loaded(blocks, RUN)
-        rows, first = _firsts(rows, ("a", "s"))
-        hot = rows["n"] == HOT
-        later = _later(rows, first) & ~hot
-        repeats = _join_spans(_spans(rows[later], rows["n"][later].astype(np.int64) + (width - 1)))
-        distinct = rows[(first == np.arange(len(rows))) | hot]
-        _, back, count = np.unique(distinct["a"], return_inverse=True, return_counts=True)
-        asked = _asked(distinct[count[back] > 1], width, gram)
-        yield _frame([*_packed("R", repeats, _doc_part(repeats["doc"], parts), parts), *_packed("Q", asked, _doc_part(asked["doc"], parts), parts)])
-
-
-def ask_windows(part: int, texts: pd.DataFrame, blocks: list[bytes], width: int, parts: int):
+        yield _frame([(kind, part, b) for b in blocks] if kind != "A" else list(resolved_runs(blocks, width, gram, parts)))
+
+
+def ask_windows(part: int, texts: pd.DataFrame, blocks: list[bytes], width: int, parts: int, symbols=lambda t: np.frombuffer((t or "").encode(), np.uint8)):
     """Pass 3, map side: the windows of the runs asked for (W), reduced within the part, and its repeats (R)."""
     hasher = Hasher()
     asked = np.sort(_loaded(blocks, SPAN), order=["doc", "at"])
@@ -340,12 +343,11 @@ def ask_windows(part: int, texts: pd.DataFrame, blocks: list[bytes], width: int,
         if doc in bounds:
             i, j = bounds.pop(doc)
             starts = np.concatenate([np.arange(a, a + n) for a, n in zip(asked["at"][i:j], asked["n"][i:j], strict=True)])
-            made.append(windows_of(np.frombuffer((text or "").encode(), np.uint8), int(doc), starts, width, hasher))
+            made.append(windows_of(symbols(text), int(doc), starts, width, hasher))
     if not made:
         return []
     rows, first = _firsts(np.concatenate(made), ("w", "w2"))
-    later = _later(rows, first)
-    repeats = _join_spans(_spans(rows[later], width))
+    repeats = _repeats(rows, first, _later(rows, first), width)
     rows = rows[first == np.arange(len(rows))]
     return [*_packed("W", rows, _digit(rows["w"], parts), parts), *_packed("R", repeats, np.full(len(repeats), part), parts)]
 
@@ -363,8 +365,7 @@ def sort_windows(batches, width: int, parts: int):
             yield _frame([(kind, part, b) for b in blocks])
             continue
         rows, first = _firsts(_loaded(blocks, WINDOW), ("w", "w2"))
-        later = _later(rows, first)
-        repeats = _join_spans(_spans(rows[later], width))
+        repeats = _repeats(rows, first, _later(rows, first), width)
         yield _frame(list(_packed("R", repeats, _doc_part(repeats["doc"], parts), parts)))
 
 
@@ -388,21 +389,32 @@ def remove(texts: pd.DataFrame, blocks: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "known", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "lengths"])
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, gram: int = 32, part_bytes: int = 8 << 20) -> DataFrame:
-    """One row for each input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs' starts and lengths."""
-    id_ = F.col(key).cast("long")
-    source = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNotNull().alias("known"), F.col(text).alias("t"))
+def text_parts(source: DataFrame, least: int, part_bytes: int) -> int:
+    """So many parts that each has about `part_bytes` of text."""
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    shape = lambda f, *a: lambda batches: f(batches, *a)
-    runs = source.where("known").mapInPandas(shape(scan_runs, width, gram, parts), _BLOCKS)
-    sorted_runs = cut(_dealt(runs, parts).mapInPandas(shape(sort_runs, width, gram, parts), _BLOCKS))
+    return max(least, -(-size // part_bytes))
+
+
+def by_part(source: DataFrame, parts: int):
+    """The texts grouped by the part of their document."""
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
         return pd.Series(_doc_part(ids.to_numpy(), parts))
 
-    by_part = source.withColumn("part", part_of("id")).repartition(parts, "part").groupBy("part")
+    return source.withColumn("part", part_of("id")).repartition(parts, "part").groupBy("part")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100, gram: int = 32, part_bytes: int = 8 << 20) -> DataFrame:
+    """One row for each input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs' starts and lengths."""
+    id_ = F.col(key).cast("long")
+    source, names = numbered(docs.select(id_.alias("id"), F.col(text).alias("t")))
+    source = source.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "t")
+    parts = text_parts(source, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), part_bytes)
+    shape = lambda f, *a: lambda batches: f(batches, *a)
+    runs = source.where("known").mapInPandas(shape(scan_runs, width, gram, parts), _BLOCKS)
+    sorted_runs = cut(_dealt(runs, parts).mapInPandas(shape(sort_runs, width, gram, parts), _BLOCKS))
+    texts = by_part(source, parts)
 
     def asked(key_, texts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         return _frame(ask_windows(int(key_[0]), texts, blocks["block"].tolist(), width, parts) if len(blocks) else [])
@@ -410,7 +422,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     def removed(_, texts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         return remove(texts, blocks["block"].tolist())
 
-    windows = by_part.cogroup(sorted_runs.where("kind = 'Q'").groupBy("part")).applyInPandas(asked, _BLOCKS).unionByName(sorted_runs.where("kind = 'W'"))
+    windows = texts.cogroup(sorted_runs.where("kind = 'Q'").groupBy("part")).applyInPandas(asked, _BLOCKS).unionByName(sorted_runs.where("kind = 'W'"))
     repeats = _dealt(windows, parts).mapInPandas(shape(sort_windows, width, parts), _BLOCKS).unionByName(sorted_runs.where("kind = 'R'"))
-    result = by_part.cogroup(repeats.groupBy("part")).applyInPandas(removed, _RESULT)
-    return result.select(F.when(F.col("known"), F.col("id")).alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "lengths")
+    result = texts.cogroup(repeats.groupBy("part")).applyInPandas(removed, _RESULT)
+    result = result.select(F.when(F.col("known"), F.col("id")).alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "lengths")
+    return named(result, names)

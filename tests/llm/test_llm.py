@@ -314,6 +314,31 @@ def test_packed_rows_come_back():
     assert sorted(back.tolist()) == sorted(rows.tolist()) and len(substrings.load(substrings.dump(rows[:0]), substrings.RUN)) == 0
 
 
+def test_substrings_keep_texts_under_one_id_apart(spark):
+    rng = random.Random(21)
+    shared = prose(rng, 60)[:90]
+    one, two, long = "x" * 30 + shared, shared + prose(rng, 9), prose(rng, 600) + shared
+    rows = [(1, one), (2, two), (1, long), (2, long), (1, one), (None, long), (3, None)]
+    got = [(r["id"], r["n_bytes"], r["n_removed"]) for r in substrings.repeated_spans(docs_of(spark, rows), width=80).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, len(t or ""), w)) for (i, t), w in zip(rows, want_removed(rows, 80), strict=True))
+
+
+def want_removed(rows, width):
+    """Bytes removed of each row, texts under one id in the order of their hashes; rows alike are one document."""
+    import xxhash
+
+    order = sorted({(i, xxhash.xxh64_intdigest((t or "").encode(), 42), t or "") for i, t in rows if i is not None}, key=lambda x: (x[0], x[1] - (1 << 64) * (x[1] >= 1 << 63)))
+    seen, gone = set(), {}
+    for i, _, t in order:
+        out = set()
+        for k in range(len(t) - width + 1):
+            if t[k : k + width] in seen:
+                out.update(range(k, k + width))
+            seen.add(t[k : k + width])
+        gone[i, t] = len(out)
+    return [gone.get((i, t or ""), 0) for i, t in rows]
+
+
 # 6
 
 
