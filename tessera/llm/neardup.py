@@ -270,18 +270,20 @@ def set_classes(source: DataFrame, n: int, threshold: float, bands: int, rows: i
     signed = cut(signed_rows(source, n, bands, rows, count_weights, 1, parts))
     docs = signed.where("f1 is not null").select("id", "print", "f1", "f2")
     met = cut(signed.where("k is not null").select("k", "p", "m").unionByName(dealt_pairs(signed, parts)))
-    pairs = met.select("p", "m").distinct()
     wanted = met.select(F.explode(F.array("p", "m")).alias("f1")).distinct()
     first = docs.join(few(wanted), "f1", "left_semi").groupBy("f1", "f2").agg(F.min("id").alias("id")).select("id").distinct()
-    sets = cut(_shared_sets(source, first, n, count_weights)).dropDuplicates(["node"])
-    links = cut(compared(pairs, sets, count_weights).where(F.col("s") >= threshold))
+    return docs, linked_classes(met, cut(_shared_sets(source, first, n, count_weights)).dropDuplicates(["node"]), threshold, count_weights)
+
+
+def linked_classes(met: DataFrame, sets: DataFrame, threshold: float, count_weights: bool) -> DataFrame:
+    """(id, label) of the nodes that are linked: of sets (node, f1, h, w) that share a bucket, by pairs (k, p, m) of f1."""
+    links = cut(compared(met.select("p", "m").distinct(), sets, count_weights).where(F.col("s") >= threshold))
     label = components(links.select("a", "b"))
     left = mixed_buckets(met, label)
-    if not left.isEmpty():
-        more = open_links(left, label, sets, threshold, count_weights)
-        if not more.isEmpty():
-            label = components(links.select("a", "b").unionByName(more.select("a", "b")))
-    return docs, label
+    if left.isEmpty():
+        return label
+    more = open_links(left, label, sets, threshold, count_weights)
+    return label if more.isEmpty() else components(links.select("a", "b").unionByName(more.select("a", "b")))
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, count_weights: bool = False) -> DataFrame:

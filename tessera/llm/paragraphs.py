@@ -2,20 +2,21 @@
 
 A line of at least `min_words` words is a paragraph, whatever its length; shorter lines that follow each other are one.
 Paragraphs meet when they share a band of MinHash rows; `tune_bands` takes the fewest bands that reach the wanted recall
-at the threshold. As in any bucket a member is compared with one pivot, a group of copies makes links in its own number
-only; buckets that then still hold several classes are compared exactly in blocks, of which links alone come out. A pair is verified by exact Jaccard similarity of its word shingles. In each component of
-verified links the first paragraph stays (smallest document id, then first place) and the others go.
+at the threshold. A pair is verified by exact Jaccard similarity of its word shingles. In a bucket a member is compared
+with one pivot only, so a group of copies makes links in its own number; buckets that then still hold several classes
+are compared exactly in blocks. In each component of verified links the first paragraph stays (smallest document id,
+then first place) and the others go.
 
-Passages that stand inside lines, or go over line breaks, are found by exact windows over all words of a document. Of each
-SPAN neighbouring windows the one with the least hash is dealt out (winnowing), so every passage of `min_passage` words has
-one, and the same one wherever it stands. The first place of a window stays. A window carries prints of the words
-around it, so it grows to the whole of what it shares with the first place. A document's
-neighbouring repeated units and windows are joined into passages, and passages under `min_passage` words are left alone.
+Passages that stand inside lines, or go over line breaks, are exact: every string of `min_passage` words that also
+starts earlier goes. They are found by the depth-limited radix sort of `substrings`, over word hashes in place of bytes.
+What goes of a document is joined into passages, and passages under `min_passage` words are left alone.
 
-Scale: a unit that the task has met before costs one row, not one for each band. Band rows are dealt once by their key, and
-both the grouping and the join use that one exchange. Texts of documents with near, not equal, pairs are joined alone.
+Scale: words, bands and runs are made in one pass over the texts, and dealt out once, in packed blocks. Equal paragraphs,
+bands and runs are reduced within a batch first, so that a very common line costs a row for each batch. Texts move once,
+to meet the windows asked for and then the removals; of near pairs only packed shingle sets move.
 
-Defined cases: null and empty texts have no units; rows that repeat an id are one document; null ids are left out.
+Defined cases: null and empty texts have no units; rows alike in id and text are one document; different texts under one
+id are documents of their own, in the order of their hashes; null ids are left out; only key and text are read.
 """
 
 from __future__ import annotations
@@ -24,22 +25,23 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
-from ._spark import cut
+from ._deal import PAIRS, digit, filled, grouped, pair_rows
+from ._spark import cut, few, named, numbered
 from ._text import WORD, groups, hash_words, mix, seeded, shingles
-from ._neardup_old import jaccard, open_links
-
-#: Unit ids are id * UNITS + number.
-UNITS = 1 << 26
-#: Numbers of windows are WINDOWS + first word.
-WINDOWS = 1 << 25
-#: Neighbouring windows of which one at least is dealt out; a window has SPAN - 1 words less than a passage.
-SPAN = 4
-#: Prints of units that a task remembers.
+from .neardup import linked_classes, print_of
+from .substrings import SPAN, Hasher, _by_part, _doc_bounds, _doc_part, _firsts, _frame, _join_spans, _later, _loaded, _packed, ask_windows, by_part, reduced_runs, resolved_runs, sort_windows, text_parts, window_runs
+
+#: A paragraph: prints of its words, its document, first word and number of words.
+UNIT = np.dtype([("a", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
+#: Prints of paragraphs that a task remembers.
 SEEN = 500_000
+#: What a pass gives: blocks, pairs of prints that share a band, and paragraphs (repeats E with the document kept, firsts F).
+_ROWS = f"kind string, part int, block binary, {PAIRS}, f1 long, f2 long, doc long, at long, n long, kept long"
 
 
 def tune_bands(threshold: float, recall: float, rows: int) -> int:
@@ -47,200 +49,280 @@ def tune_bands(threshold: float, recall: float, rows: int) -> int:
     return ceil(log(1 - recall) / log(1 - threshold**rows))
 
 
-def units(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """The word hashes, the words' starts and ends, and (first word, end word) of each paragraph."""
-    found = list(WORD.finditer(text or ""))
-    h = hash_words([m[0].lower() for m in found])
-    starts, ends = np.array([m.start() for m in found], np.int64), np.array([m.end() for m in found], np.int64)
-    if not found:
-        return h, starts, ends, []
-    breaks = np.array([i for i, c in enumerate(text) if c == "\n"], np.int64) if "\n" in text else np.zeros(0, np.int64)
-    line = np.searchsorted(breaks, starts)
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    short = np.diff(np.append(first, len(found))) < min_words
-    # a short line goes on with the short one before it
-    first = first[~np.concatenate([[False], short[1:] & short[:-1]])].tolist()
-    out = [(a, b) for a, b in zip(first, [*first[1:], len(found)], strict=True) if b - a >= min_words]
-    return h, starts, ends, out
-
-
-def windows(h: np.ndarray, at: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place in h, hash, prints of the words before, after) of the windows of `gram` words that are the least of `span` neighbours."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    n = len(h) - gram - span + 2  # runs of `span` windows
-    if n <= 0:
-        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3)))
-    # the window's words as digits of a number modulo 2**64; the base's inverse takes the place out
-    base = 0x9E3779B97F4A7C15
-    power = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, x, np.uint64)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(seeded(3, h) * power(base), dtype=np.uint64)])
-    g = mix((total[gram:] - total[:-gram]) * power(pow(base, -1, 1 << 64))[: len(h) - gram + 1])
-    whole = np.flatnonzero(doc[:n] == doc[gram + span - 2 :])
-    place = np.unique(whole + np.lib.stride_tricks.sliding_window_view(g, span)[whole].argmin(1))
-    # 63 // (span - 1) bits of each word around, the nearest lowest; 0 where the document ends
-    bits = np.uint64(63 // max(1, span - 1))
-    word = np.maximum(seeded(4, h) & np.uint64((1 << int(bits)) - 1), np.uint64(1))
-    around = []
-    for step, edge in ((-1, place), (1, place + gram - 1)):
-        sides = np.zeros(len(place), np.uint64)
-        for k in range(1, span):
-            to = np.clip(edge + step * k, 0, len(h) - 1)
-            sides |= np.where((edge + step * k == to) & (doc[to] == doc[place]), word[to], np.uint64(0)) << (bits * np.uint64(k - 1))
-        around.append(sides)
-    return place, seeded(992, g[place]), *around
-
-
-def _unit_id(doc, number):
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(UNITS) + F.col(number)).cast("decimal(30,0)")
-
-
-def band_rows(docs: DataFrame, bands: int, rows: int, n: int, min_words: int, gram: int, span: int) -> DataFrame:
-    """(k, doc, number, p1, p2) of each unit and key, p1 and p2 printing its words; and of each window, with its place from
-    WINDOWS on as number, p1 and p2 printing the words before and after."""
-
-    def made(batches):
-        seen: set[tuple[int, int]] = set()
+def line_words(text: str | None) -> tuple[list[str], list[int]]:
+    """The lower-cased words, and how many each line that has any holds."""
+    lines = [x for x in map(WORD.findall, (text or "").split("\n")) if x]
+    found = [w for x in lines for w in x]
+    return "\n".join(found).lower().split("\n") if found else [], [len(x) for x in lines]
+
+
+def unit_bounds(count: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of the paragraphs, from the words of the lines and the documents of these."""
+    if not len(count):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.cumsum(count) - count
+    short = count < min_words
+    goes_on = np.concatenate([[False], short[1:] & short[:-1] & (doc[1:] == doc[:-1])])  # a short line after a short one
+    start = first[~goes_on]
+    size = np.diff(np.append(start, count.sum()))
+    return start[size >= min_words], size[size >= min_words]
+
+
+def units(text: str | None, min_words: int) -> list[tuple[int, int]]:
+    """(first word, end word) of each paragraph of a text."""
+    _, count = line_words(text)
+    start, size = unit_bounds(np.array(count, np.int64), np.zeros(len(count), np.int64), min_words)
+    return list(zip(start.tolist(), (start + size).tolist(), strict=True))
+
+
+def unit_prints(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit prints of the words of each paragraph, in their order."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    place = mix(np.arange(int(size.max(initial=0)), dtype=np.uint64))[at - np.repeat(start, size)]
+    words, to = h[at] + place, np.concatenate([[0], ends])
+    add = lambda x: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[to])
+    return mix(add(seeded(1, words))), mix(add(seeded(2, words)))
+
+
+def minhash_bands(s: np.ndarray, to: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The band keys (texts x bands) of texts whose shingles, one at least, begin at `to`: a row is the least of the
+    shingles' hashes, themselves random, under an order of its own."""
+    turn = seeded(100, np.arange(bands * rows, dtype=np.uint64))
+    out = np.zeros((len(to) - 1, bands), np.uint64)
+    for k in range(bands):
+        key = np.full(len(to) - 1, np.uint64(k))
+        for r in range(rows):
+            salt = turn[k * rows + r]
+            low = np.minimum.reduceat((s ^ salt) * (salt | np.uint64(1)), to[:-1])
+            key = mix(key * np.uint64(31) + low)
+        out[:, k] = key
+    return out
+
+
+def scan(batches, width: int, gram: int, parts: int, bands: int, rows: int, n: int, min_words: int, flush: int = 20 << 20):
+    """Over the texts once: runs of windows (kinds A, R, W), paragraphs (U, E) and band rows (B, and pairs P)."""
+    hasher = Hasher()
+    seen: set[int] = set()
+    runs, made, keys, values, words, size = [], [], [], [], {}, 0
+
+    def flushed():
+        if runs:
+            yield _frame(list(reduced_runs(np.concatenate(runs), words, width, parts, hasher)))
+        if made:
+            own, first = _firsts(np.concatenate(made), ("a", "s"))
+            yield repeated_units(own, first)
+            own = own[first == np.arange(len(own))]
+            yield _frame(list(_packed("U", own, digit(own["a"], parts), parts)))
+        if keys:
+            k, v, head = grouped(np.concatenate(keys), np.concatenate(values))
+            yield pd.DataFrame({"kind": "P", **pair_rows(k, v, head)})
+            pivots = head == np.arange(len(k))
+            yield _frame(list(_packed("B", band_block(k[pivots], v[pivots]), digit(k[pivots], parts), parts)))
+        for x in (runs, made, keys, values, words):
+            x.clear()
+
+    for b in batches:
+        texts = b["t"].tolist()
+        for i, j in groups(texts):
+            tokens, lines, line_doc, at = [], [], [], [0]
+            for x, t in enumerate(texts[i:j]):
+                found, count = line_words(t)
+                tokens += found
+                lines += count
+                line_doc += [x] * len(count)
+                at.append(len(tokens))
+            if not tokens:
+                continue
+            ids, h, at = b["id"].iloc[i:j].to_numpy(np.int64), hash_words(tokens), np.array(at)
+            runs.append(window_runs(h, at, ids, width, gram, hasher))
+            words.update((int(d), h[x:y]) for d, x, y in zip(ids, at[:-1], at[1:], strict=True))
+            start, count = unit_bounds(np.array(lines, np.int64), np.array(line_doc, np.int64), min_words)
+            own = np.zeros(len(start), UNIT)
+            own["a"], own["s"] = unit_prints(h, start, count)
+            of = np.searchsorted(at, start, side="right") - 1
+            own["doc"], own["at"], own["n"] = ids[of], start - at[of], count
+            made.append(own)
+            # of equal paragraphs in a task the first alone stands in the bands
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = np.array([x not in seen and not seen.add(x) for x in own["a"].tolist()], bool)
+            size += runs[-1].nbytes + own.nbytes + h.nbytes
+            if fresh.any():
+                start, count, value = start[fresh], count[fresh], own["a"][fresh]
+                ends = np.cumsum(count)
+                place = np.repeat(start - ends + count, count) + np.arange(ends[-1])
+                key = minhash_bands(*shingles(h[place], np.concatenate([[0], ends]), n), bands, rows)
+                keys.append(key.ravel())
+                values.append(np.repeat(value, bands))
+                size += 2 * key.nbytes
+            if size >= flush:
+                yield from flushed()
+                size = 0
+    yield from flushed()
+
+
+BAND = np.dtype([("w", "<u8"), ("a", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+
+
+def band_block(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Band rows as rows of a block, whose places stay empty."""
+    out = np.zeros(len(key), BAND)
+    out["w"], out["a"] = key, value
+    return out
+
+
+def repeated_units(rows: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    """Of sorted paragraphs, those that repeat another's words (E), with the document of the first one."""
+    later = _later(rows, first)
+    own, kept = rows[later], rows["doc"][first[later]]
+    return pd.DataFrame({"kind": "E", "f1": own["a"].view(np.int64), "f2": own["s"].view(np.int64), "doc": own["doc"], "at": own["at"].astype(np.int64), "n": own["n"].astype(np.int64), "kept": kept})
+
+
+def sort_all(batches, width: int, gram: int, parts: int):
+    """What the dealt blocks hold: the runs' R and Q, W as it is, pairs (P) of the bands, repeated (E) and first (F) paragraphs."""
+    for kind, part, blocks in _by_part(batches):
+        if kind == "A":
+            yield _frame(list(resolved_runs(blocks, width, gram, parts)))
+        elif kind == "B":
+            rows = _loaded(blocks, BAND)
+            yield pd.DataFrame({"kind": "P", **pair_rows(*grouped(rows["w"].copy(), rows["a"].copy()))})
+        elif kind == "U":
+            rows, first = _firsts(_loaded(blocks, UNIT), ("a", "s"))
+            yield repeated_units(rows, first)
+            own = rows[first == np.arange(len(rows))]
+            yield pd.DataFrame({"kind": "F", "f1": own["a"].view(np.int64), "f2": own["s"].view(np.int64), "doc": own["doc"], "at": own["at"].astype(np.int64), "n": own["n"].astype(np.int64)})
+        else:
+            yield _frame([(kind, part, b) for b in blocks])
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _ROWS.split(", ")])
+
+
+def _rows_of(frames):
+    """Frames as batches with all columns of _ROWS."""
+    for frame in frames:
+        if len(frame):
+            yield filled(_SCHEMA, **{c: frame[c].to_numpy() for c in frame})
+
+
+def scan_batches(batches, *args):
+    yield from _rows_of(scan((b.to_pandas() for b in batches), *args))
+
+
+def sort_batches(batches, width: int, gram: int, parts: int):
+    """Blocks are sorted; pairs and repeated paragraphs pass through."""
+    blocks = []
+    for b in batches:
+        done = b.column("block").is_null()
+        yield b.filter(done)
+        blocks.append(b.select(["kind", "part", "block"]).filter(pc.invert(done)).to_pandas())
+    yield from _rows_of(sort_all(blocks, width, gram, parts))
+
+
+def unit_sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, f1, h, w): the shingle sets of the wanted paragraphs (f1, f2, doc, at, n); their documents' texts alone are read."""
+    own = F.sort_array(F.collect_list(F.struct("at", "n", "f1", "f2"))).alias("xs")
+    by_doc = wanted.groupBy("doc").agg(own)
+
+    def sets(batches):
         for b in batches:
-            texts = b["t"].tolist()
-            for i, j in groups(texts):
-                if len(seen) > SEEN:
-                    seen.clear()
-                hashes, at, who, whole = [], [0], [], []
-                ids = b["id"].iloc[i:j].to_numpy()
-                for doc, t in zip(ids.tolist(), texts[i:j], strict=True):
-                    h, _, _, own = units(t, min_words)
-                    whole.append(h)
-                    for number, (x, y) in enumerate(own):
-                        hashes.append(h[x:y])
-                        at.append(at[-1] + y - x)
-                        who.append((doc, number))
-                ends = np.cumsum([0, *(len(h) for h in whole)])
-                place, k, before, after = windows(np.concatenate(whole), ends, gram, span)
-                of = np.searchsorted(ends, place, side="right") - 1
-                out = [(k, ids[of], WINDOWS + place - ends[of], before, after)]
-                if who:
-                    h, at = np.concatenate(hashes), np.array(at)
-                    length = np.diff(at)
-                    place = (np.arange(len(h)) - np.repeat(at[:-1], length)).astype(np.uint64)
-                    add = lambda x, at=at: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)])[at])
-                    p1, p2 = mix(add(seeded(1, h + mix(place)))), mix(add(seeded(2, h + mix(place))))
-                    doc, number = (np.array(x) for x in zip(*who, strict=True))
-                    # every unit meets its equals; of equal lines in a task the first alone stands in the bands
-                    fresh = np.array([(key not in seen and not seen.add(key)) for key in zip(p1.tolist(), p2.tolist(), strict=True)])
-                    lines = np.flatnonzero(fresh)
-                    out.append((seeded(991, p1), doc, number, p1, p2))
-                    if len(lines):
-                        s, to = shingles(np.concatenate([hashes[x] for x in lines]), np.concatenate([[0], np.cumsum(length[lines])]), n)
-                        # MinHash: the least of each seeded hash over the line's shingles
-                        sig = np.stack([np.minimum.reduceat(seeded(100 + r, s), to[:-1]) for r in range(bands * rows)], 1)
-                        for k in range(bands):
-                            key = seeded(7 + k, sig[:, k * rows])
-                            for r in range(1, rows):
-                                key = mix(key * np.uint64(31) + sig[:, k * rows + r])
-                            out.append((key, doc[lines], number[lines], p1[lines], p2[lines]))
-                k, doc, number, p1, p2 = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pd.DataFrame({"k": k.view(np.int64), "doc": doc, "number": number.astype(np.int32), "p1": p1.view(np.int64), "p2": p2.view(np.int64)})
-
-    return docs.mapInPandas(made, "k long, doc long, number int, p1 long, p2 long")
-
-
-def _shared(left: str, right: str, span: int):
-    """How many of the words around two windows are the same, from the nearest on."""
-    bits = 63 // max(1, span - 1)
-    unlike = F.col(left).bitwiseXOR(F.col(right))
-    return sum((unlike.bitwiseAND(F.lit((1 << bits * k) - 1)) == 0).cast("int") for k in range(1, span)) + F.lit(0)
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.995, min_words: int = 6, min_passage: int = 16) -> DataFrame:
+            for t, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = hash_words(line_words(t)[0])
+                s, to = shingles(np.concatenate([h[x["at"] : x["at"] + x["n"]] for x in xs]), np.cumsum([0, *(x["n"] for x in xs)]), n)
+                packed = [np.unique(s[i:j]).tobytes() for i, j in zip(to[:-1], to[1:], strict=True)]
+                yield pa.record_batch({"node": [f"{x['f1']}:{x['f2']}" for x in xs], "f1": pa.array([x["f1"] for x in xs], pa.int64()), "h": pa.array(packed, pa.binary()), "w": pa.nulls(len(xs), pa.binary())})
+
+    return source.join(few(by_doc), source["id"] == by_doc["doc"]).select("t", "xs").mapInArrow(sets, "node string, f1 long, h binary, w binary")
+
+
+_PASSAGES = "doc long, start long, end long, n_words long, kept long, class string"
+
+
+def passages(texts: pd.DataFrame, spans: pd.DataFrame, min_words: int, min_passage: int) -> pd.DataFrame:
+    """What goes of each document of a part: the words of removed paragraphs and of repeated windows, joined."""
+    own = _join_spans(_loaded(spans.loc[spans["block"].notna(), "block"], SPAN))
+    inside = {int(d): own[i:j] for d, i, j in _doc_bounds(own)}
+    lines = {int(d): x.sort_values(["at", "kept", "class"]) for d, x in spans[spans["block"].isna()].groupby("doc")}
+    out = []
+    for doc, t in zip(texts["id"].tolist(), texts["t"], strict=True):
+        found, exact = lines.pop(doc, None), inside.pop(doc, None)
+        if found is None and exact is None:
+            continue
+        place = [m.span() for m in WORD.finditer(t)]
+        # for each word the number of what it goes with, from 1; -1 for what lies between two paragraphs that go
+        item, kept = np.zeros(len(place), np.int64), [(0, "")]
+        if found is not None:
+            numbers = {a: k for k, (a, _) in enumerate(units(t, min_words))}
+            last = None
+            for a, n, doc_kept, label in zip(*(found[c].tolist() for c in ("at", "n", "kept", "class")), strict=True):
+                item[a : a + n] = len(kept)
+                kept.append((doc_kept, label))
+                if last is not None and last[0] + 1 == numbers[a]:
+                    item[last[1] : a] = np.where(item[last[1] : a] == 0, -1, item[last[1] : a])
+                last = numbers[a], a + n
+        for x in exact if exact is not None else ():
+            part = item[x["at"] : x["at"] + x["n"]]
+            part[part <= 0] = len(kept)
+            kept.append((int(x["kept"]), None))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], item != 0, [False]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            gone = item[a:b][item[a:b] > 0]
+            if len(gone) >= min_passage:
+                label = next((kept[k][1] for k in gone.tolist() if kept[k][1]), None)
+                out.append((doc, place[a][0], place[b - 1][1], len(gone), kept[gone[0]][0], label))
+    return pd.DataFrame(out, columns=["doc", "start", "end", "n_words", "kept", "class"])
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, rows: int = 3, recall: float = 0.995, min_words: int = 6, min_passage: int = 16, gram: int = 5, part_bytes: int = 16 << 20) -> DataFrame:
     """One row for each removed passage: doc_id, start, end (code points), n_words, kept_doc_id, class_id.
 
-    class_id is the id of the kept unit or window that the passage's first one repeats; kept_doc_id is its document.
+    kept_doc_id is a document that holds the passage's first words earlier; class_id names the class of paragraphs that
+    the passage's first removed paragraph is of, and is null where exact windows alone go.
     """
-    span = max(1, min(SPAN, min_passage))
-    gram = max(1, min_passage - span + 1)
-    spark = docs.sparkSession
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    source, names = numbered(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")))
+    source = source.dropDuplicates(["id"]) if names is not None else source  # rows alike
+    parts = text_parts(source, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), part_bytes)
     bands = tune_bands(threshold, recall, rows)
-    size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
-    dealt = band_rows(source, bands, rows, n, min_words, gram, span).repartition(parts, "k")
-    unit = F.struct("doc", "number", "p1", "p2")
-    shared = dealt.groupBy("k").agg(F.min(unit).alias("v"), F.max(unit).alias("top")).where("v != top").select("k", "v")
-    met = cut(dealt.join(shared, "k").where((F.col("doc") != F.col("v.doc")) | (F.col("number") != F.col("v.number"))).select("k", "doc", "number", "p1", "p2", "v"))
-    named = met.where(F.col("number") < WINDOWS).select("k", _unit_id("doc", "number").alias("b"), _unit_id("v.doc", "v.number").alias("a"), "doc", "number", F.col("v.doc").alias("adoc"), F.col("v.number").alias("anumber"), ((F.col("p1") == F.col("v.p1")) & (F.col("p2") == F.col("v.p2"))).alias("same"))
-    equal = named.where("same").select("a", "b").distinct()
-    near = cut(named.where("not same").select("a", "b", "doc", "number", "adoc", "anumber").distinct())
-
-    wanted = near.select("doc", "number").unionByName(near.select(F.col("adoc").alias("doc"), F.col("anumber").alias("number"))).distinct()
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(u, t) of the wanted units: their documents alone are joined."""
-        by_doc = wanted.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-
-        @F.pandas_udf("array<string>")
-        def parts_of(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-            out = []
-            for t, own in zip(texts, numbers, strict=True):
-                _, starts, ends, found = units(t, min_words)
-                out.append([t[starts[found[k][0]] : ends[found[k][1] - 1]] if k < len(found) else "" for k in own])
-            return pd.Series(out)
-
-        got = source.join(by_doc, source["id"] == by_doc["doc"]).select("doc", "numbers", parts_of("t", "numbers").alias("ts"))
-        return got.select("doc", F.explode(F.arrays_zip("numbers", "ts")).alias("x")).select("doc", F.col("x.numbers").alias("number"), F.col("x.ts").alias("t")).select(_unit_id("doc", "number").alias("u"), "t").dropDuplicates(["u"])
-
-    measure = jaccard(n, False)
-    compared = equal.select("a", "b", F.lit(1.0).alias("s"))
-    if not near.isEmpty():
-        texts = cut(texts_of(wanted))
-        left, right = texts.select(F.col("u").alias("a"), F.col("t").alias("ta")), texts.select(F.col("u").alias("b"), F.col("t").alias("tb"))
-        scored = cut(near.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", measure("ta", "tb").alias("s")))
-        compared = compared.unionByName(scored)
-        label = components(compared.where(F.col("s") >= threshold).select("a", "b"))
-        # buckets with a failed pair may hold several classes whose members are linked among themselves
-        failed = scored.where(F.col("s") < threshold).select("a", "b")
-        buckets = named.where("not same").join(failed, ["a", "b"], "left_semi").select("k").distinct()
-        inside = named.join(buckets, "k", "left_semi")
-        members = inside.select("k", F.col("b").alias("id")).unionByName(inside.select("k", F.col("a").alias("id"))).distinct().join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = members.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
-        left = cut(members.join(mixed, "k"))
-        if not left.isEmpty():
-            split = [F.floor(F.col("id") / UNITS).cast("long").alias("doc"), F.pmod(F.col("id"), F.lit(UNITS)).cast("int").alias("number")]
-            compared = compared.unionByName(open_links(left, label, lambda ids: texts_of(ids.select(*split)).withColumnRenamed("u", "id"), n, threshold, False))
-    label = components(compared.where(F.col("s") >= threshold).select("a", "b"))
-    split = lambda c: [F.floor(F.col(c) / UNITS).cast("long"), F.pmod(F.col(c), F.lit(UNITS)).cast("int")]
-    (doc, number), (kept, kept_number) = split("id"), split("label")
-    lines = label.where("id != label").select(doc.alias("doc"), number.alias("a"), F.lit(-1).alias("b"), kept.alias("kept"), kept_number.alias("number"))
-    # a window goes with the words around that it shares with its first place, but for what is part of that place itself
-    inside = met.where(F.col("number") >= WINDOWS).select("doc", (F.col("number") - WINDOWS).alias("at"), F.col("v.doc").alias("kept"), F.col("v.number").alias("number"), "p1", "p2", F.col("v.p1").alias("v1"), F.col("v.p2").alias("v2"))
-    inside = inside.withColumn("before", _shared("p1", "v1", span)).withColumn("after", _shared("p2", "v2", span))
-    own_end = F.when(F.col("doc") == F.col("kept"), F.col("number") - WINDOWS + gram + F.col("after")).otherwise(0)
-    inside = inside.select("doc", F.greatest(F.col("at") - F.col("before"), own_end, F.lit(0)).cast("int").alias("a"), (F.col("at") + gram + F.col("after")).cast("int").alias("b"), "kept", "number").where("a < b")
-    by_doc = lines.unionByName(inside).groupBy("doc").agg(F.collect_set(F.struct("a", "b", "kept", "number")).alias("xs"))
-
-    @F.pandas_udf("array<struct<start:long,end:long,n_words:long,kept:long,number:int>>")
-    def passages(texts: pd.Series, xs: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, xs, strict=True):
-            _, starts, ends, found = units(t, min_words)
-            # each word's item, -1 for none, -2 for what lies between two neighbouring units that go
-            item = np.full(len(starts), -1, np.int64)
-            own = sorted(own, key=lambda x: (x["b"] < 0, x["a"], x["b"], x["kept"], x["number"]))
-            last = None
-            for i, x in enumerate(own):
-                if x["b"] >= 0:
-                    part = item[x["a"] : x["b"]]
-                    part[part < 0] = i
-                elif x["a"] < len(found):
-                    a, b = found[x["a"]]
-                    item[a:b] = i
-                    if last is not None and last + 1 == x["a"]:
-                        gap = item[found[last][1] : a]
-                        gap[gap == -1] = -2
-                    last = x["a"]
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], item != -1, [False]])))
-            runs = [(a, b, int((item[a:b] >= 0).sum())) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            out.append([{"start": int(starts[a]), "end": int(ends[b - 1]), "n_words": n, "kept": own[item[a]]["kept"], "number": own[item[a]]["number"]} for a, b, n in runs if n >= min_passage])
-        return pd.Series(out)
-
-    found = source.join(by_doc, source["id"] == by_doc["doc"]).select("id", F.explode(passages("t", "xs")).alias("p"))
-    return found.select(F.col("id").alias("doc_id"), "p.start", "p.end", "p.n_words", F.col("p.kept").alias("kept_doc_id"), _unit_id("p.kept", "p.number").cast("string").alias("class_id")).distinct()
+    gram = min(gram, min_passage)
+    shape = lambda f, *a: lambda batches: f(batches, *a)
+    scanned = source.mapInArrow(shape(scan_batches, min_passage, gram, parts, bands, rows, n, min_words), _ROWS)
+    place = F.coalesce("part", F.pmod(F.xxhash64("k", "f1", "doc"), F.lit(parts)).cast("int"))
+    done = cut(scanned.repartition(parts, place).mapInArrow(shape(sort_batches, min_passage, gram, parts), _ROWS))
+
+    met = done.where("kind = 'P'").select("k", "p", "m")
+    first = done.where("kind = 'F'").select("f1", "f2", "doc", "at", "n")
+    again = done.where("kind = 'E'").select("f1", "f2", "doc", "at", "n", "kept")
+    meets = few(met.select(F.explode(F.array("p", "m")).alias("f1")).distinct())
+    wanted = cut(first.join(meets, "f1", "left_semi"))
+    label = linked_classes(met, cut(unit_sets(source, wanted, n)), threshold, False)
+    classed = label.select(print_of("id").alias("f1"), F.split("id", ":")[1].cast("long").alias("f2"), "label")
+    own = wanted.join(classed, ["f1", "f2"])
+    top = own.groupBy("label").agg(F.min(F.struct("doc", "at")).alias("top"))
+    near = own.join(top, "label").where((F.col("doc") != F.col("top.doc")) | (F.col("at") != F.col("top.at"))).select("doc", "at", "n", F.col("top.doc").alias("kept"), F.col("label").alias("class"))
+    equal = again.join(few(classed), ["f1", "f2"], "left").select("doc", "at", "n", "kept", F.coalesce("label", F.concat_ws(":", "f1", "f2")).alias("class"))
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(_doc_part(ids.to_numpy(), parts))
+
+    lines = near.unionByName(equal).withColumn("part", part_of("doc"))
+    blocks = done.where("block is not null").select("kind", "part", "block")
+    texts = by_part(source, parts)
+
+    def asked(key_, texts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        symbols = lambda t: hash_words(line_words(t)[0])
+        return _frame(ask_windows(int(key_[0]), texts, blocks["block"].tolist(), min_passage, parts, symbols) if len(blocks) else [])
+
+    def removed(_, texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        return passages(texts, spans, min_words, min_passage)
+
+    kinds = "kind string, part int, block binary"
+    windows = texts.cogroup(blocks.where("kind = 'Q'").groupBy("part")).applyInPandas(asked, kinds).unionByName(blocks.where("kind = 'W'"))
+    dealt = windows.repartition(parts, "part").mapInPandas(lambda batches: sort_windows(batches, min_passage, parts), kinds)
+    none = [F.lit(0).cast("long").alias(c) for c in ("doc", "at", "n", "kept")]  # pandas would turn nulls among longs to floats
+    spans = dealt.unionByName(blocks.where("kind = 'R'")).select("part", "block", *none, F.lit("").alias("class")).unionByName(lines, allowMissingColumns=True)
+    result = texts.cogroup(spans.groupBy("part")).applyInPandas(removed, _PASSAGES)
+    result = named(result, names, "doc", "kept")
+    return result.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("kept").alias("kept_doc_id"), F.col("class").alias("class_id"))

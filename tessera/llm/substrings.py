@@ -80,6 +80,13 @@ class Hasher:
 
 def runs_of(data: np.ndarray, doc: int, width: int, gram: int, hasher: Hasher, base: int = 0) -> np.ndarray:
     """A RUN for each maximal run of windows with the same anchor occurrence."""
+    out = window_runs(data, np.array([0, len(data)]), np.array([doc]), width, gram, hasher)
+    out["at"] += np.uint32(base)
+    return out
+
+
+def window_runs(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, width: int, gram: int, hasher: Hasher) -> np.ndarray:
+    """A RUN for each maximal run of windows with the same anchor occurrence, of texts that follow each other."""
     if len(data) < width:
         return np.zeros(0, RUN)
     p, q = hasher.prefix(data, 0), hasher.prefix(data, 1)
@@ -94,16 +101,23 @@ def runs_of(data: np.ndarray, doc: int, width: int, gram: int, hasher: Hasher, b
     if size < span:
         left, right = best[: len(data) - width + 1], best[span - size : span - size + len(data) - width + 1]
         best = np.where(h[left] <= h[right], left, right)
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    n = np.diff(np.append(first, len(best)))
+    ok = np.ones(len(best), bool)  # windows that lie in one text
+    for e in bounds[1:-1]:
+        ok[max(0, e - width + 1) : e] = False
+    goes_on = np.zeros(len(best), bool)
+    goes_on[1:] = (best[1:] == best[:-1]) & ok[1:] & ok[:-1]
+    first = np.flatnonzero(ok & ~goes_on)
+    stops = np.append(np.flatnonzero(~goes_on), len(best))
+    n = stops[np.searchsorted(stops, first, side="right")] - first
+    of = np.searchsorted(bounds, first, side="right") - 1
     out = np.zeros(len(first), RUN)
-    out["a"], out["doc"], out["at"], out["n"] = h[best[first]], doc, first + base, n
+    out["a"], out["doc"], out["at"], out["n"] = h[best[first]], docs[of], first - bounds[of], n
     end = first + n - 1 + width
     # where the anchor stands in the run belongs to its identity, too
     at = best[first]
     out["place"] = at - first
     out["s"] = mix(hasher.of(q, 1, first, end) + out["place"].astype(np.uint64))
-    # a window holds `side` bytes or more before its anchor, or after it; 0: no window of the run does
+    # a window holds `side` symbols or more before its anchor, or after it; 0: no window of the run does
     side = -(-(width - gram) // 2)
     for name, ok, start in (("left", at - side >= first, at - side), ("right", first + n - 1 + width >= at + gram + side, at)):
         hashed = hasher.of(p, 0, start[ok], start[ok] + gram + side)
