@@ -237,31 +237,82 @@ def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: fl
     asks = placed.where("asks").select("home", "f1", "label", F.lit(1).alias("role"), F.explode(every("parts")).alias("i"), block("turns", 2).alias("j"))
     met = targets.unionByName(asks).join(sets, "f1")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        own, asks = group[group["role"] == 0], group[group["role"] == 1]
-        size = own["h"].map(len).to_numpy() // 8
-        h = np.frombuffer(b"".join(own["h"]), np.uint64)
-        w = np.frombuffer(b"".join(own["w"]), "<f4").astype(float) if count_weights else np.ones(len(h))
-        order = np.argsort(h, kind="stable")
-        doc, h, w = np.repeat(np.arange(len(own)), size)[order], h[order], w[order]
-        total = np.bincount(doc, w, minlength=len(own))
-        nodes, labels, out = own["node"].tolist(), own["label"].tolist(), []
-        for node, of, keys, weights in zip(asks["node"], asks["label"], asks["h"], asks["w"], strict=True):
-            keys = np.frombuffer(keys, np.uint64)
-            weights = np.frombuffer(weights, "<f4").astype(float) if count_weights else np.ones(len(keys))
-            low, n = np.searchsorted(h, keys, "left"), 0
-            n = np.searchsorted(h, keys, "right") - low
-            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(doc[at], np.minimum(w[at], np.repeat(weights, n)), minlength=len(own))
-            s = common / np.maximum(total + weights.sum() - common, 1e-12)
-            linked = {of}
-            for j in np.flatnonzero(s >= threshold):
-                if labels[j] not in linked and nodes[j] != node:
-                    linked.add(labels[j])
-                    out.append((node, nodes[j], float(s[j])))
-        return pd.DataFrame(out, columns=["a", "b", "s"])
-
-    return cut(met.groupBy("home", "i", "j").applyInPandas(compare, "a string, b string, s double"))
+    def compare(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            number = b[["home", "i", "j"]].ne(b[["home", "i", "j"]].shift()).any(axis=1).to_numpy()
+            last = len(b) - 1 - int(np.argmax(number[::-1]))  # the last group of the batch may go on
+            begun = held and tuple(held[-1][["home", "i", "j"]].iloc[-1]) != tuple(b[["home", "i", "j"]].iloc[0])
+            if begun or last:
+                yield block_links(pd.concat([*held, b.iloc[:last]]), threshold, count_weights)
+                held = []
+            held.append(b.iloc[last:])
+        if held:
+            yield block_links(pd.concat(held), threshold, count_weights)
+
+    return cut(met.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInPandas(compare, "a string, b string, s double"))
+
+
+def block_links(rows: pd.DataFrame, threshold: float, count_weights: bool, most: int = 1 << 21) -> pd.DataFrame:
+    """(a, b, s) of the links from asked rows to the others of their group, for rows sorted by group (home, i, j).
+
+    All groups of a batch are searched at once: a shingle's key holds its group, and what is found is checked by both.
+    Asked rows go in slices of about `most` shingles found.
+    """
+    group = np.cumsum(rows[["home", "i", "j"]].ne(rows[["home", "i", "j"]].shift()).any(axis=1).to_numpy()) - 1
+    asks = rows["role"].to_numpy() == 1
+    size = rows["h"].map(len).to_numpy() // 8
+    unpacked = lambda of: np.frombuffer(b"".join(rows["h"][of]), np.uint64)
+    weighed = lambda of: np.frombuffer(b"".join(rows["w"][of]), "<f4").astype(float) if count_weights else np.ones(int(size[of].sum()))
+    node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+    # members
+    h, w = unpacked(~asks), weighed(~asks)
+    doc = np.repeat(np.flatnonzero(~asks), size[~asks])
+    total = np.bincount(doc, w, minlength=len(rows))
+    key = h ^ mix(group[doc].astype(np.uint64))
+    order = np.argsort(key)
+    key, h, w, doc = key[order], h[order], w[order], doc[order]
+    # asked ones
+    x, v = unpacked(asks), weighed(asks)
+    by = np.repeat(np.flatnonzero(asks), size[asks])
+    own = np.bincount(by, v, minlength=len(rows))
+    sought = x ^ mix(group[by].astype(np.uint64))
+    low = np.searchsorted(key, sought, "left")
+    n = np.searchsorted(key, sought, "right") - low
+    a, b, s = [], [], []
+    ends = np.cumsum(n)
+    bounds = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
+    # slices begin where an asked row does
+    first = 0
+    while first < len(by):
+        reach = ends[first] - n[first] + most
+        after = bounds[np.searchsorted(bounds, first, "right") :]
+        fit = after[ends[after - 1] <= reach]
+        stop = int(fit[-1]) if len(fit) else int(after[0]) if len(after) else len(by)
+        if len(after) == len(fit) and ends[-1] <= reach:
+            stop = len(by)
+        part = slice(first, stop)
+        m = n[part]
+        at = np.repeat(low[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        back = np.repeat(np.arange(first, stop), m)
+        true = (h[at] == x[back]) & (group[doc[at]] == group[by[back]])
+        at, back = at[true], back[true]
+        pair = by[back] * len(rows) + doc[at]
+        pairs, place = np.unique(pair, return_inverse=True)
+        common = np.bincount(place, np.minimum(w[at], v[back]), minlength=len(pairs))
+        p, q = pairs // len(rows), pairs % len(rows)
+        share = common / np.maximum(total[q] + own[p] - common, 1e-12)
+        # an asked row's link to a class is its first one
+        good = np.flatnonzero((share >= threshold) & (label[p] != label[q]) & (node[p] != node[q]))
+        to = pd.DataFrame({"p": p[good], "class": label[q[good]]})
+        good = good[~to.duplicated().to_numpy()]
+        a.append(node[p[good]])
+        b.append(node[q[good]])
+        s.append(share[good])
+        first = stop
+    return pd.DataFrame({"a": np.concatenate([np.zeros(0, object), *a]), "b": np.concatenate([np.zeros(0, object), *b]), "s": np.concatenate([np.zeros(0), *s])})
 
 
 def set_classes(source: DataFrame, n: int, threshold: float, bands: int, rows: int, count_weights: bool) -> tuple[DataFrame, DataFrame]:

@@ -240,28 +240,53 @@ def unit_sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 _PASSAGES = "doc long, start long, end long, n_words long, kept long, class string"
 
 
+class Places:
+    """Where the words of a text stand: words are counted line by line, and looked for in the lines asked about alone."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = text.split("\n")
+        self.count = np.fromiter((len(WORD.findall(x)) for x in self.lines), np.int64, len(self.lines))
+        self.ends = np.cumsum(self.count)
+        self.start = np.cumsum([0, *(len(x) + 1 for x in self.lines)])
+        self.spans: dict[int, list[tuple[int, int]]] = {}
+
+    def of(self, word: int) -> tuple[int, int]:
+        line = int(np.searchsorted(self.ends, word, side="right"))
+        if line not in self.spans:
+            self.spans[line] = [m.span() for m in WORD.finditer(self.lines[line])]
+        a, b = self.spans[line][word - int(self.ends[line] - self.count[line])]
+        return int(self.start[line]) + a, int(self.start[line]) + b
+
+
 def passages(texts: pd.DataFrame, spans: pd.DataFrame, min_words: int, min_passage: int) -> pd.DataFrame:
     """What goes of each document of a part: the words of removed paragraphs and of repeated windows, joined."""
-    own = _join_spans(_loaded(spans.loc[spans["block"].notna(), "block"], SPAN))
+    packed = spans["block"].notna().to_numpy()
+    own = _join_spans(_loaded(spans.loc[packed, "block"], SPAN))
     inside = {int(d): own[i:j] for d, i, j in _doc_bounds(own)}
-    lines = {int(d): x.sort_values(["at", "kept", "class"]) for d, x in spans[spans["block"].isna()].groupby("doc")}
+    units_ = spans.loc[~packed, ["doc", "at", "n", "kept", "class"]].sort_values(["doc", "at", "kept", "class"])
+    lines = {int(d): (i, j) for d, i, j in _doc_bounds(units_[["doc"]].to_records(index=False))}
+    at, n, kept_doc, label_of = (units_[c].to_numpy() for c in ("at", "n", "kept", "class"))
     out = []
     for doc, t in zip(texts["id"].tolist(), texts["t"], strict=True):
         found, exact = lines.pop(doc, None), inside.pop(doc, None)
         if found is None and exact is None:
             continue
-        place = [m.span() for m in WORD.finditer(t)]
+        place = Places(t)
         # for each word the number of what it goes with, from 1; -1 for what lies between two paragraphs that go
-        item, kept = np.zeros(len(place), np.int64), [(0, "")]
+        item, kept = np.zeros(int(place.count.sum()), np.int64), [(0, "")]
         if found is not None:
-            numbers = {a: k for k, (a, _) in enumerate(units(t, min_words))}
+            some = place.count[place.count > 0]
+            first, _ = unit_bounds(some, np.zeros(len(some), np.int64), min_words)
+            number = np.searchsorted(first, at[found[0] : found[1]])
             last = None
-            for a, n, doc_kept, label in zip(*(found[c].tolist() for c in ("at", "n", "kept", "class")), strict=True):
-                item[a : a + n] = len(kept)
-                kept.append((doc_kept, label))
-                if last is not None and last[0] + 1 == numbers[a]:
-                    item[last[1] : a] = np.where(item[last[1] : a] == 0, -1, item[last[1] : a])
-                last = numbers[a], a + n
+            for k, x in enumerate(range(*found)):
+                a, b = int(at[x]), int(at[x] + n[x])
+                item[a:b] = len(kept)
+                kept.append((int(kept_doc[x]), label_of[x]))
+                if last is not None and number[k - 1] + 1 == number[k]:
+                    gap = item[last:a]
+                    gap[gap == 0] = -1
+                last = b
         for x in exact if exact is not None else ():
             part = item[x["at"] : x["at"] + x["n"]]
             part[part <= 0] = len(kept)
@@ -270,8 +295,8 @@ def passages(texts: pd.DataFrame, spans: pd.DataFrame, min_words: int, min_passa
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             gone = item[a:b][item[a:b] > 0]
             if len(gone) >= min_passage:
-                label = next((kept[k][1] for k in gone.tolist() if kept[k][1]), None)
-                out.append((doc, place[a][0], place[b - 1][1], len(gone), kept[gone[0]][0], label))
+                change = gone[np.concatenate([[True], gone[1:] != gone[:-1]])].tolist()
+                out.append((doc, place.of(a)[0], place.of(b - 1)[1], len(gone), kept[change[0]][0], next((kept[k][1] for k in change if kept[k][1]), None)))
     return pd.DataFrame(out, columns=["doc", "start", "end", "n_words", "kept", "class"])
 
 
@@ -288,7 +313,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     gram = min(gram, min_passage)
     shape = lambda f, *a: lambda batches: f(batches, *a)
     scanned = source.mapInArrow(shape(scan_batches, min_passage, gram, parts, bands, rows, n, min_words), _ROWS)
-    place = F.coalesce("part", F.pmod(F.xxhash64("k", "f1", "doc"), F.lit(parts)).cast("int"))
+    place = F.coalesce("part", F.pmod(F.xxhash64("k", "m", "f1", "doc", "at"), F.lit(parts)).cast("int"))
     done = cut(scanned.repartition(parts, place).mapInArrow(shape(sort_batches, min_passage, gram, parts), _ROWS))
 
     met = done.where("kind = 'P'").select("k", "p", "m")

@@ -582,3 +582,21 @@ def test_shingles():
     h, at = word_hashes(["a b c d e f", "a b", "", None, "B A"])
     s, to = shingles(h, at)
     assert to.tolist() == [0, 2, 3, 3, 3, 4] and len(set(s.tolist())) == 4
+
+
+def test_block_links_in_slices_equal_brute_force():
+    rng = np.random.default_rng(4)
+    rows = []
+    for home in ("a", "b", "c"):
+        base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        for k in range(12):
+            own = np.unique(np.concatenate([base[rng.random(40) < 0.95], rng.integers(0, 1 << 63, 2).astype(np.uint64)]))
+            rows += [(home, 0, 0, role, f"{home}{k}", f"{home}{k % 5}", own.tobytes(), None) for role in ((0, 1) if k % 3 else (0,))]
+    frame = pd.DataFrame(rows, columns=["home", "i", "j", "role", "node", "label", "h", "w"])
+    sets = {r.node: set(np.frombuffer(r.h, np.uint64).tolist()) for r in frame.itertuples()}
+    label = dict(zip(frame["node"], frame["label"], strict=True))
+    want = {(x, label[y]) for x in frame.loc[frame["role"] == 1, "node"] for y in sets if x[0] == y[0] and label[x] != label[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    for most in (1, 100, 1 << 21):
+        got = neardup.block_links(frame, 0.8, False, most)
+        assert {(r.a, label[r.b]) for r in got.itertuples()} == want and len(got) == len(want) > 10
+        assert all(abs(r.s - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got.itertuples())
