@@ -1,6 +1,7 @@
 """Main-text extraction from HTML by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is read as a sequence of leaf blocks, the text between two block-level tags, each with its open ancestors. A block
+A page is read as a sequence of leaf blocks, the text between two block-level tags, each with its open ancestors; other
+elements, those unknown included, stand within a block. A block
 is described by its ancestors' tags and class, id and role words, and by its text; the CRF labels blocks main text or
 not, with weights for features and for neighbouring labels, and Viterbi decodes the best labelling of the page.
 
@@ -34,8 +35,11 @@ SPACE = re.compile(r"\s+")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+#: Without text of the page: scripts, styles, controls of forms; none of them ends a block.
+RAW = frozenset("script style noscript template textarea title iframe select datalist button".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = frozenset("ul ol dl table div article section main body html aside nav header footer form td th".split())
 
@@ -64,7 +68,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
                 if path is None:
-                    path = tuple(x for x in stack if x[0] not in INLINE)
+                    path = tuple(x for x in stack if x[0] in BLOCK)
                 blocks.append(Block(text, path, linked))
             parts.clear()
         linked = 0
@@ -93,7 +97,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag in RAW:
+            if not m["end"] and not m["attrs"].endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                # a control that is never closed holds no more than its tag
+                at = close.end() if close else at if tag in ("button", "select", "datalist", "noscript") else len(page)
+            continue
+        if tag in BLOCK:
             flush()
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
@@ -102,13 +112,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     moved()
                     break
             continue
-        if tag in RAW and not m["attrs"].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
         if tag in VOID:
             continue
-        shut = CLOSES.get(tag, frozenset()) if tag in INLINE else CLOSES.get(tag, frozenset()) | {"p"}
+        shut = CLOSES.get(tag, frozenset()) | {"p"} if tag in BLOCK else CLOSES.get(tag, frozenset())
         for i in range(len(stack) - 1, -1, -1) if shut else ():
             if stack[i][0] in shut:
                 del stack[i:]
@@ -255,7 +261,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Block], l
         advert = lambda: named(("div", "div", "aside"), AD_NAMES, f"<p>{phrase(3, 30, False)}</p>" if chance(0.5) else phrase(2, 25, False), 0.0)
         note = lambda: named(("div", "section", "div"), NOTE_NAMES, f"<p>{phrase(4, 30, False)}</p><button>{phrase(1, 2, False, stop=0)}</button>" if chance(0.5) else phrase(4, 30, False))
         form = lambda: f"<form{pick(['', ' class="search"', ' id="login"'])}><label>{phrase(1, 3, False, stop=0)}</label><input name='q'><p>{phrase(2, 12, False)}</p><button>{phrase(1, 2, False, stop=0)}</button></form>"
-        side = lambda: named(("aside", "aside", "div", "section"), SIDE_NAMES, f"<h3>{phrase(1, 4, False, stop=0)}</h3>" + (f"<ul>{links(3)}</ul>" if chance(0.5) else f"<p>{phrase(5, 40, False)}</p>"))
+        side = lambda: named(("aside", "aside", "div", "section"), SIDE_NAMES, (f"<h3>{phrase(1, 4, False, stop=0)}</h3>" if chance(0.6) else "") + (f"<ul>{links(3)}</ul>" if chance(0.5) else f"<p>{phrase(5, 40, False)}</p>"))
 
         def talk() -> str:
             one = lambda: named(("div", "li", "article"), ("comment", "reply", "comment-body", "review"), f"<p>{phrase(2, 40, False)}</p>", 0.0)
@@ -284,8 +290,10 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Block], l
                     out.append(f'<p><a href="/y">{phrase(2, 6, True, stop=0.3)}</a></p>')
                 elif x < 0.95:
                     out.append(advert())
-                elif x < 0.97:
+                elif x < 0.965:
                     out.append(note())
+                elif x < 0.98:
+                    out.append(side())
                 else:
                     out.append(pick([form, side])())
             return "".join(out)

@@ -112,7 +112,7 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_lang: int = 400, total: int = 6000, clusters: int = 4, dims: int = 4096, slack: float = 0.6) -> LanguageModel:
+def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_lang: int = 400, total: int = 6000, clusters: int = 4, dims: int = 4096, slack: float = 0.5) -> LanguageModel:
     """Learns from about `per_lang` texts of each language, taken by the hash of their key and text, and `total` in all.
 
     `slack`: a text is rejected below this share of a low quantile of the cosines of training texts about as long as it.
@@ -155,7 +155,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     for y, own in made.items():
         w, beside = np.vstack([v for v, _ in own]) * idf, np.array([o for _, o in own]) * strange
         u = _unit(w)
-        c = _spherical_kmeans(u, max(1, min(clusters, len(u) // 25)))
+        c = _spherical_kmeans(u, min(clusters, max(2, len(u) // 25), len(u)))
         near.append((w @ c.T).max(1) / np.maximum(np.hypot(np.linalg.norm(w, axis=1), beside), 1e-12))
         sizes += [int(counts.sum()) for _, counts in by_lang[y]]
         langs += [y] * len(c)
@@ -182,4 +182,5 @@ def identify(model: LanguageModel, text: Column) -> Column:
                 lang[i], score[i], limit[i] = model.langs[best], min(1.0, max(0.0, float(cos[best]))), model.reject_below[_octave(len(grams))]
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": (lang == "und") | (score < limit)})
 
-    return nearest(text)
+    # else a filter on the result would have the texts read twice
+    return nearest.asNondeterministic()(text)

@@ -576,6 +576,24 @@ def test_html_edges(spark):
     assert got[1] == "A < B\none two three\nfour & five" and got[2] == got[3] == "" and got[4] == "cut" and len(got) == 6
 
 
+def test_what_stands_inside_a_paragraph_does_not_part_it():
+    text = lambda page: [b.text for b in htmltext.leaf_blocks(page)]
+    assert text("<p>one two <script>x('<p>')</script>three <my-tag>four</my-tag> <video><source src=a>five</video></p>") == ["one two three four five"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><p>a<button>Buy</button> b<canvas>c</canvas></p>") == ["if x=2 then", "a bc"]
+    assert text("<p>one<button>two<p>three") == ["onetwo", "three"] and text("<p>one<noscript><p>no</p></noscript> two") == ["one two"]
+
+
+def test_sides_controls_and_repeated_long_pages(spark):
+    rng = random.Random(31)
+    line = lambda n: prose(rng, n).capitalize() + "."
+    paragraphs_ = [line(40) for _ in range(400)]
+    inner = "".join(f"<p>{p}</p>" + ("<button>Share it</button>" if k % 50 == 9 else "") for k, p in enumerate(paragraphs_))
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{inner}</article><aside><p>{line(12)}</p></aside><footer>c</footer></body></html>"
+    df = spark.createDataFrame([(1, "u", page, "a", 1), (1, "u", page, "b", 2), (2, "u", "", "c", 3)], "page_id long, url string, html string, text string, n_chars int")
+    got = df.select("page_id", htmltext.extract(F.col("html")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["\n".join(["Title", *paragraphs_])] * 2 + [""]
+
+
 # shared
 
 
