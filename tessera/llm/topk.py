@@ -5,12 +5,14 @@ binary digit. For a query, the bitmaps of all dimensions are added with the quer
 whole bitmaps, which gives the bitmaps of the scores' digits. The top rows are read off from the most significant digit
 downward; rows tied at the boundary are resolved by their exact scores and ids.
 
-Each block of rows meets each block of queries in a row of its own, so a task holds one of each; a query's best k of
-each block are then ranked. Nothing reaches the driver but counts.
+Blocks of queries are sent to each block of rows, which stays in place, and stream through its task, so a task holds one
+of each; where blocks of rows are fewer than `tasks`, each goes to some places, which share the queries. A query's best
+k of each block are then ranked. Nothing reaches the driver but counts.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no part; a query has
-candidates of its own length only; ties go to the smaller id; rows with the query's own id are no candidates; rows
-that repeat another id are candidates each, and a query id that repeats is asked once, with its smallest vector. Scores are exact integers and must fit 64 bits.
+candidates of its own length only; ties go to the smaller id. The query's own row is no candidate; other rows with its id
+are, and each row of a query id that repeats is asked by itself. Components so large that scores could leave 64 bits
+raise an error.
 """
 
 from __future__ import annotations
@@ -103,22 +105,26 @@ def top_rows(digits: list[int], allowed: int, k: int) -> list[int]:
     return out
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", scale: int = 256, k: int = 5, block_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+def row_at(low: np.ndarray, slices: list[list[int]], place: int) -> list[int]:
+    """The row at a place of the index."""
+    return [lo + sum((b >> place & 1) << j for j, b in enumerate(own)) for lo, own in zip(low.tolist(), slices, strict=True)]
+
+
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", scale: int = 256, k: int = 5, block_rows: int = 8192, query_rows: int = 256, tasks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where `queries` holds."""
     v = F.col(vector)
     rows = vectors.where(usable(v) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"), F.size(v).alias("dim"), queries.alias("asks")
     )
-    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))) * F.sqrt("dim")).alias("top")).first()
+    if (count["top"] or 0) >= 2**31:
+        raise ValueError("scores may not fit 64 bits")
     blocks, asked = max(1, -(-count["n"] // block_rows)), max(1, -(-count["q"] // query_rows))
+    copies = min(asked, max(1, -(-tasks // blocks)))
 
-    def packed(out: str):
-        def pack(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("id", kind="stable")
-            values = np.stack([np.asarray(x, np.int64) for x in part["v"]])
-            return pd.DataFrame({"dim": part["dim"].iloc[:1].to_numpy(), out: part[out].iloc[:1].to_numpy(), f"{out}_ids": [part["id"].to_numpy(np.int64).tobytes()], f"{out}_v": [values.tobytes()]})
-
-        return pack
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack([np.asarray(x, np.int64) for x in part["v"]])
+        return pd.DataFrame({"dim": part["dim"].iloc[:1].to_numpy(), "q": part["q"].iloc[:1].to_numpy(), "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_v": [values.tobytes()]})
 
     def indexed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
@@ -127,11 +133,11 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
         size = -(-len(part) // 8)
         return pd.DataFrame({"dim": [dim], "block": part["block"].iloc[:1].to_numpy(), "ids": [part["id"].to_numpy(np.int64).tobytes()], "low": [low.astype(np.int64).tobytes()], "digits": [[len(s) for s in slices]], "slices": [b"".join(b.to_bytes(size, "little") for s in slices for b in s)]})
 
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     index = rows.withColumn("block", spread(blocks)).groupBy("dim", "block").applyInPandas(indexed, "dim int, block int, ids binary, low binary, digits array<int>, slices binary")
-    single = rows.where("asks").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
-    asks = single.withColumn("q", spread(asked)).groupBy("dim", "q").applyInPandas(packed("q"), "dim int, q int, q_ids binary, q_v binary")
-    pairs = index.join(asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["dim", "block"]).repartition("dim", "block", "q")
+    asks = rows.where("asks").withColumn("q", spread(asked)).groupBy("dim", "q").applyInPandas(packed, "dim int, q int, q_ids binary, q_v binary")
+    every_copy, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (copies, blocks))
+    pairs = index.withColumn("copy", every_copy).join(asks.withColumn("copy", F.pmod("q", F.lit(copies))).withColumn("block", every_block), ["dim", "block", "copy"])
 
     def best(batches):
         for b in batches:
@@ -144,13 +150,14 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
                 every = (1 << len(ids)) - 1
                 found = []
                 q_ids = np.frombuffer(r.q_ids, np.int64)
-                for q, query in zip(q_ids.tolist(), np.frombuffer(r.q_v, np.int64).reshape(len(q_ids), -1), strict=True):
+                for number, (q, query) in enumerate(zip(q_ids.tolist(), np.frombuffer(r.q_v, np.int64).reshape(len(q_ids), -1), strict=True)):
                     digits, away = scores_of(query, low, slices, every)
-                    own = ((1 << int(np.searchsorted(ids, q, "right"))) - 1) ^ ((1 << int(np.searchsorted(ids, q, "left"))) - 1)
+                    same = range(int(np.searchsorted(ids, q, "left")), int(np.searchsorted(ids, q, "right")))
+                    own = next((1 << p for p in same if row_at(low, slices, p) == query.tolist()), 0)
                     for p in top_rows(digits, every ^ own, k):
-                        found.append((q, int(ids[p]), sum((d >> p & 1) << j for j, d in enumerate(digits)) - away))
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                        found.append((r.dim, r.q << 32 | number, q, int(ids[p]), sum((d >> p & 1) << j for j, d in enumerate(digits)) - away))
+                yield pd.DataFrame(found, columns=["dim", "ask", "query_id", "vec_id", "score"])
 
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best_of = pairs.mapInPandas(best, "query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("dim", "ask").orderBy(F.desc("score"), "vec_id")
+    best_of = pairs.mapInPandas(best, "dim int, ask long, query_id long, vec_id long, score long")
     return best_of.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

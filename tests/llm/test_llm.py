@@ -358,7 +358,10 @@ def test_topk_edges(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-1.0, 2.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (50, [0.0, -0.001])]
     df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double, id int")
     got = topk.search(df, F.col("vec_id") % 50 == 0, k=2, block_rows=2, query_rows=1)
-    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 32768), (0, 2, 2, 32768), (50, 1, 0, 0), (50, 2, 0, 0)]
+    # a query's own row alone is no candidate: both rows of id 0 are asked, and each finds the other
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 65536), (0, 1, 0, 65536), (0, 2, 1, 32768), (0, 2, 1, 32768), (50, 1, 0, 0), (50, 2, 0, 0)]
+    with pytest.raises(ValueError):
+        topk.search(spark.createDataFrame([(0, [1e12, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
