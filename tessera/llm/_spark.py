@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new one, if all run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessera-")
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
 
 
 def cut(df: DataFrame) -> DataFrame:

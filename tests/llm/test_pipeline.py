@@ -68,3 +68,17 @@ def test_texts_under_one_id_are_documents_of_their_own(spark):
     assert [r[2] for r in out if r[1] == texts[0]] == ["de"]  # of rows alike in id and text the least
     got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect())
     assert got == sorted([(3, 3), (7, 3), *[(7, 7)] * 13, (9, 7), (11, 11)])
+
+
+def test_long_texts_extra_columns_and_clashing_names(spark, tmp_path):
+    rng = random.Random(8)
+    long = prose(rng, 40_000)
+    rows = [(1, long, "en", "s", len(long), "a", 1, 2), (2, long, "en", "s", len(long), "b", 3, 4), (3, "", "en", "s", 0, "c", 5, 6), (4, prose(rng, 300), None, "s", 7, "d", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, found string, marked_id int, clean int")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert {tuple(r)[5:] for r in docs.collect()} == {("a", 1, 2), ("d", 7, 8)}
