@@ -13,12 +13,21 @@ from tessera.llm import decontam, langid, neardup, packing, secrets
 from tessera.llm._spark import few, fresh_dir, small_batches
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents far from every known language, or without a letter, go; a missing lang is filled in."""
+    """Documents far from every known language go, and so do those without a letter, null texts among them; a missing
+    lang is filled in."""
     small_batches(spark)
     model = langid.fit(docs)
-    read = docs.select(*docs.columns, langid.identify(model, F.col("text")).alias("__language")).where(~F.col("__language.rejected"))
-    return read.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
+    found = spare(docs, "found")
+    read = docs.select("*", langid.identify(model, F.col("text")).alias(found)).where(~F.col(found).getField("rejected"))
+    return read.withColumn("lang", F.coalesce("lang", F.col(found).getField("lang_pred"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     small_batches(spark)
     found = neardup.text_classes(docs).where("not first or n > 1")
-    marks = few(found.select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("first").alias("__first")))
-    own = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__print"))
-    once = docs.join(marks, own, "left_anti")
-    alike = docs.join(marks.where("__first"), own).groupBy("__id", "__print").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    id_, print_, row = (spare(docs, x) for x in ("marked_id", "marked_print", "row"))
+    marks = few(found.select(F.col("id").alias(id_), F.col("print").alias(print_), "first"))
+    own = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(print_))
+    once = docs.join(marks.drop("first"), own, "left_anti")
+    alike = docs.join(marks.where("first").drop("first"), own).groupBy(id_, print_).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return once.unionByName(alike)
 
 
@@ -44,9 +54,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows the text."""
     small_batches(spark)
-    clean = docs.withColumn("__clean", secrets.redact(F.col("text")))
-    moved = F.col("__clean").isNotNull() & (F.col("__clean") != F.col("text"))
-    return clean.withColumn("n_chars", F.when(moved, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", F.col("__clean")).select(*docs.columns)
+    name = spare(docs, "clean")
+    clean = docs.withColumn(name, secrets.redact(F.col("text")))
+    moved = F.col(name).isNotNull() & (F.col(name) != F.col("text"))
+    return clean.withColumn("n_chars", F.when(moved, F.length(name).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", F.col(name)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
