@@ -3,23 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import settled
+from tessera.operators.tables import numbered_rows, small
 
 
+#: Buckets of a hash, in which rows are counted before the one where a class's last chosen row lies is sorted.
+BUCKETS = 1 << 16
+
+
+def lowest_by_hash(df: DataFrame, label: str, key: str, wanted: DataFrame, seed: int) -> DataFrame:
+    """Adds `chosen`: for each class as many rows as `wanted` (label, k) says, those of lowest key hash.
+
+    Rows are counted by class and leading bits of the hash; below the bucket that holds a class's last row all are
+    chosen, and only that bucket's rows are ranked, so no window holds a class.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(key, F.lit(seed))).withColumn("__b", F.shiftright("__h", 48))
+    counts = hashed.groupBy(F.col(label).alias("__c"), "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__c").orderBy("__b")) - F.col("__n")  # at most BUCKETS rows a class
+    edge = counts.withColumn("__before", before).join(wanted.select(F.col(label).alias("__c"), F.col("k").alias("__k")), "__c")
+    edge = small(edge.where((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__n") >= F.col("__k"))).select("__c", F.col("__b").alias("__edge"), (F.col("__k") - F.col("__before")).alias("__rest")))
+    placed = hashed.join(edge, hashed[label] == edge["__c"], "left")
+    inside = F.coalesce(F.col("__b") == F.col("__edge"), F.lit(False))
+    settled_ = placed.where(~inside).withColumn("chosen", F.coalesce(F.col("__b") < F.col("__edge"), F.lit(False)))
+    ranked = F.row_number().over(Window.partitionBy(label).orderBy("__h", key))
+    last = placed.where(inside).withColumn("chosen", ranked <= F.col("__rest"))  # one bucket of each class
+    return settled_.unionByName(last).drop("__h", "__b", "__c", "__edge", "__rest")
+
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds `test`: exactly ceil(share * n) rows of each class, chosen by the hash of their key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    sizes = df.groupBy(label).agg(F.ceil(F.count("*") * test_share).alias("__k"))
-    return df.withColumn("__r", F.row_number().over(order)).join(F.broadcast(sizes), label).withColumn("test", F.col("__r") <= F.col("__k")).drop("__r", "__k")
+    sizes = df.groupBy(label).agg(F.ceil(F.count("*") * test_share).alias("k"))
+    return lowest_by_hash(df, label, key, sizes, seed).withColumnRenamed("chosen", "test")
 
 
 def fit_scaler(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -115,61 +137,80 @@ def resample_targets(df: DataFrame, label: str, share: float = 0.75) -> DataFram
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Every class down to the smallest one's size, by the hash of the key."""
-    targets = resample_targets(df, label).select(label, "under_target")
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return df.join(F.broadcast(targets), label).withColumn("__r", F.row_number().over(order)).where("__r <= under_target").drop("__r", "under_target")
+    targets = resample_targets(df, label).select(label, F.col("under_target").alias("k"))
+    return lowest_by_hash(df, label, key, targets, seed).where("chosen").drop("chosen")
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """(query, id, d, rank): the k nearest rows of each query; rows with the query's own key are left out.
+#: Rows of a block that queries meet; its vectors lie in one row of a task.
+BLOCK_ROWS = 1024
+
+
+def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, within: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query, key, d, rank, carried columns): the k nearest rows of each query; rows with the query's own key are left out.
 
-    A stated set of queries meets all rows in blocks: queries are copied to each block, never collected; every block
-    keeps its k best for each query before they are ranked.
+    A stated set of queries meets all rows (of its own group, if `within` names one) in blocks: a block's rows are one
+    array, a query is copied to each block, and the k best of a block are picked inside the row, so that no pair of a
+    query and a row is a row itself. The bests are then ranked. Nothing is collected.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    pairs = q.join(r, "block").where(F.col("query") != F.col(key)).withColumn("d", F.round(_distance(F.col(vector), F.col("qv")), 9))
-    rank = Window.partitionBy("query").orderBy("d", key)
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("qv", "block", vector)
+    group = F.col(within) if within else F.lit(0)
+    sizes = small(rows.groupBy(group.alias("__g")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("__blocks")))
+    member = F.struct(F.col(key).alias("key"), F.col(vector).alias("vector"), *[F.col(c).alias(f"__{c}") for c in carry])
+    placed = rows.withColumn("__g", group).join(sizes, "__g").withColumn("__b", F.pmod(F.xxhash64(key, F.lit(5)), F.col("__blocks")).cast("int"))
+    blocks = placed.groupBy("__g", "__b").agg(F.collect_list(member).alias("__members"))
+    asks = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), group.alias("__g")).join(sizes, "__g").withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    others = F.filter("__members", lambda m: m["key"] != F.col("query"))
+    measured = F.transform(others, lambda m: F.struct(F.round(_distance(m["vector"], F.col("qv")), 9).alias("d"), m["key"].alias("key"), *[m[f"__{c}"].alias(f"__{c}") for c in carry]))
+    near = asks.join(blocks, ["__g", "__b"]).select("query", F.explode(F.slice(F.array_sort(measured), 1, k)).alias("x"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("x.d", "x.key"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", F.col("x.key").alias(key), F.col("x.d").alias("d"), "rank", *[F.col(f"x.__{c}").alias(c) for c in carry])
 
 
 def knn_predict(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
     """(query, predicted) by the majority of the k nearest; ties go to the smaller label."""
-    near = neighbours(queries, rows.select(key, vector, label), key, vector, k)
+    near = neighbours(queries, rows, key, vector, k, carry=(label,))
     return near.groupBy("query").agg(F.mode(label, True).alias("predicted"))
 
 
+def fold_of(key: str, folds: int):
+    """The fold of a row: by the CRC-32 of its key's text."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+
+
 def choose_k(rows: DataFrame, key: str, vector: str, label: str, ks: list[int], folds: int = 5) -> DataFrame:
-    """(k, accuracy) by cross-validation over hashed folds; the neighbours are found once, for the largest k."""
-    fold = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(folds))
-    q = rows.select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.col(label).alias("truth"), fold(key).alias("f")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("g <> f").drop("f")
-    r = rows.select(key, vector, label, fold(key).alias("g"))
-    near = q.join(r, "g").withColumn("d", F.round(_distance(F.col(vector), F.col("qv")), 9))
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", key))).where(F.col("rank") <= max(ks))
-    votes = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k").groupBy("k", "query", "truth").agg(F.mode(label, True).alias("p"))
+    """(k, accuracy) by cross-validation over hashed folds; the neighbours are found once, for the largest k.
+
+    A row is asked once against each other fold, and its nearest of all those are ranked.
+    """
+    every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda g: g != fold_of(key, folds)))
+    asked = rows.select(key, vector, every.alias("__fold"))
+    known = rows.select(key, vector, label, fold_of(key, folds).cast("int").alias("__fold"))
+    near = neighbours(asked, known, key, vector, max(ks), "__fold", (label,))
+    truth = rows.select(F.col(key).alias("query"), F.col(label).alias("truth"))
+    votes = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k").groupBy("k", "query").agg(F.mode(label, True).alias("p")).join(truth, "query")
     return votes.groupBy("k").agg(F.avg((F.col("p") == F.col("truth")).cast("double")).alias("accuracy"))
 
 
 def smote(df: DataFrame, key: str, vector: str, label: str, share: float = 0.75, k: int = 5, seed: int = 42) -> DataFrame:
-    """Synthetic rows (label, vector) that lift each class to its target: points between a row and a neighbour of its class.
+    """Synthetic rows (label, query, near, u, vector) that lift each class to its target: points between a row and a
+    neighbour of its class, u of the way.
 
-    The neighbour is one of the k nearest, or of all where a class has fewer; a class of one row has none and is not lifted.
+    The neighbour is one of the k nearest, or of all where a class has fewer; a class of one row has none and is not
+    lifted. Every row of a class is taken equally often, and the rows of lowest key hash once more for what remains.
     """
-    wanted = resample_targets(df, label, share).select(label, (F.col("smote_target") - F.col("n")).alias("more"), "n").where("more > 0")
-    rows = df.join(F.broadcast(wanted), label)
-    copies = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("more") / F.col("n")).cast("int"))))
-    order = Window.partitionBy(label).orderBy("i", F.xxhash64(key, F.lit(seed)), key)
-    base = copies.withColumn("__r", F.row_number().over(order)).where("__r <= more").select(F.col(key).alias("query"), F.col(vector).alias("qv"), label, "i", "n")
-    pairs = rows.select(F.col(key).alias("query"), F.col(vector).alias("qv"), label).join(rows.select(key, F.col(vector).alias("nv"), label), label).where(F.col("query") != F.col(key))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(_distance(F.col("nv"), F.col("qv")), key))).where(F.col("rank") <= k).select("query", "rank", "nv")
+    wanted = resample_targets(df, label, share).select(label, (F.col("smote_target") - F.col("n")).alias("more"), "n").where("more > 0 and n > 1")
+    rows = df.join(small(wanted), label)
+    extra = lowest_by_hash(rows, label, key, wanted.select(label, (F.col("more") % F.col("n")).alias("k")), seed)
+    times = (F.floor(F.col("more") / F.col("n")) + F.col("chosen").cast("int")).cast("int")
+    base = extra.where(times > 0).withColumn("i", F.explode(F.sequence(F.lit(1), times))).select(F.col(key).alias("query"), F.col(vector).alias("qv"), label, "i", "n")
+    near = neighbours(rows, rows, key, vector, k, label, (vector,)).select("query", "rank", F.col(key).alias("near"), F.col(vector).alias("nv"))
     u = lambda s: (F.pmod(F.xxhash64("query", "i", F.lit(seed + s)), F.lit(1_000_003)) / 1_000_003.0)
     there = F.least(F.lit(k), F.col("n") - 1)  # a small class has fewer neighbours than k
-    picked = base.withColumn("rank", (F.floor(u(1) * there) + 1).cast("int")).join(near, ["query", "rank"])
-    return picked.select(label, F.zip_with("qv", "nv", lambda a, b: a + (b - a) * u(2)).alias(vector))
+    picked = base.withColumn("rank", (F.floor(u(1) * there) + 1).cast("int")).join(near, ["query", "rank"]).withColumn("u", u(2))
+    return picked.select(label, "query", "near", "u", F.zip_with("qv", "nv", lambda a, b: a + (b - a) * F.col("u")).alias(vector))
 
 
 def expanding_folds(df: DataFrame, order: list[str], folds: int = 4) -> DataFrame:
@@ -180,13 +221,9 @@ def expanding_folds(df: DataFrame, order: list[str], folds: int = 4) -> DataFram
     n = df.count()
     size = n // (folds + 1)
     first = n - folds * size
-    numbered = settled(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
-    ranked = numbered.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
-    sizes = ranked.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.col("__before") + F.col("__i")
+    at = F.col("__at")
     part = F.when(at < first, 0).otherwise(F.floor((at - first) / max(1, size)) + 1)
-    return ranked.join(before, "__p").withColumn("part", part.cast("int")).drop("__m", "__p", "__i", "__n", "__before")
+    return numbered_rows(df, order, "__at").withColumn("part", part.cast("int")).drop("__at")
 
 
 def search(df: DataFrame, candidates: list[dict], score: Callable[[dict, DataFrame, DataFrame], float], folds: int = 4) -> list[tuple[float, dict]]:
@@ -196,3 +233,35 @@ def search(df: DataFrame, candidates: list[dict], score: Callable[[dict, DataFra
         scores = [score(c, df.where(F.col("part") <= i), df.where(F.col("part") == i + 1)) for i in range(folds)]
         out.append((sum(scores) / folds, c))
     return sorted(out, key=lambda x: -x[0])
+
+
+def compare_strategies(train: DataFrame, test: DataFrame, label: str, strategies: dict[str, Callable[[DataFrame], DataFrame]], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], classes: list[str]) -> DataFrame:
+    """(strategy, train_rows, metrics), the best macro-F1 first: each strategy resamples the training rows, `fit` gives a
+    function that adds `predicted`, and all are measured on the same test rows. Work is a job for each strategy."""
+    tables = []
+    for name, resample in strategies.items():
+        own = resample(train)
+        out = fit(own)(test)
+        one = overall_metrics(confusion(out, label, "predicted", classes))
+        tables.append(one.select(F.lit(name).alias("strategy"), F.lit(own.count()).alias("train_rows"), "accuracy", "balanced_accuracy", "macro_f1"))
+    return reduce(DataFrame.unionByName, tables).orderBy(F.desc("macro_f1"), "strategy")
+
+
+def load_model(path: str, columns: list[str], classes: list[str]):
+    """A stored pipeline whose contract holds: its label classes are the expected ones, its inputs the expected columns."""
+    model = PipelineModel.load(path)
+    labels = next((list(s.labels) for s in model.stages if hasattr(s, "labels")), None)
+    made = {c for s in model.stages for c in _named(s, "outputCol") + _named(s, "outputCols")}
+    asked = {c for s in model.stages for c in _named(s, "inputCol") + _named(s, "inputCols")} - made
+    wanted = set(columns)
+    target = next((c for s in model.stages if hasattr(s, "labels") for c in _named(s, "inputCol")), None)
+    if labels != classes or asked - {target} != wanted:
+        raise ValueError(f"model contract: classes {labels}, columns {sorted(asked - {target})}")
+    return model
+
+
+def _named(stage, param: str) -> list[str]:
+    if not stage.hasParam(param) or not stage.isDefined(param):
+        return []
+    value = stage.getOrDefault(param)
+    return [value] if isinstance(value, str) else list(value)

@@ -80,9 +80,16 @@ def validate(df: DataFrame, contract: Contract, missing_policy: str = "warn", un
     rules = conditions(contract, present)
     severity = {"missing_value": missing_policy, "unseen_category": unseen_policy}
     name = lambda code, feature: "error" if code not in severity or severity[code] == "reject" or (code == "unseen_category" and feature in contract.controlled) else "warning"
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(code).alias("code"), F.lit(name(code, f)).alias("severity"), F.lit(f).alias("feature"), F.count_if(cond).alias("count"), (F.countDistinct(value) if value is not None else F.lit(None)).cast("long").alias("distinct_count")) for i, (code, f, cond, value) in enumerate(rules)]
-    one = df.agg(F.count("*").alias("n"), F.array(*cells).alias("cells") if cells else F.array().cast(f"array<struct<i:int,code:string,severity:string,feature:string,count:bigint,distinct_count:bigint>>").alias("cells"))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(code).alias("code"), F.lit(name(code, f)).alias("severity"), F.lit(f).alias("feature"), F.count_if(cond).alias("count")) for i, (code, f, cond, _) in enumerate(rules)]
+    one = df.agg(F.count("*").alias("n"), F.array(*cells).alias("cells") if cells else F.array().cast("array<struct<i:int,code:string,severity:string,feature:string,count:bigint>>").alias("cells"))
     rows = one.select("n", F.explode("cells").alias("c")).select("c.*", "n").where("count > 0")
+    # distinct values are counted apart, from each value's rows combined on the map side
+    told = [F.struct(F.lit(i).alias("i"), value.alias("value")) for i, (_, _, _, value) in enumerate(rules) if value is not None]
+    if told:
+        unlike = df.select(F.explode(F.filter(F.array(*told), lambda x: x["value"].isNotNull())).alias("x")).groupBy("x.i", "x.value").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("distinct_count"))
+        rows = rows.join(F.broadcast(unlike), "i", "left")  # a row for each rule
+    else:
+        rows = rows.withColumn("distinct_count", F.lit(None).cast("long"))
     found = rows.select("i", "code", "severity", "feature", "count", (F.col("count") / F.greatest("n", F.lit(1))).alias("rate"), "distinct_count")
     shape = [("missing_column", c) for c in sorted(expected - present)] + [("unexpected_column", c) for c in sorted(present - expected)]
     fixed = spark.createDataFrame([(k - len(shape), code, "error", c, 1, 1.0, None) for k, (code, c) in enumerate(shape)], f"i int, {ISSUE}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ STOP_WORDS = tuple("i me my we our you your he him his she her it its they them
 NEGATIONS = ("not", "no", "nor", "n't", "never")
 
 
+def clean_ascii(c: Column) -> Column:
+    """Lower case; addresses, mentions, hash signs, then all but a-z, 0-9 and white space give way to a space, and white
+    space is joined."""
+    out = F.lower(c)
+    for pattern, by in ((r"(?U)http\S+|www\S+", " "), (r"(?U)@\w+", " "), ("#", " "), (r"(?U)[^a-z0-9\s]", " "), (r"(?U)\s+", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
 def clean(c: Column) -> Column:
     """Lower case; URLs, mentions, hash signs and other signs go; white space is joined. Letters are Unicode's."""
     out = F.lower(c)
@@ -59,7 +70,7 @@ def vocabulary(df: DataFrame, words: Column, size: int = 10_000) -> DataFrame:
 
 def sequences(df: DataFrame, key: str, words: Column, vocab: DataFrame, length: int = 200) -> DataFrame:
     """(key, ids): word ids in order, cut or padded with 0 at the end."""
-    long = df.select(key, F.posexplode_outer(words).alias("p", "term"))
+    long = df.select(key, F.posexplode_outer(F.slice(words, 1, length)).alias("p", "term"))  # what is cut is never joined
     ids = long.join(small(vocab), "term", "left").select(F.col(key).alias("__key"), "p", F.when(F.col("term").isNotNull(), F.coalesce("index", F.lit(1))).alias("__id"))
     lists = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.when(F.col("__id").isNotNull(), F.struct("p", "__id")))).alias("x"))
     return lists.select(F.col("__key").alias(key), F.slice(F.concat(F.transform("x", lambda e: e["__id"].cast("int")), F.array_repeat(F.lit(0), length)), 1, length).alias("ids"))
@@ -67,8 +78,10 @@ def sequences(df: DataFrame, key: str, words: Column, vocab: DataFrame, length:
 
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """(index, vector, found) for the pad (zeros), the unknown word and each term; misses get normal noise of 0.05."""
-    noise = F.array(*[(F.randn(seed + i) * 0.05).cast("float") for i in range(size)])
+    # two uniform numbers by hash make a normal one, the same whenever a task runs again
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64("index", F.lit(seed), F.lit(i)), 11) + 0.5) / float(1 << 53)
+    noise = F.array(*[(F.sqrt(-2 * F.ln(u(2 * i))) * F.cos(2 * math.pi * u(2 * i + 1)) * 0.05).cast("float") for i in range(size)])
     rows = vocab.join(vectors.withColumnRenamed("word", "term"), "term", "left").select("index", F.coalesce("vector", noise).alias("vector"), F.col("vector").isNotNull().alias("found"))
     spark = vocab.sparkSession
-    extra = spark.range(2).select(F.col("id").cast("int").alias("index"), F.when(F.col("id") == 0, F.array_repeat(F.lit(0.0).cast("float"), size)).otherwise(noise).alias("vector"), F.lit(False).alias("found"))
+    extra = spark.range(2).select(F.col("id").cast("int").alias("index")).select("index", F.when(F.col("index") == 0, F.array_repeat(F.lit(0.0).cast("float"), size)).otherwise(noise).alias("vector"), F.lit(False).alias("found"))
     return rows.unionByName(extra)

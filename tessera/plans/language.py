@@ -17,6 +17,7 @@ def posts(s, d):
 # DuckDB's regular expressions take Unicode classes by name; Spark's do with (?U)
 _W = r"\p{L}\p{M}\p{N}"
 CLEAN = r"trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', '', 'g'), '@[" + _W + r"_]+', '', 'g'), '#', ''), '[^" + _W + r"\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+CLEAN_ASCII = r"trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), 'http\S+|www\S+', ' ', 'g'), '@[" + _W + r"_]+', ' ', 'g'), '#', ' '), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 TOKENS = f"list_filter(string_split_regex({CLEAN}, '\\s+'), lambda t: t <> '')"
 RAW = r"list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda t: t <> '')"
 STOPS = "[" + ", ".join(f"'{w}'" for w in x.STOP_WORDS) + "]"
@@ -26,6 +27,10 @@ def cleaned(s, d):
     return posts(s, d).select("doc_id", x.clean(F.col("text")).alias("clean"))
 
 
+def cleaned_ascii(s, d):
+    return posts(s, d).select("doc_id", x.clean_ascii(F.col("text")).alias("clean"))
+
+
 def stopped(s, d):
     return posts(s, d).select("doc_id", x.prepared(F.col("text")).alias("prepared"))
 
@@ -35,12 +40,12 @@ def top_words(s, d):
 
 
 def vocab(s, d):
-    return x.vocabulary(posts(s, d), x.tokens(F.lower("text")), 1000).select("term", F.col("index").cast("bigint").alias("index"))
+    return x.vocabulary(posts(s, d), x.tokens(F.lower("text"))).select("term", F.col("index").cast("bigint").alias("index"))
 
 
 def padded(s, d):
     words = x.tokens(F.lower("text"))
-    seq = x.sequences(posts(s, d), "doc_id", words, x.vocabulary(posts(s, d), words, 1000), 50)
+    seq = x.sequences(posts(s, d), "doc_id", words, x.vocabulary(posts(s, d), words))
     return seq.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
@@ -70,17 +75,18 @@ def matrix(s, d):
 
 
 _TERMS = f"(select term, count(*) n from (select unnest({RAW}) term from documents) group by 1)"
-_VOCAB = f"(select term, row_number() over (order by n desc, term) + 1 as index from {_TERMS} order by n desc, term limit 998)"
+_VOCAB = f"(select term, row_number() over (order by n desc, term) + 1 as index from {_TERMS} order by n desc, term limit 9998)"
 
 QUERIES = {
     "text_clean": (cleaned, f"select doc_id, {CLEAN} clean from documents"),
+    "text_clean_ascii": (cleaned_ascii, f"select doc_id, {CLEAN_ASCII} clean from documents"),
     "text_prepared": (stopped, f"select doc_id, array_to_string(list_filter({TOKENS}, lambda t: not list_contains({STOPS}, t)), ' ') prepared from documents"),
     "token_top_words": (top_words, f"select term, n from {_TERMS} order by n desc, term limit 30"),
     "vocab_index": (vocab, f"select * from {_VOCAB}"),
-    "pad_sequences": (padded, f"with v as (select * from {_VOCAB}), w as (select doc_id, unnest({RAW}) term, generate_subscripts({RAW}, 1) p from documents), i as (select doc_id, list(coalesce(v.index, 1) order by p) ids from w left join v using (term) group by 1) select d.doc_id, array_to_string(list_slice(list_concat(coalesce(ids, []), list_transform(range(50), lambda z: 0)), 1, 50), ' ') ids from documents d left join i using (doc_id)"),
+    "pad_sequences": (padded, f"with v as (select * from {_VOCAB}), w as (select doc_id, unnest({RAW}) term, generate_subscripts({RAW}, 1) p from documents), i as (select doc_id, list(coalesce(v.index, 1) order by p) ids from w left join v using (term) group by 1) select d.doc_id, array_to_string(list_slice(list_concat(coalesce(ids, []), list_transform(range(200), lambda z: 0)), 1, 200), ' ') ids from documents d left join i using (doc_id)"),
     "text_length_by_label": (lengths, "select quality, count(*) n, round(avg(length(text)), 6) mean_length, median(length(text)) median_length from labels join documents using (doc_id) group by 1"),
     "dedup_keep_first": (dedup, "select doc_id, lang from documents qualify row_number() over (partition by text order by doc_id) = 1"),
     "label_decode": (labels, "select doc_id, case quality when 0 then 'Negative' when 1 then 'Positive' end sentiment from labels"),
     "lemma_map": (lemmas, f"select doc_id, len(list_filter({TOKENS}, lambda t: t in ('is', 'be'))) n_be from documents"),
-    "embedding_matrix": (matrix, None),
+    "embedding_matrix": (matrix, "select 100 n, (select count(*) from range(2, 100) r(i) where i % 3 = 0) n_found, 8 * 100 numbers"),
 }
