@@ -107,6 +107,23 @@ def calendar(c, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_year": F.year(col(c)), f"{prefix}_month": F.month(col(c)), f"{prefix}_quarter": F.quarter(col(c)), f"{prefix}_day_of_week": weekday(c), f"{prefix}_is_weekend": is_weekend(c)}
 
 
+def day_first_time(c) -> Column:
+    """A time written as day-month-year hours:minutes; NULL where it is none."""
+    return F.try_to_timestamp(col(c), F.lit("dd-MM-yyyy HH:mm")).cast("timestamp_ntz")
+
+
+def strict_time(c, name: str = "time") -> Column:
+    """An ISO time; a text that is none fails the job, and NULL stays NULL."""
+    read = col(c).try_cast("timestamp_ntz")
+    bad = F.raise_error(F.concat(F.lit(f"{name} is no time: "), col(c).cast("string"))).cast("timestamp_ntz")
+    return F.when(col(c).isNull() | read.isNotNull(), read).otherwise(bad)
+
+
+def new_id() -> Column:
+    """A random UUID, another one each time a row is computed."""
+    return F.uuid()
+
+
 def iso_utc(c) -> Column:
     """ISO 8601 with microseconds and Z; the session's zone is UTC."""
     return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

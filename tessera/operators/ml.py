@@ -85,7 +85,9 @@ def predicted(model: Model, df: DataFrame, classes: list[str]) -> DataFrame:
     """Adds prediction by name, probabilities by class (0 to 1), and the highest."""
     p = F.transform(vector_to_array(F.col("probability")), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     names = F.array(*[F.lit(c) for c in classes])
-    out = model.transform(df).withColumn("__p", p)
+    # rows to be scored have no label yet, and the stage that reads it is not needed
+    stages = [s for s in getattr(model, "stages", [model]) if not (hasattr(s, "labels") and set(_named(s, "inputCol")) - set(df.columns))]
+    out = PipelineModel(stages).transform(df).withColumn("__p", p)
     return out.withColumns({"predicted": F.element_at(names, (F.col("prediction") + 1).cast("int")), "probabilities": F.map_from_arrays(names, F.slice("__p", 1, len(classes))), "max_probability": F.array_max("__p")}).drop("__p")
 
 
@@ -180,14 +182,14 @@ def fold_of(key: str, folds: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
-def choose_k(rows: DataFrame, key: str, vector: str, label: str, ks: list[int], folds: int = 5) -> DataFrame:
-    """(k, accuracy) by cross-validation over hashed folds; the neighbours are found once, for the largest k.
+def choose_k(rows: DataFrame, key: str, vector: str, label: str, ks: list[int], folds: int = 5, fold: Column | None = None) -> DataFrame:
+    """(k, accuracy) by cross-validation over folds, hashed ones unless `fold` gives another number; the neighbours are found once, for the largest k.
 
     A row is asked once against each other fold, and its nearest of all those are ranked.
     """
-    every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda g: g != fold_of(key, folds)))
-    asked = rows.select(key, vector, every.alias("__fold"))
-    known = rows.select(key, vector, label, fold_of(key, folds).cast("int").alias("__fold"))
+    own = (fold_of(key, folds) if fold is None else fold).cast("int")
+    asked = rows.select(key, vector, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda g: g != own)).alias("__fold"))
+    known = rows.select(key, vector, label, own.alias("__fold"))
     near = neighbours(asked, known, key, vector, max(ks), "__fold", (label,))
     truth = rows.select(F.col(key).alias("query"), F.col(label).alias("truth"))
     votes = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k").groupBy("k", "query").agg(F.mode(label, True).alias("p")).join(truth, "query")

@@ -62,10 +62,18 @@ def knn(s, d):
     return ml.knn_predict(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", "label", 5).select(F.col("query").alias("vec_id"), "predicted")
 
 
+def choice(s, d):
+    out = ml.choose_k(vectors(s, d), "vec_id", "embedding", "label", list(range(1, 10)), fold=F.col("vec_id") % 5)
+    return out.select("k", F.round("accuracy", 9).alias("accuracy"))
+
+
 _DIST = "round(sqrt(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: (p[1]::double - p[2]) * (p[1]::double - p[2])))), 9)"
 KNN = f"with n as (select q.vec_id, r.label from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0 qualify row_number() over (partition by q.vec_id order by {_DIST}, r.vec_id) <= 5), c as (select vec_id, label, count(*) k from n group by all) select vec_id, label predicted from c qualify row_number() over (partition by vec_id order by k desc, label) = 1"
 
 
+CHOICE = f"with n as (select q.vec_id, q.label truth, r.label, row_number() over (partition by q.vec_id order by {_DIST}, r.vec_id) i from embeddings q join embeddings r on q.vec_id % 5 <> r.vec_id % 5 qualify i <= 9), c as (select cast(k as int) k, vec_id, truth, label, count(*) m from n, range(1, 10) t(k) where i <= k group by all), p as (select k, truth, label from c qualify row_number() over (partition by k, vec_id order by m desc, label) = 1) select k, round(avg(cast(label = truth as double)), 9) accuracy from p group by k"
+
+
 def scale(s, d):
     rows = table(s, d, "customer")
     return ml.scaled(rows, ml.fit_scaler(rows.where("c_custkey % 5 <> 0"), ["c_acctbal"])).select("c_custkey", (F.round("c_acctbal", 6) + 0.0).alias("c_acctbal"))
@@ -113,7 +121,7 @@ QUERIES = {
     "classification_report": (class_report, f"select class, round(precision, 9) as precision, round(recall, 9) recall, round(2 * precision * recall / (precision + recall), 9) f1, support from {_REPORT}"),
     "overall_metrics": (overall, f"select round(sum(recall * support) / sum(support), 9) accuracy, round(avg(recall), 9) balanced_accuracy, round(avg(2 * precision * recall / (precision + recall)), 9) macro_f1, round(sum(2 * precision * recall / (precision + recall) * support) / sum(support), 9) weighted_f1 from {_REPORT}"),
     "knn_vote": (knn, KNN),
-    "knn_choose_k": (lambda s, d: ml.choose_k(vectors(s, d), "vec_id", "embedding", "label", list(range(1, 10))), None),
+    "knn_choose_k": (choice, CHOICE),
     "standard_scale": (scale, "with m as (select avg(c_acctbal) m, stddev_pop(c_acctbal) s from customer where c_custkey % 5 <> 0) select c_custkey, round((c_acctbal - m) / s, 6) + 0.0 c_acctbal from customer, m"),
     "expanding_folds": (folds, FOLDS),
     "smote": (synthetic, f"with c as (select {SKEWED} label, count(*) n from embeddings group by 1), t as (select label, n, greatest(n, cast(floor(max(n) over () * 0.75) as bigint)) - n more from c) select label, more n, more n_between from t where more > 0 and n > 1"),

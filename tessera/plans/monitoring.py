@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import canonical_json, hmac_sha256
 from tessera.operators import drift, rules
 from tessera.operators.tables import first_share
+from tessera.plans.oracles import hmac_sql
 from tessera.plans.fixtures import table
 from tessera.sources import store
 
@@ -229,6 +230,6 @@ QUERIES = {
     "active_baseline": (baseline_versions, "select event_type model_id, event_id baseline_id from events qualify row_number() over (partition by event_type order by date_trunc('day', ts) desc, event_id desc) = 1"),
     "telemetry_window_scan": (window_scan, WINDOW_SCAN),
     "retention_survivors": (retention, "select event_id from events where ts + interval 10 day > (select max(ts) from events)"),
-    "hmac_audit": (audit, None),
+    "hmac_audit": (audit, "select event_id, " + hmac_sql(b"audit-key", "'{\"kind\":\"' || event_type || '\",\"user\":' || user_id || '}'") + " digest from events"),
     "encrypted_roundtrip": (round_trip, "select event_id, props from events"),
 }

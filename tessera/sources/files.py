@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.scalars import canonical_json, hmac_sha256
-from tessera.operators.tables import lower_names
+from tessera.functions.scalars import canonical_json, hmac_sha256, quarter_of_month
+from tessera.operators.tables import lower_names, numbered_rows
 
-IDENTIFIER = re.compile(r"^[A-Za-z][A-Za-z0-9_$#]{0,29}$")
+# Fixed value: what the databases' unquoted names may be, a letter and up to 29 letters, digits or signs.
+IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_$#]{0,29}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -46,7 +48,7 @@ def read_input(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_table(spark: SparkSession, url: str, schema: str, table: str, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
     """A relational table, split in ranges of a number column if given as (column, lower, upper, parts); names in lower case."""
     for name in (schema, table):
-        if not IDENTIFIER.match(name):
+        if not IDENTIFIER.fullmatch(name):
             raise ValueError(f"not an identifier: {name!r}")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{table}").options(**options)
     if partition:
@@ -93,10 +95,22 @@ def report_json(one_row: DataFrame) -> str:
     return json.dumps(json.loads(rows[0]["j"]), indent=2, ensure_ascii=True)
 
 
-def batches_json(df: DataFrame, size: int = 100) -> DataFrame:
-    """{"instances": [...]} lines of at most `size` rows each; rows are numbered within their partition only."""
-    number = F.monotonically_increasing_id()
-    made = df.select(F.struct("*").alias("r"), F.floor(number / size).alias("b"), number.alias("i"))
+def write_report(one_row: DataFrame, path: str | None = None) -> str:
+    """The report's JSON, written as one text file where a path is given."""
+    text = report_json(one_row)
+    if path:
+        one_row.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of each file under a path, by the executors."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def batches_json(df: DataFrame, size: int = 100, order: list[str] | None = None) -> DataFrame:
+    """{"instances": [...]} lines of `size` rows each, the last one of what is left, in the order of the columns named."""
+    made = numbered_rows(df.withColumn("__r", F.struct("*")), order or df.columns, "__at").select(F.col("__r").alias("r"), F.floor(F.col("__at") / size).alias("b"), F.col("__at").alias("i"))
     lists = made.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("x"))
     return lists.select(F.to_json(F.struct(F.transform("x", lambda e: e["r"]).alias("instances"))).alias("value"))
 
@@ -114,9 +128,36 @@ def quality_events(issues: DataFrame, request_id: str) -> DataFrame:
     return body.select(F.to_json(F.struct(F.lit("data_quality").alias("event"), F.lit(request_id).alias("request_id"), "issues")).alias("value"))
 
 
-def synthetic_claims(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """Seeded claim records: triangular ages, gamma stays, log-normal amounts, weighted categories."""
+def _visitors(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, Callable[[int], Column], Callable]:
+    """Seeded patients at a visit, a source of uniform numbers for further columns, and a weighted choice."""
     u = lambda k: F.rand(seed + k)
-    age = F.when(u(0) < 0.4, 18 + F.sqrt(u(1) * 0.4) * 72).otherwise(90 - F.sqrt(u(1) * 0.6) * 54)
     pick = lambda k, pairs: F.element_at(F.array(*[F.lit(v) for v, w in pairs for _ in range(w)]), (F.floor(u(k) * sum(w for _, w in pairs)) + 1).cast("int"))
-    return spark.range(n).select("id", age.cast("int").alias("age"), (u(2) < 0.3).cast("int").alias("chronic_flag"), F.bround(-12 * (F.log(1 - u(3)) + F.log(1 - u(4))), 2).alias("length_of_stay_hours"), F.bround(F.exp(9 + 0.8 * F.randn(seed + 5)), 2).alias("billed_amount"), pick(6, [("F", 1), ("M", 1)]).alias("gender"), pick(7, [("OPD", 6), ("ER", 3), ("ICU", 1)]).alias("visit_type"))
+    age = F.when(u(0) < 0.375, 18 + F.sqrt(u(1)) * 27).otherwise(90 - F.sqrt(u(1)) * 45)  # triangular, most at 45
+    stay = F.least(F.lit(120.0), -8 * (F.log(1 - u(3)) + F.log(1 - u(4)) + 0.3 * F.log(1 - u(5))))  # close to a gamma of shape 2.3
+    base = spark.range(n).select(
+        "id", age.cast("int").alias("age"), (u(2) < 0.42).cast("int").alias("chronic_flag"), F.bround(stay, 2).alias("length_of_stay_hours"), F.bround(F.least(F.lit(100_000.0), F.exp(9.7 + 0.55 * F.randn(seed + 6))), 2).alias("billed_amount"),
+        (5 + F.floor(u(7) * 726)).cast("int").alias("days_since_registration_at_visit"), pick(8, [("F", 1), ("M", 1)]).alias("gender"), pick(9, [(x, 1) for x in ("Delhi", "Mumbai", "Chennai")]).alias("city"), pick(10, [(x, 1) for x in ("CareOne", "HealthPlus", "MediCareX", "SecureLife")]).alias("insurance_provider"),
+        pick(11, [(x, 1) for x in ("Cardiology", "ER", "General", "ICU", "Neurology", "Orthopedics")]).alias("department"), pick(12, [(x, 1) for x in ("ER", "ICU", "OPD")]).alias("visit_type"), (100 + F.floor(u(13) * 101)).cast("int").alias("doctor_id"),
+    )
+    return base, u, pick
+
+
+def _months(df: DataFrame, u, at: int, prefix: str) -> DataFrame:
+    """Calendar columns that agree with each other."""
+    drawn = df.withColumns({f"{prefix}_month": (1 + F.floor(u(at) * 12)).cast("int"), f"{prefix}_day_of_week": F.floor(u(at + 1) * 7).cast("int")})
+    return drawn.withColumns({f"{prefix}_quarter": quarter_of_month(f"{prefix}_month"), f"{prefix}_is_weekend": (F.col(f"{prefix}_day_of_week") >= 5).cast("int")})
+
+
+def synthetic_claims(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """Seeded claim records: patients at a visit, the lag to billing, a risk score and two calendars."""
+    base, u, pick = _visitors(spark, n, seed)
+    out = base.withColumns({"days_from_visit_to_billing": F.floor(u(20) * 121).cast("int"), "risk_score": pick(21, [("Low", 9), ("Medium", 7), ("High", 4)])})
+    return _months(_months(out, u, 22, "billing"), u, 24, "visit")
+
+
+def synthetic_risks(spark: SparkSession, n: int, seed: int = 43) -> DataFrame:
+    """Seeded risk records: patients at a visit with what became of the claim; the approved amount follows its status."""
+    base, u, pick = _visitors(spark, n, seed)
+    out = base.withColumns({"claim_status": pick(30, [("Paid", 9), ("Pending", 5), ("Rejected", 6)]), "payment_days": F.bround(u(31) * 90, 1), "visit_year": pick(32, [(2025, 1), (2026, 1)])})
+    share = F.when(F.col("claim_status") == "Paid", 0.7 + 0.3 * u(33)).when(F.col("claim_status") == "Pending", 0.6 * u(34)).otherwise(0.0)
+    return _months(out.withColumn("approved_amount", F.bround(F.col("billed_amount") * share, 2)), u, 35, "visit")

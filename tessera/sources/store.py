@@ -7,6 +7,8 @@ a partition the filters on artifact and time reach the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,35 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import expiry, sha256_hex
 
 MAX_SCAN = 1_000_000
+
+#: The store's tables: columns, the ones that may not be null, and what has to hold of every row.
+TABLES = {
+    "telemetry": (
+        "telemetry_id string, model_id string, artifact string, recorded_at timestamp, expires_at timestamp, key_id string, encrypted_payload binary, payload_sha256 string",
+        {"expires after it was recorded": "expires_at > recorded_at", "id of 36 characters at most": "length(telemetry_id) <= 36", "digest of 64 characters": "length(payload_sha256) = 64"},
+    ),
+    "baseline": ("baseline_id string, model_id string, artifact string, baseline_json string, created_at timestamp", {"baseline is JSON": "try_parse_json(baseline_json) is not null"}),
+    "report": (
+        "report_id string, model_id string, artifact string, window_start timestamp, window_end timestamp, record_count long, overall_status string, report_json string, created_at timestamp",
+        {"window ends after its start": "window_end > window_start", "report is JSON": "try_parse_json(report_json) is not null"},
+    ),
+}
+
+
+def checked(rows: DataFrame, table: str) -> DataFrame:
+    """The rows as the table has them: missing columns are an error at once; a null or a broken condition fails the write."""
+    ddl, conditions = TABLES[table]
+    columns = [c.split()[0] for c in ddl.split(", ")]
+    lacking = set(columns) - set(rows.columns)
+    if lacking:
+        raise ValueError(f"{table} lacks {sorted(lacking)}")
+    out = rows.withColumns({c: F.col(c).cast(t) for c, t in (x.split() for x in ddl.split(", "))})
+    tests = {f"{c} is null": f"{c} is not null" for c in columns} | conditions
+    wrong = F.lit(None).cast("string")
+    for name, holds in tests.items():
+        wrong = F.coalesce(wrong, F.when(~F.coalesce(F.expr(holds), F.lit(False)), F.lit(name)))
+    broken = F.raise_error(F.concat(F.lit(f"{table}: "), wrong)).cast("boolean")
+    return out.where(F.when(wrong.isNull(), F.lit(True)).otherwise(broken))
 PAYLOAD = "features string, prediction string, probabilities map<string,double>, max_probability double"
 
 
@@ -37,7 +68,7 @@ def telemetry(predictions: DataFrame, key: bytes, retention_days: int = 90) -> D
 
 
 def append_telemetry(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("model_id", "expires_day").parquet(path)
+    checked(rows, "telemetry").write.mode("append").partitionBy("model_id", "expires_day").parquet(path)
 
 
 def decrypted(rows: DataFrame, keyring: list[bytes]) -> DataFrame:
@@ -64,22 +95,37 @@ def survivors(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def purge(spark: SparkSession, path: str, now: str) -> int:
-    """Deletes expired rows and returns how many: whole days by dropping their partitions, the boundary day by rewriting it."""
+    """Deletes expired rows and returns how many.
+
+    The day that `now` falls in is rewritten first: its survivors are written aside, whole, and then take the place of
+    its partitions by a dynamic overwrite, so a run that is cut short at any point loses no unexpired row and can be
+    started again. Days that have passed are dropped after that, by the names their folders have.
+    """
     rows = spark.read.parquet(path)
-    moment = F.lit(now).cast("timestamp")
+    moment, today = F.lit(now).cast("timestamp"), F.to_date(F.lit(now).cast("timestamp"))
     gone = rows.where(F.col("expires_at") <= moment).count()
-    boundary = rows.where(F.col("expires_day") == F.to_date(moment))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    keep = f"{path.rstrip('/')}_boundary"
-    survivors(boundary, moment).write.mode("overwrite").partitionBy("model_id", "expires_day").parquet(keep)
-    for r in rows.where(F.col("expires_day") <= F.to_date(moment)).select("model_id", "expires_day").distinct().toLocalIterator():
-        fs.delete(hadoop.Path(f"{path}/model_id={r['model_id']}/expires_day={r['expires_day']}"), True)
-    kept = spark.read.schema(rows.schema).parquet(keep)
-    if not kept.isEmpty():
-        kept.write.mode("append").partitionBy("model_id", "expires_day").parquet(path)
-    fs.delete(hadoop.Path(keep), True)
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    today_rows = rows.where(F.col("expires_day") == today)
+    kept = survivors(today_rows, moment)
+    emptied = today_rows.groupBy("model_id").agg(F.count_if(F.col("expires_at") > moment).alias("left"), F.count("*").alias("all"))
+    changed = emptied.where("left < all").select("model_id", "left").collect()  # a row for each model
+    if any(r["left"] for r in changed):
+        aside = f"{path.rstrip('/')}_aside-{uuid.uuid4().hex}"
+        some = kept.join(F.broadcast(spark.createDataFrame([(r["model_id"],) for r in changed if r["left"]], "model_id string")), "model_id")
+        some.write.parquet(aside)
+        spark.read.schema(rows.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "expires_day").parquet(path)
+        fs.delete(hadoop.Path(aside), True)
+    empty = {r["model_id"] for r in changed if not r["left"]}
+    day = now[:10]
+    for model in fs.listStatus(hadoop.Path(path)):
+        name = model.getPath().getName()
+        if not name.startswith("model_id="):
+            continue
+        for folder in fs.listStatus(model.getPath()):
+            own = folder.getPath().getName().removeprefix("expires_day=")
+            if own < day or (own == day and unquote(name.removeprefix("model_id=")) in empty):
+                fs.delete(folder.getPath(), True)
     return gone
 
 
@@ -89,8 +135,37 @@ def active_baseline(versions: DataFrame) -> DataFrame:
     return versions.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
-def register_baseline(version: DataFrame, path: str) -> None:
-    version.write.mode("append").partitionBy("model_id").parquet(path)
+def register_baseline(document: DataFrame, path: str) -> str:
+    """Appends one baseline (model_id, artifact, baseline_json) as a new version and returns its id.
+
+    A version is never changed: the latest of a model is its active one, so exactly one is, whoever writes.
+    """
+    if document.count() != 1:
+        raise ValueError("one baseline at a time")
+    baseline_id = str(uuid.uuid4())
+    rows = document.select(F.lit(baseline_id).alias("baseline_id"), "model_id", "artifact", "baseline_json", F.current_timestamp().alias("created_at"))
+    checked(rows, "baseline").write.mode("append").partitionBy("model_id").parquet(path)
+    return baseline_id
+
+
+def load_active_baseline(spark: SparkSession, path: str, model_id: str) -> str:
+    """The JSON of a model's active baseline; none is an error."""
+    found = active_baseline(spark.read.parquet(path).where(F.col("model_id") == model_id)).select("baseline_json").take(1)
+    if not found:
+        raise LookupError(f"no active baseline of {model_id!r}")
+    return found[0]["baseline_json"]
+
+
+def append_report(report: DataFrame, path: str) -> str:
+    """Appends one drift report (model_id, artifact, window_start, window_end, record_count, overall_status and what else
+    it tells): the named columns stay columns, and all of it is kept as JSON."""
+    if report.count() != 1:
+        raise ValueError("one report at a time")
+    report_id = str(uuid.uuid4())
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report_json")
+    rows = report.select(F.lit(report_id).alias("report_id"), "model_id", "artifact", "window_start", "window_end", "record_count", "overall_status", whole, F.current_timestamp().alias("created_at"))
+    checked(rows, "report").write.mode("append").partitionBy("model_id").parquet(path)
+    return report_id
 
 
 def healthy(spark: SparkSession, path: str) -> bool:

@@ -171,3 +171,122 @@ def test_smote_lifts_small_classes_to_their_target(spark):
     made = ml.smote(spark.createDataFrame(rows, "id long, v array<double>, label string"), "id", "v", "label")
     assert {r["label"]: r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()} == {"three": 27, "five": 25, "six": 24}
     assert all(0 <= r["v"][0] <= 5 and r["v"][1] == {"three": 2, "five": 3, "six": 4}[r["label"]] for r in made.collect())
+
+
+def test_purge_keeps_what_is_not_expired(spark, tmp_path):
+    path = str(tmp_path / "store")
+    models = ["a/b:c%d", "plain", "gone"]
+    rows = [(f"{m}-{h}", m, h) for m in models for h in (1, 30, 60)]
+    df = spark.createDataFrame(rows, "telemetry_id string, model_id string, hours int").select("telemetry_id", "model_id", F.lit("x").alias("artifact"), (F.lit("2024-03-01 06:00:00").cast("timestamp") + F.make_interval(hours=F.col("hours"))).alias("recorded_at"), F.lit("{}").alias("payload"))
+    df = df.where("model_id <> 'gone' or hours = 1")
+    store.append_telemetry(store.telemetry(df, b"k", 1), path)
+    now = "2024-03-03 13:00:00"  # of the day that now falls in, the rows of 30 hours have expired
+    left = {r["telemetry_id"] for r in store.survivors(spark.read.parquet(path), F.lit(now).cast("timestamp")).collect()}
+    assert store.purge(spark, path, now) == 5 and left == {"a/b:c%d-60", "plain-60"}
+    assert {r["telemetry_id"] for r in spark.read.parquet(path).collect()} == left
+    assert store.purge(spark, path, now) == 0 and spark.read.parquet(path).count() == 2
+    sealed = store.telemetry(df.limit(2).withColumn("recorded_at", F.when(F.col("model_id") == models[0], F.lit("2024-03-02 00:00:00").cast("timestamp")).otherwise(F.lit("2024-03-03 00:00:00").cast("timestamp"))), b"k", 1)
+    assert sealed.count() == 2
+
+
+def test_first_share_zip_and_numbers(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("lead"))
+    for df, order in ((rows, ["lead", "k"]), (rows.na.fill(2), ["lead", "k"]), (rows.withColumn("lead", F.col("lead").cast("string")), ["lead", "k"]), (rows, ["k"])):
+        want = [tuple(r) for r in df.orderBy(*order).limit(730).collect()]
+        got = [tuple(r) for r in tables.first_share(df, 0.73, order).orderBy(*order).collect()]
+        assert got == want
+    assert tables.first_share(rows.limit(0), 0.5, ["k"]).count() == 0
+    assert [r["i"] for r in tables.numbered_rows(rows.repartition(7), ["k"], "i").orderBy("k").collect()] == list(range(1000))
+    with pytest.raises(ValueError):
+        tables.zip_checked(rows, rows.limit(3), ["k"], ["k"])
+    with pytest.raises(ValueError):
+        tables.concat_columns([rows, rows], "k")
+
+
+def test_times_that_are_none_fail(spark):
+    assert one(spark, f.day_first_time(F.lit("31-12-2010 08:26"))).isoformat() == "2010-12-31T08:26:00"
+    assert one(spark, f.day_first_time(F.lit("2010-12-31"))) is None and one(spark, f.strict_time(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="visit_date is no time"):
+        one(spark, f.strict_time(F.lit("soon"), "visit_date"))
+
+
+def test_hashed_choice_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("y"))
+    got = {r["id"] for r in ml.stratified_split(rows, "y", "id", 0.13, 5).where("test").collect()}
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(5)), "id")
+    sizes = Window.partitionBy("y")
+    want = {r["id"] for r in rows.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(sizes)).where("r <= ceil(n * 0.13)").collect()}
+    assert got == want
+
+
+def test_neighbours_and_smote_equal_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 7)
+    rng = random.Random(3)
+    data = [(i, [rng.random() for _ in range(3)], "big" if i < 40 else "small" if i < 52 else "two" if i < 54 else "one") for i in range(55)]
+    df = spark.createDataFrame(data, "id long, v array<double>, y string")
+    d = lambda a, b: round(math.sqrt(sum((x - z) ** 2 for x, z in zip(a, b, strict=True))), 9)
+    want = {(i, j) for i, v, _ in data for j in sorted((k for k, _, _ in data if k != i), key=lambda k: (d(v, data[k][1]), k))[:4]}
+    assert {(r["query"], r["id"]) for r in ml.neighbours(df, df, "id", "v", 4).collect()} == want
+    made = ml.smote(df, "id", "v", "y").collect()
+    assert {y: sum(r["y"] == y for r in made) for y in ("small", "two", "one")} == {"small": 18, "two": 28, "one": 0}
+    for r in made:
+        a, b = data[r["query"]], data[r["near"]]
+        own = [k for k, _, y in data if y == a[2] and k != a[0]]
+        assert b[2] == a[2] and b[0] in sorted(own, key=lambda k: (d(a[1], data[k][1]), k))[:5]
+        assert all(abs(x - (p + (q - p) * r["u"])) < 1e-12 for x, p, q in zip(r["v"], a[1], b[1], strict=True)) and 0 <= r["u"] < 1
+
+
+def test_scoring_flow_fails_closed(spark, tmp_path):
+    from tessera.operators import scoring
+
+    rows = spark.createDataFrame([(float(i), "x" if i % 2 else "y", "Paid" if i % 2 else "Rejected") for i in range(60)], "amount double, kind string, said string")
+    model = ml.pipeline(["amount"], ["kind"], "said", ml.classifier("tree")).fit(rows)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    loaded = ml.load_model(str(tmp_path / "model"), ["amount", "kind"], ["Paid", "Rejected"])
+    for wrong in ((["amount"], ["Paid", "Rejected"]), (["amount", "kind"], ["Paid"])):
+        with pytest.raises(ValueError):
+            ml.load_model(str(tmp_path / "model"), *wrong)
+    contract = rules.Contract(("amount", "kind"), {"amount": (0, 100)}, (), {"kind": ("x", "y")})
+    path = str(tmp_path / "telemetry")
+    out = scoring.score_batch(rows.drop("said"), loaded, "claim", "a1", ["Paid", "Rejected"], contract, b"key", store_path=path)
+    assert out.rows.count() == 60 and {r["predicted"] for r in out.rows.collect()} == {"Paid", "Rejected"}
+    told = store.decrypted(spark.read.parquet(path), [b"key"]).select("telemetry_id", F.get_json_object("payload", "$.prediction").alias("p")).collect()
+    assert {tuple(r) for r in told} == {(r["request_id"], r["predicted"]) for r in out.rows.collect()} and out.audit.count() == 60
+    with pytest.raises(scoring.Rejected) as e:
+        scoring.score_batch(rows.drop("said").withColumn("kind", F.lit("new")), loaded, "claim", "a1", ["Paid", "Rejected"], contract, b"key", store_path=path)
+    assert [r["code"] for r in e.value.issues.collect()] == ["unseen_category"] and spark.read.parquet(path).count() == 60
+    with pytest.raises(ValueError):
+        scoring.baseline_document(rows, rows.limit(3), "m", "a", ["amount"], ["kind"], "said", "amount")
+    assert files.file_digests(spark, str(tmp_path / "model")).where("length(sha256) = 64").count() > 3
+
+
+def test_gates(spark, tmp_path, capsys):
+    import json
+
+    from tessera import gates
+
+    rows = spark.createDataFrame([(float(i % 50), "x" if i % 2 else "y") for i in range(200)], "amount double, kind string")
+    rows.write.parquet(str(tmp_path / "now.parquet"))
+    rows.withColumn("amount", F.col("amount") + 500).write.parquet(str(tmp_path / "moved.parquet"))
+    (tmp_path / "contract.json").write_text(json.dumps({"columns": ["amount", "kind"], "ranges": {"amount": [0, 100]}, "categories": {"kind": ["x"]}}))
+    run = lambda *a: gates.main([str(x) for x in a], spark)
+    check = ("validate", "--contract", tmp_path / "contract.json", "--input")
+    assert [run(*check, tmp_path / "now.parquet"), run(*check, tmp_path / "now.parquet", "--fail-on-warnings"), run(*check, tmp_path / "moved.parquet", "--output", tmp_path / "out")] == [0, 2, 1]
+    assert json.loads(capsys.readouterr().out.split("\n}\n")[0] + "\n}")["warnings"] == 1 and (tmp_path / "out").exists()
+    same, other = (("drift", "--baseline", tmp_path / "now.parquet", "--numeric", "amount,absent", "--categories", "kind", "--input", tmp_path / n) for n in ("now.parquet", "moved.parquet"))
+    assert run(*other) == 2 and run(*same) == 2 and run(*same, "--minimum", 500) == 3
+    assert run("drift", "--baseline", tmp_path / "now.parquet", "--numeric", "amount", "--input", tmp_path / "now.parquet") == 0
+
+
+def test_relational_table(spark):
+    url = "jdbc:derby:memory:tessera;create=true"
+    spark.range(25).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME")).write.format("jdbc").options(url=url, dbtable="APP.PEOPLE", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    got = files.read_table(spark, url, "APP", "PEOPLE", ("ID", 0, 25, 4), driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.columns == ["id", "name"] and got.rdd.getNumPartitions() == 4 and got.count() == 25
+    for bad in ("PEOPLE\n", "PEOPLE;DROP", "1PEOPLE", "P" * 31):
+        with pytest.raises(ValueError):
+            files.read_table(spark, url, "APP", bad)
