@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, status, status_name
-from tessera.operators.tables import long_form
+from tessera.operators.tables import exact_quantiles, long_form
 
 MISSING = "__MISSING__"
 FLOOR = 1e-6
@@ -20,12 +20,13 @@ def ranked(name: str, value: Column) -> Column:
 
 
 def numeric_profile(df: DataFrame, features: list[str], digits: int | None = None) -> DataFrame:
-    """Per feature: missing rate, moments and the sorted distinct deciles as cut points; one job for all features."""
+    """Per feature: missing rate, moments and the sorted distinct deciles as cut points; all features go together."""
     v = finite("value")
-    cuts = F.percentile(v, F.array(*[F.lit(i / 10) for i in range(1, 10)]))
-    if digits is not None:
-        cuts = F.transform(cuts, lambda x: F.round(x, digits))
-    out = long_form(df, features).groupBy("feature").agg(F.count("*").alias("n"), F.count(v).alias("known"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.median(v).alias("median"), cuts.alias("cuts"))
+    rows = long_form(df, features)
+    out = rows.groupBy("feature").agg(F.count("*").alias("n"), F.count(v).alias("known"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    q = exact_quantiles(rows.withColumn("value", v), [i / 10 for i in range(1, 10)])
+    out = out.join(F.broadcast(q), "feature", "left").withColumn("median", F.col("q")[4])  # a row for each feature
+    out = out.withColumn("cuts", F.transform("q", lambda x: F.round(x, digits)) if digits is not None else F.col("q")).drop("q")
     empty = F.array().cast("array<double>")
     return out.withColumn("missing_rate", 1 - F.col("known") / F.col("n")).withColumn("cuts", F.coalesce(F.array_sort(F.array_distinct("cuts")), empty))
 

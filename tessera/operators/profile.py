@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_even, missing_as_null
-from tessera.operators.tables import long_form
+from tessera.operators.tables import exact_quantiles, long_form
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -24,10 +24,11 @@ def shares_within(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, features: list[str]) -> DataFrame:
-    """Exact count, mean, sample deviation, extremes and quartiles of each feature, in one job."""
+    """Exact count, mean, sample deviation, extremes and quartiles of each feature."""
     v = missing_as_null("value")
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = long_form(df, features).groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), q.alias("q"), F.max(v).alias("high"))
+    rows = long_form(df, features)
+    out = rows.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    out = out.join(F.broadcast(exact_quantiles(rows, [0.25, 0.5, 0.75])), "feature", "left")  # a row for each feature
     return out.select("feature", "n", "mean", "std", "low", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
 
 
@@ -56,16 +57,17 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
-def _fences(v: Column, k: float) -> tuple[Column, Column]:
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    return q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
+def _fences(rows: DataFrame, k: float) -> DataFrame:
+    """(feature, low, high) of the finite values, from the exact quartiles."""
+    q = exact_quantiles(rows, [0.25, 0.75])
+    spread = F.col("q")[1] - F.col("q")[0]
+    return q.select("feature", (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[1] + k * spread).alias("high"))
 
 
 def outlier_report(df: DataFrame, features: list[str], k: float = 1.5) -> DataFrame:
     """(feature, low, high, n, n_out, pct), the worst first in the caller's order; quantiles and counts take a job each."""
     rows = long_form(df, features).where(finite("value").isNotNull())
-    low, high = _fences(F.col("value"), k)
-    fences = rows.groupBy("feature").agg(low.alias("low"), high.alias("high"))
+    fences = _fences(rows, k)
     out = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     counts = rows.join(F.broadcast(fences), "feature").groupBy("feature", "low", "high").agg(F.count("*").alias("n"), F.count_if(out).alias("n_out"))
     return counts.withColumn("pct", F.col("n_out") * 100 / F.col("n"))
@@ -78,9 +80,8 @@ def drop_outliers_in_turn(df: DataFrame, features: list[str], below_pct: float =
     one row comes back as a literal filter; the plan stays a chain of filters over one scan.
     """
     for c in features:
-        low, high = _fences(F.col(c).cast("double"), k)
-        f = df.agg(low.alias("low"), high.alias("high")).first()
-        if f["low"] is None:
+        f = _fences(long_form(df, [c]), k).first()
+        if f is None:
             continue
         inside = F.col(c).isNull() | F.col(c).between(f["low"], f["high"])
         n = df.agg(F.count("*").alias("n"), F.count_if(~inside).alias("out")).first()

@@ -93,6 +93,37 @@ def numbered_rows(df: DataFrame, order: list[str], name: str = "row_number") ->
     return split.join(small(before), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__m", "__p", "__i", "__before")
 
 
+#: So many distinct values of a feature one aggregate may hold.
+DISTINCT = 1_000_000
+
+
+def exact_quantiles(rows: DataFrame, probabilities: list[float], by: str = "feature", value: str = "value", most: int = DISTINCT) -> DataFrame:
+    """(by, q): exact quantiles, interpolated, of each group's known values, in the order of the probabilities.
+
+    Where no group has more than about `most` distinct values, one aggregate holds them. Beyond that, estimates bracket
+    each quantile, what lies below is counted, and only the rows inside are sorted, by range, to pick the two around it.
+    """
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(by), F.col(value).alias("value"))
+    seen = rows.groupBy(by).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
+    if not seen or seen <= 0.9 * most:
+        return rows.groupBy(by).agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"))
+    rows = settled(rows)
+    ends = [min(1.0, max(0.0, p + e)) for p in probabilities for e in (-1e-3, 1e-3)]
+    groups = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("top"), F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), 10_000).alias("a"))
+    brackets = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"), (F.col("least") if ends[2 * i] == 0 else F.col("a")[2 * i]).alias("low"), (F.col("top") if ends[2 * i + 1] == 1 else F.col("a")[2 * i + 1]).alias("high")) for i, p in enumerate(probabilities)]
+    wanted = groups.select(by, F.array(*brackets).alias("xs"))
+    inside = rows.join(small(wanted), by).select(by, "value", F.explode("xs").alias("x")).select(by, "value", "x.*")
+    below = inside.groupBy(by, "i", "at").agg(F.count_if(F.col("value") < F.col("low")).alias("below"), F.count_if(F.col("value") <= F.col("high")).alias("upto"))
+    if not below.where((F.col("below") > F.floor("at")) | (F.col("upto") <= F.ceil("at"))).isEmpty():
+        return exact_quantiles(rows.withColumnRenamed("value", value), probabilities, by, value, 1 << 62)  # an estimate beyond its error
+    near = numbered_rows(inside.where(F.col("value").between(F.col("low"), F.col("high"))).select(by, "i", "value"), [by, "i", "value"], "__at")
+    first = near.groupBy(by, "i").agg(F.min("__at").alias("first"))
+    placed = near.join(small(first.join(below, [by, "i"])), [by, "i"]).withColumn("k", F.col("__at") - F.col("first") + F.col("below"))
+    around = placed.where((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at"))).groupBy(by, "i", "at").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    read = F.when(F.floor("at") == F.ceil("at"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    return around.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", read.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 #: Kinds of columns whose quantiles Spark estimates in one pass with bounded memory.
 _MEASURED = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ml
+from tessera.operators import ml, tables
 from tessera.plans.fixtures import table
 
 
@@ -89,7 +89,8 @@ FOLDS = "with n as (select count(*) n from orders), r as (select o_orderkey, row
 def fitted(kind):
     def run(s, d):
         rows = table(s, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).withColumn("weight", F.lit(1.0))
-        parts = ml.stratified_split(rows, "l_linestatus", "key")
+        rows = rows.select("key", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "weight")
+        parts = tables.settled(ml.stratified_split(rows, "l_linestatus", "key"))  # read by each stage's fit
         model = ml.pipeline(["l_quantity", "l_discount"], ["l_returnflag"], "l_linestatus", ml.classifier(kind)).fit(parts.where("not test"))
         out = ml.predicted(model, parts.where("test"), ["F", "O"])
         return ml.overall_metrics(ml.confusion(out, "l_linestatus", "predicted", ["F", "O"]))

@@ -290,3 +290,16 @@ def test_relational_table(spark):
     for bad in ("PEOPLE\n", "PEOPLE;DROP", "1PEOPLE", "P" * 31):
         with pytest.raises(ValueError):
             files.read_table(spark, url, "APP", bad)
+
+
+def test_exact_quantiles_either_way(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [("many", rng.gauss(0, 100)) for _ in range(4001)] + [("ties", float(rng.randrange(3))) for _ in range(700)] + [("few", x) for x in (3.0, 1.0)] + [("one", 7.5), ("none", None), ("many", float("nan"))]
+    df = spark.createDataFrame(rows, "feature string, value double")
+    p = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    held = {r["feature"]: r["q"] for r in tables.exact_quantiles(df, p).collect()}
+    sorted_ = {r["feature"]: r["q"] for r in tables.exact_quantiles(df, p, most=100).collect()}
+    assert set(held) == {"many", "ties", "few", "one"} and held == sorted_
+    assert held["few"] == pytest.approx([1.0, 1.2, 1.5, 2.0, 2.5, 2.998, 3.0])
