@@ -251,6 +251,94 @@ def test_short_lines_are_one_paragraph(spark):
     assert paragraphs.units("a b\n\nc d\ne f g\n1 2 3 4 5 6 7\nx y", 6) == [(0, 7), (7, 14)]
 
 
+def brute_passages(docs, n=5, min_words=6, width=16):
+    """(doc, start, end, words) of what goes: paragraphs near an earlier one of their class, and windows seen earlier."""
+    words = {d: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")] for d, t in docs}
+    text = dict(docs)
+    units_ = []
+    for d, w in sorted(words.items()):
+        lines, at = [], 0
+        for line in (text[d] or "").split("\n"):
+            k = len(re.findall(r"\w+", line))
+            if k:
+                if lines and k < min_words and lines[-1][1] - lines[-1][0] < min_words or (lines and k < min_words and lines[-1][2]):
+                    lines[-1] = (lines[-1][0], at + k, True)
+                else:
+                    lines.append((at, at + k, k < min_words))
+            at += k
+        units_ += [(d, i, a, b) for i, (a, b) in enumerate((a, b) for a, b, _ in lines if b - a >= min_words)]
+    shingles_ = [frozenset(tuple(x[2] for x in words[d][k : k + n]) for k in range(a, max(a, b - n) + 1)) for d, _, a, b in units_]
+    parent = list(range(len(units_)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_shingle = {}
+    for i, own in enumerate(shingles_):
+        for j in {j for x in own for j in by_shingle.get(x, ())}:
+            if len(own & shingles_[j]) >= 0.8 * len(own | shingles_[j]):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+        for x in own:
+            by_shingle.setdefault(x, []).append(i)
+    gone = {d: [0] * len(w) for d, w in words.items()}
+    last = None
+    for i, (d, number, a, b) in enumerate(units_):
+        if find(i) == i:
+            continue
+        gone[d][a:b] = [1] * (b - a)
+        if last and last[:2] == (d, number - 1):
+            for k in range(last[2], a):
+                gone[d][k] = gone[d][k] or -1
+        last = (d, number, b)
+    seen = set()
+    for d, w in sorted(words.items()):
+        for k in range(len(w) - width + 1):
+            key = tuple(x[2] for x in w[k : k + width])
+            if key in seen:
+                gone[d][k : k + width] = [1] * width
+            seen.add(key)
+    out = set()
+    for d, marks in gone.items():
+        k = 0
+        while k < len(marks):
+            e = k
+            while e < len(marks) and marks[e]:
+                e += 1
+            size = sum(m == 1 for m in marks[k:e])
+            if size >= width:
+                out.add((d, words[d][k][0], words[d][e - 1][1], size))
+            k = max(e, k + 1)
+    return out
+
+
+def test_passages_equal_brute_force(spark, docs, texts):
+    rng = random.Random(77)
+    base = [prose(rng, n) for n in (8, 14, 30, 70, 120)]
+    more = {}
+    for k in range(60):  # near copies of paragraphs, short lines in between, some of them linked through others only
+        parts = []
+        for line in rng.sample(base, 3):
+            w = line.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(99))
+            parts += [" ".join(w)] + ([prose(rng, rng.randrange(1, 5))] if rng.random() < 0.5 else [])
+        more[7000 + k] = "\n".join(parts)
+    every = sorted((texts | more).items())
+    got = {(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in paragraphs.repeats(docs_of(spark, every), recall=0.999999).collect()}
+    assert got == brute_passages(every) and len(got) > 100
+
+
+def test_passages_of_texts_under_one_id(spark):
+    rng = random.Random(78)
+    shared, other = prose(rng, 40), prose(rng, 40)
+    rows = [(1, shared + " " + prose(rng, 9)), (1, prose(rng, 9) + " " + shared), (1, other), (2, other), (2, other), (None, other), (3, None)]
+    got = [(r["doc_id"], r["n_words"], r["kept_doc_id"]) for r in paragraphs.repeats(docs_of(spark, rows)).collect()]
+    assert sorted(got) == [(1, 40, 1), (2, 40, 1)]
+
+
 def test_passage_edges(spark):
     got = [(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(edge_docs(spark)).collect()]
     assert got == [(7, 6)]
@@ -409,6 +497,22 @@ def test_packing(spark, texts):
         assert [s for _, s, _ in own] == [sum(n for _, _, n in own[:k]) for k in range(len(own))]
 
 
+def test_packing_ids_are_the_tokenizers(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    want = {}
+    for d, t in texts.items():
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[d, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in queries.op7_packing(spark, SF).collect()} == want
+
+
 def test_packing_islands(spark):
     """Lengths that best-fit decreasing packs badly: islands have to run, and the parts stay whole."""
     rng = np.random.default_rng(1)
@@ -454,6 +558,51 @@ def test_secret_patterns(texts):
         assert secrets.scan_text(t)[0] == brute_base(t)
 
 
+def test_secret_query_equals_brute_force(spark, texts):
+    """Base spans by a scanner of its own, which tries every start; counts, digest and order of all spans."""
+    kinds = ("assign", "access", "hex")
+    head = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?""", re.I | re.A)
+
+    def run(t, i, allowed):
+        e = i
+        while e < len(t) and t[e] in allowed:
+            e += 1
+        return e
+
+    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def base(t):
+        out = []
+        for k, (least, begins) in enumerate(((6, None), (20, "AKIA"), (24, ""))):
+            i = 0
+            while i < len(t):
+                if k == 0:
+                    m = head.match(t, i)
+                    e = run(t, m.end(), token) if m else i
+                    size = e - m.end() if m else 0
+                else:
+                    e = run(t, i + len(begins), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if k == 1 else set("0123456789abcdef")) if t.startswith(begins, i) else i
+                    size = e - i if e > i + len(begins) or k == 2 else 0
+                if size > 0:
+                    if size >= least:
+                        out.append((i, k, e))
+                    i = e
+                else:
+                    i += 1
+        return sorted(out)
+
+    got = {r["doc_id"]: r for r in queries.op8_secrets(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        spans = base(t or "")
+        said = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
+        r = got[d]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in spans) for j in range(3)), d
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        every = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [x for x in every if x[0] in kinds] == [x.split(":") for x in said.split(",") if x] and every == sorted(every, key=lambda x: (int(x[1]), secrets.KINDS.index(x[0])))
+
+
 def test_secret_entropy():
     from math import log2
 
