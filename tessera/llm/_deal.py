@@ -72,7 +72,7 @@ def combined(schema: pa.Schema, held: list[tuple[np.ndarray, np.ndarray]], parts
     yield filled(schema, part=some.astype(np.int32), block=pa.array(blocks, pa.binary()))
 
 
-def band_parts(source: DataFrame, bands: int, rows_each: int = 2 << 20) -> int:
+def band_parts(source: DataFrame, bands: int, rows_each: int = 1 << 19) -> int:
     """So many parts that each has a bounded number of band rows."""
     rows = source.count() * bands
     return max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

@@ -40,8 +40,10 @@ from ._text import groups, hash_words, mix, seeded, shingles, word_hashes
 #: Darts in a block of area one, a Poisson number, by 16 random bits.
 _DARTS = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)])), (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.int8)
 _UNIT53 = 2.0**-53
-#: Documents of a block, and of a block of asked documents, in the last comparison; places that a home's counts go to.
-BLOCK_ROWS, BLOCK_ASKED, SALTS = 1024, 256, 16
+#: Documents and shingles of a block, and of a block of asked documents, in the last comparison.
+BLOCK_ROWS, BLOCK_ASKED, BLOCK_SHINGLES, ASKED_SHINGLES = 1024, 256, 1 << 18, 1 << 16
+#: Places that a home's counts go to.
+SALTS = 16
 
 
 def weighted_sets(h: np.ndarray, at: np.ndarray, count_weights: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,9 +228,13 @@ def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: fl
     own = label.select(F.col("label").alias("home"), print_of("id").alias("f1")).join(homes, "home")
     alone = homes.where(~F.col("home").contains(":")).select("home", F.col("home").cast("long").alias("f1"))  # a class of one is named by its print
     inside = own.unionByName(alone).select("home", "f1", F.col("home").alias("label"), F.lit(False).alias("asks"))
-    rows = cut(asked.unionByName(inside, allowMissingColumns=True))
+    sized = sets.select("f1", (F.octet_length("h") / 8).alias("size"))
+    rows = cut(asked.unionByName(inside, allowMissingColumns=True).join(sized, "f1"))
     # a home's blocks are counted once and sent to SALTS places, so that a large home's rows are spread
-    counts = rows.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.sum(F.col("asks").cast("long")) / BLOCK_ASKED).cast("int").alias("turns"))
+    blocks = lambda n, size: F.ceil(F.greatest(n, size)).cast("int")
+    parts = blocks(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)
+    turns = blocks(F.count_if("asks") / BLOCK_ASKED, F.sum(F.when(F.col("asks"), F.col("size")).otherwise(0)) / ASKED_SHINGLES)
+    counts = rows.groupBy("home").agg(parts.alias("parts"), turns.alias("turns"))
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = rows.withColumn("salt", F.pmod(F.xxhash64("f1"), F.lit(SALTS)).cast("int")).join(salted, ["home", "salt"])
     block = lambda of, seed: F.pmod(F.xxhash64("f1", F.lit(seed)), F.col(of)).cast("int")
@@ -255,7 +261,7 @@ def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: fl
     return cut(met.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInPandas(compare, "a string, b string, s double"))
 
 
-def block_links(rows: pd.DataFrame, threshold: float, count_weights: bool, most: int = 1 << 21) -> pd.DataFrame:
+def block_links(rows: pd.DataFrame, threshold: float, count_weights: bool, most: int = 1 << 19) -> pd.DataFrame:
     """(a, b, s) of the links from asked rows to the others of their group, for rows sorted by group (home, i, j).
 
     All groups of a batch are searched at once: a shingle's key holds its group, and what is found is checked by both.
