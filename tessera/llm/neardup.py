@@ -173,32 +173,17 @@ def _shared_sets(source: DataFrame, wanted: DataFrame, n: int, count_weights: bo
     return source.join(few(wanted), "id", "left_semi").select("t").mapInArrow(sets, "node string, f1 long, h binary, w binary")
 
 
-def similarity(count_weights: bool):
-    """Exact (weighted) Jaccard similarity of two packed shingle sets, as a column function."""
-
-    @F.pandas_udf("double")
-    def measure(left: pd.Series, right: pd.Series, lw: pd.Series, rw: pd.Series) -> pd.Series:
-        out = np.zeros(len(left))
-        for x, (a, b, v, w) in enumerate(zip(left, right, lw, rw, strict=True)):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            if count_weights:
-                v, w = np.frombuffer(v, "<f4"), np.frombuffer(w, "<f4")
-                _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                common, total = float(np.minimum(v[p], w[q]).sum()), float(v.sum() + w.sum())
-            else:
-                both = np.sort(np.concatenate([a, b]))
-                common, total = int((both[1:] == both[:-1]).sum()), len(both)
-            out[x] = common / (total - common) if total else 0.0
-        return pd.Series(out)
-
-    return measure
-
-
-def compared(pairs: DataFrame, sets: DataFrame, count_weights: bool) -> DataFrame:
-    """(a, b, s): the nodes of the pairs (p, m) of set prints, with their exact similarity."""
-    of = lambda f, node, x: sets.select(F.col("f1").alias(f), F.col("node").alias(node), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}"))
-    both = pairs.join(of("p", "a", 1), "p").join(of("m", "b", 2), "m")
-    return both.select("a", "b", similarity(count_weights)("h1", "h2", "w1", "w2").alias("s"))
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float, count_weights: bool) -> DataFrame:
+    """(a, b, s): the nodes of the pairs (p, m) of set prints whose exact similarity reaches the threshold.
+
+    A pivot p meets its members in groups of about BLOCK_ASKED, so a member's set moves once for each of its pivots.
+    """
+    several = pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_ASKED).cast("int").alias("groups"))
+    dealt = pairs.join(several, "p").select(F.col("p").cast("string").alias("home"), F.pmod(F.xxhash64("m"), F.col("groups")).cast("int").alias("j"), "p", "m")
+    members = dealt.select("home", "j", F.col("m").alias("f1"), F.lit(1).alias("role"))
+    pivots = dealt.select("home", "j", F.col("p").alias("f1"), F.lit(0).alias("role")).distinct()
+    met = members.unionByName(pivots).withColumn("i", F.lit(0)).join(sets, "f1").withColumn("label", F.col("node"))
+    return linked_in_groups(met, threshold, count_weights)
 
 
 def mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
@@ -242,6 +227,11 @@ def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: fl
     targets = placed.select("home", "f1", "label", F.lit(0).alias("role"), block("parts", 1).alias("i"), F.explode(every("turns")).alias("j"))
     asks = placed.where("asks").select("home", "f1", "label", F.lit(1).alias("role"), F.explode(every("parts")).alias("i"), block("turns", 2).alias("j"))
     met = targets.unionByName(asks).join(sets, "f1")
+    return linked_in_groups(met, threshold, count_weights)
+
+
+def linked_in_groups(met: DataFrame, threshold: float, count_weights: bool) -> DataFrame:
+    """(a, b, s) of the links between asked rows and the others of each group (home, i, j)."""
 
     def compare(batches):
         held: list[pd.DataFrame] = []
@@ -258,7 +248,8 @@ def open_links(left: DataFrame, label: DataFrame, sets: DataFrame, threshold: fl
         if held:
             yield block_links(pd.concat(held), threshold, count_weights)
 
-    return cut(met.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInPandas(compare, "a string, b string, s double"))
+    dealt = met.select("home", "i", "j", "role", "node", "label", "h", "w").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    return cut(dealt.mapInPandas(compare, "a string, b string, s double"))
 
 
 def block_links(rows: pd.DataFrame, threshold: float, count_weights: bool, most: int = 1 << 19) -> pd.DataFrame:
@@ -334,7 +325,7 @@ def set_classes(source: DataFrame, n: int, threshold: float, bands: int, rows: i
 
 def linked_classes(met: DataFrame, sets: DataFrame, threshold: float, count_weights: bool) -> DataFrame:
     """(id, label) of the nodes that are linked: of sets (node, f1, h, w) that share a bucket, by pairs (k, p, m) of f1."""
-    links = cut(compared(met.select("p", "m").distinct(), sets, count_weights).where(F.col("s") >= threshold))
+    links = compared(met.select("p", "m").distinct(), sets, threshold, count_weights)
     label = components(links.select("a", "b"))
     left = mixed_buckets(met, label)
     if left.isEmpty():
