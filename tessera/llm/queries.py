@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, neardup, packing, paragraphs, quality, secrets, substrings, topk
+from . import decontam, htmltext, langid, lexical, neardup, packing, paragraphs, quality, secrets, sessions, sql, substrings, topk
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +66,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.versions(sessions.conversation_events(read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_paragraphs": op4_paragraphs, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_paragraphs": op4_paragraphs, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html, "op11_lexical": op11_lexical, "op12_sessions": op12_sessions}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical": sql.RANKED, "op12_sessions": sql.SESSIONS}
