@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, lexical, neardup, packing, paragraphs, quality, secrets, sessions, sql, substrings, topk
+from . import decontam, htmltext, langid, lattice, lexical, neardup, packing, paragraphs, quality, secrets, sessions, sql, substrings, topk
 from ._spark import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,17 @@ def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.versions(sessions.conversation_events(read(spark, sf_dir, "conversations")))
 
 
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = crc_mod(F.col("doc_id"), 5)
+    scored = lattice.score(docs, crc != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", F.coalesce(crc == 1, F.lit(False)))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_paragraphs": op4_paragraphs, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html, "op11_lexical": op11_lexical, "op12_sessions": op12_sessions}
+    return {"op1_decontam": op1_decontam, "op2_quality": op2_quality, "op3_neardup": op3_neardup, "op4_paragraphs": op4_paragraphs, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_html": op10_html, "op11_lexical": op11_lexical, "op12_sessions": op12_sessions, "op13_lattice": op13_lattice}
 
 
 def oracle_sql() -> dict[str, str]:

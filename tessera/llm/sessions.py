@@ -76,7 +76,7 @@ def versions(events: DataFrame, gap: int = 240) -> DataFrame:
     found = micro_sessions(events, gap).hint("rebalance", "batch")
     found.select("batch", "user", "start_s", "end_s", "n_events", "h_sum").write.partitionBy("batch").parquet(f"{home}/micro")
     batches = sorted(tuple(r) for r in spark.read.schema(f"{MICRO}, batch long").parquet(f"{home}/micro").groupBy("batch").agg(F.min("start_s")).collect())
-    horizon: list[int | None] = [None]
+    horizon: list[int | None] = [None] * min(1, len(batches))
     for _, earliest in reversed(batches[1:]):
         horizon.append(earliest if horizon[-1] is None else min(earliest, horizon[-1]))
     standing = spark.createDataFrame([], f"{VERSION}, open boolean")
