@@ -73,7 +73,7 @@ class Pieces:
         """Scores are log probabilities if they sum to about one, else ranks below zero."""
         total = float(np.exp(np.minimum(scores, 1.0)).sum())
         weight = np.exp(scores) if 0.9 <= total <= 1.1 else 1.0 / (1.0 + scores.max() - scores)
-        rare = np.full(257, weight.min() if len(weight) else 1.0)
+        rare = np.full(257, (weight.min() if len(weight) else 1.0) / 257)
         weight = np.concatenate([weight, rare])
         n = len(texts)
         return Pieces(list(texts), np.log(weight / weight.sum()), np.arange(n, n + 256), n + 256)
