@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="tessera-")
 
@@ -40,6 +40,15 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def thinned(df: DataFrame, by: str, most: int) -> DataFrame:
+    """About `most` rows at most of each of the few values of `by`; rows alike are thinned out as others are."""
+    n = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
+    if not n:
+        return df
+    share = F.create_map(*[x for value, rows in n.items() for x in (F.lit(value), F.lit(most / rows))])
+    return df.where(F.rand(7) < F.coalesce(share[F.col(by)], F.lit(1.0)))
+
+
 def numbered(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Texts (id, t) with a number of their own in place of an id that several texts have, and the numbers' ids.
 

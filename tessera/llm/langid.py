@@ -5,7 +5,7 @@ spherical k-means among its training texts; the language of the nearest centroid
 from every centroid is rejected. N-grams that training has not met stand apart: they lengthen a text's vector and so lower its
 cosine, and do not fall together with known ones. How far is too far follows the training texts of about the same length.
 
-Training reads a sample that `per_lang` and `total` bound; only the counts of distinct n-grams of its texts reach the driver. Prediction
+Training reads a sample that `per_lang` and `total` bound, rows alike in key and length included; only the counts of distinct n-grams of its texts reach the driver. Prediction
 reads every whole text once, without a shuffle.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; without training rows every
@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import thinned
 from ._text import LOWER, UPPER, char_kinds, code_points, mix
 
 RESULT = "lang_pred string, score double, rejected boolean"
@@ -126,6 +127,8 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", key: str = "d
     share = F.create_map(*[x for y, n in counts.items() for x in (F.lit(y), F.lit(min(1.0, 1.2 * each / n)))])
     picked = known.where((F.col("h") / F.lit(2.0**64) + 0.5) < share[F.col("y")])
 
+    picked = thinned(picked, "y", 2 * each)
+
     def vectors(batches):
         for b in batches:
             rows = []

@@ -209,7 +209,9 @@ def _pack_round(rows: DataFrame, block_size: int, capacity: int, islands: int, e
     if not n:
         return rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("room")).limit(0)
     blocks = -(-n // block_size)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(turn)), F.lit(blocks)).cast("int"))
+    # by the row's place in the checkpoint too, so that rows of one id, or rows alike, are dealt to all blocks
+    own = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn))
+    dealt = rows.withColumn("block", F.pmod(own, F.lit(blocks)).cast("int"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int"
 

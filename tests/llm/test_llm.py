@@ -771,3 +771,27 @@ def test_block_links_in_slices_equal_brute_force():
         got = neardup.block_links(frame, 0.8, False, most)
         assert {(r.a, label[r.b]) for r in got.itertuples()} == want and len(got) == len(want) > 10
         assert all(abs(r.s - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got.itertuples())
+
+
+# hot keys
+
+
+def test_a_hot_id_is_dealt_to_all_blocks(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "0 piece", "0L start", "if(id % 3 = 0, 10, 900 + id % 200) length", "5L ids_crc32").selectExpr("doc_id", "piece", "start", "cast(length as bigint) length", "ids_crc32")
+    made = packing._pack_round(packing.cut(rows), 500, 2048, 1, 1, 0)
+    sizes = [r["count"] for r in made.groupBy("block").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000 and len(sizes) == 12
+
+
+def test_samples_stay_bounded_under_a_hot_id(spark, monkeypatch):
+    seen = []
+    kept = quality.thinned
+    spy = lambda df, by, most: seen.append((kept(df, by, most).groupBy(by).count().collect(), most)) or kept(df, by, most)
+    monkeypatch.setattr(quality, "thinned", spy)
+    monkeypatch.setattr(langid, "thinned", spy)
+    hot = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "concat('some words of text ', if(id % 3 = 0, 'again', cast(id as string))) text", "if(id % 2 = 0, 'xx', 'yy') lang")
+    labels = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "cast(id % 3 = 0 as int) quality")
+    model = quality.fit(hot, labels, per_class=50)
+    assert np.isfinite(model.scores(np.zeros((1, len(quality.FEATURES))))).all()
+    langid.fit(hot, per_lang=60, total=120)
+    assert len(seen) == 2 and all(r["count"] < 1.5 * most for rows, most in seen for r in rows)
