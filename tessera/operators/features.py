@@ -84,36 +84,3 @@ def apply_group_means(df: DataFrame, key: str, values: list[str], means: DataFra
     """Adds the key's means; unknown keys and keys whose values were all missing get the overall mean."""
     joined = df.join(small(means), key, "left")
     return joined.withColumns({f"{key}_mean_{c}": F.coalesce(f"{key}_mean_{c}", F.lit(overall[c])) for c in values})
-
-
-CLAIM_VALUES = ["billed_amount", "length_of_stay_hours", "days_from_visit_to_billing"]
-
-
-def claim_interactions(df: DataFrame, department: tuple, provider: tuple) -> DataFrame:
-    """Means of department and provider, differences, ratios, and products with the chronic flag: 18 columns."""
-    out = apply_group_means(df, "department", CLAIM_VALUES, *department)
-    out = apply_group_means(out, "insurance_provider", CLAIM_VALUES, *provider)
-    made = {}
-    for key in ("department", "insurance_provider"):
-        for c in CLAIM_VALUES:
-            made[f"{c}_minus_{key}_mean"] = F.col(c) - F.col(f"{key}_mean_{c}")
-        for c in CLAIM_VALUES[:1]:
-            made[f"{c}_over_{key}_mean"] = safe_div(c, f"{key}_mean_{c}")
-    made["billed_per_stay_hour"] = F.col("billed_amount") / F.greatest(F.coalesce("length_of_stay_hours", F.lit(1.0)), F.lit(1.0))
-    made |= {f"{c}_x_chronic": F.col(c) * F.col("chronic_flag") for c in ("age", "length_of_stay_hours", "billed_amount")}
-    return out.withColumns(made)
-
-
-RISK_VALUES = ["length_of_stay_hours", "billed_amount"]
-
-
-def risk_interactions(df: DataFrame, department: tuple) -> DataFrame:
-    """Nine columns: department means, differences and ratios, age and stay with the chronic flag, amount approved."""
-    out = apply_group_means(df, "department", RISK_VALUES, *department)
-    return out.withColumns({
-        **{f"{c}_minus_department_mean": F.col(c) - F.col(f"department_mean_{c}") for c in RISK_VALUES},
-        **{f"{c}_over_department_mean": safe_div(c, f"department_mean_{c}") for c in RISK_VALUES},
-        "approved_share": safe_div("approved_amount", "billed_amount"),
-        "age_x_chronic": F.col("age") * F.col("chronic_flag"),
-        "stay_x_chronic": F.col("length_of_stay_hours") * F.col("chronic_flag"),
-    })

@@ -253,8 +253,9 @@ def load_model(path: str, columns: list[str], classes: list[str]):
     """A stored pipeline whose contract holds: its label classes are the expected ones, its inputs the expected columns."""
     model = PipelineModel.load(path)
     labels = next((list(s.labels) for s in model.stages if hasattr(s, "labels")), None)
-    made = {c for s in model.stages for c in _named(s, "outputCol") + _named(s, "outputCols")}
-    asked = {c for s in model.stages for c in _named(s, "inputCol") + _named(s, "inputCols")} - made
+    # stages of this library's own say what they read and make
+    made = {c for s in model.stages for c in (s.makes() if hasattr(s, "makes") else _named(s, "outputCol") + _named(s, "outputCols"))}
+    asked = {c for s in model.stages for c in (s.reads() if hasattr(s, "reads") else _named(s, "inputCol") + _named(s, "inputCols"))} - made
     wanted = set(columns)
     target = next((c for s in model.stages if hasattr(s, "labels") for c in _named(s, "inputCol")), None)
     if labels != classes or asked - {target} != wanted:

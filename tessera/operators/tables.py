@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -15,17 +17,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new one, if all run on this machine."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if where:
+        return where
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
+def fresh_dir(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    """df computed once, by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tessera-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
@@ -128,27 +150,43 @@ def exact_quantiles(rows: DataFrame, probabilities: list[float], by: str = "feat
 _MEASURED = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 
 
-def first_share(df: DataFrame, share: float, order: list[str]) -> DataFrame:
-    """The first floor(share * n) rows in a total order.
+def last_of_share(keys: DataFrame, share: float, order: list[str]) -> dict[str, str | None] | None:
+    """The order columns, as text, of the last of the first floor(share * n) rows; None where these are no rows.
 
-    Estimated quantiles of the leading column bracket the last row: what lies below stays, what lies above goes, and
-    only the rows between are sorted, by range. The rows are computed once, since each of the steps reads them.
+    Only the order columns are read. Estimated quantiles of the leading one bracket the last row, and only the keys
+    between them are sorted, by range.
     """
-    df = settled(df)
-    lead = order[0]
+    keys, lead = keys.select(*order), order[0]
+    kind = dict(keys.dtypes)[lead]
     near = F.lit(None)
-    if dict(df.dtypes)[lead].startswith(_MEASURED):
-        near = F.percentile_approx(lead, F.array(*[F.lit(min(1.0, max(0.0, share + e))) for e in (-5e-4, 5e-4)]), 10_000)
-    one = df.agg(F.count("*").alias("n"), F.count(lead).alias("known"), near.alias("near")).first()
-    wanted, between, below = int(share * one["n"]), F.lit(True), F.lit(False)
+    if kind.startswith(_MEASURED):
+        near = F.percentile_approx(lead, F.array(*[F.lit(min(1.0, max(0.0, share + e))) for e in (-5e-4, 5e-4)]), 10_000).cast("array<string>")
+    one = keys.agg(F.count("*").alias("n"), F.count(lead).alias("known"), near.alias("near")).first()
+    wanted, between = int(share * one["n"]), F.lit(True)
+    if not wanted:
+        return None
     if one["near"] and one["known"] == one["n"]:
-        kind = dict(df.dtypes)[lead]
         low, high = (F.lit(x).cast(kind) for x in one["near"])
-        under, to = df.agg(F.count_if(F.col(lead) < low), F.count_if(F.col(lead) <= high)).first()
-        if under <= wanted <= to:
-            below, between, wanted = F.col(lead) < low, F.col(lead).between(low, high), wanted - under
-    last = numbered_rows(df.where(between), order, "__at").where(F.col("__at") < wanted).drop("__at")
-    return df.where(below).unionByName(last)
+        under, to = keys.agg(F.count_if(F.col(lead) < low), F.count_if(F.col(lead) <= high)).first()
+        if under < wanted <= to:
+            between, wanted = F.col(lead).between(low, high), wanted - under
+    at = spare(keys, "at")
+    last = numbered_rows(keys.where(between), order, at).where(F.col(at) == wanted - 1)
+    return last.select(*[F.col(c).cast("string").alias(c) for c in order]).first().asDict()
+
+
+def up_to(df: DataFrame, order: list[str], last: dict[str, str | None]) -> Column:
+    """Whether a row stands at or before the given one in the order, in which nulls come first."""
+    kinds = dict(df.dtypes)
+    value = {c: F.lit(last[c]).cast(kinds[c]) for c in order}
+    before = {c: F.lit(False) if last[c] is None else F.col(c).isNull() | (F.col(c) < value[c]) for c in order}
+    return reduce(lambda rest, c: before[c] | (F.col(c).eqNullSafe(value[c]) & rest), reversed(order), F.lit(True))
+
+
+def first_share(df: DataFrame, share: float, order: list[str]) -> DataFrame:
+    """The first floor(share * n) rows in a total order, as a filter by the last one's key, so that no row is moved."""
+    last = last_of_share(df, share, order)
+    return df.limit(0) if last is None else df.where(up_to(df, order, last))
 
 
 def zip_checked(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tessera.operators import features as f
+from tessera.operators.interactions import CLAIM_COLUMNS, RISK_COLUMNS, Interactions
+from tessera.operators.tables import fresh_dir
 from tessera.plans.fixtures import BILLS, PATIENTS, VISITS, bills, patients, visits
 
 
@@ -67,26 +70,57 @@ def onehot(s, d):
 ONEHOT = f"with p as ({PATIENT_FEATURES}), g as (select patient_id, gender from {PATIENTS}) select patient_id, {', '.join(f'round(cast(coalesce({c}, (select median({c}) from p)) as double), 6) {c}' for c in NUMERIC)}, {', '.join(f'cast(coalesce(insurance_provider, {chr(39)}Unknown{chr(39)}) = {chr(39)}{v}{chr(39)} as int) insurance_provider_{v}' for v in [*PROVIDERS, 'Unknown'])}, cast(gender = 'F' as int) gender_F, cast(gender = 'M' as int) gender_M from p join g using (patient_id)"
 
 
-def interactions(s, d):
-    frame = f.claim_frame(patients(s, d), visits(s, d), bills(s, d))
-    train = f.training_split(frame, CLAIM_ORDER)
-    out = f.claim_interactions(frame, f.fit_group_means(train, "department", f.CLAIM_VALUES), f.fit_group_means(train, "insurance_provider", f.CLAIM_VALUES))
-    names = ["department_mean_billed_amount", "insurance_provider_mean_billed_amount", "billed_amount_minus_department_mean", "length_of_stay_hours_minus_department_mean", "days_from_visit_to_billing_minus_insurance_provider_mean", "billed_amount_over_insurance_provider_mean", "age_x_chronic", "billed_amount_x_chronic"]
-    return out.select("bill_id", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in names])
+def with_interactions(frame, train, kind):
+    """The frame with the columns of a pipeline that is fitted on the training rows, stored and loaded again."""
+    path = fresh_dir(frame.sparkSession, "interactions")
+    Pipeline(stages=[Interactions(kind=kind)]).fit(train).write().save(path)
+    return PipelineModel.load(path).transform(frame)
+
+
+#: Amounts over whole hours end after nine digits at most, and would lie on the edge of fewer.
+_DIGITS = {"billed_amount_per_stay_hour": 9}
+
+
+def _rounded(names):
+    return [(F.round(F.col(c).cast("double"), _DIGITS.get(c, 4)) + 0.0).alias(c) for c in names]
 
 
-_M = f"t as (select * from {CLAIM_TRAIN}), a as (select avg(billed_amount) gb, avg(length_of_stay_hours) gl, avg(days_from_visit_to_billing) gd from t), dm as (select department, avg(billed_amount) db, avg(length_of_stay_hours) dl from t where department is not null group by 1), pm as (select insurance_provider, avg(billed_amount) pb, avg(days_from_visit_to_billing) pd from t where insurance_provider is not null group by 1)"
-INTERACTIONS = f"with {_M} select bill_id, round(coalesce(db, gb), 4) + 0.0 department_mean_billed_amount, round(coalesce(pb, gb), 4) + 0.0 insurance_provider_mean_billed_amount, round(billed_amount - coalesce(db, gb), 4) + 0.0 billed_amount_minus_department_mean, round(length_of_stay_hours - coalesce(dl, gl), 4) + 0.0 length_of_stay_hours_minus_department_mean, round(days_from_visit_to_billing - coalesce(pd, gd), 4) + 0.0 days_from_visit_to_billing_minus_insurance_provider_mean, round(billed_amount / coalesce(pb, gb), 4) + 0.0 billed_amount_over_insurance_provider_mean, cast(age * chronic_flag as double) age_x_chronic, round(billed_amount * chronic_flag, 4) + 0.0 billed_amount_x_chronic from {CLAIM_FRAME} left join dm using (department) left join pm using (insurance_provider), a"
+def claim_columns(s, d):
+    frame = f.claim_frame(patients(s, d), visits(s, d), bills(s, d))
+    return with_interactions(frame, f.training_split(frame, CLAIM_ORDER), "claim").select("bill_id", *_rounded(CLAIM_COLUMNS))
 
 
 def risk_columns(s, d):
     frame = f.risk_frame(patients(s, d), visits(s, d), bills(s, d))
-    out = f.risk_interactions(frame, f.fit_group_means(f.training_split(frame, RISK_ORDER), "department", f.RISK_VALUES))
-    names = ["department_mean_billed_amount", "length_of_stay_hours_minus_department_mean", "billed_amount_over_department_mean", "approved_share", "stay_x_chronic"]
-    return out.select("visit_id", "bill_id", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in names])
+    return with_interactions(frame, f.training_split(frame, RISK_ORDER), "risk").select("visit_id", "bill_id", *_rounded(RISK_COLUMNS))
+
+
+_MEANS = """t as (select * from {train}),
+ o as (select avg(billed_amount) ob, avg(length_of_stay_hours) os, avg({lag}) ol from t),
+ dm as (select department, avg(billed_amount) gb, avg(length_of_stay_hours) gs, avg({lag}) gl from t where department is not null group by 1),
+ pm as (select insurance_provider, avg(billed_amount) hb, avg({lag}) hl from t where insurance_provider is not null group by 1),
+ f as (select f.*, coalesce(gb, ob) db, coalesce(gs, os) ds, coalesce(gl, ol) dl, coalesce(hb, ob) pb, coalesce(hl, ol) pl
+  from {frame} f left join dm using (department) left join pm using (insurance_provider), o)"""
+_SHARED = {
+    "department_avg_billed_amount": "db", "bill_vs_department_avg": "billed_amount - db", "bill_to_department_avg_ratio": "billed_amount / nullif(db, 0)",
+    "department_avg_length_of_stay": "ds", "los_to_department_avg_ratio": "length_of_stay_hours / nullif(ds, 0)",
+    "billed_amount_per_stay_hour": "case when length_of_stay_hours < 1 then billed_amount else billed_amount / length_of_stay_hours end",
+    "provider_avg_billed_amount": "pb", "bill_vs_provider_avg": "billed_amount - pb", "bill_to_provider_avg_ratio": "billed_amount / nullif(pb, 0)",
+}
+_LAG = "days_from_visit_to_billing"
+_CLAIM_ONLY = {
+    "department_avg_billing_lag": "dl", "billing_lag_vs_department_avg": f"{_LAG} - dl", "billing_lag_to_department_avg_ratio": f"{_LAG} / nullif(dl, 0)",
+    "provider_avg_billing_lag": "pl", "billing_lag_vs_provider_avg": f"{_LAG} - pl", "billing_lag_to_provider_avg_ratio": f"{_LAG} / nullif(pl, 0)",
+    "age_chronic_interaction": "age * chronic_flag", "los_chronic_interaction": "length_of_stay_hours * chronic_flag", "billed_amount_chronic_interaction": "billed_amount * chronic_flag",
+}
+
+
+def _made(columns):
+    return ", ".join(f"round(cast({x} as double), {_DIGITS.get(c, 4)}) + 0.0 as {c}" for c, x in columns.items())
 
 
-RISK_COLUMNS = f"with t as (select * from {RISK_TRAIN}), a as (select avg(billed_amount) gb, avg(length_of_stay_hours) gl from t), dm as (select department, avg(billed_amount) db, avg(length_of_stay_hours) dl from t where department is not null group by 1) select visit_id, bill_id, round(coalesce(db, gb), 4) + 0.0 department_mean_billed_amount, round(length_of_stay_hours - coalesce(dl, gl), 4) + 0.0 length_of_stay_hours_minus_department_mean, round(billed_amount / coalesce(db, gb), 4) + 0.0 billed_amount_over_department_mean, round(approved_amount / billed_amount, 4) + 0.0 approved_share, round(length_of_stay_hours * chronic_flag, 4) + 0.0 stay_x_chronic from {RISK_FRAME} left join dm using (department), a"
+INTERACTIONS = f"with {_MEANS.format(train=CLAIM_TRAIN, frame=CLAIM_FRAME, lag=_LAG)} select bill_id, {_made(_SHARED | _CLAIM_ONLY)} from f"
+RISK_INTERACTIONS = f"with {_MEANS.format(train=RISK_TRAIN, frame=RISK_FRAME, lag='null::double')} select visit_id, bill_id, {_made(_SHARED)} from f"
 
 
 def frozen_fallback(s, d):
@@ -105,7 +139,7 @@ QUERIES = {
     "claim_training_frame": (lambda s, d: claim_train(s, d).select(*CLAIM_KEEP), f"select {', '.join(CLAIM_KEEP)} from {CLAIM_TRAIN}"),
     "risk_training_frame": (lambda s, d: risk_train(s, d).select("visit_id", "bill_id", "risk_score", "visit_year", "visit_month", "days_since_registration_at_visit"), f"select visit_id, bill_id, risk_score, visit_year, visit_month, days_since_registration_at_visit from {RISK_TRAIN}"),
     "model_table_onehot": (onehot, ONEHOT),
-    "claim_interactions": (interactions, INTERACTIONS),
-    "risk_interactions": (risk_columns, RISK_COLUMNS),
+    "claim_interactions": (claim_columns, INTERACTIONS),
+    "risk_interactions": (risk_columns, RISK_INTERACTIONS),
     "frozen_mean_fallback": (frozen_fallback, FROZEN),
 }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,11 +14,7 @@ from tessera.sources import files, store
 
 
 def scratch(spark) -> str:
-    """A new folder that driver and executors share; in local mode a temporary one will do."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(where or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/interchange-{uuid.uuid4().hex}"
+    return tables.fresh_dir(spark, "interchange")
 
 
 def nations(s, d):
