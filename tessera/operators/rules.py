@@ -5,6 +5,8 @@ Rules of one table make one job whatever their number. Severities follow two pol
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,12 @@ from tessera.functions.scalars import quarter_of_month, to_number
 from tessera.operators.tables import columns_of_kind
 
 POLICIES = ("warn", "reject")
-CODES = ("empty_dataset", "missing_column", "unexpected_column", "missing_value", "invalid_numeric_type", "non_finite_value", "numeric_out_of_range", "integer_required", "unseen_category", "invalid_month_quarter", "invalid_weekend_flag", "approved_exceeds_billed")
-ISSUE = "code string, severity string, feature string, count long, rate double, distinct_count long"
+# The codes of issues.
+CODES = (
+    "empty_dataset", "missing_column", "unexpected_column", "missing_value", "invalid_numeric_type", "non_finite_value", "numeric_out_of_range", "integer_required", "unseen_category",
+    "inconsistent_calendar_field", "business_rule_violation",
+)
+ISSUE = "code string, severity string, feature string, count long, rate double, message string, distinct_count long"
 
 
 @dataclass(frozen=True)
@@ -42,59 +48,93 @@ def _number(c: str) -> Column:
     return F.when(special.isin("inf", "+inf", "infinity"), float("inf")).when(special.isin("-inf", "-infinity"), float("-inf")).otherwise(to_number(F.trim(_text(c))))
 
 
-def conditions(contract: Contract, present: set[str]) -> list[tuple[str, str, Column, Column | None]]:
-    """(code, feature, failing rows, value whose distinct number is told) of each rule whose columns are there."""
+@dataclass(frozen=True)
+class Rule:
+    """Rows that fail, what is told of them, and the value whose distinct number is told too."""
+
+    code: str
+    feature: str
+    fails: Column
+    message: str
+    value: Column | None = None
+
+
+def conditions(contract: Contract, present: set[str]) -> list[Rule]:
+    """The rules whose columns are there."""
     out = []
     for c in (c for c in contract.columns if c in present):
-        known, number = ~_missing(c), _number(c)
-        out.append(("missing_value", c, _missing(c), None))
+        known, number, of = ~_missing(c), _number(c), f"Feature '{c}'"
+        out.append(Rule("missing_value", c, _missing(c), f"{of} contains missing or blank values"))
         if c in contract.ranges:
             low, high = contract.ranges[c]
             finite = number.isNotNull() & (F.abs(number) != float("inf"))
-            out.append(("invalid_numeric_type", c, known & number.isNull(), None))
-            out.append(("non_finite_value", c, known & (F.abs(number) == float("inf")), None))
-            out.append(("numeric_out_of_range", c, finite & ((number < low) | (number > high)), None))
+            out.append(Rule("invalid_numeric_type", c, known & number.isNull(), f"{of} contains values that are not numeric"))
+            out.append(Rule("non_finite_value", c, known & (F.abs(number) == float("inf")), f"{of} contains NaN or infinite values"))
+            out.append(Rule("numeric_out_of_range", c, finite & ((number < low) | (number > high)), f"{of} must be between {low:g} and {high:g}"))
             if c in contract.integers:
-                out.append(("integer_required", c, finite & (F.pmod(number, F.lit(1.0)) > 1e-8), None))
+                out.append(Rule("integer_required", c, finite & (F.pmod(number, F.lit(1.0)) > 1e-8), f"{of} must contain integer values"))
         if c in contract.categories:
             value = F.trim(_text(c))
             unseen = known & ~value.isin(*contract.categories[c])
-            out.append(("unseen_category", c, unseen, F.when(unseen, value)))
+            out.append(Rule("unseen_category", c, unseen, f"{of} contains categories absent from the fitted encoder", F.when(unseen, value)))
     for prefix in contract.calendars:
         month, quarter, day, weekend = (f"{prefix}_{x}" for x in ("month", "quarter", "day_of_week", "is_weekend"))
+        unlike = lambda a, b: f"Feature '{a}' is inconsistent with '{b}'"
         if {month, quarter} <= present:
-            out.append(("invalid_month_quarter", quarter, _number(quarter) != quarter_of_month(_number(month)), None))
+            out.append(Rule("inconsistent_calendar_field", quarter, _number(quarter) != quarter_of_month(_number(month)), unlike(quarter, month)))
         if {day, weekend} <= present:
-            out.append(("invalid_weekend_flag", weekend, _number(weekend) != (_number(day) >= 5).cast("double"), None))
+            out.append(Rule("inconsistent_calendar_field", weekend, _number(weekend) != _number(day).isin(5, 6).cast("double"), unlike(weekend, day)))
     if contract.amounts and set(contract.amounts) <= present:
         approved, billed = contract.amounts
-        out.append(("approved_exceeds_billed", approved, _number(approved) > _number(billed), None))
+        out.append(Rule("business_rule_violation", approved, _number(approved) > _number(billed), f"Feature '{approved}' cannot exceed '{billed}'"))
     return out
 
 
 def validate(df: DataFrame, contract: Contract, missing_policy: str = "warn", unseen_policy: str = "warn") -> DataFrame:
-    """The issues: code, severity, feature, count, rate, distinct_count; values themselves are never told."""
+    """The issues: code, severity, feature, count, rate, message, distinct_count; values themselves are never told."""
     if missing_policy not in POLICIES or unseen_policy not in POLICIES:
         raise ValueError(f"a policy is one of {POLICIES}")
     spark, present, expected = df.sparkSession, set(df.columns), set(contract.columns)
     rules = conditions(contract, present)
-    severity = {"missing_value": missing_policy, "unseen_category": unseen_policy}
-    name = lambda code, feature: "error" if code not in severity or severity[code] == "reject" or (code == "unseen_category" and feature in contract.controlled) else "warning"
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(code).alias("code"), F.lit(name(code, f)).alias("severity"), F.lit(f).alias("feature"), F.count_if(cond).alias("count")) for i, (code, f, cond, _) in enumerate(rules)]
-    one = df.agg(F.count("*").alias("n"), F.array(*cells).alias("cells") if cells else F.array().cast("array<struct<i:int,code:string,severity:string,feature:string,count:bigint>>").alias("cells"))
-    rows = one.select("n", F.explode("cells").alias("c")).select("c.*", "n").where("count > 0")
+    policy = {"missing_value": missing_policy, "unseen_category": unseen_policy}
+
+    def severity(code: str, feature: str) -> str:
+        strict = code not in policy or policy[code] == "reject" or (code == "unseen_category" and feature in contract.controlled)
+        return "error" if strict else "warning"
+
+    # (place, rule as told, failing rows) of every rule; rules about columns concern all rows
+    shape = [("missing_column", c, f"Required feature column '{c}' is missing") for c in sorted(expected - present)]
+    shape += [("unexpected_column", c, f"Unexpected feature column '{c}' is not in the model contract") for c in sorted(present - expected)]
+    told = [(code, "error", c, message, F.lit(True)) for code, c, message in shape] + [(r.code, severity(r.code, r.feature), r.feature, r.message, r.fails) for r in rules]
+    cell = lambda i, code, said, feature, message, count: F.struct(F.lit(i).alias("i"), F.lit(code).alias("code"), F.lit(said).alias("severity"), F.lit(feature).cast("string").alias("feature"), count.alias("count"), F.lit(message).alias("message"), F.lit(code in ("empty_dataset", "missing_column", "unexpected_column")).alias("always"))
+    empty = cell(-1, "empty_dataset", "error", None, "Input contains no records", F.count(F.lit(1)))
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.array(empty, *[cell(i, *x[:4], F.count_if(x[4])) for i, x in enumerate(told)]).alias("cells"))
+    rows = one.select("n", F.explode("cells").alias("c")).select("c.*", "n").where("count > 0 and code <> 'empty_dataset' or always and (code <> 'empty_dataset' or n = 0)")
     # distinct values are counted apart, from each value's rows combined on the map side
-    told = [F.struct(F.lit(i).alias("i"), value.alias("value")) for i, (_, _, _, value) in enumerate(rules) if value is not None]
-    if told:
-        unlike = df.select(F.explode(F.filter(F.array(*told), lambda x: x["value"].isNotNull())).alias("x")).groupBy("x.i", "x.value").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("distinct_count"))
+    valued = [F.struct(F.lit(len(shape) + i).alias("i"), r.value.alias("value")) for i, r in enumerate(rules) if r.value is not None]
+    if valued:
+        unlike = df.select(F.explode(F.filter(F.array(*valued), lambda x: x["value"].isNotNull())).alias("x")).groupBy("x.i", "x.value").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("distinct_count"))
         rows = rows.join(F.broadcast(unlike), "i", "left")  # a row for each rule
     else:
         rows = rows.withColumn("distinct_count", F.lit(None).cast("long"))
-    found = rows.select("i", "code", "severity", "feature", "count", (F.col("count") / F.greatest("n", F.lit(1))).alias("rate"), "distinct_count")
-    shape = [("missing_column", c) for c in sorted(expected - present)] + [("unexpected_column", c) for c in sorted(present - expected)]
-    fixed = spark.createDataFrame([(k - len(shape), code, "error", c, 1, 1.0, None) for k, (code, c) in enumerate(shape)], f"i int, {ISSUE}")
-    empty = one.where("n = 0").select(F.lit(-(10**6)).alias("i"), F.lit("empty_dataset").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("feature"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("rate"), F.lit(None).cast("long").alias("distinct_count"))
-    return found.unionByName(fixed).unionByName(empty).orderBy("i").drop("i")
+    return rows.orderBy("i").select("code", "severity", "feature", "count", (F.col("count") / F.greatest("n", F.lit(1))).alias("rate"), "message", "distinct_count")
+
+
+def report(df: DataFrame, issues: DataFrame, contract: Contract, model_id: str, artifact: str | None = None) -> DataFrame:
+    """One row: what was checked against what, whether it passes, the summary and the issues."""
+    listed = issues.agg(F.collect_list(F.struct("*")).alias("issues"))
+    whole = listed.crossJoin(summary(issues)).crossJoin(df.agg(F.count(F.lit(1)).alias("row_count")))  # one row each
+    names = lambda cs: F.array(*[F.lit(c) for c in cs])
+    return whole.select(
+        F.lit(model_id).alias("model_id"), F.current_timestamp().alias("generated_at"), F.lit(artifact).cast("string").alias("artifact_sha256"), F.lit(contract_sha256(contract.categories)).alias("category_contract_sha256"), "row_count",
+        names(contract.columns).alias("expected_columns"), names(df.columns).alias("observed_columns"), "valid", F.struct(F.col("errors").alias("error_count"), F.col("warnings").alias("warning_count")).alias("summary"), "issues",
+    )
+
+
+def contract_sha256(categories: dict[str, tuple[str, ...]]) -> str:
+    """SHA-256 of the categories as compact JSON with sorted keys and values."""
+    spelled = json.dumps({k: sorted(v) for k, v in categories.items()}, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    return hashlib.sha256(spelled.encode()).hexdigest()
 
 
 def summary(issues: DataFrame) -> DataFrame:
@@ -102,10 +142,15 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")).withColumn("valid", F.col("errors") == 0)
 
 
+def outcome(issues: DataFrame, fail_on_warnings: bool = False) -> DataFrame:
+    """The summary with the exit code of a job: 0 passed, 2 failed, by errors or by warnings that count. (1 is left to runs
+    that break.)"""
+    fails = (F.col("errors") > 0) | (F.lit(fail_on_warnings) & (F.col("warnings") > 0))
+    return summary(issues).withColumn("code", F.when(fails, 2).otherwise(0))
+
+
 def exit_code(issues: DataFrame, fail_on_warnings: bool = False) -> int:
-    """0 passed, 1 errors, 2 warnings that count as a failure."""
-    s = summary(issues).first()
-    return 1 if s["errors"] else 2 if s["warnings"] and fail_on_warnings else 0
+    return outcome(issues, fail_on_warnings).first()["code"]
 
 
 def learn_categories(train: DataFrame, features: list[str] | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import canonical_json, new_id
+from tessera.functions.scalars import new_id
 from tessera.operators import drift, rules
 from tessera.operators.ml import predicted
 from tessera.operators.tables import settled
@@ -40,7 +43,7 @@ def check_request(batch: DataFrame, contract: rules.Contract, unseen_policy: str
     return rules.validate(batch, contract, "reject", unseen_policy)
 
 
-def score_batch(batch: DataFrame, model, model_id: str, artifact: str, classes: list[str], contract: rules.Contract, key: bytes, retention_days: int = 90, store_path: str | None = None) -> Scored:
+def score_batch(batch: DataFrame, model, model_id: str, artifact: str, classes: list[str], contract: rules.Contract, key: bytes, retention_days: int = 90, store_path: str | None = None, model_name: str | None = None) -> Scored:
     """Predictions of a batch that holds to its contract, with an audit line and a telemetry row for each.
 
     Fails closed: a batch with errors is rejected before it is scored, and where a store is given, no prediction comes
@@ -49,42 +52,38 @@ def score_batch(batch: DataFrame, model, model_id: str, artifact: str, classes:
     issues = check_request(batch, contract)
     if rules.exit_code(issues):
         raise Rejected(issues)
-    rows = settled(predicted(model, batch.withColumn("request_id", new_id()), classes))
+    began = time.monotonic()
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # a request's rows are bounded
+    asked = batch.withColumns({"request_id": new_id(), "timestamp": F.current_timestamp(), "record_index": place})
+    rows = settled(predicted(model, asked, classes))
+    size, took = rows.count(), (time.monotonic() - began) * 1000
     features = list(contract.columns)
     payload = F.to_json(F.struct(F.struct(*features).alias("features"), F.col("predicted").alias("prediction"), "probabilities", "max_probability"), {"ignoreNullFields": "false"})
-    told = rows.select(F.col("request_id").alias("telemetry_id"), F.lit(model_id).alias("model_id"), F.lit(artifact).alias("artifact"), F.current_timestamp().alias("recorded_at"), payload.alias("payload"))
+    told = rows.select(F.col("request_id").alias("telemetry_id"), F.lit(model_id).alias("model_id"), F.lit(artifact).alias("artifact"), F.col("timestamp").alias("recorded_at"), payload.alias("payload"))
     sealed = store.telemetry(told, key, retention_days)
     if store_path:
         store.append_telemetry(sealed, store_path)
-    audit = files.audit_events(rows.select("request_id", F.lit(model_id).alias("model_id"), F.col("predicted").alias("prediction"), F.lit(None).cast("double").alias("duration_ms"), *features), key, features)
+    named = {"model_id": F.lit(model_id), "model_name": F.lit(model_name or model_id), "artifact_sha256": F.lit(artifact), "prediction": F.col("predicted"), "batch_size": F.lit(size), "duration_ms": F.lit(took)}
+    audit = files.audit_events(rows.select("timestamp", "request_id", "record_index", "probabilities", *features, *[v.alias(k) for k, v in named.items()]), key, features)
     return Scored(rows.select("request_id", *features, "predicted", "probabilities", "max_probability"), audit, sealed)
 
 
-def baseline_document(training: DataFrame, predictions: DataFrame, model_id: str, artifact: str, numeric: list[str], categories: list[str], label: str, confidence: str, low: float = 0.5) -> DataFrame:
+def baseline_document(training: DataFrame, predictions: DataFrame, model_id: str, artifact: str, numeric: list[str], categories: list[str], label: str, confidence: str, low: float = 0.5, contract_sha256: str | None = None, period: tuple[str, str] | None = None, sources: dict[str, str] | None = None) -> DataFrame:
     """One row (model_id, artifact, record_count, baseline_json): profiles of the features, and of the model's predictions
-    on the same rows. No rows, or another number of predictions than of rows, is an error."""
+    on the same rows, with where they come from. No rows, or another number of predictions than of rows, is an error."""
     n, m = training.count(), predictions.count()
     if not n:
         raise ValueError("a baseline needs a record")
     if n != m:
         raise ValueError(f"{m} predictions do not align with {n} training rows")
     spark = training.sparkSession
-    lists = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct("feature", *[c for c in df.columns if c != "feature"]))).alias(name))  # noqa: E731  a row for each feature
-    # maps have no order, so distributions go as lists of (value, share)
-    spelled = lambda df: df.withColumn("distribution", F.array_sort(F.map_entries("distribution")))
-    none = lambda name: spark.createDataFrame([([],)], f"{name} array<string>")
-    parts = [
-        lists(drift.numeric_profile(training, numeric), "numeric") if numeric else none("numeric"),
-        lists(spelled(drift.categorical_profile(training, categories)), "categorical") if categories else none("categorical"),
-        lists(spelled(drift.categorical_profile(predictions, [label])), "classes"),
-        lists(drift.numeric_profile(predictions, [confidence]), "confidence"),
-        predictions.agg(F.avg(confidence).alias("mean_max_probability"), F.avg((F.col(confidence) < low).cast("double")).alias("low_confidence_rate")),
-    ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.crossJoin(p)  # one row each
-    body = canonical_json(schema_version=F.lit(1), record_count=F.lit(n), **{c: F.col(c) for c in whole.columns})
-    return whole.select(F.lit(model_id).alias("model_id"), F.lit(artifact).alias("artifact"), F.lit(n).alias("record_count"), body.alias("baseline_json"))
+    document = {
+        "schema_version": 1, "model_id": model_id, "artifact_sha256": artifact, "category_contract_sha256": contract_sha256, "created_at": datetime.now(UTC).isoformat().replace("+00:00", "Z"),
+        "baseline_population": "earliest_80_percent_chronological_training_split", "training_period": dict(zip(("start", "end"), period or (None, None), strict=True)), "record_count": n,
+        "source_file_sha256": sources or {}, **drift.profile_document(training, numeric, categories), "prediction_profile": drift.prediction_profile(predictions, label, confidence, low),
+    }
+    body = json.dumps(document, sort_keys=True, ensure_ascii=True, allow_nan=False)
+    return spark.createDataFrame([(model_id, artifact, n, body)], "model_id string, artifact string, record_count long, baseline_json string")
 
 
 def contract_document(train: DataFrame, model_id: str, features: list[str] | None = None) -> DataFrame:

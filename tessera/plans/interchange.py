@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as f
@@ -57,7 +58,10 @@ def parquet_back(s, d):
 
 
 def records(s, d):
-    return files.from_records(s, [{"name": "a", "age": 3}, {"age": 4}, {"name": "c", "more": 1}], {"age": "int", "name": "string"})
+    """A few records whose fields differ, from the reference table."""
+    found = [{"name": r["n_name"], "age": r["n_nationkey"]} for r in nations(s, d).collect()]
+    given = [{k: v for k, v in r.items() if k != "name" or r["age"] % 3} | ({"more": 1} if r["age"] % 5 == 0 else {}) for r in found]
+    return files.from_records(s, given, {"age": "int", "name": "string"})
 
 
 def word_vectors(s, d):
@@ -150,10 +154,14 @@ def contract_print(s, d):
 
 
 def exit_codes(s, d):
-    warned = rules.validate(nations(s, d).where("n_nationkey <= 20"), CONTRACT)
-    wrong = rules.validate(nations(s, d), CONTRACT)
-    fine = rules.validate(nations(s, d).where("n_name = 'NATION_6'"), CONTRACT)
-    return s.createDataFrame([("fine", rules.exit_code(fine, True)), ("warned", rules.exit_code(warned)), ("warned, failing", rules.exit_code(warned, True)), ("wrong", rules.exit_code(wrong))], "batch string, code int")
+    n = nations(s, d)
+    cases = {"fine": (n.where("n_name = 'NATION_6'"), True), "warned": (n.where("n_nationkey <= 20"), False), "warned, failing": (n.where("n_nationkey <= 20"), True), "wrong": (n, False)}
+    return reduce(DataFrame.unionByName, [rules.outcome(rules.validate(df, CONTRACT), fail).select(F.lit(k).alias("batch"), "errors", "warnings", "code") for k, (df, fail) in cases.items()])
+
+
+_CASES = " union all ".join(f"select '{k}' batch, {fail} fails, * from nation where {which}" for k, which, fail in (("fine", "n_name = 'NATION_6'", "true"), ("warned", "n_nationkey <= 20", "false"), ("warned, failing", "n_nationkey <= 20", "true"), ("wrong", "true", "false")))
+EXIT_CODES = f"""select batch, count(*) filter (bad > 0) errors, count(*) filter (odd > 0) warnings, cast(case when sum(bad) > 0 or (bool_or(fails) and sum(odd) > 0) then 2 else 0 end as int) code
+ from (select batch, fails, count(*) filter (n_nationkey > 20) bad, count(*) filter (n_name <> 'NATION_6') odd from ({_CASES}) group by all) group by batch"""
 
 
 def requests(s, d):
@@ -177,14 +185,23 @@ def events_now(s, d):
 
 
 def baseline(s, d):
+    """The active baseline of two, read back from the store as tables."""
     e = events_now(s, d)
     doc = scoring.baseline_document(e, e.select("event_type", "p"), "m", "a1", ["value"], ["event_type"], "event_type", "p")
     path = f"{scratch(s)}/baselines"
     store.register_baseline(doc.withColumn("baseline_json", F.lit('{"old":1}')), path)
     store.register_baseline(doc, path)
-    body = json.loads(store.load_active_baseline(s, path, "m"))
-    rows = [(x["key"], round(x["value"], 9), body["record_count"], round(body["low_confidence_rate"], 9), round(body["numeric"][0]["mean"], 6)) for x in body["classes"][0]["distribution"]]
-    return s.createDataFrame(rows, "event_type string, share double, records long, low_confidence_rate double, mean_value double")
+    number = "type:string,missing_rate:double,mean:double,cut_points:array<double>,bin_proportions:array<double>"
+    shape = f"record_count bigint, feature_profiles struct<value:struct<{number}>>, prediction_profile struct<class_distribution:map<string,double>,low_confidence_rate:double,confidence:struct<{number}>>"
+    one = store.active_baseline(s.read.parquet(path)).select(F.from_json("baseline_json", shape).alias("b"))
+    p = one.select("b.record_count", "b.feature_profiles.value", "b.prediction_profile.*")
+    told = p.select(F.explode("class_distribution").alias("event_type", "share"), F.col("record_count").alias("records"), F.round("low_confidence_rate", 9).alias("low_confidence_rate"), F.round("value.mean", 6).alias("mean_value"), F.round(F.col("value.cut_points")[8], 6).alias("top_decile"), F.round(F.col("value.bin_proportions")[9], 9).alias("top_bin"), F.size("confidence.cut_points").alias("confidence_cuts"))
+    return told.withColumn("share", F.round("share", 9))
+
+
+BASELINE = """with t as (select quantile_cont(value, 0.9) c, count(*) n, avg(value) m, avg(cast(event_id % 100 / 100.0 < 0.5 as double)) l from events)
+ select event_type, round(count(*) / max(n), 9) share, max(n) records, round(max(l), 9) low_confidence_rate, round(max(m), 6) mean_value, round(max(c), 6) top_decile,
+ (select round(count(*) filter (value >= c) / count(*), 9) from events, t) top_bin, cast(len(list_distinct((select quantile_cont(event_id % 100 / 100.0, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) from events))) as int) confidence_cuts from events, t group by 1"""
 
 
 def reports(s, d):
@@ -197,14 +214,28 @@ def reports(s, d):
 
 
 def audit_lines(s, d):
-    e = table(s, d, "events").select(F.col("event_id").cast("string").alias("request_id"), F.lit("m").alias("model_id"), F.col("event_type").alias("prediction"), F.lit(1.005).alias("duration_ms"), F.col("user_id").alias("user"))
+    p = (F.col("event_id") % 100) / 100.0
+    e = table(s, d, "events").select(
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").cast("string").alias("request_id"), F.lit("m").alias("model_id"), F.lit("Model").alias("model_name"), F.lit("a1").alias("artifact_sha256"), F.col("event_type").alias("prediction"), F.create_map(F.lit("yes"), p, F.lit("no"), 1 - p).alias("probabilities"),
+        (F.col("event_id") % 10).alias("record_index"), F.lit(10).alias("batch_size"), F.lit(1.005).alias("duration_ms"), F.col("user_id").alias("user"),
+    )
     line = files.audit_events(e, b"audit-key", ["user"])
-    return line.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("event", "request_id", "prediction", "features_hmac")])
+    plain = ("event", "timestamp", "request_id", "model_id", "model_name", "artifact_sha256", "input_feature_hash", "prediction", "record_index", "batch_size", "duration_ms")
+    return line.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in plain], F.round(F.get_json_object("value", "$.probabilities.yes").cast("double"), 6).alias("yes"))
+
+
+AUDIT_LINES = "select 'model_prediction' event, strftime(ts::timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp, event_id::varchar request_id, 'm' model_id, 'Model' model_name, 'a1' artifact_sha256, " + hmac_sql(b"audit-key", "'{\"user\":' || user_id || '}'") + " input_feature_hash, event_type prediction, (event_id % 10)::varchar record_index, '10' batch_size, '1.0' duration_ms, event_id % 100 / 100.0 yes from events"
 
 
 def quality_lines(s, d):
-    line = files.quality_events(rules.validate(nations(s, d), CONTRACT), "r1")
-    return line.select(F.get_json_object("value", "$.event").alias("event"), F.get_json_object("value", "$.request_id").alias("request_id"), F.size(F.from_json(F.get_json_object("value", "$.issues"), "array<struct<code:string>>")).alias("issues"))
+    n = nations(s, d)
+    line = files.quality_events(rules.report(n, rules.validate(n, CONTRACT), CONTRACT, "m"), "r1")
+    listed = F.from_json(F.get_json_object("value", "$.issues"), "array<struct<code:string,count:bigint>>")
+    return line.select(F.get_json_object("value", "$.event").alias("event"), F.get_json_object("value", "$.request_id").alias("request_id"), F.get_json_object("value", "$.category_contract_sha256").alias("contract"), F.inline(listed)).withColumnRenamed("count", "failing")
+
+
+QUALITY_LINES = """select 'data_quality_validation' event, 'r1' request_id, sha256('{"n_name":["NATION_6"]}') contract, code, failing from
+ (select 'numeric_out_of_range' code, count(*) filter (n_nationkey > 20) failing from nation union all select 'unseen_category', count(*) filter (n_name <> 'NATION_6') from nation) where failing > 0"""
 
 
 def report_text(s, d):
@@ -221,21 +252,23 @@ def health(s, d):
 
 
 def refused(s, d):
-    """Which rows the store's conditions refuse."""
-    good = s.sql("select 'i' telemetry_id, 'm' model_id, 'a' artifact, timestamp '2024-01-01' recorded_at, timestamp '2024-01-02' expires_at, 'k' key_id, binary('x') encrypted_payload, repeat('0', 64) payload_sha256")
-    cases = {"good": good, "expired first": good.withColumn("expires_at", F.col("recorded_at")), "no model": good.withColumn("model_id", F.lit(None).cast("string")), "long id": good.withColumn("telemetry_id", F.repeat(F.lit("i"), 37))}
+    """How many rows of the telemetry's table each condition refuses."""
+    e = table(s, d, "events")
+    rows = e.select(
+        F.when(F.col("event_id") % 7 == 0, F.repeat(F.lit("i"), 37)).otherwise(F.col("event_id").cast("string")).alias("telemetry_id"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("model_id"), F.lit("a").alias("artifact"), F.col("ts").cast("timestamp").alias("recorded_at"),
+        (F.col("ts").cast("timestamp") + F.make_interval(days=(F.col("event_id") % 5).cast("int"))).alias("expires_at"), F.lit("k").alias("key_id"), F.encode("props", "utf-8").alias("encrypted_payload"), F.sha2("props", 256).alias("payload_sha256"),
+    )
+    out, wrong = store.broken(rows, "telemetry")
+    return out.groupBy(F.coalesce(wrong, F.lit("none")).alias("refusal")).agg(F.count("*").alias("n"))
 
-    def taken(df) -> bool:
-        try:
-            return store.checked(df, "telemetry").count() == 1 and store.checked(df, "telemetry").collect() is not None
-        except Exception:  # noqa: BLE001  a refusal fails the job
-            return False
 
-    return s.createDataFrame([(k, taken(v)) for k, v in cases.items()], "case string, taken boolean")
+REFUSED = "select case when event_id % 11 = 0 then 'model_id is null' when event_id % 5 = 0 then 'expires after it was recorded' when event_id % 7 = 0 then 'id of 36 characters at most' else 'none' end refusal, count(*) n from events group by 1"
 
 
 def made_claims(s, d):
-    c, r = files.synthetic_claims(s, 2000, 5), files.synthetic_risks(s, 2000, 5)
+    """Synthetic records, as many of each kind as there are customers."""
+    n = table(s, d, "customer").count()
+    c, r = files.synthetic_claims(s, n, 5), files.synthetic_risks(s, n, 5)
     sound = lambda x: F.every(F.col("age").between(18, 90) & F.col("length_of_stay_hours").between(0, 120) & (F.col("visit_quarter") == F.ceil(F.col("visit_month") / 3)) & x)
     return c.agg(F.lit("claim").alias("kind"), F.count("*").alias("n"), sound(F.col("days_from_visit_to_billing").between(0, 120)).alias("sound")).unionByName(r.agg(F.lit("risk").alias("kind"), F.count("*").alias("n"), sound((F.col("approved_amount") <= F.col("billed_amount")) & ((F.col("claim_status") != "Rejected") | (F.col("approved_amount") == 0))).alias("sound")))
 
@@ -274,7 +307,7 @@ QUERIES = {
     "json_lines_roundtrip": (json_lines_back, NATIONS),
     "json_array_roundtrip": (json_array_back, NATIONS),
     "parquet_roundtrip": (parquet_back, NATIONS),
-    "inline_records": (records, "select * from (values (3, 'a'), (4, null), (null, 'c')) t(age, name)"),
+    "inline_records": (records, "select n_nationkey age, case when n_nationkey % 3 <> 0 then n_name end as name from nation"),
     "word_vectors": (word_vectors, "select replace(n_name, ' ', '_') word, n_nationkey as first, n_regionkey as second from nation"),
     "batch_lines": (batches, "select count(*) n, min(n_nationkey) lowest from nation group by n_nationkey // 10"),
     "column_names": (names, "select * from (values (0, 'n_name', false), (1, 'n_nationkey', true), (2, 'n_regionkey', true)) t(place, name, is_number)"),
@@ -292,17 +325,17 @@ QUERIES = {
     "unique_ids": (ids, "select count(*) n, 36 shortest, 36 longest from nation"),
     "dq_empty": (empty_issues, "select 'empty_dataset' code, 'error' severity, 0 as count"),
     "contract_export": (contract_print, f"with v as (select 'o_orderstatus' f, o_orderstatus v from orders union select 'o_orderpriority', o_orderpriority from orders), g as (select f, string_agg(v, ',' order by v) c, string_agg('\"' || v || '\"', ',' order by v) j from v group by 1) select 'm' model_id, '{{' || string_agg('\"' || f || '\":[' || j || ']', ',' order by f) || '}}' categories, sha256({_LINES}) contract_sha256 from g"),
-    "gate_exit_codes": (exit_codes, "select * from (values ('fine', 0), ('warned', 0), ('warned, failing', 2), ('wrong', 1)) t(batch, code)"),
+    "gate_exit_codes": (exit_codes, EXIT_CODES),
     "request_rules": (requests, "select * from (values ('none', 'size'), ('unseen', 'issues'), ('fine', 'taken'), ('many', 'size')) t(batch, result)"),
-    "lookback_window": (windowed, "select event_id from events where ts > (select max(ts) from events) - interval 48 hour - interval 1 microsecond + interval 1 microsecond"),
-    "baseline_assembly": (baseline, "select event_type, round(count(*) / sum(count(*)) over (), 9) share, sum(count(*)) over () records, (select round(avg(cast(event_id % 100 / 100.0 < 0.5 as double)), 9) from events) low_confidence_rate, (select round(avg(value), 6) from events) mean_value from events group by 1"),
+    "lookback_window": (windowed, "select event_id from events where ts > (select max(ts) from events) - interval 48 hour"),
+    "baseline_assembly": (baseline, BASELINE),
     "report_append": (reports, "select 'm/1' model_id, count(*) record_count, s overall_status, 'none' worst from events, (values ('ok'), ('critical')) t(s) group by s"),
-    "audit_lines": (audit_lines, "select 'prediction' event, event_id::varchar request_id, event_type prediction, " + hmac_sql(b"audit-key", "'{\"user\":' || user_id || '}'") + " features_hmac from events"),
-    "quality_lines": (quality_lines, "select 'data_quality' event, 'r1' request_id, 2 issues"),
+    "audit_lines": (audit_lines, AUDIT_LINES),
+    "quality_lines": (quality_lines, QUALITY_LINES),
     "report_text": (report_text, "select count(*) n, max(n_name) as last, true indented from nation"),
     "store_health": (health, "select true there, false absent"),
-    "store_conditions": (refused, "select * from (values ('good', true), ('expired first', false), ('no model', false), ('long id', false)) t(\"case\", taken)"),
-    "synthetic_records": (made_claims, "select * from (values ('claim', 2000, true), ('risk', 2000, true)) t(kind, n, sound)"),
+    "store_conditions": (refused, REFUSED),
+    "synthetic_records": (made_claims, "select k kind, count(*) n, true sound from customer, (values ('claim'), ('risk')) t(k) group by k"),
     "search_depths": (tried, None),
     "strategy_comparison": (strategies, None),
 }

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import canonical_json, hmac_sha256
-from tessera.operators import drift, rules
-from tessera.operators.tables import first_share
+from tessera.operators import drift, rules, scoring, surveillance
+from tessera.operators.tables import fresh_dir, last_of_share, up_to
 from tessera.plans.oracles import hmac_sql
 from tessera.plans.fixtures import table
-from tessera.sources import store
+from tessera.sources import files, store
 
 # the bills as requests with defects, all fields as text
 DIRTY = """(select l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -37,11 +37,30 @@ def issues(s, d, *codes, missing="warn", unseen="warn"):
     return (out.where(F.col("code").isin(*codes)) if codes else out).withColumn("rate", F.round("rate", 9))
 
 
+def quality_event(s, d):
+    """The log line of a table's validation."""
+    rows = dirty(s, d)
+    found = rules.validate(rows, CONTRACT)
+    line = files.quality_events(rules.report(rows, found, CONTRACT, "m", "a1"), "r1")
+    part = lambda path: F.get_json_object("value", f"$.{path}")
+    listed = F.from_json(part("issues"), "array<struct<code:string,feature:string,count:bigint,message:string>>")
+    out = line.select(part("event").alias("event"), part("request_id").alias("request_id"), part("row_count").cast("bigint").alias("row_count"), part("valid").cast("boolean").alias("valid"), part("summary.error_count").cast("bigint").alias("error_count"), F.inline(listed))
+    return out.withColumnRenamed("count", "failing")
+
+
 _N = "case when regexp_full_match(trim({c}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then cast(trim({c}) as double) when lower(trim({c})) = 'inf' then 'inf'::double end"
 
 
-def _issue(code, severity, feature, cond, distinct="null"):
-    return f"select '{code}' code, '{severity}' severity, '{feature}' feature, count(*) filter ({cond}) count, round(count(*) filter ({cond}) / count(*), 9) rate, cast({distinct} as bigint) distinct_count from v"
+_MESSAGES = {
+    "missing_value": "Feature ''{f}'' contains missing or blank values", "invalid_numeric_type": "Feature ''{f}'' contains values that are not numeric", "non_finite_value": "Feature ''{f}'' contains NaN or infinite values",
+    "numeric_out_of_range": "Feature ''{f}'' must be between 0 and 40", "integer_required": "Feature ''{f}'' must contain integer values", "unseen_category": "Feature ''{f}'' contains categories absent from the fitted encoder",
+    "business_rule_violation": "Feature ''{f}'' cannot exceed ''billed''", "missing_column": "Required feature column ''{f}'' is missing", "unexpected_column": "Unexpected feature column ''{f}'' is not in the model contract",
+}
+
+
+def _issue(code, severity, feature, cond, distinct="null", beside=None):
+    message = f"Feature ''{feature}'' is inconsistent with ''{beside}''" if beside else _MESSAGES[code].format(f=feature)
+    return f"select '{code}' code, '{severity}' severity, '{feature}' feature, count(*) filter ({cond}) count, round(count(*) filter ({cond}) / count(*), 9) rate, '{message}' message, cast({distinct} as bigint) distinct_count from v"
 
 
 def _sql(missing="warning", unseen="warning"):
@@ -55,10 +74,11 @@ def _sql(missing="warning", unseen="warning"):
         _issue("integer_required", "error", "line", f"{fine(ln)} and ({ln}) % 1 > 1e-8"),
         _issue("unseen_category", unseen, "flag", "flag not in ('A', 'N', 'R')", "count(distinct flag) filter (flag not in ('A', 'N', 'R'))"),
         _issue("unseen_category", "error", "status", "status <> 'O'", "count(distinct status) filter (status <> 'O')"),
-        _issue("invalid_month_quarter", "error", "billing_quarter", "cast(billing_quarter as int) <> ceil(cast(billing_month as int) / 3)"),
-        _issue("invalid_weekend_flag", "error", "billing_is_weekend", "cast(billing_is_weekend as int) <> cast(cast(billing_day_of_week as int) >= 5 as int)"),
-        _issue("approved_exceeds_billed", "error", "approved", "cast(approved as double) > cast(billed as double)"),
-        "select 'missing_column', 'error', 'doctor', 1, 1.0, null union all select 'unexpected_column', 'error', 'extra', 1, 1.0, null",
+        _issue("inconsistent_calendar_field", "error", "billing_quarter", "cast(billing_quarter as int) <> ceil(cast(billing_month as int) / 3)", beside="billing_month"),
+        _issue("inconsistent_calendar_field", "error", "billing_is_weekend", "cast(billing_is_weekend as int) <> cast(cast(billing_day_of_week as int) in (5, 6) as int)", beside="billing_day_of_week"),
+        _issue("business_rule_violation", "error", "approved", "cast(approved as double) > cast(billed as double)"),
+        _issue("missing_column", "error", "doctor", "true"),
+        _issue("unexpected_column", "error", "extra", "true"),
     ]
     return f"(with v as (select * from {DUCK_DIRTY}) select * from ({' union all '.join(parts)}) where count > 0)"
 
@@ -77,31 +97,30 @@ def learned(s, d):
 
 EVENTS = "(select *, row_number() over (order by ts, event_id) n, count(*) over () total from events)"
 # the current part is moved, so that there is drift to see
-NOW = f"(select event_id, ts, case when event_id % 50 = 0 then 'refund' else event_type end event_type, case when event_id % 20 <> 0 then value * 1.3 end as value from {EVENTS} where n > floor(0.8 * total))"
-BASE = f"(select event_id, ts, event_type, value from {EVENTS} where n <= floor(0.8 * total))"
+NOW = f"(select event_id, ts, case when event_id % 50 = 0 then 'refund' else event_type end event_type, case when event_id % 20 <> 0 then value * 1.3 end as value, (event_id * 7) % 80 / 100.0 p from {EVENTS} where n > floor(0.8 * total))"
+BASE = f"(select event_id, ts, event_type, value, (event_id * 7) % 100 / 100.0 p from {EVENTS} where n <= floor(0.8 * total))"
 
 
-def base(s, d):
-    return first_share(table(s, d, "events"), 0.8, ["ts", "event_id"]).select("event_id", "ts", "event_type", "value")
-
-
-def now(s, d):
-    """The rows after the baseline's last one, moved."""
-    last = base(s, d).agg(F.max(F.struct("ts", "event_id")).alias("m")).first()["m"]
-    later = table(s, d, "events").where((F.col("ts") > F.lit(last["ts"]).cast("timestamp_ntz")) | ((F.col("ts") == F.lit(last["ts"]).cast("timestamp_ntz")) & (F.col("event_id") > last["event_id"])))
-    return later.select("event_id", "ts", F.when(F.col("event_id") % 50 == 0, "refund").otherwise(F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 20 != 0, F.col("value") * 1.3).alias("value"))
+def parts(s, d):
+    """The earliest 80 % of the events, and the rest of them, moved; p is what the model was sure of."""
+    events, order = table(s, d, "events").select("event_id", "ts", "event_type", "value"), ["ts", "event_id"]
+    last = last_of_share(events, 0.8, order)
+    first = F.lit(False) if last is None else up_to(events, order, last)
+    moved = {"event_type": F.when(F.col("event_id") % 50 == 0, "refund").otherwise(F.col("event_type")), "value": F.when(F.col("event_id") % 20 != 0, F.col("value") * 1.3), "p": F.pmod(F.col("event_id") * 7, F.lit(80)) / 100.0}
+    return events.where(first).withColumn("p", F.pmod(F.col("event_id") * 7, F.lit(100)) / 100.0), events.where(~first).withColumns(moved)
 
 
 def num_profile(s, d):
-    p = drift.numeric_profile(now(s, d), ["value"])
+    p = drift.numeric_profile(parts(s, d)[1], ["value"])
     return p.select("feature", *[F.round(c, 6).alias(c) for c in ("missing_rate", "mean", "std", "low", "high", "median")], F.array_join(F.transform("cuts", lambda x: F.format_string("%.4f", x)), ",").alias("cuts"))
 
 
-NUM_PROFILE = f"select 'value' feature, round(1 - count(value) / count(*), 6) missing_rate, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, round(min(value), 6) low, round(max(value), 6) high, round(median(value), 6) median, array_to_string(list_transform(quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), lambda x: printf('%.4f', x)), ',') cuts from {NOW}"
+_DECILES = "quantile_cont({c}, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])"
+NUM_PROFILE = f"select 'value' feature, round(1 - count(value) / count(*), 6) missing_rate, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, round(min(value), 6) low, round(max(value), 6) high, round(median(value), 6) median, array_to_string(list_transform({_DECILES.format(c='value')}, lambda x: printf('%.4f', x)), ',') cuts from {NOW}"
 
 
 def cat_profile(s, d):
-    p = drift.categorical_profile(now(s, d), ["event_type"])
+    p = drift.categorical_profile(parts(s, d)[1], ["event_type"])
     return p.select("feature", F.round("missing_rate", 9).alias("missing_rate"), F.array_join("known", "|").alias("known"), F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6f", e["value"]))), "|").alias("distribution"))
 
 
@@ -109,54 +128,97 @@ CAT_PROFILE = f"select 'event_type' feature, 0.0::double missing_rate, string_ag
 
 
 def bins(s, d):
-    p = drift.numeric_profile(base(s, d), ["value"], digits=6)
-    return drift.histogram(now(s, d), ["value"], p).select("bin", "n", F.round("share", 9).alias("share"))
+    base, now = parts(s, d)
+    return drift.histogram(now, ["value"], drift.numeric_profile(base, ["value"])).select("bin", "n", F.round("share", 9).alias("share"))
 
 
-_CUTS = f"(select list_transform(quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]), lambda x: round(x, 6)) c from {BASE})"
-_BINS = "(select bin, count(value) n from range(10) r(bin) left join (select value, len(list_filter(c, lambda x: x <= value)) b from {t}, {cuts} where value is not null) on b = bin group by 1)"
+def _bins(t, c="value"):
+    """Counts of a table's values in the bins that the baseline's distinct deciles make."""
+    cuts = f"(select list_sort(list_distinct({_DECILES.format(c=c)})) cuts from {BASE})"
+    return f"(select bin, count(v) n from (select unnest(range(len(cuts) + 1)) bin from {cuts}) left join (select {c} v, len(list_filter(cuts, lambda x: x <= {c})) b from {t}, {cuts} where {c} is not null) on b = bin group by 1)"
 
 
-def _bins(t, cuts=_CUTS):
-    return _BINS.format(t=t, cuts=cuts)
+def _psi(c):
+    return f"(select sum((a - e) * ln(a / e)) psi from (select greatest(e.n / sum(e.n) over (), 1e-6) e, greatest(a.n / sum(a.n) over (), 1e-6) a from {_bins(BASE, c)} e join {_bins(NOW, c)} a using (bin)))"
 
 
 def psi_value(s, d):
-    p = drift.numeric_profile(base(s, d), ["value"], digits=6)
-    return drift.psi(drift.histogram(base(s, d), ["value"], p), drift.histogram(now(s, d), ["value"], p), ["feature", "bin"], ["feature"]).select("feature", F.round("psi", 9).alias("psi"))
-
-
-_PSI = f"(select sum((a - e) * ln(a / e)) psi from (select greatest(e.n / sum(e.n) over (), 1e-6) e, greatest(a.n / sum(a.n) over (), 1e-6) a from {_bins(BASE)} e join {_bins(NOW)} a using (bin)))"
+    base, now = parts(s, d)
+    p = drift.numeric_profile(base, ["value"])
+    return drift.psi(drift.histogram(base, ["value"], p), drift.histogram(now, ["value"], p), ["feature", "bin"], ["feature"]).select("feature", F.round("psi", 9).alias("psi"))
 
 
 def js_type(s, d):
-    return drift.jensen_shannon(drift.categorical_shares(base(s, d), ["event_type"]), drift.categorical_shares(now(s, d), ["event_type"]), ["feature", "value"], ["feature"]).select("feature", F.round("js", 9).alias("js"))
+    base, now = (drift.categorical_shares(x, ["event_type"]) for x in parts(s, d))
+    return drift.jensen_shannon(base, now, ["feature", "value"], ["feature"]).select("feature", F.round("js", 9).alias("js"))
 
 
 _SHARES = "(select event_type, count(*) / sum(count(*)) over () share from {t} group by 1)"
 _JS = f"(select sum(case when p > 0 then p * ln(p / m) else 0 end) / 2 + sum(case when q > 0 then q * ln(q / m) else 0 end) / 2 js from (select p, q, greatest((p + q) / 2, 1e-12) m from (select coalesce(a.share, 0) p, coalesce(b.share, 0) q from {_SHARES.format(t=BASE)} a full join {_SHARES.format(t=NOW)} b using (event_type))))"
 
+FEATURE_METRICS = ("psi", "js_divergence", "unseen_category_rate", "missing_rate_delta", "standardized_mean_shift")
+
+
+def channelled(base):
+    """A feature that the current rows lack."""
+    return base.withColumn("channel", F.lit("web"))
+
+
+def found(s, d):
+    base, now = parts(s, d)
+    return drift.against(drift.profile_document(channelled(base), ["value"], ["event_type", "channel"]), now)
+
 
 def features(s, d):
-    n, c = drift.numeric_drift(base(s, d), now(s, d), ["value"]), drift.categorical_drift(base(s, d), now(s, d), ["event_type"])
-    return drift.report(n.select("feature", "rank").unionByName(c.select("feature", "rank")), ["value", "event_type", "channel"])
+    return found(s, d).features.select("feature", "rank", "status", *[F.round(c, 9).alias(c) for c in FEATURE_METRICS])
 
 
-_RANKS = f"(select 'value' feature, greatest(case when psi >= .25 then 2 when psi >= .1 then 1 else 0 end, case when md >= .05 then 2 when md >= .02 then 1 else 0 end, case when ms >= .5 then 2 when ms >= .25 then 1 else 0 end) as rank from {_PSI}, (select abs(b.m - a.m) md, abs(b.v - a.v) / a.s ms from (select 1 - count(value) / count(*) m, avg(value) v, stddev_pop(value) s from {BASE}) a, (select 1 - count(value) / count(*) m, avg(value) v from {NOW}) b) union all select 'event_type', greatest(case when js >= .2 then 2 when js >= .1 then 1 else 0 end, case when u >= .05 then 2 when u >= .01 then 1 else 0 end) from {_JS}, (select count(*) filter (event_type not in (select event_type from {BASE})) / count(*) u from {NOW}) union all select 'channel', 2)"
+_UNSEEN = f"(select count(*) filter (event_type not in (select event_type from {BASE})) / count(*) u from {NOW})"
+_MOVED = f"(select b.m - a.m md, abs(b.v - a.v) / a.s ms from (select 1 - count(value) / count(*) m, avg(value) v, stddev_pop(value) s from {BASE}) a, (select 1 - count(value) / count(*) m, avg(value) v from {NOW}) b)"
+_RANKED = "greatest(case when {a} >= {a2} then 2 when {a} >= {a1} then 1 else 0 end, case when {b} >= {b2} then 2 when {b} >= {b1} then 1 else 0 end, case when {c} >= {c2} then 2 when {c} >= {c1} then 1 else 0 end)"
+_RANKS = f"""(select 'value' feature, {_RANKED.format(a='psi', a1=.1, a2=.25, b='abs(md)', b1=.02, b2=.05, c='ms', c1=.25, c2=.5)} as rank, psi, null::double js_divergence, null::double unseen_category_rate, md missing_rate_delta, ms standardized_mean_shift from {_psi('value')}, {_MOVED}
+ union all select 'event_type', {_RANKED.format(a='js', a1=.1, a2=.2, b='u', b1=.01, b2=.05, c=0, c1=.02, c2=.05)}, class_psi, js, u, 0.0, null from {_JS}, {_UNSEEN}, (select class_psi from PSI_OF_CLASSES)
+ union all select 'channel', 2, null, null, null, null, null)"""
 
 
 def rolled(s, d):
-    return drift.gate(drift.roll_up(features(s, d)), now(s, d)).select("overall", "n_ok", "n_warning", "n_critical", "records", "result", "exit_code")
+    out = found(s, d)
+    return drift.gate(drift.roll_up(out.features), out.records).select("overall", "n_ok", "n_warning", "n_critical", "records", "result", "exit_code")
 
 
 def predictions(s, d):
-    b = base(s, d).select(F.col("event_type").alias("prediction"), (F.pmod(F.col("event_id") * 7, F.lit(100)) / 100.0).alias("confidence"))
-    n = now(s, d).select(F.col("event_type").alias("prediction"), (F.pmod(F.col("event_id") * 7, F.lit(80)) / 100.0).alias("confidence"))
-    return drift.prediction_drift(b, n, "prediction", "confidence").select(*[F.round(c, 6).alias(c) for c in ("class_js", "class_psi", "confidence_delta", "low_confidence_rate")])
+    base, now = parts(s, d)
+    return drift.prediction_drift(base, now, "event_type", "p").select("rank", *[F.round(c, 6).alias(c) for c in ("class_js", "class_psi", "confidence_psi", "confidence_delta", "low_confidence_rate")])
 
 
 _CLASS_PSI = f"(select sum((a - e) * ln(a / e)) class_psi from (select greatest(e / sum(e) over (), 1e-6) e, greatest(a / sum(a) over (), 1e-6) a from (select x.share e, coalesce(y.share, 0) a from {_SHARES.format(t=BASE)} x left join {_SHARES.format(t=NOW)} y using (event_type))))"
-PREDICTIONS = f"select round(js, 6) class_js, round(class_psi, 6) class_psi, round(abs((select avg((event_id * 7) % 80 / 100.0) from {NOW}) - (select avg((event_id * 7) % 100 / 100.0) from {BASE})), 6) confidence_delta, round((select avg(cast((event_id * 7) % 80 / 100.0 < 0.5 as double)) from {NOW}), 6) low_confidence_rate from {_JS}, {_CLASS_PSI}"
+_RANKS = _RANKS.replace("PSI_OF_CLASSES", _CLASS_PSI)
+_SURE = f"(select abs(b.m - a.m) cd, abs(b.m - a.m) / a.s cs, b.l from (select avg(p) m, stddev_pop(p) s from {BASE}) a, (select avg(p) m, avg(cast(p < 0.5 as double)) l from {NOW}) b)"
+_SAID = f"""(select js class_js, class_psi, psi confidence_psi, cd confidence_delta, l low_confidence_rate, greatest({_RANKED.format(a='js', a1=.1, a2=.2, b='class_psi', b1=.1, b2=.25, c='cd', c1=.05, c2=.1)},
+ case when psi >= .25 or cs >= .5 then 2 when psi >= .1 or cs >= .25 then 1 else 0 end) as rank from {_JS}, {_CLASS_PSI}, {_psi('p')}, {_SURE})"""
+PREDICTIONS = f"select rank, round(class_js, 6) class_js, round(class_psi, 6) class_psi, round(confidence_psi, 6) confidence_psi, round(confidence_delta, 6) confidence_delta, round(low_confidence_rate, 6) low_confidence_rate from {_SAID}"
+
+
+def stored_drift(s, d):
+    """A baseline is registered, its window's telemetry is sealed and appended, and the drift job reads both back."""
+    base, now = parts(s, d)
+    home = fresh_dir(s, "monitoring")
+    document = scoring.baseline_document(channelled(base), base, "m", "a1", ["value"], ["event_type", "channel"], "event_type", "p", contract_sha256="c1", period=("2024-01-01", "2024-01-25"))
+    store.register_baseline(document.withColumn("baseline_json", F.lit('{"old": 1}')), f"{home}/baselines")
+    store.register_baseline(document, f"{home}/baselines")
+    payload = F.to_json(F.struct(F.struct("value", "event_type").alias("features"), F.col("event_type").alias("prediction"), F.col("p").alias("max_probability")))
+    row = lambda df, tag: df.select(F.concat(F.lit(tag), "event_id").alias("telemetry_id"), F.lit("m").alias("model_id"), F.lit("a1").alias("artifact"), F.col("ts").cast("timestamp").alias("recorded_at"), payload.alias("payload"))
+    told = row(base, "b").unionByName(row(now, "n"))
+    store.append_telemetry(store.telemetry(told, b"first key", 4000), f"{home}/telemetry")
+    begin, last = now.agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.date_format(F.max("ts") + F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).first()
+    surveillance.drift_of(s, f"{home}/baselines", f"{home}/telemetry", "m", [b"second key", b"first key"], f"{begin}Z", f"{last}Z", now=f"{last}Z", reports=f"{home}/reports")
+    one = s.read.parquet(f"{home}/reports").select("overall_status", "record_count", F.from_json("report_json", f"summary struct<prediction_status:string>, feature_drift array<struct<feature:string,status:string,error:string,{','.join(f'{c}:double' for c in FEATURE_METRICS)}>>, prediction_drift struct<class_js:double,confidence_psi:double>").alias("r"))
+    each = one.select("overall_status", "record_count", F.col("r.summary.prediction_status").alias("prediction_status"), F.round("r.prediction_drift.class_js", 9).alias("class_js"), F.round("r.prediction_drift.confidence_psi", 9).alias("confidence_psi"), F.inline("r.feature_drift"))
+    return each.select("overall_status", "record_count", "prediction_status", "class_js", "confidence_psi", "feature", "status", F.col("error").isNotNull().alias("absent"), *[F.round(c, 9).alias(c) for c in FEATURE_METRICS])
+
+
+_NAMES = "['ok','warning','critical']"
+STORED = f"select {_NAMES}[greatest(max(r.rank) over (), p.rank) + 1] overall_status, (select count(*) from {NOW}) record_count, {_NAMES}[p.rank + 1] prediction_status, round(class_js, 9) class_js, round(confidence_psi, 9) confidence_psi, feature, {_NAMES}[r.rank + 1] status, feature = 'channel' absent, {', '.join(f'round({c}, 9) {c}' for c in FEATURE_METRICS)} from {_RANKS} r, {_SAID} p"
 
 
 def low_confidence(s, d):
@@ -213,17 +275,19 @@ QUERIES = {
     "dq_range": (lambda s, d: issues(s, d, "numeric_out_of_range", "invalid_numeric_type", "non_finite_value"), _only("numeric_out_of_range", "invalid_numeric_type", "non_finite_value")),
     "dq_integer": (lambda s, d: issues(s, d, "integer_required"), _only("integer_required")),
     "dq_unseen_category": (lambda s, d: issues(s, d, "unseen_category", unseen="reject"), _only("unseen_category", unseen="error")),
-    "dq_calendar": (lambda s, d: issues(s, d, "invalid_month_quarter", "invalid_weekend_flag"), _only("invalid_month_quarter", "invalid_weekend_flag")),
-    "dq_business_rule": (lambda s, d: issues(s, d, "approved_exceeds_billed"), _only("approved_exceeds_billed")),
+    "dq_calendar": (lambda s, d: issues(s, d, "inconsistent_calendar_field"), _only("inconsistent_calendar_field")),
+    "dq_business_rule": (lambda s, d: issues(s, d, "business_rule_violation"), _only("business_rule_violation")),
     "dq_report": (issues, f"select * from {_sql()}"),
     "dq_summary": (summary, f"select count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings, count(*) filter (severity = 'error') = 0 as valid from {_sql()}"),
+    "quality_event": (quality_event, f"select 'data_quality_validation' event, 'r1' request_id, (select count(*) from lineitem) row_count, false as valid, count(*) filter (severity = 'error') over () error_count, code, feature, count failing, message from {_sql()}"),
     "category_contract": (learned, "select 'o_orderstatus' feature, string_agg(v, '|' order by v) categories from (select distinct o_orderstatus v from orders) union all select 'o_orderpriority', string_agg(v, '|' order by v) from (select distinct o_orderpriority v from orders)"),
     "numeric_profile": (num_profile, NUM_PROFILE),
     "categorical_profile": (cat_profile, CAT_PROFILE),
     "histogram_bins": (bins, f"select bin, n, round(n / sum(n) over (), 9) share from {_bins(NOW)}"),
-    "psi_numeric": (psi_value, f"select 'value' feature, round(psi, 9) psi from {_PSI}"),
+    "psi_numeric": (psi_value, f"select 'value' feature, round(psi, 9) psi from {_psi('value')}"),
     "js_categorical": (js_type, f"select 'event_type' feature, round(js, 9) js from {_JS}"),
-    "drift_report": (features, f"select feature, rank, ['ok','warning','critical'][rank + 1] status from {_RANKS}"),
+    "drift_report": (features, f"select feature, rank, {_NAMES}[rank + 1] status, {', '.join(f'round({c}, 9) {c}' for c in FEATURE_METRICS)} from {_RANKS}"),
+    "stored_drift": (stored_drift, STORED),
     "drift_gate": (rolled, f"select ['ok','warning','critical'][max(rank) + 1] overall, count(*) filter (rank = 0) n_ok, count(*) filter (rank = 1) n_warning, count(*) filter (rank = 2) n_critical, (select count(*) from {NOW}) records, case when (select count(*) from {NOW}) < 100 then 'insufficient_data' else ['ok','warning','critical'][max(rank) + 1] end as result, case when (select count(*) from {NOW}) < 100 then 3 when max(rank) = 2 then 2 else 0 end exit_code from {_RANKS}"),
     "prediction_drift": (predictions, PREDICTIONS),
     "low_confidence_rate": (low_confidence, "select round(avg(cast(greatest(p, 1 - p) < 0.6 as double)), 9) rate, round(max(greatest(p, 1 - p)), 6) highest from (select cast((event_id * 7) % 100 as double) / 100.0 p from events)"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.scalars import canonical_json, hmac_sha256, quarter_of_month
+from tessera.functions.scalars import canonical_json, hmac_sha256, iso_utc, quarter_of_month
 from tessera.operators.tables import lower_names, numbered_rows
 
 # Fixed value: what the databases' unquoted names may be, a letter and up to 29 letters, digits or signs.
@@ -116,16 +116,25 @@ def batches_json(df: DataFrame, size: int = 100, order: list[str] | None = None)
 
 
 def audit_events(predictions: DataFrame, key: bytes, features: list[str]) -> DataFrame:
-    """One JSON line for each prediction, with an HMAC of its features in place of them."""
-    digest = hmac_sha256(key, canonical_json(**{f: f for f in features}))
-    body = F.struct(F.lit("prediction").alias("event"), "request_id", "model_id", "prediction", digest.alias("features_hmac"), F.bround("duration_ms", 2).alias("duration_ms"))
-    return predictions.select(F.to_json(body).alias("value"))
-
+    """One JSON line for each prediction, with an HMAC of its features in place of them.
 
-def quality_events(issues: DataFrame, request_id: str) -> DataFrame:
-    """One JSON line if there are issues, none otherwise."""
-    body = issues.agg(F.count("*").alias("n"), F.collect_list(F.struct("code", "severity", "feature", "count")).alias("issues")).where("n > 0")
-    return body.select(F.to_json(F.struct(F.lit("data_quality").alias("event"), F.lit(request_id).alias("request_id"), "issues")).alias("value"))
+    Besides the features, rows have timestamp, request_id, model_id, model_name, artifact_sha256, prediction,
+    probabilities, record_index, batch_size and duration_ms; those that they lack are null.
+    """
+    digest = hmac_sha256(key, canonical_json(**{f: f for f in features}))
+    there = {c: F.col(c) if c in predictions.columns else F.lit(None).cast("string") for c in ("request_id", "model_id", "model_name", "artifact_sha256", "prediction", "probabilities", "record_index", "batch_size")}
+    when = iso_utc("timestamp") if "timestamp" in predictions.columns else F.lit(None).cast("string")
+    took = F.bround("duration_ms", 2) if "duration_ms" in predictions.columns else F.lit(None).cast("double")
+    first = ("request_id", "model_id", "model_name", "artifact_sha256")
+    body = [F.lit("model_prediction").alias("event"), when.alias("timestamp"), *[there[c].alias(c) for c in first], digest.alias("input_feature_hash"), *[c.alias(n) for n, c in there.items() if n not in first], took.alias("duration_ms")]
+    return predictions.select(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def quality_events(report: DataFrame, request_id: str) -> DataFrame:
+    """One JSON line for a validation report (one row) with issues, none for one without."""
+    kept = ("model_id", "artifact_sha256", "category_contract_sha256", "row_count", "valid", "summary", "issues")
+    body = F.struct(F.lit("data_quality_validation").alias("event"), iso_utc("generated_at").alias("timestamp"), F.lit(request_id).alias("request_id"), *kept)
+    return report.where(F.size("issues") > 0).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def _visitors(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, Callable[[int], Column], Callable]:

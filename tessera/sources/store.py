@@ -31,8 +31,9 @@ TABLES = {
 }
 
 
-def checked(rows: DataFrame, table: str) -> DataFrame:
-    """The rows as the table has them: missing columns are an error at once; a null or a broken condition fails the write."""
+def broken(rows: DataFrame, table: str) -> tuple[DataFrame, Column]:
+    """The rows with the table's types, and what each first breaks of the table's conditions (null: nothing). Missing
+    columns are an error at once."""
     ddl, conditions = TABLES[table]
     columns = [c.split()[0] for c in ddl.split(", ")]
     lacking = set(columns) - set(rows.columns)
@@ -40,11 +41,16 @@ def checked(rows: DataFrame, table: str) -> DataFrame:
         raise ValueError(f"{table} lacks {sorted(lacking)}")
     out = rows.withColumns({c: F.col(c).cast(t) for c, t in (x.split() for x in ddl.split(", "))})
     tests = {f"{c} is null": f"{c} is not null" for c in columns} | conditions
-    wrong = F.lit(None).cast("string")
-    for name, holds in tests.items():
-        wrong = F.coalesce(wrong, F.when(~F.coalesce(F.expr(holds), F.lit(False)), F.lit(name)))
-    broken = F.raise_error(F.concat(F.lit(f"{table}: "), wrong)).cast("boolean")
-    return out.where(F.when(wrong.isNull(), F.lit(True)).otherwise(broken))
+    return out, F.coalesce(*[F.when(~F.coalesce(F.expr(holds), F.lit(False)), F.lit(name)) for name, holds in tests.items()])
+
+
+def checked(rows: DataFrame, table: str) -> DataFrame:
+    """The rows as the table has them; a null or a broken condition fails the write."""
+    out, wrong = broken(rows, table)
+    refused = F.raise_error(F.concat(F.lit(f"{table}: "), wrong)).cast("boolean")
+    return out.where(F.when(wrong.isNull(), F.lit(True)).otherwise(refused))
+
+
 PAYLOAD = "features string, prediction string, probabilities map<string,double>, max_probability double"
 
 
@@ -81,13 +87,18 @@ def decrypted(rows: DataFrame, keyring: list[bytes]) -> DataFrame:
     return rows.withColumn("payload", told)
 
 
+def unexpired(rows: DataFrame, model_id: str, artifact: str, start: Column, end: Column, now: Column) -> DataFrame:
+    """Unexpired rows of a model and artifact in [start, end)."""
+    at = F.col("recorded_at")
+    return rows.where((F.col("model_id") == model_id) & (F.col("artifact") == artifact) & (at >= start) & (at < end) & (F.col("expires_at") > now))
+
+
 def scan(rows: DataFrame, model_id: str, artifact: str, start: str, end: str, now: str, limit: int = MAX_SCAN) -> DataFrame:
-    """Unexpired rows of a model and artifact in [start, end), by time and id, at most `limit` of them."""
+    """Those rows by time and id, at most `limit` of them."""
     if not 0 < limit <= MAX_SCAN:
         raise ValueError(f"limit is 1 to {MAX_SCAN}")
     t = lambda s: F.lit(s).cast("timestamp")
-    kept = rows.where((F.col("model_id") == model_id) & (F.col("artifact") == artifact) & (F.col("recorded_at") >= t(start)) & (F.col("recorded_at") < t(end)) & (F.col("expires_at") > t(now)))
-    return kept.orderBy("recorded_at", "telemetry_id").limit(limit)
+    return unexpired(rows, model_id, artifact, t(start), t(end), t(now)).orderBy("recorded_at", "telemetry_id").limit(limit)
 
 
 def survivors(rows: DataFrame, now: Column) -> DataFrame:

@@ -63,7 +63,7 @@ def people(spark):
 
 def test_same_population_has_no_drift(people):
     n, c = drift.numeric_drift(people, people, ["age"]).first(), drift.categorical_drift(people, people, ["city"]).first()
-    assert (n["psi"], n["rank"], c["js"], c["unseen_rate"], c["rank"]) == (0.0, 0, 0.0, 0.0, 0)
+    assert (n["psi"], n["rank"], c["js_divergence"], c["unseen_category_rate"], c["rank"]) == (0.0, 0, 0.0, 0.0, 0)
     assert drift.prediction_drift(people, people, "said", "p").first()["rank"] == 0
 
 
@@ -71,10 +71,10 @@ def test_moved_population_is_critical(people):
     moved = people.select((F.col("age") + 70).alias("age"), F.lit("New City").alias("city"))
     assert drift.numeric_drift(people, moved, ["age"]).first()["rank"] == 2
     c = drift.categorical_drift(people, moved, ["city"]).first()
-    assert c["unseen_rate"] == 1.0 and c["rank"] == 2 and math.isclose(c["js"], math.log(2))
+    assert c["unseen_category_rate"] == 1.0 and c["rank"] == 2 and math.isclose(c["js_divergence"], math.log(2))
     ranks = drift.report(drift.numeric_drift(people, moved, ["age"]), ["age", "absent"])
     assert {r["feature"]: r["status"] for r in ranks.collect()} == {"age": "critical", "absent": "critical"}
-    gate = drift.gate(drift.roll_up(ranks), people.limit(10)).first()
+    gate = drift.gate(drift.roll_up(ranks), people.limit(10).agg(F.count("*").alias("records"))).first()
     assert (gate["overall"], gate["result"], gate["exit_code"]) == ("critical", "insufficient_data", 3)
 
 
@@ -100,7 +100,9 @@ def test_rules(spark):
     assert codes(df(("53", None)), missing_policy="reject") == [("missing_value", "error", "city", 1)]
     assert codes(df(("121", "Delhi"), ("x", "Delhi"), ("inf", "Delhi"), ("1.5", "Delhi"))) == [("invalid_numeric_type", "error", "age", 1), ("non_finite_value", "error", "age", 1), ("numeric_out_of_range", "error", "age", 1), ("integer_required", "error", "age", 1)]
     assert codes(df(("5", "Oslo"), ("5", "Rome"))) == [("unseen_category", "warning", "city", 2)]
-    assert codes(spark.createDataFrame([], "age string, extra string")) == [("empty_dataset", "error", None, 0), ("missing_column", "error", "city", 1), ("unexpected_column", "error", "extra", 1)]
+    assert codes(spark.createDataFrame([], "age string, extra string")) == [("empty_dataset", "error", None, 0), ("missing_column", "error", "city", 0), ("unexpected_column", "error", "extra", 0)]
+    wide = rules.validate(spark.createDataFrame([(1, 2), (3, 4)], "age int, extra int"), CONTRACT).collect()
+    assert [(r["code"], r["count"], r["rate"]) for r in wide] == [("missing_column", 2, 1.0), ("unexpected_column", 2, 1.0)] and wide[0]["message"] == "Required feature column 'city' is missing"
     with pytest.raises(ValueError):
         rules.validate(df(("1", "Delhi")), CONTRACT, "ignore")
     assert rules.exit_code(rules.validate(df(("5", "Oslo")), CONTRACT), fail_on_warnings=True) == 2
@@ -275,11 +277,92 @@ def test_gates(spark, tmp_path, capsys):
     (tmp_path / "contract.json").write_text(json.dumps({"columns": ["amount", "kind"], "ranges": {"amount": [0, 100]}, "categories": {"kind": ["x"]}}))
     run = lambda *a: gates.main([str(x) for x in a], spark)
     check = ("validate", "--contract", tmp_path / "contract.json", "--input")
-    assert [run(*check, tmp_path / "now.parquet"), run(*check, tmp_path / "now.parquet", "--fail-on-warnings"), run(*check, tmp_path / "moved.parquet", "--output", tmp_path / "out")] == [0, 2, 1]
-    assert json.loads(capsys.readouterr().out.split("\n}\n")[0] + "\n}")["warnings"] == 1 and (tmp_path / "out").exists()
-    same, other = (("drift", "--baseline", tmp_path / "now.parquet", "--numeric", "amount,absent", "--categories", "kind", "--input", tmp_path / n) for n in ("now.parquet", "moved.parquet"))
-    assert run(*other) == 2 and run(*same) == 2 and run(*same, "--minimum", 500) == 3
-    assert run("drift", "--baseline", tmp_path / "now.parquet", "--numeric", "amount", "--input", tmp_path / "now.parquet") == 0
+    assert [run(*check, tmp_path / "now.parquet"), run(*check, tmp_path / "now.parquet", "--fail-on-warnings"), run(*check, tmp_path / "moved.parquet", "--output", tmp_path / "out")] == [0, 2, 2]
+    told = json.loads(capsys.readouterr().out.split("\n}\n")[0] + "\n}")
+    assert told["summary"] == {"error_count": 0, "warning_count": 1} and told["row_count"] == 200 and (tmp_path / "out").exists()
+    assert run(*check, tmp_path / "absent.parquet") == 1 and "validate failed" in capsys.readouterr().err
+    same, other = (("compare", "--baseline", tmp_path / "now.parquet", "--numeric", "amount,absent", "--categories", "kind", "--input", tmp_path / n) for n in ("now.parquet", "moved.parquet"))
+    assert run(*other) == 2 and run(*same) == 2 and run(*same, "--minimum-records", 500) == 3
+    assert run("compare", "--baseline", tmp_path / "now.parquet", "--numeric", "amount", "--input", tmp_path / "now.parquet") == 0
+
+
+def test_drift_of_the_store(spark, tmp_path, capsys):
+    import json
+
+    from tessera import gates
+    from tessera.operators import scoring, surveillance
+
+    rows = spark.createDataFrame([(i, float(20 + i % 50), "1" if i % 2 else "2", "Paid" if i % 2 else "Rejected", 0.7 if i % 3 else 0.4) for i in range(150)], "id int, age double, ward string, said string, sure double")
+    base, reports = f"{tmp_path}/baselines", f"{tmp_path}/reports"
+    store.register_baseline(scoring.baseline_document(rows, rows, "m", "a1", ["age"], ["ward"], "said", "sure"), base)
+
+    def seal(df, path, artifact="a1"):
+        payload = F.to_json(F.struct(F.struct("age", "ward").alias("features"), F.col("said").alias("prediction"), F.col("sure").alias("max_probability")))
+        told = df.select(F.col("id").cast("string").alias("telemetry_id"), F.lit("m").alias("model_id"), F.lit(artifact).alias("artifact"), (F.lit("2024-05-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("id"))).alias("recorded_at"), payload.alias("payload"))
+        store.append_telemetry(store.telemetry(told, b"key", 9000), path)
+
+    seal(rows, f"{tmp_path}/same")
+    seal(rows.withColumn("ward", F.lit("3")).withColumn("age", F.col("age") + 70), f"{tmp_path}/same", "another artifact")
+    at = {"end": "2024-05-02T00:00:00Z", "now": "2024-05-02T00:00:00Z", "reports": reports}
+    one = surveillance.drift_of(spark, base, f"{tmp_path}/same", "m", [b"key"], **at).first()
+    assert (one["overall_status"], one["record_count"], one["summary"]["critical_features"], one["summary"]["prediction_status"]) == ("ok", 150, 0, "ok")
+    assert {r["feature"]: (r["psi"], r["status"]) for r in one["feature_drift"]} == {"age": (0.0, "ok"), "ward": (0.0, "ok")} and one["prediction_drift"]["confidence_psi"] == 0
+    seal(rows.select("id", (F.col("age") + 70).alias("age"), F.lit("3").alias("ward"), F.lit("Rejected").alias("said"), F.lit(0.99).alias("sure")), f"{tmp_path}/moved")
+    moved = surveillance.drift_of(spark, base, f"{tmp_path}/moved", "m", [b"key"], **at).first()
+    assert (moved["overall_status"], moved["summary"]["critical_features"], moved["summary"]["prediction_status"]) == ("critical", 2, "critical")
+    few = surveillance.drift_of(spark, base, f"{tmp_path}/moved", "m", [b"key"], start="2024-05-01T00:00:00Z", end="2024-05-01T00:50:00Z", now=at["now"], reports=reports)
+    assert few.first()["overall_status"] == "insufficient_data" and few.first()["record_count"] == 50 and few.first()["summary"]["message"] and surveillance.exit_code(few) == 3
+    none = surveillance.drift_of(spark, base, f"{tmp_path}/moved", "m", [b"key"], start="2023-05-01T00:00:00Z", end="2023-05-01T00:50:00Z", now=at["now"])
+    assert none.first()["record_count"] == 0 and surveillance.exit_code(none) == 3
+    assert spark.read.parquet(reports).groupBy("overall_status").count().orderBy("overall_status").collect() == [("critical", 1), ("insufficient_data", 1), ("ok", 1)]
+    for wrong in ({"start": at["end"], "end": at["end"]}, {"lookback_hours": 0}, {"minimum": 0}):
+        with pytest.raises(ValueError):
+            surveillance.drift_of(spark, base, f"{tmp_path}/same", "m", [b"key"], **wrong)
+    (tmp_path / "keys").write_text("key\n")
+    gate = ("drift", "--model", "m", "--baselines", base, "--telemetry", f"{tmp_path}/moved", "--keys", str(tmp_path / "keys"), "--start", "2024-05-01T00:00:00Z", "--end", "2024-05-03T00:00:00Z")
+    assert [gates.main([*gate], spark), gates.main([*gate, "--minimum-records", "151"], spark), gates.main([*gate[:4], str(tmp_path / "none"), *gate[5:]], spark)] == [2, 3, 1]
+    assert "drift failed" in capsys.readouterr().err
+    lacking = json.loads(spark.read.parquet(base).first()["baseline_json"])
+    lacking["feature_profiles"]["gone"] = {"type": "categorical", "missing_rate": 0.0, "distribution": {"x": 1.0}, "known_categories": ["x"]}
+    store.register_baseline(spark.createDataFrame([("m", "a1", json.dumps(lacking))], "model_id string, artifact string, baseline_json string"), base)
+    absent = surveillance.drift_of(spark, base, f"{tmp_path}/same", "m", [b"key"], **at).first()
+    assert absent["overall_status"] == "critical" and {r["feature"]: r["error"] for r in absent["feature_drift"]}["gone"] == "feature_missing_from_production_telemetry"
+
+
+def test_whole_numbers_are_one_category_however_they_are_written(spark):
+    df = spark.createDataFrame([(1.0, " a "), (2.5, ""), (float("nan"), None)], "n double, t string")
+    assert [tuple(r) for r in df.select(drift.category(df, "n"), drift.category(df, "t")).collect()] == [("1", "a"), ("2.5", drift.MISSING), (drift.MISSING, drift.MISSING)]
+
+
+def test_interactions_are_pipeline_stages(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    from tessera.operators.interactions import CLAIM_COLUMNS, RISK_COLUMNS, Interactions
+
+    rows = spark.createDataFrame([("A", "p", "100", 0.5, 2, 40, 1, "x"), ("A", "q", "300", 4.0, 4, 50, 0, "y"), ("B", "p", "bad", None, None, 60, 1, "x"), ("B", None, "0", 2.0, 0, 30, 0, "y")], "department string, insurance_provider string, billed_amount string, length_of_stay_hours double, days_from_visit_to_billing int, age int, chronic_flag int, target string")
+    later = spark.createDataFrame([("C", None, "50", None, 3, 20, 1), ("A", "q", "10", 0.25, None, 20, 0)], "department string, insurance_provider string, billed_amount string, length_of_stay_hours double, days_from_visit_to_billing int, age int, chronic_flag int")
+    model = Interactions(kind="claim").fit(rows)
+    got = model.transform(later).orderBy("department").collect()
+    assert model.transform(later).columns == [*later.columns, *CLAIM_COLUMNS]
+    known, new = got
+    assert (known["department_avg_billed_amount"], known["bill_vs_provider_avg"], known["billed_amount_per_stay_hour"], known["billing_lag_vs_department_avg"]) == (200.0, -290.0, 10.0, None)
+    assert new["department_avg_billed_amount"] == pytest.approx(400 / 3) and new["los_to_department_avg_ratio"] is None and new["billed_amount_per_stay_hour"] is None and new["age_chronic_interaction"] == 20
+    assert Interactions(kind="risk").fit(rows).transform(later).columns == [*later.columns, *RISK_COLUMNS]
+    with pytest.raises(ValueError, match="department"):
+        Interactions(kind="risk").fit(rows.drop("department"))
+    with pytest.raises(ValueError):
+        Interactions(kind="other")
+    made = ["department_avg_billed_amount", "bill_vs_department_avg"]
+    stages = [StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"), Interactions(kind="risk"), VectorAssembler(inputCols=made, outputCol="features", handleInvalid="skip"), LogisticRegression()]
+    path = str(tmp_path / "whole")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    asked = ["department", "insurance_provider", "billed_amount", "length_of_stay_hours"]
+    loaded = ml.load_model(path, asked, ["x", "y"])
+    assert ml.predicted(loaded, later, ["x", "y"]).count() == 2 and loaded.stages[1].getOrDefault("kind") == "risk"
+    with pytest.raises(ValueError):
+        ml.load_model(path, asked[1:], ["x", "y"])
 
 
 def test_relational_table(spark):
