@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import random
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from math import prod
+from statistics import fmean, pstdev
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -12,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import numbered_rows, small
+from tessera.operators.tables import numbered_rows, settled, small, spare
 
 
 #: Buckets of a hash, in which rows are counted before the one where a class's last chosen row lies is sorted.
@@ -130,6 +137,13 @@ def class_weights(df: DataFrame, label: str, softness: float = 1.0) -> DataFrame
     return counts.withColumn("weight", 1 + softness * (w - 1))
 
 
+def weighted(df: DataFrame, weights: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """Each row with its class's weight; a class that has none weighs 1."""
+    own = weights.select(F.col(label).alias(spare(df, "of")), F.col("weight").alias(spare(df, "own")))
+    joined = df.join(small(own), df[label] == own[own.columns[0]], "left")
+    return joined.select(*df.columns, F.coalesce(own.columns[1], F.lit(1.0)).alias(name))
+
+
 def resample_targets(df: DataFrame, label: str, share: float = 0.75) -> DataFrame:
     """Per class: rows now, target of oversampling (a share of the largest class), target of undersampling."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
@@ -237,6 +251,110 @@ def search(df: DataFrame, candidates: list[dict], score: Callable[[dict, DataFra
     return sorted(out, key=lambda x: -x[0])
 
 
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds `fold`: the rows of each class, in the order of their key's hash, go to the folds in turn, so that the folds'
+    sizes differ by one row a class at most. Rows are numbered by range, so no class is held by a task."""
+    h, at, first = (spare(df, x) for x in ("h", "at", "first"))
+    placed = numbered_rows(df.withColumn(h, F.xxhash64(key, F.lit(seed))), [label, h, key], at)
+    starts = small(placed.groupBy(F.col(label).alias(spare(df, "of"))).agg(F.min(at).alias(first)))
+    return placed.join(starts, placed[label].eqNullSafe(starts[starts.columns[0]])).select(*df.columns, ((F.col(at) - F.col(first)) % folds).cast("int").alias("fold"))
+
+
+def smoted(df: DataFrame, key: str, vector: str, label: str, share: float = 0.75, k: int = 5) -> DataFrame:
+    """(key, vector, label): the rows and the synthetic ones that lift small classes; synthetic rows have keys of text."""
+    made = smote(df, key, vector, label, share, k)
+    new = made.select(F.concat_ws("~", "query", "near", F.format_string("%.9f", "u")).alias(key), F.col(vector), label)
+    return df.select(F.col(key).cast("string").alias(key), F.col(vector).cast("array<double>").alias(vector), label).unionByName(new)
+
+
+def strategies(key: str, vector: str, label: str) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """How a training table (key, vector, label) is resampled: undersampling, SMOTE, and SMOTE with undersampling after it."""
+    plain = lambda df: df.select(F.col(key).cast("string").alias(key), F.col(vector).cast("array<double>").alias(vector), label)
+    return {
+        "Random undersampling": lambda df: undersample(plain(df), label, key),
+        "SMOTE": lambda df: smoted(df, key, vector, label),
+        "Hybrid SMOTE + undersampling": lambda df: undersample(settled(smoted(df, key, vector, label)), label, key),
+    }
+
+
+def resampled_folds(df: DataFrame, key: str, vector: str, label: str, folds: int = 5) -> dict[tuple[str, int], tuple[DataFrame, DataFrame]]:
+    """(strategy, fold) to its training rows, resampled within the fold alone, and its test rows as they are."""
+    parts = settled(stratified_folds(df.select(key, vector, label), label, key, folds))
+    return {(name, i): (resample(parts.where(F.col("fold") != i).drop("fold")), parts.where(F.col("fold") == i)) for name, resample in strategies(key, vector, label).items() for i in range(folds)}
+
+
+def scores_of(df: DataFrame, actual: str, pred: str, classes: list) -> dict[str, float]:
+    """Accuracy, balanced accuracy, macro-F1 and each class's recall, from one job that counts the matrix; undefined ones
+    are 0."""
+    n = {(r["a"], r["p"]): r["n"] for r in df.groupBy(F.col(actual).alias("a"), F.col(pred).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each pair of classes
+    ratio = lambda a, b: a / b if b else 0.0
+    hits = {c: n.get((c, c), 0) for c in classes}
+    recall = {c: ratio(hits[c], sum(v for (a, _), v in n.items() if a == c)) for c in classes}
+    precision = {c: ratio(hits[c], sum(v for (_, p), v in n.items() if p == c)) for c in classes}
+    f1 = [ratio(2 * recall[c] * precision[c], recall[c] + precision[c]) for c in classes]
+    return {"accuracy": ratio(sum(hits.values()), sum(n.values())), "balanced_accuracy": fmean(recall.values()), "macro_f1": fmean(f1), **{f"recall_{c}": x for c, x in recall.items()}}
+
+
+CV_COLUMNS = "strategy string, cv_accuracy double, cv_macro_f1 double, cv_balanced_accuracy double, cv_recall double, mean_fit_seconds double"
+
+
+def cross_validated(made: dict[tuple[str, int], tuple[DataFrame, DataFrame]], label: str, classes: list[str], watched: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """One row for each strategy, the best macro-F1 first: means over the folds, recall of the class watched among them.
+
+    `fit` gives a function that adds `predicted`. The training rows of a fold are computed before its fit is timed.
+    """
+    spark, found = next(iter(made.values()))[0].sparkSession, {}
+    for (name, _), (train, test) in made.items():
+        train = settled(train)
+        began = time.monotonic()
+        said = fit(train)
+        took = time.monotonic() - began
+        one = scores_of(said(test), label, "predicted", classes)
+        found.setdefault(name, []).append((one["accuracy"], one["macro_f1"], one["balanced_accuracy"], one[f"recall_{watched}"], took))
+    rows = [(name, *(sum(x) / len(x) for x in zip(*own, strict=True))) for name, own in found.items()]
+    return spark.createDataFrame(rows, CV_COLUMNS).orderBy(F.desc("cv_macro_f1"), "strategy")
+
+
+def draws(distributions: dict[str, list | tuple], n: int = 30, seed: int = 42) -> list[dict]:
+    """n different candidates by seeded draws: from a list each value alike, from (low, high) of whole numbers each number,
+    from (low, high) of others uniformly. Fewer where lists have no more combinations."""
+    rng, out, seen = random.Random(seed), [], set()
+    every = prod(len(d) if isinstance(d, list) else d[1] - d[0] + 1 if isinstance(d[0], int) else 1 << 62 for d in distributions.values())
+    while len(out) < min(n, every):
+        one = {k: rng.choice(d) if isinstance(d, list) else rng.randint(*d) if isinstance(d[0], int) else rng.uniform(*d) for k, d in sorted(distributions.items())}
+        if (mark := repr(one)) not in seen:
+            seen.add(mark)
+            out.append(one)
+    return out
+
+
+SEARCH_COLUMNS = "rank int, candidate int, mean_test double, std_test double, mean_train double, mean_fit_seconds double, params string"
+
+
+def randomised_search(parts: DataFrame, candidates: list[dict], fit: Callable[[dict, DataFrame], Callable[[DataFrame], DataFrame]], score: Callable[[DataFrame], float], folds: int = 4, parallel: int = 8) -> DataFrame:
+    """Candidates by their mean test score over the expanding folds of `part`; equal means share the better rank.
+
+    `fit` gives a function that adds predictions, `score` reads them. The folds are filters of one table, which should be
+    settled; candidates and folds are fitted side by side, so many at a time, each by Spark jobs of its own.
+    """
+
+    def one(task: tuple[int, int]) -> tuple[int, float, float, float]:
+        c, i = task
+        train, test = parts.where(F.col("part") <= i), parts.where(F.col("part") == i + 1)
+        began = time.monotonic()
+        said = fit(candidates[c], train)
+        took = time.monotonic() - began
+        return c, score(said(test)), score(said(train)), took
+
+    tasks = [(c, i) for c in range(len(candidates)) for i in range(folds)]
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(inheritable_thread_target(parts.sparkSession)(one), tasks))
+    by = [[x[1:] for x in done if x[0] == c] for c in range(len(candidates))]
+    rows = [(c, fmean(x[0] for x in own), pstdev(x[0] for x in own), fmean(x[1] for x in own), fmean(x[2] for x in own), json.dumps(candidates[c], sort_keys=True)) for c, own in enumerate(by)]
+    rows = [(1 + sum(o[1] > r[1] for o in rows), *r) for r in rows]
+    return parts.sparkSession.createDataFrame(sorted(rows), SEARCH_COLUMNS)
+
+
 def compare_strategies(train: DataFrame, test: DataFrame, label: str, strategies: dict[str, Callable[[DataFrame], DataFrame]], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], classes: list[str]) -> DataFrame:
     """(strategy, train_rows, metrics), the best macro-F1 first: each strategy resamples the training rows, `fit` gives a
     function that adds `predicted`, and all are measured on the same test rows. Work is a job for each strategy."""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import ml, tables
@@ -88,9 +94,11 @@ FOLDS = "with n as (select count(*) n from orders), r as (select o_orderkey, row
 
 def fitted(kind):
     def run(s, d):
-        rows = table(s, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).withColumn("weight", F.lit(1.0))
-        rows = rows.select("key", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "weight")
-        parts = tables.settled(ml.stratified_split(rows, "l_linestatus", "key"))  # read by each stage's fit
+        rows = table(s, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+        rows = rows.select("key", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+        split = ml.stratified_split(rows, "l_linestatus", "key")
+        balance = ml.class_weights(split.where("not test"), "l_linestatus")
+        parts = tables.settled(ml.weighted(split, balance, "l_linestatus"))  # read by each stage's fit
         model = ml.pipeline(["l_quantity", "l_discount"], ["l_returnflag"], "l_linestatus", ml.classifier(kind)).fit(parts.where("not test"))
         out = ml.predicted(model, parts.where("test"), ["F", "O"])
         return ml.overall_metrics(ml.confusion(out, "l_linestatus", "predicted", ["F", "O"]))
@@ -112,8 +120,69 @@ def synthetic(s, d):
     return both.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.forall(there, lambda x: x)).alias("n_between"))
 
 
+#: The classes of the skewed labels, by name.
+SAID_SKEWED = f"cast({SKEWED} as string)"
+CLASSES = ["0", "6", "7", "8", "9"]
+
+
+def skewed(s, d):
+    return vectors(s, d).select("vec_id", "embedding", F.expr(SAID_SKEWED).alias("label"))
+
+
+def fold_rows(s, d):
+    """Training rows of each class in each fold, as each strategy resamples them."""
+    made = ml.resampled_folds(skewed(s, d), "vec_id", "embedding", "label", 3)
+    each = [train.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(name).alias("strategy"), F.lit(i).alias("fold"), "label", "n") for (name, i), (train, _) in made.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+FOLD_ROWS = f"""with c as (select {SAID_SKEWED} label, count(*) n from embeddings group by 1),
+ f as (select cast(fold as int) fold, label, n - n // 3 - cast(fold < n % 3 as int) n from c, range(3) r(fold)),
+ t as (select fold, label, n, min(n) over (partition by fold) low, case when n > 1 then greatest(n, cast(floor(max(n) over (partition by fold) * 0.75) as bigint)) else n end lifted from f)
+ select 'Random undersampling' strategy, fold, label, low n from t union all select 'SMOTE', fold, label, lifted from t
+ union all select 'Hybrid SMOTE + undersampling', fold, label, min(lifted) over (partition by fold) from t"""
+
+
+def _as_vector(df):
+    return df.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+
+
+def compared(s, d):
+    """The three strategies by the cross-validated scores of a forest."""
+    labels = StringIndexerModel.from_labels(CLASSES, inputCol="label", outputCol="target", handleInvalid="skip")
+
+    def fit(train):
+        model = RandomForestClassifier(labelCol="target", numTrees=20, maxDepth=6, seed=42).fit(labels.transform(_as_vector(train)))
+        names = F.array(*[F.lit(c) for c in CLASSES])
+        return lambda df: model.transform(_as_vector(df)).withColumn("predicted", F.element_at(names, (F.col("prediction") + 1).cast("int")))
+
+    return ml.cross_validated(ml.resampled_folds(skewed(s, d), "vec_id", "embedding", "label", 3), "label", CLASSES, "9", fit)
+
+
+#: Distributions of a tree's parameters.
+TREES = {"maxDepth": (2, 12), "minInstancesPerNode": [1, 2, 4, 8, 16], "maxBins": [16, 32, 64], "impurity": ["gini", "entropy"], "minInfoGain": (0.0, 0.01)}
+
+
+def searched(s, d):
+    """Thirty candidates of a tree over four expanding folds of the orders in time."""
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("price"), F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("group"), "o_orderstatus")
+    made = VectorAssembler(inputCols=["price", "month", "group"], outputCol="features").transform(ml.expanding_folds(rows, ["o_orderdate", "o_orderkey"]))
+    labels = StringIndexerModel.from_labels(["F", "O", "P"], inputCol="o_orderstatus", outputCol="target", handleInvalid="skip")
+    parts = tables.settled(labels.transform(made).select("part", "features", "target"))
+
+    def fit(params, train):
+        return DecisionTreeClassifier(labelCol="target", seed=42, **params).fit(train).transform
+
+    def score(said):
+        return ml.scores_of(said, "target", "prediction", [0.0, 1.0, 2.0])["macro_f1"]
+
+    return ml.randomised_search(parts, ml.draws(TREES), fit, score)
+
 
 QUERIES = {
+    "strategy_folds": (fold_rows, FOLD_ROWS),
+    "resampling_comparison": (compared, None),
+    "randomised_search": (searched, None),
     "stratified_split_counts": (split_counts, "select o_orderstatus, cast(ceil(count(*) * 0.2) as bigint) n_test, count(*) - cast(ceil(count(*) * 0.2) as bigint) n_train from orders group by 1"),
     "class_weights": (weights, "select o_orderstatus, count(*) n, round(1 + 0.5 * (sum(count(*)) over () / (count(*) over () * count(*)) - 1), 9) weight from orders group by 1"),
     "resample_targets": (targets, "select o_orderstatus, count(*) n, greatest(count(*), cast(floor(max(count(*)) over () * 0.75) as bigint)) smote_target, min(count(*)) over () under_target from orders group by 1"),
