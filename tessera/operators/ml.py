@@ -277,10 +277,20 @@ def strategies(key: str, vector: str, label: str) -> dict[str, Callable[[DataFra
     }
 
 
+def side_by_side(spark, work: Callable, tasks: list, parallel: int = 8) -> list:
+    """work(task) for each task, so many at a time, each by Spark jobs of its own; results in order."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), tasks))
+
+
 def resampled_folds(df: DataFrame, key: str, vector: str, label: str, folds: int = 5) -> dict[tuple[str, int], tuple[DataFrame, DataFrame]]:
-    """(strategy, fold) to its training rows, resampled within the fold alone, and its test rows as they are."""
+    """(strategy, fold) to its training rows, resampled within the fold alone and computed once, and its test rows as they
+    are."""
     parts = settled(stratified_folds(df.select(key, vector, label), label, key, folds))
-    return {(name, i): (resample(parts.where(F.col("fold") != i).drop("fold")), parts.where(F.col("fold") == i)) for name, resample in strategies(key, vector, label).items() for i in range(folds)}
+    ways = strategies(key, vector, label)
+    tasks = [(name, i) for name in ways for i in range(folds)]
+    made = side_by_side(df.sparkSession, lambda t: settled(ways[t[0]](parts.where(F.col("fold") != t[1]).drop("fold"))), tasks)
+    return {t: (train, parts.where(F.col("fold") == t[1])) for t, train in zip(tasks, made, strict=True)}
 
 
 def scores_of(df: DataFrame, actual: str, pred: str, classes: list) -> dict[str, float]:
@@ -301,11 +311,10 @@ CV_COLUMNS = "strategy string, cv_accuracy double, cv_macro_f1 double, cv_balanc
 def cross_validated(made: dict[tuple[str, int], tuple[DataFrame, DataFrame]], label: str, classes: list[str], watched: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """One row for each strategy, the best macro-F1 first: means over the folds, recall of the class watched among them.
 
-    `fit` gives a function that adds `predicted`. The training rows of a fold are computed before its fit is timed.
+    `fit` gives a function that adds `predicted`.
     """
     spark, found = next(iter(made.values()))[0].sparkSession, {}
     for (name, _), (train, test) in made.items():
-        train = settled(train)
         began = time.monotonic()
         said = fit(train)
         took = time.monotonic() - began
@@ -347,8 +356,7 @@ def randomised_search(parts: DataFrame, candidates: list[dict], fit: Callable[[d
         return c, score(said(test)), score(said(train)), took
 
     tasks = [(c, i) for c in range(len(candidates)) for i in range(folds)]
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(inheritable_thread_target(parts.sparkSession)(one), tasks))
+    done = side_by_side(parts.sparkSession, one, tasks, parallel)
     by = [[x[1:] for x in done if x[0] == c] for c in range(len(candidates))]
     rows = [(c, fmean(x[0] for x in own), pstdev(x[0] for x in own), fmean(x[1] for x in own), fmean(x[2] for x in own), json.dumps(candidates[c], sort_keys=True)) for c, own in enumerate(by)]
     rows = [(1 + sum(o[1] > r[1] for o in rows), *r) for r in rows]

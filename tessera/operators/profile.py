@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_even, missing_as_null
-from tessera.operators.tables import exact_quantiles, long_form
+from tessera.operators.tables import exact_quantiles, long_form, small, spare
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -41,9 +41,16 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return one.unpivot("__n", columns, "feature", "n_missing").select("feature", "n_missing", (F.col("n_missing") * 100 / F.nullif(F.col("__n"), F.lit(0))).alias("pct"))
 
 
-def repeated_rows(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """Rows equal to an earlier one in all the columns."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*columns).orderBy(*order))).where("__n > 1").drop("__n")
+def repeated_rows(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Rows equal to an earlier one in all the columns; `order` is unique.
+
+    Equal rows are counted, and the first of them found, by an aggregate that is combined on the map side; only rows that
+    have equals are looked up, by the print of their columns, so that a row repeated very often fills no window.
+    """
+    own, first = spare(df, "print"), spare(df, "first")
+    printed = df.withColumn(own, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    heads = printed.groupBy(own).agg(F.min(order).alias(first), F.count("*").alias("n")).where("n > 1").drop("n")
+    return printed.join(small(heads), own).where(F.col(order) > F.col(first)).drop(own, first)
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
@@ -99,17 +106,40 @@ def impute_mean(df: DataFrame, columns: list[str], truncate: bool = True) -> Dat
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    medians = df.agg(*[F.median(missing_as_null(F.col(c).cast("double"))).alias(f"__m_{c}") for c in columns])
-    filled = df.crossJoin(F.broadcast(medians))  # one row
-    return filled.withColumns({c: F.coalesce(missing_as_null(F.col(c).cast("double")), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])
+    """Missing values become the column's median, which is exact; a column without a value stays as it is."""
+    medians = {r["feature"]: r["q"][0] for r in exact_quantiles(long_form(df, columns), [0.5]).collect()}  # a row for each column
+    known = lambda c: missing_as_null(F.col(c).cast("double"))
+    return df.withColumns({c: F.coalesce(known(c), F.lit(medians.get(c)).cast("double")) for c in columns})
+
+
+def _by_class(df: DataFrame, by: str, column: str) -> DataFrame:
+    return df.where(F.col(by).isNotNull()).select(F.col(by).alias("feature"), F.col(column).cast("double").alias("value"))
 
 
 def box_summary(df: DataFrame, by: str, column: str, k: float = 1.5) -> DataFrame:
     """Five numbers and whiskers for each class: what a box plot draws."""
-    v = F.col(column).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    fences = df.where(F.col(by).isNotNull()).groupBy(by).agg(q.alias("q"))
-    rows = df.join(F.broadcast(fences), by)
-    spread = F.col("q")[2] - F.col("q")[0]
+    values = _by_class(df, by, column)
+    rows = values.join(small(exact_quantiles(values, [0.25, 0.5, 0.75])), "feature")
+    v, spread = F.col("value"), F.col("q")[2] - F.col("q")[0]
     inside = v.between(F.col("q")[0] - k * spread, F.col("q")[2] + k * spread)
-    return rows.groupBy(by).agg(F.any_value("q").alias("q"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("n_out")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_low", "whisker_high", "n_out")
+    out = rows.groupBy("feature").agg(F.any_value("q").alias("q"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("n_out"))
+    return out.select(F.col("feature").alias(by), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_low", "whisker_high", "n_out")
+
+
+def letter_values(df: DataFrame, by: str, column: str) -> DataFrame:
+    """(class, depth, tail, low, high, n_out): what a boxen plot draws.
+
+    Depth 1 is the box of the quartiles, and each depth halves the tail of the one before. A class of n values has
+    floor(log2(n)) - 3 depths, but at least one, so that the last tail still holds some values. n_out counts the values
+    outside the last box. The quantiles of all classes and depths come from one ranking.
+    """
+    values = _by_class(df, by, column).where(finite("value").isNotNull())
+    sizes = values.groupBy("feature").agg(F.count("*").alias("n")).withColumn("depths", F.greatest(F.lit(1), (F.floor(F.log2("n")) - 3).cast("int")))
+    deepest = sizes.agg(F.max("depths")).first()[0] or 1
+    tails = [0.5 ** (d + 1) for d in range(1, deepest + 1)]
+    q = exact_quantiles(values, [*tails, *[1 - t for t in tails]])
+    boxes = F.transform(F.sequence(F.lit(1), "depths"), lambda d: F.struct(d.alias("depth"), F.pow(F.lit(0.5), d + 1).alias("tail"), F.element_at("q", d).alias("low"), F.element_at("q", d + deepest).alias("high")))
+    drawn = small(sizes.join(q, "feature").select("feature", "depths", boxes.alias("boxes")))
+    last = F.element_at("boxes", F.col("depths"))
+    out = values.join(drawn, "feature").groupBy("feature").agg(F.any_value("boxes").alias("boxes"), F.count_if((F.col("value") < last["low"]) | (F.col("value") > last["high"])).alias("n_out"))
+    return out.select(F.col("feature").alias(by), "n_out", F.inline("boxes")).select(by, "depth", "tail", "low", "high", "n_out")

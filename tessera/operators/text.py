@@ -48,6 +48,49 @@ def lemmatised(words: Column, lemmas: dict[str, str]) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
+# What a verb's ending may stand for.
+ENDINGS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))
+#: So many endings one after another are taken off.
+ROUNDS = 3
+
+
+def _detached(form: Column) -> Column:
+    made = [F.when(form.endswith(old) & (F.length(form) > len(old)), F.concat(F.substr(form, F.lit(1), F.length(form) - len(old)), F.lit(new))) for old, new in ENDINGS]
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def lemma_table(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(word, lemma) of distinct words, by joins: a lexicon (word) of base forms and a table of exceptions (word, lemma).
+
+    A word with an exception has its lemmas and itself as candidates; any other has itself and what is left when an
+    ending is taken off, then, only where the lexicon has none of these, what is left when endings are taken off again.
+    Of the candidates that the lexicon has, the shortest is the lemma, of equals the first; a word without one is its
+    own lemma.
+    """
+    known = words.select("word").where("word is not null").distinct()
+    odd = exceptions.select("word", F.col("lemma").alias("form"))
+    listed = odd.select("word").distinct().withColumn("listed", F.lit(True))
+    regular = known.join(listed, "word", "left").where("listed is null").select("word")
+    rounds = [F.array(F.col("word"))]
+    for _ in range(ROUNDS):
+        rounds.append(F.flatten(F.transform(rounds[-1], _detached)))
+    rounds = [F.concat(rounds[0], rounds[1]), *rounds[2:]]
+    tried = regular.select("word", F.posexplode(F.array(*rounds)).alias("turn", "forms")).select("word", "turn", F.posexplode("forms").alias("place", "form"))
+    irregular = known.join(odd, "word").select("word", F.lit(0).alias("turn"), F.lit(1).alias("place"), "form")
+    itself = known.join(listed, "word", "left_semi").select("word", F.lit(0).alias("turn"), F.lit(0).alias("place"), F.col("word").alias("form"))
+    found = tried.unionByName(irregular).unionByName(itself).join(lexicon.select(F.col("word").alias("form")).distinct(), "form", "left_semi")
+    best = found.groupBy("word").agg(F.min_by("form", F.struct("turn", F.length("form"), "place", "form")).alias("lemma"))
+    return known.join(best, "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
+
+
+def with_lemmas(df: DataFrame, key: str, words: Column, lemmas: DataFrame) -> DataFrame:
+    """(key, words): each row's words in order, every one as its lemma. The key is unique."""
+    long = df.select(F.col(key).alias("key"), F.posexplode_outer(words).alias("place", "word"))
+    said = long.join(small(lemmas), "word", "left").select("key", "place", F.coalesce("lemma", "word").alias("lemma"))
+    listed = said.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("lemma").isNotNull(), F.struct("place", "lemma")))).alias("x"))
+    return listed.select(F.col("key").alias(key), F.transform("x", lambda e: e["lemma"]).alias("words"))
+
+
 def prepared(c: Column, lemmas: dict[str, str] | None = None, keep_negations: bool = False) -> Column:
     """The cleaning pipeline as one text column."""
     return F.array_join(lemmatised(without_stop_words(tokens(clean(c)), keep_negations), lemmas or {}), " ")

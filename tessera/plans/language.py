@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import mapped
 from tessera.operators import text as x
-from tessera.operators.tables import keep_first
+from tessera.operators.tables import exact_quantiles, keep_first, small
 from tessera.plans.fixtures import table
 
 
@@ -50,8 +50,10 @@ def padded(s, d):
 
 
 def lengths(s, d):
-    joined = table(s, d, "labels").join(posts(s, d), "doc_id")
-    return joined.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.median(F.length("text")).alias("median_length"))
+    joined = table(s, d, "labels").join(posts(s, d), "doc_id").select("quality", F.length("text").alias("size"))
+    counts = joined.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("size"), 6).alias("mean_length"))
+    medians = exact_quantiles(joined.where("quality is not null"), [0.5], "quality", "size").select("quality", F.col("q")[0].alias("median_length"))
+    return counts.join(small(medians), "quality", "left")
 
 
 def dedup(s, d):
@@ -62,21 +64,49 @@ def labels(s, d):
     return table(s, d, "labels").select("doc_id", mapped("quality", {0: "Negative", 1: "Positive"}).alias("sentiment"))
 
 
+EXCEPTIONS = (("was", "be"), ("were", "be"), ("is", "be"), ("are", "be"), ("been", "be"), ("had", "have"), ("has", "have"), ("did", "do"), ("done", "do"), ("thought", "think"))
+
+
+def lemma_parts(s, d):
+    """The words of the cleaned posts, a lexicon of the words that five of them share, and irregular forms."""
+    words = posts(s, d).select("doc_id", F.explode(x.tokens(x.clean_ascii(F.col("text")))).alias("word"))
+    lexicon = words.groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where("n >= 5").select("word")
+    return words, lexicon, s.createDataFrame(EXCEPTIONS, "word string, lemma string")
+
+
 def lemmas(s, d):
-    words = x.lemmatised(x.tokens(x.clean(F.col("text"))), {"the": "a", "is": "be"})
-    return posts(s, d).select("doc_id", F.size(F.filter(words, lambda w: w == "be")).cast("bigint").alias("n_be"))
+    return x.lemma_table(*lemma_parts(s, d))
+
+
+def lemmatised_posts(s, d):
+    """The whole preparation: cleaned, without stop words, lemmas."""
+    words = x.without_stop_words(x.tokens(x.clean_ascii(F.col("text"))))
+    return x.with_lemmas(posts(s, d), "doc_id", words, x.lemma_table(*lemma_parts(s, d))).select("doc_id", F.array_join("words", " ").alias("prepared"))
 
 
 def matrix(s, d):
+    """The vectors of known terms and of the pad; noise is told by its size alone."""
     words = x.tokens(F.lower("text"))
     v = x.vocabulary(posts(s, d), words, 100)
-    vectors = v.where(F.col("index") % 3 == 0).select(F.col("term").alias("word"), F.array_repeat(F.lit(1.0).cast("float"), 8).alias("vector"))
-    return x.embedding_matrix(v, vectors, 8).agg(F.count("*").alias("n"), F.count_if("found").alias("n_found"), F.sum(F.size("vector")).alias("numbers"))
+    vectors = v.where(F.col("index") % 3 == 0).select(F.col("term").alias("word"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.length("term") + i).cast("float")).alias("vector"))
+    told = F.when(F.col("found") | (F.col("index") == 0), F.array_join(F.transform("vector", lambda e: e.cast("int")), " "))
+    return x.embedding_matrix(v, vectors, 8).select(F.col("index").cast("bigint").alias("index"), "found", told.alias("vector"), F.size("vector").cast("bigint").alias("numbers"), F.exists("vector", lambda e: F.abs(e) > 0.5).alias("large"))
 
 
 _TERMS = f"(select term, count(*) n from (select unnest({RAW}) term from documents) group by 1)"
 _VOCAB = f"(select term, row_number() over (order by n desc, term) + 1 as index from {_TERMS} order by n desc, term limit 9998)"
 
+_ASCII = f"list_filter(string_split_regex({CLEAN_ASCII}, '\\s+'), lambda t: t <> '')"
+_ODD = "(values " + ", ".join(f"('{w}', '{m}')" for w, m in EXCEPTIONS) + ") o(word, form)"
+_TAKEN = " union all ".join(f"select word, turn + 1, place * 8 + {i}, left(form, len(form) - {len(old)}) || '{new}' from {{t}} where form like '%{old}' and len(form) > {len(old)}" for i, (old, new) in enumerate(x.ENDINGS))
+_ONCE, _TWICE, _THRICE = (_TAKEN.format(t=t) for t in ("f0", "f1", "f2"))
+LEMMAS = f"""w as (select doc_id, unnest({_ASCII}) word from documents), lexicon as (select word form from w group by 1 having count(distinct doc_id) >= 5), k as (select distinct word from w),
+ o as (select * from {_ODD}), f0(word, turn, place, form) as (select word, 0, 0, word from k where word not in (select word from o)), f1(word, turn, place, form) as ({_ONCE}), f2(word, turn, place, form) as ({_TWICE}), f3(word, turn, place, form) as ({_THRICE}),
+ c as (select word, 0 turn, -1 place, form from f0 union all select word, 0, place, form from f1 union all select word, turn, place, form from f2 union all select word, turn, place, form from f3
+  union all select k.word, 0, 1, o.form from k join o using (word) union all select word, 0, 0, word from k where word in (select word from o)),
+ b as (select word, form lemma from c semi join lexicon using (form) qualify row_number() over (partition by word order by turn, len(form), place, form) = 1),
+ lemmas as (select word, coalesce(lemma, word) lemma from k left join b using (word))"""
+
 QUERIES = {
     "text_clean": (cleaned, f"select doc_id, {CLEAN} clean from documents"),
     "text_clean_ascii": (cleaned_ascii, f"select doc_id, {CLEAN_ASCII} clean from documents"),
@@ -87,6 +117,7 @@ QUERIES = {
     "text_length_by_label": (lengths, "select quality, count(*) n, round(avg(length(text)), 6) mean_length, median(length(text)) median_length from labels join documents using (doc_id) group by 1"),
     "dedup_keep_first": (dedup, "select doc_id, lang from documents qualify row_number() over (partition by text order by doc_id) = 1"),
     "label_decode": (labels, "select doc_id, case quality when 0 then 'Negative' when 1 then 'Positive' end sentiment from labels"),
-    "lemma_map": (lemmas, f"select doc_id, len(list_filter({TOKENS}, lambda t: t in ('is', 'be'))) n_be from documents"),
-    "embedding_matrix": (matrix, "select 100 n, (select count(*) from range(2, 100) r(i) where i % 3 = 0) n_found, 8 * 100 numbers"),
+    "lemma_map": (lemmas, f"with {LEMMAS} select * from lemmas"),
+    "text_lemmatised": (lemmatised_posts, f"with {LEMMAS}, t as (select doc_id, unnest(list_filter({_ASCII}, lambda t: not list_contains({STOPS}, t))) word, generate_subscripts(list_filter({_ASCII}, lambda t: not list_contains({STOPS}, t)), 1) p from documents), j as (select doc_id, string_agg(lemma, ' ' order by p) prepared from t join lemmas using (word) group by 1) select doc_id, coalesce(prepared, '') prepared from documents left join j using (doc_id)"),
+    "embedding_matrix": (matrix, f"with v as (select * from {_VOCAB} where index < 100) select i as index, coalesce(i % 3 = 0 and i > 1, false) found, case when i = 0 then '0 0 0 0 0 0 0 0' when i % 3 = 0 then array_to_string(list_transform(range(1, 9), lambda k: len(term) + k), ' ') end as vector, 8 numbers, i > 1 and i % 3 = 0 large from range(100) r(i) left join v on v.index = i"),
 }

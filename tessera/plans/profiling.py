@@ -50,7 +50,7 @@ def described(s, d):
 
 def duplicates(s, d):
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
-    return p.repeated_rows(docs, ["doc_id"], ["text", "lang"]).select("doc_id", "lang")
+    return p.repeated_rows(docs, "doc_id", ["text", "lang"]).select("doc_id", "lang")
 
 
 def correlation(s, d):
@@ -119,9 +119,26 @@ def box(s, d):
 BOX = f"with q as (select l_returnflag, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) median, quantile_cont(l_extendedprice, 0.75) q3 from {WIDE} group by 1) select l_returnflag, round(any_value(q1), 4) q1, round(any_value(median), 4) median, round(any_value(q3), 4) q3, round(min(l_extendedprice) filter (l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 4) whisker_low, round(max(l_extendedprice) filter (l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 4) whisker_high, count(*) filter (not l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) n_out from {WIDE} join q using (l_returnflag) group by 1"
 
 
+def letters(s, d):
+    out = p.letter_values(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice")
+    # tails are powers of two, so that values often lie on the edge of a rounding, where engines part
+    near = lambda c: (F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c)
+    return out.select("l_returnflag", "depth", "tail", near("low"), near("high"), "n_out")
+
+
+LETTERS = """with n as (select l_returnflag f, count(*) n, greatest(1, cast(floor(log2(count(*))) as int) - 3) k from lineitem group by 1),
+ b as (select f, k, cast(d as int) depth, power(0.5, d + 1) tail from n, range(1, 40) r(d) where d <= k),
+ v as (select f, k, depth, tail, list_sort(list(l_extendedprice)) x from b join lineitem on l_returnflag = f group by all),
+ p as (select *, tail * (len(x) - 1) lo, (1 - tail) * (len(x) - 1) hi from v),
+ q as (select f, k, depth, tail, x, case when x[floor(lo)::bigint + 1] = x[ceil(lo)::bigint + 1] then x[floor(lo)::bigint + 1] else (ceil(lo) - lo) * x[floor(lo)::bigint + 1] + (lo - floor(lo)) * x[ceil(lo)::bigint + 1] end low, case when x[floor(hi)::bigint + 1] = x[ceil(hi)::bigint + 1] then x[floor(hi)::bigint + 1] else (ceil(hi) - hi) * x[floor(hi)::bigint + 1] + (hi - floor(hi)) * x[ceil(hi)::bigint + 1] end high from p),
+ o as (select f, len(list_filter(x, lambda y: y < low or y > high)) n_out from q where depth = k)
+ select f l_returnflag, depth, tail, floor(low * 10000 + 0.5) / 10000 low, floor(high * 10000 + 0.5) / 10000 high, n_out from q join o using (f)"""
+
+
 def scalar_stats(s, d):
     e = table(s, d, "events")
-    return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.mode("event_type", True).alias("mode"), F.round(F.stddev_pop("value"), 6).alias("std0"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    q = t.exact_quantiles(t.long_form(e, ["value"]), [0.5, 0.9]).select(F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p90"))
+    return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.mode("event_type", True).alias("mode"), F.round(F.stddev_pop("value"), 6).alias("std0")).crossJoin(q)  # one row each
 
 
 SCALARS = "select round(avg(value), 6) mean, round(median(value), 6) median, (select event_type from events group by 1 order by count(*) desc, 1 limit 1) mode, round(stddev_pop(value), 6) std0, round(quantile_cont(value, 0.9), 6) p90 from events"
@@ -152,6 +169,7 @@ QUERIES = {
     "median_impute": (median_impute, f"select {', '.join(KEY)}, coalesce(l_quantity, (select median(l_quantity) from {SURVEY})) l_quantity from {SURVEY}"),
     "sum_features": (sum_features, f"select {', '.join(KEY)}, round(coalesce(l_quantity, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0), 6) total from {SURVEY}"),
     "box_summary": (box, BOX),
+    "letter_values": (letters, LETTERS),
     "scalar_stats": (scalar_stats, SCALARS),
     "rounding_modes": (rounding, f"select {', '.join(KEY)}, round_even(l_quantity / 8, 2) half_even, cast(trunc(l_extendedprice / 7) as int) whole from lineitem"),
     "value_counts": (value_counts, "select o_orderpriority, count(*) n from orders where o_orderpriority is not null group by 1 order by 2 desc, 1"),

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,12 +46,22 @@ def read_input(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return READERS[suffix](spark, path, schema)
 
 
-def read_table(spark: SparkSession, url: str, schema: str, table: str, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
-    """A relational table, split in ranges of a number column if given as (column, lower, upper, parts); names in lower case."""
-    for name in (schema, table):
+def read_table(spark: SparkSession, url: str, schema: str, table: str, partition: tuple | None = None, columns: list[str] | None = None, **options) -> DataFrame:
+    """A relational table, of it the columns named; names in lower case.
+
+    Reads are split in ranges of a number column if `partition` is (column, lower, upper, parts), or (column, parts):
+    then the database is asked for the least and greatest value, in one row, first. Rows without a value of it are in the
+    first range.
+    """
+    for name in (schema, table, *(columns or ()), *((partition[0],) if partition else ())):
         if not IDENTIFIER.fullmatch(name):
             raise ValueError(f"not an identifier: {name!r}")
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{table}").options(**options)
+    source = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    reader = source().option("dbtable", f"(select {', '.join(columns)} from {schema}.{table}) t" if columns else f"{schema}.{table}")
+    if partition and len(partition) == 2:
+        column, parts = partition
+        ends = source().option("query", f"select min({column}) lo, max({column}) hi from {schema}.{table}").load().first()
+        partition = (column, ends[0], ends[1], parts) if ends[0] is not None else None
     if partition:
         column, low, high, parts = partition
         reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
@@ -63,7 +74,9 @@ def read_training_tables(spark: SparkSession, root: str, names: tuple[str, ...]
     for n in names:
         try:
             out[n] = lower_names(read_csv(spark, f"{root}/{n}.csv", (schemas or {}).get(n)))
-        except Exception as e:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise FileNotFoundError(f"{root}/{n}.csv") from e
     return out
 

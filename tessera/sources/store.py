@@ -7,10 +7,11 @@ a partition the filters on artifact and time reach the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import expiry, sha256_hex
@@ -23,7 +24,7 @@ TABLES = {
         "telemetry_id string, model_id string, artifact string, recorded_at timestamp, expires_at timestamp, key_id string, encrypted_payload binary, payload_sha256 string",
         {"expires after it was recorded": "expires_at > recorded_at", "id of 36 characters at most": "length(telemetry_id) <= 36", "digest of 64 characters": "length(payload_sha256) = 64"},
     ),
-    "baseline": ("baseline_id string, model_id string, artifact string, baseline_json string, created_at timestamp", {"baseline is JSON": "try_parse_json(baseline_json) is not null"}),
+    "baseline": ("baseline_id string, model_id string, artifact string, baseline_json string, version long, created_at timestamp", {"baseline is JSON": "try_parse_json(baseline_json) is not null"}),
     "report": (
         "report_id string, model_id string, artifact string, window_start timestamp, window_end timestamp, record_count long, overall_status string, report_json string, created_at timestamp",
         {"window ends after its start": "window_end > window_start", "report is JSON": "try_parse_json(report_json) is not null"},
@@ -141,20 +142,56 @@ def purge(spark: SparkSession, path: str, now: str) -> int:
 
 
 def active_baseline(versions: DataFrame) -> DataFrame:
-    """The latest version of each model; older ones are inactive by construction."""
-    latest = Window.partitionBy("model_id").orderBy(F.desc("created_at"), F.desc("baseline_id"))
-    return versions.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    """The highest version of each model; older ones are inactive by construction."""
+    return versions.groupBy("model_id").agg(F.max_by(F.struct("*"), "version").alias("active")).select("active.*")
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if it is there, whoever made it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then, which is two steps
+        try:
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at, False).close()
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def claimed_version(spark: SparkSession, path: str, model_id: str) -> int:
+    """A version of the model that no other writer has: the first number whose file this writer created."""
+    home = f"{path.rstrip('/')}/_versions/{quote(model_id, safe='')}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(home)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()] if fs.exists(at) else []
+    version = max(taken, default=0) + 1
+    while not _created(spark, f"{home}/{version:012d}"):
+        version += 1
+    return version
 
 
 def register_baseline(document: DataFrame, path: str) -> str:
     """Appends one baseline (model_id, artifact, baseline_json) as a new version and returns its id.
 
-    A version is never changed: the latest of a model is its active one, so exactly one is, whoever writes.
+    A version is never changed, and its number is claimed before its row is written, so writers at the same time get
+    different ones and exactly one is the highest, the active one, whatever their clocks say. A writer that stops
+    between the two leaves a number unused.
     """
-    if document.count() != 1:
+    one = document.select("model_id").take(2)
+    if len(one) != 1:
         raise ValueError("one baseline at a time")
-    baseline_id = str(uuid.uuid4())
-    rows = document.select(F.lit(baseline_id).alias("baseline_id"), "model_id", "artifact", "baseline_json", F.current_timestamp().alias("created_at"))
+    baseline_id, version = str(uuid.uuid4()), claimed_version(document.sparkSession, path, one[0]["model_id"])
+    rows = document.select(F.lit(baseline_id).alias("baseline_id"), "model_id", "artifact", "baseline_json", F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("created_at"))
     checked(rows, "baseline").write.mode("append").partitionBy("model_id").parquet(path)
     return baseline_id
 

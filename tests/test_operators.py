@@ -370,6 +370,12 @@ def test_relational_table(spark):
     spark.range(25).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME")).write.format("jdbc").options(url=url, dbtable="APP.PEOPLE", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
     got = files.read_table(spark, url, "APP", "PEOPLE", ("ID", 0, 25, 4), driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert got.columns == ["id", "name"] and got.rdd.getNumPartitions() == 4 and got.count() == 25
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    asked = files.read_table(spark, url, "APP", "PEOPLE", ("ID", 5), ["ID"], **driver)
+    sizes = [len(p) for p in asked.rdd.glom().collect()]
+    assert asked.columns == ["id"] and len(sizes) == 5 and sum(sizes) == 25 and max(sizes) <= 9
+    spark.createDataFrame([], "ID int").write.format("jdbc").options(url=url, dbtable="APP.NOBODY", **driver).save()
+    assert files.read_table(spark, url, "APP", "NOBODY", ("ID", 5), **driver).count() == 0
     for bad in ("PEOPLE\n", "PEOPLE;DROP", "1PEOPLE", "P" * 31):
         with pytest.raises(ValueError):
             files.read_table(spark, url, "APP", bad)
@@ -386,3 +392,80 @@ def test_exact_quantiles_either_way(spark):
     sorted_ = {r["feature"]: r["q"] for r in tables.exact_quantiles(df, p, most=100).collect()}
     assert set(held) == {"many", "ties", "few", "one"} and held == sorted_
     assert held["few"] == pytest.approx([1.0, 1.2, 1.5, 2.0, 2.5, 2.998, 3.0])
+
+
+def test_versions_of_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "baselines")
+    document = lambda i: spark.createDataFrame([("m/1", "a", f'{{"writer": {i}}}')], "model_id string, artifact string, baseline_json string")
+    with ThreadPoolExecutor(6) as pool:
+        ids = list(pool.map(lambda i: store.register_baseline(document(i), path), range(6)))
+    rows = spark.read.parquet(path)
+    assert sorted(r["version"] for r in rows.collect()) == [1, 2, 3, 4, 5, 6] and len(set(ids)) == 6
+    active = store.active_baseline(rows).collect()
+    assert len(active) == 1 and active[0]["version"] == 6
+    last = store.register_baseline(document(7), path)
+    assert store.active_baseline(spark.read.parquet(path)).first()["baseline_id"] == last and store.load_active_baseline(spark, path, "m/1") == '{"writer": 7}'
+    assert store.claimed_version(spark, path, "other") == 1
+
+
+def test_lemmas(spark):
+    words = spark.createDataFrame([(w,) for w in ("running", "tries", "tried", "was", "goes", "bed", "s", "xyzing", "making", "hopings", None, "run")], "word string")
+    lexicon = spark.createDataFrame([(w,) for w in ("run", "try", "be", "go", "bed", "make", "runn", "hope")], "word string")
+    odd = spark.createDataFrame([("was", "be"), ("goes", "gone")], "word string, lemma string")
+    got = {r["word"]: r["lemma"] for r in text.lemma_table(words, lexicon, odd).collect()}
+    assert got == {"running": "runn", "tries": "try", "tried": "tried", "was": "be", "goes": "goes", "bed": "be", "s": "s", "xyzing": "xyzing", "making": "make", "hopings": "hope", "run": "run"}
+    rows = spark.createDataFrame([(1, "was making it"), (2, ""), (3, None)], "id int, t string")
+    said = {r["id"]: r["words"] for r in text.with_lemmas(rows, "id", text.tokens(F.col("t")), text.lemma_table(words, lexicon, odd)).collect()}
+    assert said == {1: ["be", "make", "it"], 2: [], 3: []}
+
+
+def test_draws_and_search(spark):
+    space = {"a": [1, 2, 3], "b": (1, 2)}
+    assert ml.draws(space, 4, 1) == ml.draws(space, 4, 1) and len(ml.draws(space, 30)) == 6
+    assert {repr(x) for x in ml.draws(space, 30)} == {repr({"a": a, "b": b}) for a in (1, 2, 3) for b in (1, 2)}
+    assert all(0.5 <= x["c"] < 2 for x in ml.draws({"c": (0.5, 2.0)}, 20))
+    parts = ml.expanding_folds(spark.range(60).withColumn("y", F.col("id") % 2), ["id"], 4)
+    seen = []
+    fit = lambda params, train: seen.append((params["a"], train.count())) or (lambda df: df.withColumn("p", F.col("y") * params["a"]))
+    out = ml.randomised_search(tables.settled(parts), [{"a": 0}, {"a": 1}, {"a": 1.0}], fit, lambda said: ml.scores_of(said, "y", "p", [0, 1])["accuracy"]).collect()
+    assert [(r["rank"], r["mean_test"], r["std_test"]) for r in out] == [(1, 1.0, 0.0), (1, 1.0, 0.0), (3, 0.5, 0.0)]
+    assert sorted(n for a, n in seen if a == 0) == [12, 24, 36, 48]
+
+
+def test_stratified_folds_are_even(spark):
+    df = spark.range(103).select("id", F.when(F.col("id") < 50, "a").when(F.col("id") < 101, "b").alias("label"))
+    counts = ml.stratified_folds(df, "label", "id", 5).groupBy("label", "fold").count().collect()
+    by = {c: sorted(r["count"] for r in counts if r["label"] == c) for c in ("a", "b", None)}
+    assert by == {"a": [10] * 5, "b": [10] * 4 + [11], None: [1, 1]}
+
+
+def test_letter_values(spark):
+    df = spark.createDataFrame([("x", float(i)) for i in range(257)] + [("one", 5.0), ("one", None), (None, 1.0), ("gone", None)], "c string, v double")
+    got = [tuple(r) for r in profile.letter_values(df, "c", "v").orderBy("c", "depth").collect()]
+    assert got == [("one", 1, 0.25, 5.0, 5.0, 0), ("x", 1, 0.25, 64.0, 192.0, 16), ("x", 2, 0.125, 32.0, 224.0, 16), ("x", 3, 0.0625, 16.0, 240.0, 16), ("x", 4, 0.03125, 8.0, 248.0, 16), ("x", 5, 0.015625, 4.0, 252.0, 8)][:1] + [("x", d, 0.5 ** (d + 1), 256 * 0.5 ** (d + 1), 256 * (1 - 0.5 ** (d + 1)), 8) for d in range(1, 6)]
+
+
+def test_a_very_common_row_is_repeated_without_a_window(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")).alias("a"), F.lit(None).cast("string").alias("b"))
+    assert profile.repeated_rows(df, "id", ["a", "b"]).count() == 3332
+
+
+def test_streamed_drift_equals_the_batch(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("event_id"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("id").cast("int"))).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"), (F.col("id") % 17).cast("double").alias("value"))
+    rows.unionByName(rows.where("event_id % 4 = 0")).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    next_ = lambda i: rows.where("event_id = 299").withColumns({"event_id": F.lit(299 + i).cast("long"), "ts": F.col("ts") + F.make_interval(mins=F.lit(i))})
+    next_(1).unionByName(rows.where("event_id = 299")).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    late = rows.limit(1).withColumn("event_id", F.lit(9999).cast("long"))
+    next_(2).unionByName(late).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    document = drift.profile_document(rows.where("event_id < 100"), ["value"], ["event_type"])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    sink = windows.drift_sink(document, f"{tmp_path}/reports", minimum=1)
+    windows.once(stream, "event_id").writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(240)
+    got = spark.read.parquet(f"{tmp_path}/reports").orderBy("batch").collect()
+    assert [r["record_count"] for r in got] == [300, 1, 1]  # what repeats is one, what is late is none
+    want = {r["feature"]: r["psi"] for r in drift.against(document, rows).features.collect()}
+    assert {r["feature"]: r["psi"] for r in got[0]["feature_drift"]} == want
+    sink(rows, 0)
+    assert spark.read.parquet(f"{tmp_path}/reports").count() == 3  # a batch run again replaces its report
