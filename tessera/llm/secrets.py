@@ -3,9 +3,9 @@
 Patterns (kinds `assign`, `access`, `hex`) are found leftmost and non-overlapping over the whole text. The entropy
 method looks at candidate strings (long runs of token characters) and at the runs of each character class inside
 them; a window of fixed length slides along a run, its entropy kept up to date by adding the entering and removing the
-leaving character. Windows over the class's threshold are joined into spans of kind `entropy_<class>`, unless the
-allow-list knows the candidate. What a pattern's span covers of a candidate is left out, and each class is asked over
-all the rest, so spans of different classes may overlap; `redact` takes their union.
+leaving character. A run with a window over the class's threshold is a span of kind `entropy_<class>`, from end to end,
+unless the allow-list knows the candidate or the window. What a pattern's span covers of a candidate is left out, and
+each class is asked over all the rest, so spans of different classes may overlap; `redact` takes their union.
 
 Each text is scanned once where it lies: no shuffle, and memory for one batch. Spans are code points, end exclusive.
 Defined cases: a null text is empty and has no spans; equal texts have equal spans; other columns are untouched,
@@ -129,13 +129,9 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], config: ScanConfi
                 for r in re.finditer(c.run, part):
                     if r.end() - r.start() < c.window or allowed(r[0]):
                         continue
-                    hot = [i for i, e in enumerate(window_entropies(r[0], c.window)) if e >= c.bits and not allowed(r[0][i : i + c.window])]
-                    for i in hot:
-                        s, e = start + r.start() + i, start + r.start() + i + c.window
-                        if own and s <= own[-1][2]:
-                            own[-1] = (own[-1][0], own[-1][1], e)
-                        else:
-                            own.append((s, KINDS.index(c.kind), e))
+                    # one window over the threshold takes its whole run, so that no part of a key is left
+                    if any(e >= c.bits and not allowed(r[0][i : i + c.window]) for i, e in enumerate(window_entropies(r[0], c.window))):
+                        own.append((start + r.start(), KINDS.index(c.kind), start + r.end()))
                 found += own
     return found
 

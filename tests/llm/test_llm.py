@@ -795,3 +795,28 @@ def test_samples_stay_bounded_under_a_hot_id(spark, monkeypatch):
     assert np.isfinite(model.scores(np.zeros((1, len(quality.FEATURES))))).all()
     langid.fit(hot, per_lang=60, total=120)
     assert len(seen) == 2 and all(r["count"] < 1.5 * most for rows, most in seen for r in rows)
+
+
+def test_no_key_is_covered_in_part():
+    import string
+
+    rng = random.Random(11)
+    kinds = {"base64": (string.ascii_letters + string.digits + "+/", 40), "alnum": (string.ascii_letters + string.digits, 40), "HEX": ("0123456789ABCDEF", 32), "letters": (string.ascii_letters, 40)}
+    for signs, n in kinds.values():
+        for _ in range(200):
+            key = "".join(rng.choice(signs) for _ in range(n))
+            left = secrets.scan_text(f"see <{key}> here")[1]
+            assert left and min(s for s, _, _ in left) == 5 and max(e for _, _, e in left) == 5 + n, key
+
+
+def test_secret_scan_edges(spark):
+    key = "Zk3pQ9vL2xTn8RwB5yHs7Dm4Kc6Jf1Gt0UaEqX"
+    long = prose(random.Random(2), 60000) + f" {key} " + prose(random.Random(3), 60000)
+    rows = docs_of(spark, [(1, long), (1, long), (2, None), (None, f"a {key}"), (3, ""), (4, key * 3)])
+    got = rows.select("doc_id", "spans", secrets.scan(F.col("text")).alias("r"), secrets.redact(F.col("text")).alias("clean")).collect()
+    assert {r["spans"] for r in got} == {"y"} and len(got) == 6
+    at = long.index(key)
+    found = [r["r"]["spans"] for r in got if r["doc_id"] == 1]
+    assert found[0] == found[1] and f"entropy_alnum:{at}:{at + len(key)}" in found[0]
+    assert [r["clean"] for r in got if r["doc_id"] != 1] == [None, "a [SECRET]", "", "[SECRET]"]
+    assert all(key not in r["clean"] and len(r["clean"]) == len(long) - len(key) + 8 for r in got if r["doc_id"] == 1)
