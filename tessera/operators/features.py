@@ -37,9 +37,13 @@ def reference_date(*dates: tuple[DataFrame, str]) -> DataFrame:
     return latest.agg((F.max("m") + F.expr("interval 1 day")).alias("reference_date"))
 
 
-def patient_features(patients: DataFrame, visits: DataFrame, bills: DataFrame) -> DataFrame:
-    """Each patient with visit and provider features; counts and rates are filled with 0, averages and gaps are not."""
-    ref = reference_date((patients, "registration_date"), (visits, "visit_date"), (bills, "billing_date"))
+def patient_features(patients: DataFrame, visits: DataFrame, bills: DataFrame, day: str | None = None) -> DataFrame:
+    """Each patient with visit and provider features, up to a day or the day after the latest date; counts and rates are
+    filled with 0, averages and gaps are not."""
+    if day:
+        ref = patients.sparkSession.range(1).select(F.lit(day).cast("date").cast("timestamp_ntz").alias("reference_date"))
+    else:
+        ref = reference_date((patients, "registration_date"), (visits, "visit_date"), (bills, "billing_date"))
     base = patients.crossJoin(F.broadcast(ref)).withColumn("days_registered", whole_days("reference_date", "registration_date")).drop("reference_date")  # one row
     out = base.join(visit_features(visits, ref), "patient_id", "left").join(small(provider_rejection(bills, visits, patients)), "insurance_provider", "left")
     return out.fillna(0, ["visit_count", "weekend_visits", "provider_bills", "provider_rejected", "provider_rejection_rate"])

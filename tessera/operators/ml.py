@@ -83,7 +83,7 @@ def pipeline(numeric: list[str], categories: list[str], label: str, model: Estim
 def check_model(model, columns: list[str], df: DataFrame, classes: list[str]) -> None:
     """The contract of a loaded model: its input columns are there and its classes are the expected ones."""
     lacking = set(columns) - set(df.columns)
-    labels = next((list(s.labels) for s in getattr(model, "stages", []) if hasattr(s, "labels")), classes)
+    labels = classes_of(model) or classes
     if lacking or labels != classes:
         raise ValueError(f"model contract: missing {sorted(lacking)}, classes {labels}")
 
@@ -93,7 +93,7 @@ def predicted(model: Model, df: DataFrame, classes: list[str]) -> DataFrame:
     p = F.transform(vector_to_array(F.col("probability")), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     names = F.array(*[F.lit(c) for c in classes])
     # rows to be scored have no label yet, and the stage that reads it is not needed
-    stages = [s for s in getattr(model, "stages", [model]) if not (hasattr(s, "labels") and set(_named(s, "inputCol")) - set(df.columns))]
+    stages = [s for s in getattr(model, "stages", [model]) if not (_indexes_label(s) and set(_named(s, "inputCol")) - set(df.columns))]
     out = PipelineModel(stages).transform(df).withColumn("__p", p)
     return out.withColumns({"predicted": F.element_at(names, (F.col("prediction") + 1).cast("int")), "probabilities": F.map_from_arrays(names, F.slice("__p", 1, len(classes))), "max_probability": F.array_max("__p")}).drop("__p")
 
@@ -378,17 +378,41 @@ def compare_strategies(train: DataFrame, test: DataFrame, label: str, strategies
 def load_model(path: str, columns: list[str], classes: list[str]):
     """A stored pipeline whose contract holds: its label classes are the expected ones, its inputs the expected columns."""
     model = PipelineModel.load(path)
-    labels = next((list(s.labels) for s in model.stages if hasattr(s, "labels")), None)
+    labels = classes_of(model)
     # stages of this library's own say what they read and make
     made = {c for s in model.stages for c in (s.makes() if hasattr(s, "makes") else _named(s, "outputCol") + _named(s, "outputCols"))}
     asked = {c for s in model.stages for c in (s.reads() if hasattr(s, "reads") else _named(s, "inputCol") + _named(s, "inputCols"))} - made
     wanted = set(columns)
-    target = next((c for s in model.stages if hasattr(s, "labels") for c in _named(s, "inputCol")), None)
+    target = next((c for s in model.stages if _indexes_label(s) for c in _named(s, "inputCol")), None)
     if labels != classes or asked - {target} != wanted:
         raise ValueError(f"model contract: classes {labels}, columns {sorted(asked - {target})}")
     return model
 
 
+def _indexes_label(stage) -> bool:
+    """An indexer of one column names the classes; those of inputs take several."""
+    return hasattr(stage, "labelsArray") and bool(_named(stage, "inputCol"))
+
+
+def classes_of(model) -> list[str] | None:
+    """The classes of a pipeline, in the order of its probabilities."""
+    return next((list(s.labelsArray[0]) for s in getattr(model, "stages", []) if _indexes_label(s)), None)
+
+
+def inputs_of(stage) -> list[str]:
+    """The columns that a stage reads."""
+    return _named(stage, "inputCol") + _named(stage, "inputCols")
+
+
+def learned_categories(model) -> dict[str, tuple[str, ...]]:
+    """The categories that a pipeline's indexers of inputs have seen in training, sorted; a pipeline without one is an
+    error."""
+    found = {c: tuple(sorted(labels)) for s in model.stages if hasattr(s, "labelsArray") for c, labels in zip(_named(s, "inputCols"), s.labelsArray, strict=False)}
+    if not found:
+        raise ValueError("the model has no indexer of categories")
+    return found
+
+
 def _named(stage, param: str) -> list[str]:
     if not stage.hasParam(param) or not stage.isDefined(param):
         return []

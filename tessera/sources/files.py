@@ -121,6 +121,12 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def tree_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the digests of all files under a path, in the order of their names below it."""
+    lines = file_digests(spark, path).select(F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), "sha256").alias("line"))
+    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)).first()[0]  # a line for each file
+
+
 def batches_json(df: DataFrame, size: int = 100, order: list[str] | None = None) -> DataFrame:
     """{"instances": [...]} lines of `size` rows each, the last one of what is left, in the order of the columns named."""
     made = numbered_rows(df.withColumn("__r", F.struct("*")), order or df.columns, "__at").select(F.col("__r").alias("r"), F.floor(F.col("__at") / size).alias("b"), F.col("__at").alias("i"))

@@ -469,3 +469,44 @@ def test_streamed_drift_equals_the_batch(spark, tmp_path):
     assert {r["feature"]: r["psi"] for r in got[0]["feature_drift"]} == want
     sink(rows, 0)
     assert spark.read.parquet(f"{tmp_path}/reports").count() == 3  # a batch run again replaces its report
+
+
+def test_jobs(spark, tmp_path, capsys):
+    import json
+
+    from tessera import jobs
+
+    day = lambda c, k: F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(F.col("id") % k).cast("int")), "yyyy-MM-dd HH:mm:ss").alias(c)
+    one = lambda c, *vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.col("id") % len(vs) + 1).cast("int")).alias(c)
+    ids = spark.range(60)
+    people = ids.select(F.col("id").alias("patient_id"), (F.col("id") % 70).alias("age"), one("gender", "F", "M"), one("city", "Delhi", "Mumbai", None), one("insurance_provider", "A", "B"), (F.col("id") % 2).alias("chronic_flag"), day("registration_date", 3))
+    stays = ids.select((F.col("id") + 100).alias("visit_id"), F.col("id").alias("patient_id"), day("visit_date", 20), one("department", "X", "Y"), one("visit_type", "ER", "OPD"), (F.col("id") % 9).cast("double").alias("length_of_stay_hours"), one("risk_score", "Low", "High"), F.lit(101).alias("doctor_id"))
+    bills = ids.select((F.col("id") + 500).alias("bill_id"), (F.col("id") + 100).alias("visit_id"), (F.col("id") * 10.0).alias("billed_amount"), (F.col("id") * 9.0).alias("approved_amount"), one("claim_status", "Paid", "Rejected", "Pending"), F.lit(3.0).alias("payment_days"), day("billing_date", 30))
+    source = f"{tmp_path}/tables"
+    for name, df in (("patients", people), ("visits", stays), ("billing", bills)):
+        files.write_csv(df, f"{source}/{name}.csv")
+    run = lambda *a: jobs.main([str(x) for x in a], spark)
+    made = f"{tmp_path}/features.parquet"
+    assert run("features", "--source", source, "--output", made) == 0 and spark.read.parquet(made).count() == 60
+    assert run("features", "--source", source, "--output", f"{tmp_path}/later.csv", "--reference-date", "2025-01-01") == 0
+    gap = files.read_input(spark, f"{tmp_path}/later.csv").select("patient_id", "days_registered").where("patient_id = 0").first()
+    assert gap["days_registered"] == 366
+    assert run("model-table", "--input", made, "--output", f"{tmp_path}/model.csv") == 0
+    columns = files.read_input(spark, f"{tmp_path}/model.csv").columns
+    assert {"city_Delhi", "city_Unknown", "gender_F", "insurance_provider_B"} <= set(columns) and not {"patient_id", "registration_date", "city"} & set(columns)
+    tables_ = files.read_training_tables(spark, source)
+    train = jobs.features.claim_frame(*(tables_[x] for x in jobs.TABLES))
+    artifact = f"{tmp_path}/artifact"
+    ml.pipeline(["age", "billed_amount"], ["department", "gender"], "claim_status", ml.classifier("tree")).fit(train).write().save(artifact)
+    baselines = f"{tmp_path}/baselines"
+    assert run("baseline", "--source", source, "--kind", "claim", "--artifact", artifact, "--model", "claim", "--baselines", baselines, "--output", f"{tmp_path}/baseline") == 0
+    document = json.loads(store.load_active_baseline(spark, baselines, "claim"))
+    assert document["record_count"] == 48 and set(document["feature_profiles"]) == {"age", "billed_amount", "department", "gender"} and set(document["source_file_sha256"]) == set(jobs.TABLES)
+    assert document["training_period"]["start"].startswith("2024-01-01") and set(document["prediction_profile"]["class_distribution"]) <= {"Paid", "Pending", "Rejected"}
+    assert run("contract", "--artifact", artifact, "--model", "claim", "--output", f"{tmp_path}/contract") == 0
+    told = json.loads(spark.read.text(f"{tmp_path}/contract", wholetext=True).first()[0])
+    assert told["categories"] == {"department": ["X", "Y"], "gender": ["F", "M"]} and told["category_contract_sha256"] == document["category_contract_sha256"] and told["artifact_sha256"] == document["artifact_sha256"]
+    assert run("synthetic", "--count", 7, "--output", f"{tmp_path}/synthetic") == 0
+    assert len(json.loads(spark.read.text(f"{tmp_path}/synthetic/risk-batch-7").first()[0])["instances"]) == 7
+    assert [run("synthetic", "--count", 0, "--output", tmp_path), run("store", "health", "--telemetry", f"{tmp_path}/none"), run("store", "health", "--telemetry", made)] == [1, 1, 0]
+    assert "count is 1 to" in capsys.readouterr().err
