@@ -32,17 +32,19 @@ def lowest_by_hash(df: DataFrame, label: str, key: str, wanted: DataFrame, seed:
     Rows are counted by class and leading bits of the hash; below the bucket that holds a class's last row all are
     chosen, and only that bucket's rows are ranked, so no window holds a class.
     """
-    hashed = df.withColumn("__h", F.xxhash64(key, F.lit(seed))).withColumn("__b", F.shiftright("__h", 48))
-    counts = hashed.groupBy(F.col(label).alias("__c"), "__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__c").orderBy("__b")) - F.col("__n")  # at most BUCKETS rows a class
-    edge = counts.withColumn("__before", before).join(wanted.select(F.col(label).alias("__c"), F.col("k").alias("__k")), "__c")
-    edge = small(edge.where((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__n") >= F.col("__k"))).select("__c", F.col("__b").alias("__edge"), (F.col("__k") - F.col("__before")).alias("__rest")))
-    placed = hashed.join(edge, hashed[label] == edge["__c"], "left")
-    inside = F.coalesce(F.col("__b") == F.col("__edge"), F.lit(False))
-    settled_ = placed.where(~inside).withColumn("chosen", F.coalesce(F.col("__b") < F.col("__edge"), F.lit(False)))
-    ranked = F.row_number().over(Window.partitionBy(label).orderBy("__h", key))
-    last = placed.where(inside).withColumn("chosen", ranked <= F.col("__rest"))  # one bucket of each class
-    return settled_.unionByName(last).drop("__h", "__b", "__c", "__edge", "__rest")
+    h, b, c, rest, last, before = (spare(df, x) for x in ("hash", "bucket", "of", "rest", "edge", "before"))
+    hashed = df.withColumn(h, F.xxhash64(key, F.lit(seed))).withColumn(b, F.shiftright(h, 48))
+    counts = hashed.groupBy(F.col(label).alias(c), b).agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy(c).orderBy(b)) - F.col("n")  # at most BUCKETS rows a class
+    asked = wanted.select(F.col(label).alias(c), F.col("k"))
+    edge = counts.withColumn(before, below).join(asked, c).where((F.col(before) < F.col("k")) & (F.col(before) + F.col("n") >= F.col("k")))
+    edge = small(edge.select(c, F.col(b).alias(last), (F.col("k") - F.col(before)).alias(rest)))
+    placed = hashed.join(edge, hashed[label] == edge[c], "left")
+    inside = F.coalesce(F.col(b) == F.col(last), F.lit(False))
+    sure = placed.where(~inside).withColumn("chosen", F.coalesce(F.col(b) < F.col(last), F.lit(False)))
+    ranked = F.row_number().over(Window.partitionBy(label).orderBy(h, key))
+    near = placed.where(inside).withColumn("chosen", ranked <= F.col(rest))  # one bucket of each class
+    return sure.unionByName(near).drop(h, b, c, last, rest)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -237,9 +239,10 @@ def expanding_folds(df: DataFrame, order: list[str], folds: int = 4) -> DataFram
     n = df.count()
     size = n // (folds + 1)
     first = n - folds * size
-    at = F.col("__at")
+    name = spare(df, "at")
+    at = F.col(name)
     part = F.when(at < first, 0).otherwise(F.floor((at - first) / max(1, size)) + 1)
-    return numbered_rows(df, order, "__at").withColumn("part", part.cast("int")).drop("__at")
+    return numbered_rows(df, order, name).withColumn("part", part.cast("int")).drop(name)
 
 
 def search(df: DataFrame, candidates: list[dict], score: Callable[[dict, DataFrame, DataFrame], float], folds: int = 4) -> list[tuple[float, dict]]:

@@ -63,8 +63,8 @@ def columns_of_kind(df: DataFrame, numeric: bool) -> list[str]:
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first in the given order (which has to be total)."""
-    one = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    one, n = Window.partitionBy(*keys).orderBy(*order), spare(df, "n")
+    return df.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
 
 
 def top_k(df: DataFrame, keys: list[str], value: Column, name: str, k: int) -> DataFrame:
@@ -78,7 +78,8 @@ def in_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def not_in_keys(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
     """Rows whose key the other table lacks; a null key matches a null key."""
-    return df.join(other.select(F.col(right).alias("__key")).distinct(), F.col(left).eqNullSafe(F.col("__key")), "left_anti")
+    key = spare(df, "key")
+    return df.join(other.select(F.col(right).alias(key)).distinct(), F.col(left).eqNullSafe(F.col(key)), "left_anti")
 
 
 def pivot_sum(df: DataFrame, rows: str, columns: str, value: str, values: list) -> DataFrame:
@@ -108,11 +109,12 @@ def long_form(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataF
 def numbered_rows(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Adds each row's place, from 0, in an order: by a range-partitioned sort and the offsets of the partitions, so that
     no task holds all rows. The order has to be total for the numbers to be."""
-    placed = settled(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
-    split = placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
-    sizes = split.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return split.join(small(before), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__m", "__p", "__i", "__before")
+    m, p, i, n, before = (spare(df, f"{name}_{c}") for c in ("m", "p", "i", "n", "before"))
+    placed = settled(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn(m, F.monotonically_increasing_id()))
+    split = placed.withColumns({p: F.shiftright(m, 33), i: F.col(m).bitwiseAND((1 << 33) - 1)})
+    sizes = split.groupBy(p).agg(F.count("*").alias(n))  # a row for each partition
+    starts = sizes.select(p, F.coalesce(F.sum(n).over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return split.join(small(starts), p).withColumn(name, F.col(before) + F.col(i)).drop(m, p, i, n, before)
 
 
 #: So many distinct values of a feature one aggregate may hold.
@@ -134,13 +136,16 @@ def exact_quantiles(rows: DataFrame, probabilities: list[float], by: str = "feat
     groups = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("top"), F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), 10_000).alias("a"))
     brackets = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"), (F.col("least") if ends[2 * i] == 0 else F.col("a")[2 * i]).alias("low"), (F.col("top") if ends[2 * i + 1] == 1 else F.col("a")[2 * i + 1]).alias("high")) for i, p in enumerate(probabilities)]
     wanted = groups.select(by, F.array(*brackets).alias("xs"))
-    inside = rows.join(small(wanted), by).select(by, "value", F.explode("xs").alias("x")).select(by, "value", "x.*")
-    below = inside.groupBy(by, "i", "at").agg(F.count_if(F.col("value") < F.col("low")).alias("below"), F.count_if(F.col("value") <= F.col("high")).alias("upto"))
+    joined, x = rows.join(small(wanted), by), F.col("xs")
+    # one pass counts what lies below and inside each bracket; only rows inside one are made longer
+    counts = [F.struct(F.lit(i).alias("i"), F.max(x[i]["at"]).alias("at"), F.count_if(F.col("value") < x[i]["low"]).alias("below"), F.count_if(F.col("value") <= x[i]["high"]).alias("upto")) for i in range(len(probabilities))]
+    below = settled(joined.groupBy(by).agg(F.array(*counts).alias("c")).select(by, F.inline("c")))
     if not below.where((F.col("below") > F.floor("at")) | (F.col("upto") <= F.ceil("at"))).isEmpty():
         return exact_quantiles(rows.withColumnRenamed("value", value), probabilities, by, value, 1 << 62)  # an estimate beyond its error
-    near = numbered_rows(inside.where(F.col("value").between(F.col("low"), F.col("high"))).select(by, "i", "value"), [by, "i", "value"], "__at")
-    first = near.groupBy(by, "i").agg(F.min("__at").alias("first"))
-    placed = near.join(small(first.join(below, [by, "i"])), [by, "i"]).withColumn("k", F.col("__at") - F.col("first") + F.col("below"))
+    inside = joined.select(by, "value", F.explode(F.filter("xs", lambda e: F.col("value").between(e["low"], e["high"]))).alias("x")).select(by, "x.i", "value")
+    near = numbered_rows(inside, [by, "i", "value"], "place")
+    first = near.groupBy(by, "i").agg(F.min("place").alias("first"))
+    placed = near.join(small(first.join(below, [by, "i"])), [by, "i"]).withColumn("k", F.col("place") - F.col("first") + F.col("below"))
     around = placed.where((F.col("k") == F.floor("at")) | (F.col("k") == F.ceil("at"))).groupBy(by, "i", "at").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     read = F.when(F.floor("at") == F.ceil("at"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
     return around.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", read.alias("v")))), lambda x: x["v"]).alias("q"))
@@ -194,7 +199,8 @@ def zip_checked(left: DataFrame, right: DataFrame, left_order: list[str], right_
     n, m = left.count(), right.count()
     if n != m:
         raise ValueError(f"{n} rows cannot be zipped with {m}")
-    return numbered_rows(left, left_order, "__at").join(numbered_rows(right, right_order, "__at"), "__at").drop("__at")
+    at = spare(right, spare(left, "at"))
+    return numbered_rows(left, left_order, at).join(numbered_rows(right, right_order, at), at).drop(at)
 
 
 def concat_columns(frames: list[DataFrame], on: str) -> DataFrame:
