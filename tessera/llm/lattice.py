@@ -278,7 +278,7 @@ def _word_table(asks: DataFrame, parts: int) -> DataFrame:
                 rows = [pa.array([part], pa.int32()), pa.array([len(some)], pa.int64()), pa.array([b" ".join(some)], pa.binary()), pa.array([counts[at : at + ROW_WORDS].tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, ["part", "n", "words", "counts"])
 
-    return cut(asks.select("part", "words", "counts").repartition(parts, "part").mapInArrow(count, "part int, n long, words binary, counts binary"))
+    return cut(asks.select("part", "words", "counts").repartitionById(parts, "part").mapInArrow(count, "part int, n long, words binary, counts binary"))
 
 
 def fit(table: DataFrame, pieces: Pieces, n_ends: int, rounds: int = 2) -> np.ndarray:
@@ -359,7 +359,7 @@ def score(docs: DataFrame, trained: Column, vocabulary: str | Pieces, key: str =
 
     none = F.lit(None).cast("long").alias("bundle")
     asked = table.select(none, "part", "words", "counts").unionByName(asks.select("bundle", "part", "words", F.lit(None).cast("binary").alias("counts")))
-    answers = asked.repartition(parts, "part").sortWithinPartitions(F.col("bundle").asc_nulls_first()).select("bundle", "words", "counts").mapInArrow(answer, "bundle long, part int, c binary, p binary")
+    answers = asked.repartitionById(parts, "part").sortWithinPartitions(F.col("bundle").asc_nulls_first()).select("bundle", "words", "counts").mapInArrow(answer, "bundle long, part int, c binary, p binary")
     own = ["ids", "n_tokens", "n_pairs", "pair_word", "pair_tf"]
     rows = packed.where("part < 0").select("bundle", "part", *own, *(F.lit(None).cast("binary").alias(c) for c in "cp"))
     rows = rows.unionByName(answers, allowMissingColumns=True)
@@ -391,4 +391,5 @@ def score(docs: DataFrame, trained: Column, vocabulary: str | Pieces, key: str =
         if held:
             yield docs_of(held, c, p)
 
-    return rows.repartition(parts, "bundle").sortWithinPartitions("bundle", "part").drop("bundle").mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bundles = max(least, -(-(chars or 0) // BUNDLE))  # about one for each task
+    return rows.repartition(bundles, "bundle").sortWithinPartitions("bundle", "part").drop("bundle").mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
