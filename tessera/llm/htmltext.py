@@ -49,6 +49,7 @@ class Block:
     text: str
     path: tuple
     linked: int
+    talk: bool = False
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -126,6 +127,24 @@ def leaf_blocks(page: str | None) -> list[Block]:
         moved()
     put(page[at:])
     flush()
+    return marked_talk(blocks)
+
+
+# What stands alone over the comments of readers.
+TALK_HEADING = re.compile(
+    r"(?:\d+ )?(?:reader |leave (?:a |your )?)?(?:comments?|replies|reply|responses|leserkommentare|kommentare?|antworten|commentaires?|r[ée]ponses|comentarios?|respuestas)(?: ?\(\d+\))?:?", re.I
+)
+
+
+def marked_talk(blocks: list[Block]) -> list[Block]:
+    """Marks a heading of comments, and what follows it inside its parent."""
+    inside: tuple | None = None
+    for b in blocks:
+        if inside is not None and b.path[: len(inside)] != inside:
+            inside = None
+        if inside is None and b.path and b.path[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6", "legend", "summary") and TALK_HEADING.fullmatch(b.text):
+            inside = b.path[:-1]
+        b.talk = inside is not None
     return blocks
 
 
@@ -139,6 +158,8 @@ def text_features(b: Block) -> list[str]:
     words = b.text.split()
     n, share = len(words), b.linked / len(b.text)
     out = [f"words:{min(6, n.bit_length())}", f"links:{min(4, int(share * 4.01))}", f"ends:{'stop' if b.text[-1] in '.!?:;…' else 'else'}"]
+    if b.talk:
+        out.append("talk")
     if "©" in b.text:
         out.append("copyright")
     if n and sum(w[:1].isupper() for w in words) / n > 0.6 and n > 1:
@@ -227,6 +248,7 @@ SIDE_NAMES = ("sidebar", "aside", "related", "widget", "recommended", "popular",
 NOTE_NAMES = ("cookie", "cookies", "notice", "consent", "gdpr", "alert", "banner", "popup", "modal", "subscribe", "newsletter", "disclaimer", "paywall")
 AD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "adsbox")
 TALK_NAMES = ("comments", "comment", "comment-list", "replies", "reply", "responses", "discussion", "disqus", "reviews")
+TALK_HEADINGS = ("Comments", "3 Comments", "Comments (12)", "Replies", "Leave a reply", "Kommentare", "Commentaires", "Comentarios", "Responses")
 SYLLABLES = "an be co da el fi go ha in jo ka le mi no or pa qu re si ta un ve wo ya zu ment tion sch ou".split()
 
 
@@ -267,6 +289,13 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Block], l
             one = lambda: named(("div", "li", "article"), ("comment", "reply", "comment-body", "review"), f"<p>{phrase(2, 40, False)}</p>", 0.0)
             return named(("div", "section", "ul"), TALK_NAMES, f"<h3>{phrase(1, 3, False, stop=0)}</h3>" + "".join(one() for _ in range(int(rng.integers(1, 5)))))
 
+        def bare_talk() -> str:
+            """Comments without a name, told by their heading alone."""
+            tag, level = pick(("section", "div", "section", "")), pick(("h2", "h3", "h4"))
+            said = "".join(pick(("<p>{}</p>", "<div><p>{}</p></div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>")).format(phrase(2, 60, False)) for _ in range(int(rng.integers(1, 5))))
+            inner = f"<{level}>{pick(TALK_HEADINGS)}</{level}>{said}"
+            return f"<{tag}>{inner}</{tag}>" if tag else inner
+
         def main() -> str:
             title = f"<h1>{phrase(1, 12, True, stop=0.5)}</h1>"
             out = [f"<header>{title}</header>" if chance(0.1) else title] if chance(0.9) else []
@@ -296,10 +325,12 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[tuple[list[Block], l
                     out.append(side())
                 else:
                     out.append(pick([form, side])())
+            if talks:
+                out.append(bare_talk())
             return "".join(out)
 
-        kind = rng.random()
-        bare = chance(0.2)  # no more on the page than its main part, or even one block
+        kind, talks = rng.random(), chance(0.15)
+        bare = not talks and chance(0.2)  # no more on the page than its main part, or even one block
         inner = f"<p>{phrase(1, 6, True, stop=0.5)}</p>" if bare and chance(0.4) else main()
         article = f"<article>{inner}</article>" if kind < 0.5 else f"<main>{inner}</main>" if kind < 0.65 else f'<div class="{pick(MAIN_NAMES)}">{inner}</div>' if kind < 0.9 else f"<div>{inner}</div>"
         head = [f for f, p in ((menu, 0.8), (note, 0.3), (advert, 0.5), (form, 0.2)) if not bare and chance(p)]

@@ -820,3 +820,15 @@ def test_secret_scan_edges(spark):
     assert found[0] == found[1] and f"entropy_alnum:{at}:{at + len(key)}" in found[0]
     assert [r["clean"] for r in got if r["doc_id"] != 1] == [None, "a [SECRET]", "", "[SECRET]"]
     assert all(key not in r["clean"] and len(r["clean"]) == len(long) - len(key) + 8 for r in got if r["doc_id"] == 1)
+
+
+def test_comments_without_a_name_are_out():
+    crf = htmltext.default_model()
+    story = "<h1>Title of it</h1><p>The first paragraph of the story is long enough to read.</p><p>And a second one, which ends it all.</p>"
+    want = "Title of it\nThe first paragraph of the story is long enough to read.\nAnd a second one, which ends it all."
+    talk = ["<section><h2>Comments</h2><p>Great post, I have read it twice and liked it.</p><p>Me too.</p></section>", "<h3>2 Comments</h3><p>Great post, thanks for it.</p><p>I do not think so at all.</p>", "<div><h4>Kommentare (2)</h4><div><p>Ein sehr guter Text, danke.</p></div></div>"]
+    for t in talk:
+        for page in (f"<article>{story}{t}</article>", f"<main>{story}</main>{t}", f'<div class="content">{story}{t}</div>'):
+            assert htmltext.main_text(crf, f"<html><body>{page}<footer>&copy; us</footer></body></html>", {}) == want, page
+    own = "<article><h1>On comments</h1><p>Comments are a form of talk that many sites have.</p><h2>Comments and replies in our time</h2><p>They were few at first and then grew.</p></article>"
+    assert htmltext.main_text(crf, own, {}).count("\n") == 3
