@@ -3,12 +3,12 @@
 import pytest
 
 from oracle import compare, oracle
-from tessera.plans import hospital, interchange, language, learning, monitoring, profiling, retail
+from tessera.plans import hospital, interchange, language, learning, monitoring, profiling, retail, shop
 from tessera.streaming import windows
 
 from conftest import DATA
 
-QUERIES = {name: q for plan in (retail, profiling, hospital, monitoring, language, learning, interchange, windows) for name, q in plan.QUERIES.items()}
+QUERIES = {name: q for plan in (retail, profiling, hospital, monitoring, language, learning, interchange, windows, shop) for name, q in plan.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
