@@ -88,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical": sql.RANKED, "op12_sessions": sql.SESSIONS}
+    return {"op6_topk": sql.TOP, "op11_lexical": sql.RANKED, "op12_sessions": sql.SESSIONS}
