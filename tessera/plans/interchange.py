@@ -101,8 +101,9 @@ def zipped(s, d):
 
 
 def side_by_side(s, d):
-    n = nations(s, d)
-    return tables.concat_columns([n.select("n_nationkey", "n_name").where("n_nationkey < 15"), n.select("n_nationkey", "n_regionkey").where("n_nationkey > 5")], "n_nationkey")
+    """Names, suppliers and customers of each nation; some nations have no suppliers."""
+    count = lambda name, key, out: table(s, d, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(out))
+    return tables.concat_columns([nations(s, d).select("n_nationkey", "n_name"), count("supplier", "s_nationkey", "suppliers"), count("customer", "c_nationkey", "customers")], "n_nationkey")
 
 
 def wide(s, d):
@@ -315,7 +316,7 @@ QUERIES = {
     "first_rows": (first_rows, "select o_orderkey, o_custkey from orders order by o_custkey, o_orderkey limit 7"),
     "numbered_rows": (numbered, "select o_orderkey, row_number() over (order by o_orderkey) - 1 place from orders"),
     "zipped_rows": (zipped, "with a as (select s_suppkey, row_number() over (order by s_suppkey) n from supplier), b as (select s_suppkey other, row_number() over (order by s_acctbal, s_suppkey) n from supplier) select s_suppkey, other from a join b using (n)"),
-    "column_concat": (side_by_side, "select n_nationkey, case when n_nationkey < 15 then n_name end n_name, case when n_nationkey > 5 then n_regionkey end n_regionkey from nation"),
+    "column_concat": (side_by_side, "select n_nationkey, n_name, suppliers, customers from nation full join (select s_nationkey n_nationkey, count(*) suppliers from supplier group by 1) using (n_nationkey) full join (select c_nationkey n_nationkey, count(*) customers from customer group by 1) using (n_nationkey)"),
     "wide_pivot": (wide, "select l_returnflag, coalesce(sum(l_linenumber) filter (l_linestatus = 'F'), 0)::bigint f, coalesce(sum(l_linenumber) filter (l_linestatus = 'O'), 0)::bigint o from lineitem group by 1"),
     "argmax_place": (highest, "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity >= greatest(l_linenumber * 10, 20) then 0 when l_linenumber * 10 >= 20 then 1 else 2 end as at from lineitem"),
     "parsed_times": (times, "select o_orderkey, case when o_orderkey % 9 <> 0 then date_trunc('minute', o_orderdate::timestamp) end as read, o_orderdate::timestamp strict, strftime(o_orderdate::timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') iso from orders"),
