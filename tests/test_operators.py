@@ -510,3 +510,12 @@ def test_jobs(spark, tmp_path, capsys):
     assert len(json.loads(spark.read.text(f"{tmp_path}/synthetic/risk-batch-7").first()[0])["instances"]) == 7
     assert [run("synthetic", "--count", 0, "--output", tmp_path), run("store", "health", "--telemetry", f"{tmp_path}/none"), run("store", "health", "--telemetry", made)] == [1, 1, 0]
     assert "count is 1 to" in capsys.readouterr().err
+
+
+def test_an_unseen_category_has_a_slot_of_its_own(spark):
+    rows = spark.createDataFrame([(float(i), "x" if i % 2 else "y", "a" if i % 3 else "b") for i in range(30)], "n double, kind string, said string")
+    model = ml.pipeline(["n"], ["kind"], "said", ml.classifier("tree")).fit(rows)
+    new = spark.createDataFrame([(1.0, "z"), (1.0, None), (1.0, "x")], "n double, kind string")
+    vectors = [tuple(r["features"].toArray()) for r in ml.predicted(model, new, ["a", "b"]).collect()]
+    assert len(vectors) == 3 and vectors[0] == vectors[1] != vectors[2]
+    assert ml.classes_of(model) == ["a", "b"] and ml.learned_categories(model) == {"kind": ("x", "y")}
