@@ -19,7 +19,7 @@ from tessera.operators.tables import exact_quantiles, long_form, settled
 MISSING, UNSEEN = "__MISSING__", "__UNSEEN__"
 FLOOR = 1e-6
 #: Names under which predictions and their confidence go through the same counts as features.
-LABEL, CONFIDENCE, LOW = "__label__", "__confidence__", "__low__"
+LABEL, CONFIDENCE, LOW, PRESENT = "__label__", "__confidence__", "__low__", "__present__"
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def number_of(df: DataFrame, c: str) -> Column:
     return to_number(c) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
 
 
-def cells(df: DataFrame, cuts: dict[str, list[float]], categories: dict[str, Column], low: Column | None = None) -> DataFrame:
+def cells(df: DataFrame, cuts: dict[str, list[float]], categories: dict[str, Column], low: Column | None = None, present: Column | None = None) -> DataFrame:
     """(feature, cell, n, total) of one pass: numbers by the bin that their cut points make, categories by value."""
     rows = []
     for c, edges in cuts.items():
@@ -127,7 +127,10 @@ def cells(df: DataFrame, cuts: dict[str, list[float]], categories: dict[str, Col
         rows.append(F.struct(F.lit(LOW).alias("feature"), low.cast("string").alias("cell"), none))
     if not rows:
         return df.sparkSession.createDataFrame([], "feature string, cell string, n long, total double")
-    return df.select(F.inline(F.array(*rows))).groupBy("feature", "cell").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    every = F.array(*rows)
+    if present is not None:  # names of features that the row has
+        every = F.concat(every, F.transform(present, lambda k: F.struct(F.lit(PRESENT).alias("feature"), k.alias("cell"), none)))
+    return df.select(F.inline(every)).groupBy("feature", "cell").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 def _number_profiles(df: DataFrame, features: list[str]) -> dict[str, dict]:
@@ -184,7 +187,7 @@ def placed(counts: DataFrame, profiles: dict[str, dict]) -> DataFrame:
     longer than the document, however many values the rows have.
     """
     both = counts.join(F.broadcast(_known_cells(counts.sparkSession, profiles)), ["feature", "cell"], "full")
-    kept = F.col("share").isNotNull() | (F.col("cell") == MISSING) | (F.col("feature") == LOW)
+    kept = F.col("share").isNotNull() | (F.col("cell") == MISSING) | F.col("feature").isin(LOW, PRESENT)
     own = both.groupBy("feature", F.when(kept, F.col("cell")).otherwise(UNSEEN).alias("cell"))
     return settled(own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.max("share").alias("share")))
 
@@ -233,10 +236,11 @@ class Drift:
     records: DataFrame
 
 
-def against(document: dict, current: DataFrame, label: str | None = None, confidence: str | None = None, low: float = 0.5, thresholds: Thresholds = Thresholds()) -> Drift:
+def against(document: dict, current: DataFrame, label: str | None = None, confidence: str | None = None, low: float = 0.5, thresholds: Thresholds = Thresholds(), keys: str | None = None) -> Drift:
     """The drift of rows against a profile document. The rows are scanned once.
 
-    A feature of the document that the rows lack is critical. Where `label` and `confidence` are given, the document's
+    A feature of the document that the rows lack is critical; where rows come from records, `keys` is the column of names
+    that each record has, and a feature is lacking if no record has it. Where `label` and `confidence` are given, the document's
     prediction_profile is compared too.
     """
     spark, t = current.sparkSession, thresholds
@@ -250,7 +254,11 @@ def against(document: dict, current: DataFrame, label: str | None = None, confid
         current = current.withColumn(CONFIDENCE, F.col(confidence).cast("double"))
         cuts[CONFIDENCE], kinds[LABEL], low_ = about["confidence"]["cut_points"], category(current, label), F.col(CONFIDENCE) < low
         there |= {CONFIDENCE: about["confidence"], LABEL: {"type": "categorical", "missing_rate": 0.0, "distribution": about["class_distribution"]}}
-    counted = placed(cells(current, cuts, kinds, low_), there)
+    present = None if keys is None else F.array_intersect(F.coalesce(F.col(keys), F.array().cast("array<string>")), F.array(*[F.lit(c) for c in profiles]).cast("array<string>"))
+    counted = placed(cells(current, cuts, kinds, low_, present), there)
+    if keys is not None:
+        seen = {r["cell"] for r in counted.where(F.col("feature") == PRESENT).collect()}  # names that the document has
+        there = {c: p for c, p in there.items() if c in seen or c not in profiles}
     found = feature_ranks(metrics(counted, there), t)
     gone = spark.createDataFrame([(c, p["type"]) for c, p in profiles.items() if c not in there], "feature string, type string")
     features = found.where(~F.col("feature").isin(CONFIDENCE, LABEL)).unionByName(gone.withColumn("rank", F.lit(2)), allowMissingColumns=True)

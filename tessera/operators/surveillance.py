@@ -11,20 +11,16 @@ from pyspark.sql import functions as F
 from tessera.operators import drift
 from tessera.sources import store
 
+#: Columns beside the features, under names that no feature has.
+SAID, SURE, KEYS = "__said__", "__sure__", "__keys__"
 
 def decoded(telemetry: DataFrame, document: dict, keyring: list[bytes]) -> DataFrame:
-    """The features, prediction and max_probability of telemetry rows; a feature that no payload has is left out.
-
-    Which features the payloads have is read from one of them, as a model writes all of its telemetry alike.
-    """
+    """The document's features, prediction, max_probability and the names of the features that each payload has."""
     kinds = {c: "double" if p["type"] == "numeric" else "string" for c, p in document["feature_profiles"].items()}
-    opened = store.decrypted(telemetry, keyring)
-    first = opened.select(F.json_object_keys(F.get_json_object("payload", "$.features")).alias("k")).where("k is not null").take(1)
-    there = [c for c in kinds if not first or c in first[0]["k"]]
-    spelled = ", ".join(f"`{c}`: {kinds[c]}" for c in there)
-    shape = f"features struct<{spelled}>, prediction string, max_probability double" if there else "prediction string, max_probability double"
-    one = opened.select(F.from_json("payload", shape).alias("p"))
-    return one.select(*([F.col(f"p.features.`{c}`").alias(c) for c in there]), F.col("p.prediction").alias(drift.LABEL + "said"), F.col("p.max_probability").alias(drift.LABEL + "sure"))
+    spelled = ", ".join(f"`{c}`: {kind}" for c, kind in kinds.items())
+    shape = f"features struct<{spelled}>, prediction string, max_probability double" if kinds else "prediction string, max_probability double"
+    one = store.decrypted(telemetry, keyring).select(F.from_json("payload", shape).alias("p"), F.json_object_keys(F.get_json_object("payload", "$.features")).alias("k"))
+    return one.select(*([F.col(f"p.features.`{c}`").alias(c) for c in kinds]), F.col("p.prediction").alias(SAID), F.col("p.max_probability").alias(SURE), F.col("k").alias(KEYS))
 
 
 def window_of(start: str | None, end: str | None, lookback_hours: int, now: str | None = None) -> tuple[datetime, datetime]:
@@ -55,7 +51,7 @@ def drift_of(spark: SparkSession, baselines: str, telemetry: str, model_id: str,
     document = json.loads(store.load_active_baseline(spark, baselines, model_id))
     rows = store.unexpired(spark.read.parquet(telemetry), model_id, document["artifact_sha256"], _at(begin), _at(stop), F.lit(now).cast("timestamp") if now else F.current_timestamp())
     current = decoded(rows, document, keyring)
-    found = drift.against(document, current, drift.LABEL + "said", drift.LABEL + "sure", thresholds=thresholds)
+    found = drift.against(document, current, SAID, SURE, thresholds=thresholds, keys=KEYS)
     report = drift.report_row(found, document, _at(begin), _at(stop), minimum, thresholds)
     if reports:
         store.append_report(report, reports)
