@@ -519,3 +519,36 @@ def test_an_unseen_category_has_a_slot_of_its_own(spark):
     vectors = [tuple(r["features"].toArray()) for r in ml.predicted(model, new, ["a", "b"]).collect()]
     assert len(vectors) == 3 and vectors[0] == vectors[1] != vectors[2]
     assert ml.classes_of(model) == ["a", "b"] and ml.learned_categories(model) == {"kind": ("x", "y")}
+
+
+def test_neighbours_of_copies_unknown_vectors_and_text_keys(spark, monkeypatch):
+    """Vectors without a distance come last; large groups of copies keep their least keys."""
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 50)
+    vectors = [(f"k{i:03d}", [1.0, 2.0] if i < 120 else [float(i), 0.5]) for i in range(150)]
+    odd = [("a", None), ("b", [None, 1.0]), ("c", [float("nan"), 1.0]), ("d", [1.0])]
+    df = spark.createDataFrame([*vectors, *odd, (None, [1.0, 2.0])], "id string, v array<double>")
+    near = {}
+    for r in ml.neighbours(df, df, "id", "v", 3).collect():
+        near.setdefault(r["query"], {})[r["rank"]] = (r["d"], r["id"])
+    known = dict(vectors)
+    dist = lambda a, b: round(math.dist(known[a], known[b]), 9) if a in known and b in known else None
+    for q in [*known, "a", "b", "c", "d"]:
+        want = sorted(((dist(q, k), k) for k in [*known, "a", "b", "c", "d"] if k != q), key=lambda x: (x[0] is None, x[0] or 0.0, x[1]))[:3]
+        assert [near[q][i + 1] for i in range(3)] == want
+    assert set(near) == {*known, "a", "b", "c", "d"}
+
+
+def test_neighbours_keep_no_pair_of_blocks_in_the_plan(spark):
+    """Queries stream past a block that lies in its task: no joined row holds a block's vectors."""
+    df = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"), (F.col("id") % 3).alias("y"))
+    plan = ml.neighbours(df, df, "id", "v", 3, "y", ("y",))._jdf.queryExecution().executedPlan().toString()
+    assert "__members" not in plan and "MapInArrow" in plan
+
+
+def test_strategies_lift_a_fold_once(spark, monkeypatch):
+    calls = []
+    plain = ml.smoted
+    monkeypatch.setattr(ml, "smoted", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    df = spark.range(60).select("id", F.array(F.rand(1), F.rand(2)).alias("v"), F.when(F.col("id") % 6 == 0, "b").otherwise("a").alias("y"))
+    made = ml.resampled_folds(df, "id", "v", "y", 3)
+    assert len(calls) == 3 and len(made) == 9
