@@ -142,8 +142,9 @@ def purge(spark: SparkSession, path: str, now: str) -> int:
 
 
 def active_baseline(versions: DataFrame) -> DataFrame:
-    """The highest version of each model; older ones are inactive by construction."""
-    return versions.groupBy("model_id").agg(F.max_by(F.struct("*"), "version").alias("active")).select("active.*")
+    """The highest version of each model; older ones are inactive by construction. Of equal versions, which the store does
+    not give but other tables may hold, the one of the highest baseline_id."""
+    return versions.groupBy("model_id").agg(F.max_by(F.struct("*"), F.struct("version", "baseline_id")).alias("active")).select("active.*")
 
 
 def _created(spark: SparkSession, path: str) -> bool:

@@ -552,3 +552,9 @@ def test_strategies_lift_a_fold_once(spark, monkeypatch):
     df = spark.range(60).select("id", F.array(F.rand(1), F.rand(2)).alias("v"), F.when(F.col("id") % 6 == 0, "b").otherwise("a").alias("y"))
     made = ml.resampled_folds(df, "id", "v", "y", 3)
     assert len(calls) == 3 and len(made) == 9
+
+
+def test_equal_versions_are_told_by_their_baseline(spark):
+    for ids in ([3, 9, 5], [9, 5, 3], [5, 3, 9]):
+        rows = spark.createDataFrame([("m", i, 7) for i in ids], "model_id string, baseline_id long, version long").coalesce(1)
+        assert [r["baseline_id"] for r in store.active_baseline(rows).collect()] == [9]
