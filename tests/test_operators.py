@@ -558,3 +558,27 @@ def test_equal_versions_are_told_by_their_baseline(spark):
     for ids in ([3, 9, 5], [9, 5, 3], [5, 3, 9]):
         rows = spark.createDataFrame([("m", i, 7) for i in ids], "model_id string, baseline_id long, version long").coalesce(1)
         assert [r["baseline_id"] for r in store.active_baseline(rows).collect()] == [9]
+
+
+def test_models_of_counted_rows(spark):
+    """Distinct rows with their number give the tree of all rows; a forest's bags are those of all rows, and leaves keep their least size."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(6000).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), ((F.col("id") % 10 > 4).cast("int") * (F.col("id") % 7 != 0).cast("int")).cast("double").alias("label"))
+    alike = ml.counted(rows, ["a", "b", "label"])
+    assert alike.agg(F.sum("n")).first()[0] == 6000 and alike.count() < 70
+    made = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    tree = ml.classifier("tree", labelCol="label", weightCol="n").fit(made.transform(alike))
+    plain = ml.classifier("tree", labelCol="label").fit(made.transform(rows))
+    p = lambda m: {(r["a"], r["b"]): tuple(round(x, 9) for x in r["probability"]) for r in m.transform(made.transform(alike)).collect()}
+    assert p(tree) == p(plain)
+    forest = RandomForestClassifier(labelCol="label", numTrees=30, maxDepth=4, minInstancesPerNode=2, seed=1)
+    got = {(r["a"], r["b"]): r["probabilities"][1] for r in ml.bagged_forest(forest, made.transform(alike), made.transform(alike), together=10).collect()}
+    whole = {(r["a"], r["b"]): r["probability"][1] for r in forest.fit(made.transform(rows)).transform(made.transform(alike)).collect()}
+    assert got.keys() == whole.keys() and max(abs(got[x] - whole[x]) for x in got) < 0.1
+    few = made.transform(spark.createDataFrame([(1.0, 1.0, 0.0, 1), (2.0, 1.0, 1.0, 9)], "a double, b double, label double, n long"))
+    seen = [r["probabilities"] for r in ml.bagged_forest(RandomForestClassifier(labelCol="label", numTrees=4, minInstancesPerNode=500, seed=1), few, few).collect()]
+    assert seen[0] == seen[1] and abs(sum(seen[0]) - 1) < 1e-9
+    matrix = ml.confusion(alike.withColumn("y", F.col("label").cast("string")), "y", "y", ["0.0", "1.0"], "n")
+    assert matrix.agg(F.sum("n")).first()[0] == 6000
