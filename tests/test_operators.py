@@ -582,3 +582,14 @@ def test_models_of_counted_rows(spark):
     assert seen[0] == seen[1] and abs(sum(seen[0]) - 1) < 1e-9
     matrix = ml.confusion(alike.withColumn("y", F.col("label").cast("string")), "y", "y", ["0.0", "1.0"], "n")
     assert matrix.agg(F.sum("n")).first()[0] == 6000
+
+
+def test_binned_and_parted_rows(spark):
+    rows = spark.range(6400).select(F.col("id").cast("double").alias("x"))
+    got = {r["b"]: r["n"] for r in rows.groupBy(ml.binned(rows, "x").alias("b")).agg(F.count("*").alias("n")).collect()}
+    assert sorted(got) == list(range(64)) and all(90 <= n <= 110 for n in got.values())
+    df = spark.createDataFrame([("a", 1), ("b", 40)], "k string, n long")
+    parts = {r["k"]: (r["m"], r["w"]) for r in ml.parted(df, "n", 16).groupBy("k").agg(F.count("*").alias("m"), F.round(F.sum("weight"), 9).alias("w")).collect()}
+    assert parts == {"a": (1, 1.0), "b": (16, 40.0)}
+    said = df.selectExpr("k a", "'a' p", "n")
+    assert round(ml.scores_of(said, "a", "p", ["a", "b"], "n")["accuracy"], 9) == round(1 / 41, 9)
