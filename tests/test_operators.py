@@ -593,3 +593,9 @@ def test_binned_and_parted_rows(spark):
     assert parts == {"a": (1, 1.0), "b": (16, 40.0)}
     said = df.selectExpr("k a", "'a' p", "n")
     assert round(ml.scores_of(said, "a", "p", ["a", "b"], "n")["accuracy"], 9) == round(1 / 41, 9)
+
+
+def test_search_prepares_each_fold_once(spark):
+    df, seen = spark.range(10).select((F.col("id") % 5).alias("part")), []
+    found = ml.search(df, [{"a": 1}, {"a": 2}], lambda c, train, test: float(c["a"]), 4, lambda train, test: seen.append(1) or (train, test))
+    assert len(seen) == 4 and found == [(2.0, {"a": 2}), (1.0, {"a": 1})]
