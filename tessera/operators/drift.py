@@ -49,7 +49,7 @@ def numeric_profile(df: DataFrame, features: list[str], digits: int | None = Non
     v = finite("value")
     rows = long_form(df, features)
     out = rows.groupBy("feature").agg(F.count("*").alias("n"), F.count(v).alias("known"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
-    q = exact_quantiles(rows.withColumn("value", v), [i / 10 for i in range(1, 10)])
+    q = exact_quantiles(rows.withColumn("value", v), [i / 10 for i in range(1, 10)], scanned=True)
     out = out.join(F.broadcast(q), "feature", "left").withColumn("median", F.col("q")[4])  # a row for each feature
     out = out.withColumn("cuts", F.transform("q", lambda x: F.round(x, digits)) if digits is not None else F.col("q")).drop("q")
     empty = F.array().cast("array<double>")

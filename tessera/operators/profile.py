@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_even, missing_as_null
-from tessera.operators.tables import exact_quantiles, long_form, small, spare
+from tessera.operators.tables import exact_quantiles, long_form, settled, small, spare
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -25,10 +25,10 @@ def shares_within(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def describe(df: DataFrame, features: list[str]) -> DataFrame:
     """Exact count, mean, sample deviation, extremes and quartiles of each feature."""
-    v = missing_as_null("value")
-    rows = long_form(df, features)
-    out = rows.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
-    out = out.join(F.broadcast(exact_quantiles(rows, [0.25, 0.5, 0.75])), "feature", "left")  # a row for each feature
+    known = lambda c: missing_as_null(F.col(c).cast("double"))
+    told = [F.struct(F.lit(c).alias("feature"), F.count(known(c)).alias("n"), F.avg(known(c)).alias("mean"), F.stddev_samp(known(c)).alias("std"), F.min(known(c)).alias("low"), F.max(known(c)).alias("high")) for c in features]
+    out = df.agg(F.array(*told).alias("x")).select(F.inline("x"))
+    out = out.join(F.broadcast(exact_quantiles(long_form(df, features), [0.25, 0.5, 0.75], scanned=True)), "feature", "left")  # a row for each feature
     return out.select("feature", "n", "mean", "std", "low", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
 
 
@@ -66,7 +66,7 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
 
 def _fences(rows: DataFrame, k: float) -> DataFrame:
     """(feature, low, high) of the finite values, from the exact quartiles."""
-    q = exact_quantiles(rows, [0.25, 0.75])
+    q = exact_quantiles(rows, [0.25, 0.75], scanned=True)
     spread = F.col("q")[1] - F.col("q")[0]
     return q.select("feature", (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[1] + k * spread).alias("high"))
 
@@ -119,7 +119,7 @@ def _by_class(df: DataFrame, by: str, column: str) -> DataFrame:
 def box_summary(df: DataFrame, by: str, column: str, k: float = 1.5) -> DataFrame:
     """Five numbers and whiskers for each class: what a box plot draws."""
     values = _by_class(df, by, column)
-    rows = values.join(small(exact_quantiles(values, [0.25, 0.5, 0.75])), "feature")
+    rows = values.join(small(exact_quantiles(values, [0.25, 0.5, 0.75], scanned=True)), "feature")
     v, spread = F.col("value"), F.col("q")[2] - F.col("q")[0]
     inside = v.between(F.col("q")[0] - k * spread, F.col("q")[2] + k * spread)
     out = rows.groupBy("feature").agg(F.any_value("q").alias("q"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("n_out"))
@@ -137,9 +137,10 @@ def letter_values(df: DataFrame, by: str, column: str) -> DataFrame:
     sizes = values.groupBy("feature").agg(F.count("*").alias("n")).withColumn("depths", F.greatest(F.lit(1), (F.floor(F.log2("n")) - 3).cast("int")))
     deepest = sizes.agg(F.max("depths")).first()[0] or 1
     tails = [0.5 ** (d + 1) for d in range(1, deepest + 1)]
-    q = exact_quantiles(values, [*tails, *[1 - t for t in tails]])
+    q = exact_quantiles(values, [*tails, *[1 - t for t in tails]], scanned=True)
     boxes = F.transform(F.sequence(F.lit(1), "depths"), lambda d: F.struct(d.alias("depth"), F.pow(F.lit(0.5), d + 1).alias("tail"), F.element_at("q", d).alias("low"), F.element_at("q", d + deepest).alias("high")))
-    drawn = small(sizes.join(q, "feature").select("feature", "depths", boxes.alias("boxes")))
-    last = F.element_at("boxes", F.col("depths"))
-    out = values.join(drawn, "feature").groupBy("feature").agg(F.any_value("boxes").alias("boxes"), F.count_if((F.col("value") < last["low"]) | (F.col("value") > last["high"])).alias("n_out"))
-    return out.select(F.col("feature").alias(by), "n_out", F.inline("boxes")).select(by, "depth", "tail", "low", "high", "n_out")
+    drawn = settled(sizes.join(q, "feature").select("feature", boxes.alias("boxes"), F.element_at(boxes, F.col("depths")).alias("last")))
+    # rows meet two numbers of their class; the boxes join the counts alone
+    fences = small(drawn.select("feature", F.col("last.low").alias("__low"), F.col("last.high").alias("__high")))
+    out = values.join(fences, "feature").groupBy("feature").agg(F.count_if((F.col("value") < F.col("__low")) | (F.col("value") > F.col("__high"))).alias("n_out"))
+    return out.join(small(drawn.select("feature", "boxes")), "feature").select(F.col("feature").alias(by), "n_out", F.inline("boxes")).select(by, "depth", "tail", "low", "high", "n_out")

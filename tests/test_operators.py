@@ -599,3 +599,13 @@ def test_search_prepares_each_fold_once(spark):
     df, seen = spark.range(10).select((F.col("id") % 5).alias("part")), []
     found = ml.search(df, [{"a": 1}, {"a": 2}], lambda c, train, test: float(c["a"]), 4, lambda train, test: seen.append(1) or (train, test))
     assert len(seen) == 4 and found == [(2.0, {"a": 2}), (1.0, {"a": 1})]
+
+
+def test_quantiles_of_few_and_many_distinct_values(spark):
+    """Groups of few values keep to their counts, the others are bracketed; both as the plain aggregate says."""
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'few', 'many') feature", "if(id % 3 = 0, id % 7, (id * 7919) % 6007 - 3000) / 4.0D value")
+    ps = [0.0, 0.001, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    want = {r[0]: r[1] for r in df.groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(p) for p in ps]))).collect()}
+    for scanned in (False, True):
+        got = {r["feature"]: r["q"] for r in tables.exact_quantiles(df, ps, most=1000, scanned=scanned).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
