@@ -609,3 +609,12 @@ def test_quantiles_of_few_and_many_distinct_values(spark):
     for scanned in (False, True):
         got = {r["feature"]: r["q"] for r in tables.exact_quantiles(df, ps, most=1000, scanned=scanned).collect()}
         assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_rules_read_a_text_once(spark):
+    """One regular expression for each feature with numbers, however many rules ask for it."""
+    df = spark.createDataFrame([(" 5 ", "1"), ("5d", "2"), ("inf", "3"), (None, "1.5"), ("99", " ")], "a string, b string")
+    contract = rules.Contract(columns=("a", "b"), ranges={"a": (0, 40), "b": (1, 7)}, integers=("a", "b"))
+    out = rules.validate(df, contract)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 2
+    assert {(r["code"], r["feature"], r["count"]) for r in out.collect()} == {("missing_value", "a", 1), ("invalid_numeric_type", "a", 1), ("non_finite_value", "a", 1), ("numeric_out_of_range", "a", 1), ("integer_required", "b", 1), ("missing_value", "b", 1)}
