@@ -618,3 +618,19 @@ def test_rules_read_a_text_once(spark):
     out = rules.validate(df, contract)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 2
     assert {(r["code"], r["feature"], r["count"]) for r in out.collect()} == {("missing_value", "a", 1), ("invalid_numeric_type", "a", 1), ("non_finite_value", "a", 1), ("numeric_out_of_range", "a", 1), ("integer_required", "b", 1), ("missing_value", "b", 1)}
+
+
+def test_bills_are_joined_once(spark):
+    """Visits meet their patients first, so that a bill goes through one join; the rows are those of bills first."""
+    from tessera.operators import features
+
+    day = "timestamp_ntz'2024-01-01 00:00:00'"
+    bills = spark.sql(f"select * from values (1, 1, 'Paid', {day}), (2, 1, 'Paid', {day}), (3, 9, 'Paid', {day}), (4, 2, null, {day}), (5, 3, 'Paid', {day}) t(bill_id, visit_id, claim_status, billing_date)")
+    visits = spark.sql(f"select * from values (1, 7, {day}), (2, 7, {day}), (3, null, {day}) t(visit_id, patient_id, visit_date)")
+    patients = spark.sql(f"select * from values (7, {day}) t(patient_id, registration_date)")
+    frame = features.claim_frame(patients, visits, bills)
+    node = frame._jdf.queryExecution().analyzed()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "Join" not in node.children().head().toString()
+    assert sorted((r["bill_id"], r["patient_id"]) for r in frame.collect()) == [(1, 7), (2, 7), (5, None)]
