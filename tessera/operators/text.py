@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import small
+from tessera.operators.tables import settled, small
 
 # English stop words of the cleaning step, and those that the keeping variant leaves in.
 STOP_WORDS = tuple("i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had do does did a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very can will just should now".split())
@@ -86,7 +86,8 @@ def lemma_table(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame) ->
 def with_lemmas(df: DataFrame, key: str, words: Column, lemmas: DataFrame) -> DataFrame:
     """(key, words): each row's words in order, every one as its lemma. The key is unique."""
     long = df.select(F.col(key).alias("key"), F.posexplode_outer(words).alias("place", "word"))
-    said = long.join(small(lemmas), "word", "left").select("key", "place", F.coalesce("lemma", "word").alias("lemma"))
+    unlike = settled(lemmas.where("lemma <> word"))  # the other words stay as they are, and need no row
+    said = long.join(small(unlike), "word", "left").select("key", "place", F.coalesce("lemma", "word").alias("lemma"))
     listed = said.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("lemma").isNotNull(), F.struct("place", "lemma")))).alias("x"))
     return listed.select(F.col("key").alias(key), F.transform("x", lambda e: e["lemma"]).alias("words"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import mapped
 from tessera.operators import text as x
-from tessera.operators.tables import exact_quantiles, keep_first, small
+from tessera.operators.tables import exact_quantiles, keep_first, settled, small
 from tessera.plans.fixtures import table
 
 
@@ -68,10 +68,11 @@ EXCEPTIONS = (("was", "be"), ("were", "be"), ("is", "be"), ("are", "be"), ("been
 
 
 def lemma_parts(s, d):
-    """The words of the cleaned posts, a lexicon of the words that five of them share, and irregular forms."""
-    words = posts(s, d).select("doc_id", F.explode(x.tokens(x.clean_ascii(F.col("text")))).alias("word"))
-    lexicon = words.groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where("n >= 5").select("word")
-    return words, lexicon, s.createDataFrame(EXCEPTIONS, "word string, lemma string")
+    """The distinct words of the cleaned posts, a lexicon of the words that five of them share, and irregular forms; the
+    posts are cleaned once for both, and a post's word counts once."""
+    each = posts(s, d).select("doc_id", F.explode(F.array_distinct(x.tokens(x.clean_ascii(F.col("text"))))).alias("word"))
+    words = settled(each.groupBy("word").agg(F.count_distinct("doc_id").alias("n")))
+    return words.select("word"), words.where("n >= 5").select("word"), s.createDataFrame(EXCEPTIONS, "word string, lemma string")
 
 
 def lemmas(s, d):

@@ -634,3 +634,12 @@ def test_bills_are_joined_once(spark):
         node = node.children().head()
     assert "Join" not in node.children().head().toString()
     assert sorted((r["bill_id"], r["patient_id"]) for r in frame.collect()) == [(1, 7), (2, 7), (5, None)]
+
+
+def test_words_that_are_their_own_lemma_join_nothing(spark):
+    """Only changed words are in the joined table, which is computed once; rows come out as with the whole one."""
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cat", "cat"), ("dog", "dog")], "word string, lemma string")
+    df = spark.createDataFrame([(1, ["cats", "dog", "cats"]), (2, []), (3, ["dog"])], "k long, w array<string>")
+    out = text.with_lemmas(df, "k", F.col("w"), lemmas)
+    assert {r["k"]: r["words"] for r in out.collect()} == {1: ["cat", "dog", "cat"], 2: [], 3: ["dog"]}
+    assert "cats" not in out._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" in out._jdf.queryExecution().optimizedPlan().toString()
