@@ -115,6 +115,33 @@ def test_quality_edges(spark):
     assert np.isfinite(quality.features("a" * 10)).all() and len(quality.features("")) == len(quality.FEATURES) == len(quality.features("a b"))
 
 
+def test_quality_learns_from_every_pair(spark, monkeypatch):
+    """All labelled rows, and all pairs of them, make the model: it is that of a fit over each pair, and the cut is at its rank."""
+    monkeypatch.setattr(quality, "thinned", None)
+    rng = np.random.default_rng(5)
+    size = len(quality.FEATURES)
+    x = np.zeros((160, size))
+    x[:, :3] = rng.normal(size=(160, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=160) > 0.3).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.learn(rows, labels)
+    u = (x - x.mean(0)) / np.maximum(x.std(0), 1e-6)
+    d = (u[y == 1][:, None, :] - u[y == 0][None, :, :]).reshape(-1, size)
+    w = np.zeros(size)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(size), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    assert np.abs(model.w - w).max() < 1e-3
+    z = np.sort(u @ model.w)
+    bad = int((y == 0).sum())
+    assert abs(model.threshold - (z[bad - 1] + z[bad]) / 2) < 1e-9
+    got = {r["doc_id"]: r["s"] for r in rows.select("doc_id", quality.rated(model, F.col("x")).alias("s")).collect()}
+    assert np.abs(np.array([got[i] for i in range(160)]) - model.scores(x)).max() < 1e-9
+    many = spark.range(5000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).cast("double").alias("z"))
+    assert [quality.at_rank(many, i, 3) for i in (0, 4, 5, 2501, 4999)] == [0.0, 0.0, 1.0, 500.0, 999.0]
+
+
 # 3
 
 
