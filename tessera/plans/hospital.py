@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as f
 from tessera.operators.interactions import CLAIM_COLUMNS, RISK_COLUMNS, Interactions
-from tessera.operators.tables import fresh_dir
+from tessera.operators.tables import fresh_dir, stored
 from tessera.plans.fixtures import BILLS, PATIENTS, VISITS, bills, patients, visits
 
 
@@ -70,11 +70,14 @@ def onehot(s, d):
 ONEHOT = f"with p as ({PATIENT_FEATURES}), g as (select patient_id, gender from {PATIENTS}) select patient_id, {', '.join(f'round(cast(coalesce({c}, (select median({c}) from p)) as double), 6) {c}' for c in NUMERIC)}, {', '.join(f'cast(coalesce(insurance_provider, {chr(39)}Unknown{chr(39)}) = {chr(39)}{v}{chr(39)} as int) insurance_provider_{v}' for v in [*PROVIDERS, 'Unknown'])}, cast(gender = 'F' as int) gender_F, cast(gender = 'M' as int) gender_M from p join g using (patient_id)"
 
 
-def with_interactions(frame, train, kind):
-    """The frame with the columns of a pipeline that is fitted on the training rows, stored and loaded again."""
-    path = fresh_dir(frame.sparkSession, "interactions")
-    Pipeline(stages=[Interactions(kind=kind)]).fit(train).write().save(path)
-    return PipelineModel.load(path).transform(frame)
+def with_interactions(frame, order, kind):
+    """The frame with the columns of a pipeline that is fitted on the training rows, stored and loaded again.
+
+    What the split, the fit and the columns read of the joined frame is stored first, so that it is joined once."""
+    stage, path = Interactions(kind=kind), fresh_dir(frame.sparkSession, "interactions")
+    rows = stored(frame.select(*dict.fromkeys([*order, *stage.reads()])), "frame")
+    Pipeline(stages=[stage]).fit(f.training_split(rows, order)).write().save(path)
+    return PipelineModel.load(path).transform(rows)
 
 
 #: Amounts over whole hours end after nine digits at most, and would lie on the edge of fewer.
@@ -87,12 +90,12 @@ def _rounded(names):
 
 def claim_columns(s, d):
     frame = f.claim_frame(patients(s, d), visits(s, d), bills(s, d))
-    return with_interactions(frame, f.training_split(frame, CLAIM_ORDER), "claim").select("bill_id", *_rounded(CLAIM_COLUMNS))
+    return with_interactions(frame, CLAIM_ORDER, "claim").select("bill_id", *_rounded(CLAIM_COLUMNS))
 
 
 def risk_columns(s, d):
     frame = f.risk_frame(patients(s, d), visits(s, d), bills(s, d))
-    return with_interactions(frame, f.training_split(frame, RISK_ORDER), "risk").select("visit_id", "bill_id", *_rounded(RISK_COLUMNS))
+    return with_interactions(frame, RISK_ORDER, "risk").select("visit_id", "bill_id", *_rounded(RISK_COLUMNS))
 
 
 _MEANS = """t as (select * from {train}),

@@ -643,3 +643,14 @@ def test_words_that_are_their_own_lemma_join_nothing(spark):
     out = text.with_lemmas(df, "k", F.col("w"), lemmas)
     assert {r["k"]: r["words"] for r in out.collect()} == {1: ["cat", "dog", "cat"], 2: [], 3: ["dog"]}
     assert "cats" not in out._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interactions_join_their_frame_once(spark):
+    """The joined frame is a stored table for the split, the fit and the columns: only the two joins with means are left."""
+    from conftest import DATA
+
+    from tessera.plans import hospital
+
+    for columns in (hospital.risk_columns, hospital.claim_columns):
+        plan = columns(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 2 and "lineitem" not in plan
