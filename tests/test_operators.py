@@ -654,3 +654,14 @@ def test_interactions_join_their_frame_once(spark):
     for columns in (hospital.risk_columns, hospital.claim_columns):
         plan = columns(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 2 and "lineitem" not in plan
+
+
+def test_strategies_read_settled_rows(spark):
+    """Neither a fit nor a score splits or resamples the rows again: both get tables computed once."""
+    seen = []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = tables.settled(spark.range(90).select("id", F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("y")))
+    fit = lambda own: seen.append((own.count(), plan(own))) or (lambda df: df.withColumn("predicted", F.col("y")))
+    out = ml.compare_strategies(rows, rows, "y", {"all": lambda x: x, "under": lambda x: ml.undersample(x, "y", "id")}, fit, ["a", "b"])
+    assert [n for n, _ in seen] == [90, 20] and all("Window" not in p and "Join" not in p for _, p in seen)
+    assert {(r["strategy"], r["train_rows"], r["macro_f1"]) for r in out.collect()} == {("all", 90, 1.0), ("under", 20, 1.0)}
