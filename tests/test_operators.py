@@ -665,3 +665,13 @@ def test_strategies_read_settled_rows(spark):
     out = ml.compare_strategies(rows, rows, "y", {"all": lambda x: x, "under": lambda x: ml.undersample(x, "y", "id")}, fit, ["a", "b"])
     assert [n for n, _ in seen] == [90, 20] and all("Window" not in p and "Join" not in p for _, p in seen)
     assert {(r["strategy"], r["train_rows"], r["macro_f1"]) for r in out.collect()} == {("all", 90, 1.0), ("under", 20, 1.0)}
+
+
+def test_rows_are_sealed_once(spark, tmp_path):
+    """The checked rows encrypt a payload in one place of the plan, beyond the exchange that spreads them."""
+    rows = spark.range(20).selectExpr("cast(id as string) telemetry_id", "'m' model_id", "'a' artifact", "timestamp'2024-03-01 00:00:00' recorded_at", "'{}' payload")
+    sealed = store.checked(store.telemetry(rows, b"k", 5), "telemetry")
+    plan = sealed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("aesencrypt") == 1 and plan.lower().index("aesencrypt") < plan.index("Repartition")
+    with pytest.raises(Exception, match="payload"):
+        store.append_telemetry(store.telemetry(rows.withColumn("payload", F.lit(None).cast("string")), b"k", 5), str(tmp_path / "t"))
