@@ -7,7 +7,8 @@ downward; rows tied at the boundary are resolved by their exact scores and ids.
 
 Blocks of queries are sent to each block of rows, which stays in place, and stream through its task, so a task holds one
 of each; where blocks of rows are fewer than `tasks`, each goes to some places, which share the queries. A query's best
-k of each block are then ranked. Nothing reaches the driver but counts.
+k of each block are then ranked. Nothing reaches the driver but counts: the join is told to shuffle, as Spark's estimates
+miss that blocks are copied, and it would broadcast what grows with the square of the input.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no part; a query has
 candidates of its own length only; ties go to the smaller id. The query's own row is no candidate; other rows with its id
@@ -137,7 +138,8 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     index = rows.withColumn("block", spread(blocks)).groupBy("dim", "block").applyInPandas(indexed, "dim int, block int, ids binary, low binary, digits array<int>, slices binary")
     asks = rows.where("asks").withColumn("q", spread(asked)).groupBy("dim", "q").applyInPandas(packed, "dim int, q int, q_ids binary, q_v binary")
     every_copy, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (copies, blocks))
-    pairs = index.withColumn("copy", every_copy).join(asks.withColumn("copy", F.pmod("q", F.lit(copies))).withColumn("block", every_block), ["dim", "block", "copy"])
+    # a merge join streams its left side and holds the right side's rows of a key: one block of rows
+    pairs = asks.withColumn("copy", F.pmod("q", F.lit(copies))).withColumn("block", every_block).join(index.withColumn("copy", every_copy).hint("merge"), ["dim", "block", "copy"])
 
     def best(batches):
         for b in batches:

@@ -480,6 +480,23 @@ def test_topk_edges(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_broadcasts_no_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 10, (400, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((x / 256).tolist())], "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 50 == 0, k=3, block_rows=4, query_rows=2)
+    rows = sorted(map(tuple, got.collect()))
+    # the queries are small when they are shuffled, but each of the hundred blocks gets a copy of them
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = []
+    for q in range(0, 400, 50):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(400), -s)).tolist() if i != q][:3]
+        want += [(q, r + 1, i, int(s[i])) for r, i in enumerate(best)]
+    assert rows == sorted(want)
+
+
 # 7
 
 
